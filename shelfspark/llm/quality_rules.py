@@ -200,7 +200,7 @@ judged AS (
     coalesce(c.x, 0) <= {MAX_CHAR_DISTANCE} AND coalesce(v.x, 0) <= {MAX_WORD_DISTANCE} AS near
   FROM base LEFT JOIN repeats USING (rid) LEFT JOIN char_near c USING (rid) LEFT JOIN word_near v USING (rid))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND near AS kept FROM judged
-""".replace("\\", "\")
+"""
 
 
 ORACLE_SQL = _oracle()
