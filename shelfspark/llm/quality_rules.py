@@ -166,7 +166,7 @@ def _oracle() -> str:
     distance = "sqrt(greatest(0.0, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2))"
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
-w AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), x -> x <> '') AS words FROM d),
+w AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM d),
 base AS (
   SELECT rid, doc_id, words, len(words) AS n_words, length(text) AS chars,
     length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
@@ -174,9 +174,9 @@ base AS (
     length(regexp_replace(text, '[^\p{{Lu}}]+', '', 'g')) AS capitals,
     length(regexp_replace(text, '[^0-9]+', '', 'g')) AS digits,
     length(regexp_replace(text, '[^.,;:!?''"()\-]+', '', 'g')) AS marks,
-    list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM w),
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM w),
 windows AS (
-  SELECT rid, unnest(range(1, len(words) - 3)) AS k, unnest(list_transform(range(1, len(words) - 3), i -> array_to_string(words[i:i + 4], ' '))) AS win
+  SELECT rid, unnest(range(1, len(words) - 3)) AS k, unnest(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) AS win
   FROM base WHERE len(words) >= 5),
 twice AS (SELECT rid, k FROM windows QUALIFY count(*) OVER (PARTITION BY rid, win) > 1),
 gaps AS (SELECT rid, least(5, coalesce(lead(k) OVER (PARTITION BY rid ORDER BY k) - k, 5)) AS g FROM twice),
@@ -185,7 +185,7 @@ seen AS (SELECT rid, lower(x) AS w, count(*) AS c FROM (SELECT rid, unnest(words
 char_refs(lang, q) AS (VALUES {chars}), word_refs(lang, names, q) AS (VALUES {words}),
 char_pairs AS (
   SELECT rid, lang, unnest([(word_chars - n_symbols - capitals - digits - marks)::DOUBLE, capitals, digits, chars - word_chars, marks, n_symbols]) / chars AS p,
-    unnest(list_transform(q, x -> x / list_sum(q))) AS q
+    unnest(list_transform(q, lambda x: x / list_sum(q))) AS q
   FROM base, char_refs WHERE chars >= {MIN_CHARS_JUDGED}),
 char_near AS (SELECT rid, min(x) AS x FROM (SELECT rid, lang, {distance} AS x FROM char_pairs GROUP BY ALL) GROUP BY rid),
 named AS (SELECT rid, n_words, lang, unnest(names) AS w, unnest(q[1:len(names)]) AS q FROM base, word_refs WHERE n_words >= {MIN_WORDS_JUDGED}),
