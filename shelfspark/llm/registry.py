@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from shelfspark.llm import bpe, chat_format, ngram_join, quality_rules, url_filters
+from shelfspark.llm import bpe, chat_format, ngram_join, quality_rules, suffix_dedup, url_filters
 
 _MODULES = {
     "op2_bpe": bpe,
     "op3_quality_rules": quality_rules,
+    "op4_suffix_dedup": suffix_dedup,
     "op6_chat_format": chat_format,
     "op7_ngram_join": ngram_join,
     "op9_url_filters": url_filters,
