@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfspark.llm import bpe, chat_format, ngram_join, quality_rules, suffix_dedup, url_filters
+from shelfspark.llm import bpe, chat_format, decontamination, ngram_join, quality_rules, suffix_dedup, token_counts, url_filters
 
 _MODULES = {
     "op2_bpe": bpe,
@@ -10,7 +10,9 @@ _MODULES = {
     "op4_suffix_dedup": suffix_dedup,
     "op6_chat_format": chat_format,
     "op7_ngram_join": ngram_join,
+    "op8_token_counts": token_counts,
     "op9_url_filters": url_filters,
+    "op10_decontamination": decontamination,
 }
 
 
