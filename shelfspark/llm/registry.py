@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from shelfspark.llm import bpe, chat_format, decontamination, ngram_join, quality_rules, suffix_dedup, token_counts, url_filters
+from shelfspark.llm import bpe, chat_format, decontamination, ngram_join, quality_classifier, quality_rules, suffix_dedup, token_counts, url_filters
 
 _MODULES = {
     "op2_bpe": bpe,
     "op3_quality_rules": quality_rules,
     "op4_suffix_dedup": suffix_dedup,
+    "op5_quality_classifier": quality_classifier,
     "op6_chat_format": chat_format,
     "op7_ngram_join": ngram_join,
     "op8_token_counts": token_counts,
