@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from shelfspark.llm import bpe, chat_format, decontamination, ngram_join, quality_classifier, quality_rules, suffix_dedup, token_counts, url_filters
+from shelfspark.llm import bpe, chat_format, decontamination, html_extract, ngram_join, quality_classifier, quality_rules, suffix_dedup, token_counts, url_filters
 
 _MODULES = {
+    "op1_html_extract": html_extract,
     "op2_bpe": bpe,
     "op3_quality_rules": quality_rules,
     "op4_suffix_dedup": suffix_dedup,
