@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from shelfspark.llm import bpe, chat_format, decontamination, html_extract, ngram_join, quality_classifier, quality_rules, suffix_dedup, token_counts, url_filters
 
 _MODULES = {
@@ -19,7 +20,7 @@ _MODULES = {
 
 
 def queries() -> dict:
-    return {name: module.query for name, module in _MODULES.items()}
+    return {**{name: module.query for name, module in _MODULES.items()}, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
