@@ -11,8 +11,15 @@ from pyspark.sql import types as T
 from shelfspark.functions.text import is_image_name
 
 
+_TYPES = {
+    "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "timestamp": T.TimestampType(),
+    "map<string,int>": T.MapType(T.StringType(), T.IntegerType()),
+}
+
+
 def schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """A schema from "name type, name type"; no session is needed."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (x.split() for x in text.split(", "))])
 
 
 _PRODUCT = "code string, name string, category string, description string, price double, price_sample double, price_hundred double, price_thousand double, stock int, color_stock map<string,int>, image_url string, image_path string, image_hash string"

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from shelfspark.operators import sync
 from shelfspark.plans.inputs import new_snapshot, old_snapshot
 from shelfspark.sources.tables import Store
+from shelfspark.sources.tables import schema as table_schema
 
 
 def scratch(spark: SparkSession) -> str:
@@ -72,7 +73,7 @@ def replay_events(spark: SparkSession, path: str) -> DataFrame:
     folder = scratch(spark)
     store = Store(spark, f"{folder}/state")
     replay_stream(log, store, f"{folder}/checkpoint")
-    empty = T.StructType.fromDDL("code long, field_name string, id long, new_value double")
+    empty = table_schema("code long, field_name string, id long, new_value double")
     return store.read(empty).select("code", "field_name", "new_value")
 
 
