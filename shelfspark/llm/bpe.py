@@ -7,7 +7,8 @@
 3. Each block joins ids to its texts by position.  Decoding joins each id to its piece in the vocabulary (a table of
    fixed size), and joins the pieces by one space, as the library's decode does for a file without a decoder.
 
-What moves is each block's distinct words and four bytes for each word of a text; texts themselves are not shuffled.
+What moves, compressed, is each block's distinct words and their ids, and the numbers of the words of its texts (the
+most frequent words of a block have the smallest numbers); texts themselves are not shuffled.
 The two passes over the input must see the same blocks, so the input must be a table that is read (``storage.cut``
 makes one of any other DataFrame); a block's key has a checksum of its rows, and a mismatch fails the job.
 
@@ -18,18 +19,25 @@ repeated results, also with a null doc_id; an empty table gives an empty result;
 from __future__ import annotations
 
 import hashlib
+import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfspark.llm.storage import release, small_batches
+
 #: Bytes of text in a block.
 BLOCK_BYTES = 8 << 20
+#: Words that are handed to the library at a time, which bounds what its results take.
+ENCODED_AT_ONCE = 5_000
 SPACE = pa.scalar(" ", pa.large_string())
 
 
@@ -48,78 +56,108 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array,
             mark = zlib.crc32(memoryview(own.buffers()[2] or b"")[offsets[0] : offsets[-1]])
             yield f"{part}-{number}-{mark}", ids.slice(start, stop - start), own
             start, number = stop, number + 1
+            release()
+
+
+def _pack(data: bytes | np.ndarray) -> bytes:
+    return zstandard.compress(data if isinstance(data, bytes) else data.tobytes(), 1)
+
 
+def _unpack(data: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), kind)
 
-def _split(texts: pa.Array, parts: int) -> tuple[np.ndarray, np.ndarray, list[pa.Array]]:
-    """The texts' word numbers, the offsets of the texts in them, and the block's distinct words by part.
 
-    A word's number is its place in the parts' words, part after part.
-    """
+def _split(texts: pa.Array, parts: int) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """The numbers of the texts' words, the offsets of texts in them, the distinct words by number, and their parts."""
     lists = pc.ascii_split_whitespace(texts)
     flat = lists.flatten().dictionary_encode()
-    words, offsets = flat.dictionary, lists.offsets.to_numpy() - lists.offsets[0].as_py()
-    part = np.fromiter((zlib.crc32(w) % parts for w in words.cast(pa.large_binary()).to_pylist()), np.int64, len(words))
-    order = np.argsort(part, kind="stable")
-    number = np.empty(len(words), np.int32)
-    number[order] = np.arange(len(words), dtype=np.int32)
-    bounds = np.searchsorted(part[order], np.arange(parts + 1))
-    by_part = [words.take(pa.array(order[a:b])) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    return number[flat.indices.to_numpy()], offsets, by_part
+    offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    at, words = flat.indices.to_numpy(), flat.dictionary
+    order = np.argsort(-np.bincount(at, minlength=len(words)), kind="stable")
+    number = np.empty(len(words), np.uint32)
+    number[order] = np.arange(len(words), dtype=np.uint32)
+    words = words.take(pa.array(order))
+    part = np.fromiter((zlib.crc32(w) % parts for w in words.cast(pa.large_binary()).to_pylist()), np.uint16, len(words))
+    return number[at], offsets, words, part
 
 
 def _words(parts: int):
+    """A block's distinct words by part, in the order of their numbers, separated by spaces."""
+
     def run(batches):
         for key, _, texts in _blocks(batches):
-            for part, words in enumerate(_split(texts, parts)[2]):
-                if len(words):
-                    yield pa.RecordBatch.from_pydict(
-                        {"block": [key], "part": pa.array([part], pa.int32()), "words": pa.array([words.to_pylist()], pa.list_(pa.string()))}
-                    )
+            _, _, words, part = _split(texts, parts)
+            order = np.argsort(part, kind="stable")
+            cuts = np.searchsorted(part[order], np.arange(parts + 1))
+            rows = [(k, order[a:b]) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+            packed = [_pack(" ".join(words.take(pa.array(o)).to_pylist()).encode()) for _, o in rows]
+            yield pa.RecordBatch.from_pydict(
+                {"block": [key] * len(rows), "part": pa.array([k for k, _ in rows], pa.int32()), "words": pa.array(packed, pa.binary())}
+            )
 
     return run
 
 
 def _sequences(parts: int):
+    """A block's rows and their words' numbers, as planes of bytes."""
+
     def run(batches):
         for key, ids, texts in _blocks(batches):
-            numbers, offsets, _ = _split(texts, parts)
-            rows = [numbers[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_pydict({"block": [key] * len(ids), "doc_id": ids, "numbers": pa.array(rows, pa.binary())})
+            numbers, offsets, _, part = _split(texts, parts)
+            planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "block": [key],
+                    "doc_ids": pa.array([ids.to_pylist()], pa.list_(pa.int64())),
+                    "offsets": pa.array([_pack(offsets.astype("<i8"))], pa.binary()),
+                    "numbers": pa.array([_pack(planes)], pa.binary()),
+                    "parts": pa.array([_pack(part.astype("<u2"))], pa.binary()),
+                }
+            )
 
     return run
 
 
+@lru_cache(1)
+def _tokenizer(path: str):
+    """One for each worker, without threads of its own: Spark's tasks are the parallelism, and threads hold memory."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def _encode(path: str):
     """Each distinct word of a part once; then the ids of every block's words, as lengths and 16-bit ids."""
 
     def run(table: pa.Table) -> pa.Table:
-        from tokenizers import Tokenizer
-
-        lists = table["words"].combine_chunks()
+        lists = pa.array([zstandard.decompress(x).decode().split(" ") for x in table["words"].to_pylist()], pa.list_(pa.string()))
         flat = lists.flatten().dictionary_encode()
-        made = Tokenizer.from_file(path).encode_batch(flat.dictionary.to_pylist(), add_special_tokens=False)
-        ids = [np.array(x.ids, "<u2") for x in made]
-        lengths = np.array([len(x) for x in ids], "<u4")
-        packed = np.array([x.tobytes() for x in ids], object)
+        tokenizer, distinct, ids = _tokenizer(path), flat.dictionary, []
+        for at in range(0, len(distinct), ENCODED_AT_ONCE):
+            made = tokenizer.encode_batch(distinct.slice(at, ENCODED_AT_ONCE).to_pylist(), add_special_tokens=False)
+            ids += [np.array(x.ids, "<u2").tobytes() for x in made]
+        lengths = np.array([len(x) // 2 for x in ids], "<u4")
+        packed = np.array(ids, object)
+        release()
         at, offsets = flat.indices.to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
         spans = list(zip(offsets[:-1], offsets[1:], strict=True))
         return pa.table(
             {
                 "block": table["block"],
                 "part": table["part"],
-                "lengths": pa.array([lengths[at[a:b]].tobytes() for a, b in spans], pa.binary()),
-                "ids": pa.array([b"".join(packed[at[a:b]]) for a, b in spans], pa.binary()),
+                "lengths": pa.array([_pack(lengths[at[a:b]]) for a, b in spans], pa.binary()),
+                "ids": pa.array([_pack(b"".join(packed[at[a:b]])) for a, b in spans], pa.binary()),
             }
         )
 
     return run
 
 
+@lru_cache(1)
 def _vocabulary(path: str) -> pa.Array:
     """Piece by id."""
-    from tokenizers import Tokenizer
-
-    known = Tokenizer.from_file(path).get_vocab(with_added_tokens=True)
+    known = _tokenizer(path).get_vocab(with_added_tokens=True)
     pieces: list[str | None] = [None] * (max(known.values()) + 1)
     for piece, k in known.items():
         pieces[k] = piece
@@ -128,26 +166,34 @@ def _vocabulary(path: str) -> pa.Array:
 
 def _assemble(path: str, texts: bool):
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
+        release()
+        if docs.num_rows != 1:
+            raise ValueError("the input changed between two reads of it")
+        row = docs.to_pylist()[0]
+        part, offsets = _unpack(row["parts"], "<u2"), _unpack(row["offsets"], "<i8")
+        planes = _unpack(row["numbers"], "u1").reshape(4, -1)
+        numbers = np.ascontiguousarray(planes.T).view("<u4").ravel()
         words = words.sort_by("part")
-        lengths = np.frombuffer(b"".join(words["lengths"].to_pylist()), "<u4").astype(np.int64)
-        ids = np.frombuffer(b"".join(words["ids"].to_pylist()), "<u2").astype("<u4")
+        lengths = np.concatenate([np.empty(0, "<u4"), *(_unpack(x, "<u4") for x in words["lengths"].to_pylist())]).astype(np.int64)
+        ids = np.concatenate([np.empty(0, "<u2"), *(_unpack(x, "<u2") for x in words["ids"].to_pylist())])
+        if len(lengths) != len(part):
+            raise ValueError("the input changed between two reads of it")
+        # the ids stand by part; a word's place among them
+        place = np.empty(len(part), np.int64)
+        place[np.argsort(part, kind="stable")] = np.arange(len(part))
         ends = np.concatenate([[0], np.cumsum(lengths)])
-        wide = memoryview(ids.tobytes())
-        word_ids = pa.array([wide[4 * a : 4 * b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.large_binary())
+        wide = pa.py_buffer(ids.astype("<u4").tobytes())
+        word_ids = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer((4 * ends).astype(np.int64).tobytes()), wide])
         pieces = pa.LargeListArray.from_arrays(pa.array(ends), _vocabulary(path).take(pa.array(ids.astype(np.int64))))
         word_texts = pc.binary_join(pieces, SPACE)
 
-        raw = [np.frombuffer(x, np.int32) for x in docs["numbers"].to_pylist()]
-        numbers = np.concatenate(raw) if raw else np.empty(0, np.int32)
-        if len(numbers) and numbers.max() >= len(lengths):
-            raise ValueError("the input changed between two reads of it")
-        there = lengths[numbers] > 0 if len(numbers) else np.empty(0, bool)
-        counts = np.concatenate([[0], np.cumsum(there)])
-        bounds = counts[np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)]
-        at, bounds = pa.array(numbers[there]), pa.array(bounds.astype(np.int64))
+        numbers = place[numbers]
+        there = lengths[numbers] > 0
+        bounds = pa.array(np.concatenate([[0], np.cumsum(there)])[offsets])
+        at = pa.array(numbers[there])
         doc_ids = pc.binary_join(pa.LargeListArray.from_arrays(bounds, word_ids.take(at)), pa.scalar(b"", pa.large_binary()))
         decoded = pc.binary_join(pa.LargeListArray.from_arrays(bounds, word_texts.take(at)), SPACE).cast(pa.large_binary())
-        out = {"doc_id": docs["doc_id"], "n_tokens": pc.cast(pc.divide(pc.binary_length(doc_ids), 4), pa.int64())}
+        out = {"doc_id": pa.array(row["doc_ids"], pa.int64()), "n_tokens": pc.cast(pc.divide(pc.binary_length(doc_ids), 4), pa.int64())}
         if texts:
             return pa.table(out | {"ids": doc_ids.cast(pa.binary()), "decoded": decoded.cast(pa.string())})
         return pa.table(
@@ -164,11 +210,12 @@ def _assemble(path: str, texts: bool):
 def encode_decode(docs: DataFrame, path: str, texts: bool = False) -> DataFrame:
     """doc_id, n_tokens, and the digests of the ids and the decoded text; or, with ``texts``, themselves:
     ids (little-endian unsigned 32-bit integers) and decoded."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    words = docs.mapInArrow(_words(parts), "block string, part int, words array<string>")
+    parts = 2 * max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    words = docs.mapInArrow(_words(parts), "block string, part int, words binary")
     ids = words.groupBy("part").applyInArrow(_encode(path), "block string, part int, lengths binary, ids binary")
-    sequences = docs.mapInArrow(_sequences(parts), "block string, doc_id long, numbers binary")
+    sequences = docs.mapInArrow(_sequences(parts), "block string, doc_ids array<long>, offsets binary, numbers binary, parts binary")
     result = "ids binary, decoded string" if texts else "ids_sha256 string, decoded_sha256 string"
     return (
         sequences.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_assemble(path, texts), f"doc_id long, n_tokens long, {result}")
