@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.llm import text_arrays as ta
+from shelfspark.llm.storage import small_batches
 
 FIT_ROWS = 20_000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 24, 60, 512, 0.01, 1e-4
@@ -162,6 +163,7 @@ def _gather(docs: DataFrame, ids: DataFrame) -> np.ndarray:
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = labels.where(~held_out(F.col("doc_id"))).where("quality IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
     prior = known.agg(F.avg("quality")).first()[0]

@@ -6,9 +6,12 @@ tests on one machine) a folder of the driver is used.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -33,3 +36,15 @@ def cut(df: DataFrame) -> DataFrame:
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of text that a Python task holds at a time, however long the texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+
+
+def release() -> None:
+    """Gives memory that a task no longer uses back to the system; Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from shelfspark.llm.storage import release
+
 U64 = np.uint64
 #: Bytes of text that are worked on at a time; a longer text is taken whole where its words are needed together.
 PIECE_BYTES = 2 << 20
@@ -61,6 +63,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, size: int = PIECE_BYTES
             stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + size, side="right")) - 1)
             yield batch.slice(start, stop - start), data[offsets[start] : offsets[stop]], offsets[start : stop + 1] - offsets[start]
             start = stop
+        release()
 
 
 _SPACE = np.zeros(256, bool)
