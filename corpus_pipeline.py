@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.llm import bpe, decontamination, ngram_join, quality_rules, suffix_dedup
-from shelfspark.llm.storage import shared_folder
+from shelfspark.llm.storage import cut, shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -24,25 +24,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates: the one with the smallest doc_id, once if its rows repeat."""
-    joined = ngram_join.near_duplicates(docs)
-    others = joined.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    """Keeps one document of each group of near duplicates: the one with the smallest doc_id, once if its row is repeated."""
+    joined = cut(ngram_join.near_duplicates(docs))
+    others = cut(joined.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
     kept = docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
-    # rows that share a doc_id and are linked are one document; nothing else has an equal doc_id
-    return kept.dropDuplicates(["doc_id", "text"])
+    repeated = cut(joined.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("again")))
+    if repeated.isEmpty():
+        return kept
+    same = F.col("doc_id").eqNullSafe(F.col("again"))
+    once = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, same, "left_anti").unionByName(once)
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts out what stands elsewhere too, and drops documents of which no word is left."""
-    cleaned = suffix_dedup.dedup_substrings(docs, whole=True).where(F.col("n_removed") > 0).select(
-        F.col("doc_id").alias("cut_id"), F.col("row").alias("cut_row"), "kept_text"
-    )
-    same = (suffix_dedup.row_of(docs) == F.col("cut_row")) & F.col("doc_id").eqNullSafe(F.col("cut_id"))
-    out = docs.join(cleaned.dropDuplicates(["cut_id", "cut_row"]), same, "left")
-    text = F.coalesce("kept_text", "text")
-    out = out.where(F.col("kept_text").isNull() | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
-    n_chars = F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length("kept_text"))
-    return out.select("doc_id", text.alias("text"), "lang", "source", n_chars.cast("long").alias("n_chars"))
+    """Cuts out what stands elsewhere too, and drops documents of which it leaves no word."""
+    cleaned = suffix_dedup.dedup_substrings(docs, whole=True, carried=("doc_id", "lang", "source", "n_chars"))
+    cut_out = F.col("n_removed") > 0
+    cleaned = cleaned.where(~cut_out | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
+    n_chars = F.when(cut_out, F.length("kept_text").cast("long")).otherwise(F.col("_n_chars"))
+    return cleaned.select(
+        F.col("_doc_id").alias("doc_id"), F.col("kept_text").alias("text"), F.col("_lang").alias("lang"), F.col("_source").alias("source"), n_chars.alias("n_chars")
+    )
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,12 +15,10 @@ MANY_SYMBOLS = 4096
 def _types(s: np.ndarray) -> np.ndarray:
     """True for suffixes smaller than the next one (S); a sentinel stands behind the end."""
     n = len(s)
-    differs = np.flatnonzero(s[1:] != s[:-1])
-    following = np.searchsorted(differs, np.arange(n))  # the next place where the symbol changes
-    last = following == len(differs)
-    at = differs[np.where(last, 0, following)] if len(differs) else np.zeros(n, np.int64)
-    small = s[at] < s[np.minimum(at + 1, n - 1)]
-    return np.where(last, False, small)
+    differs = np.flatnonzero(s[1:] != s[:-1])  # where the symbol changes behind
+    grows = s[differs] < s[differs + 1]
+    small = np.repeat(grows, np.diff(differs, prepend=-1))
+    return np.concatenate([small, np.zeros(n - len(small), bool)])
 
 
 def _induce(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, symbols: int) -> np.ndarray:
@@ -35,7 +33,8 @@ def _induce(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, symbols: int) -
         symbol = s[new]
         order = np.argsort(symbol, kind="stable")
         new, symbol = new[order], symbol[order]
-        kinds, first = np.unique(symbol, return_index=True)
+        first = np.flatnonzero(np.concatenate([[True], symbol[1:] != symbol[:-1]]))
+        kinds = symbol[first]
         each = np.diff(np.append(first, len(new)))
         within = np.arange(len(new)) - np.repeat(first, each)
         at = filled[symbol] + within if forward else filled[symbol] - 1 - within
@@ -81,24 +80,41 @@ def _induce(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, symbols: int) -
 
 
 def _by_doubling(s: np.ndarray) -> np.ndarray:
-    """The suffixes in order, by ranks of prefixes that double in length."""
+    """The suffixes in order, by ranks of prefixes that double in length; a suffix whose rank is its own is left alone.
+
+    A rank is the place of the first suffix of its group, so ranks stay comparable while groups are split.
+    """
     n, width = len(s), 1
-    rank = np.unique(s, return_inverse=True)[1].astype(np.int64) + 1
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: max(0, n - width)] = rank[width:]
-        key = rank * (n + 1) + after
-        order = np.argsort(key, kind="stable")
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.concatenate([[1], key[order][1:] != key[order][:-1]]))
-        if new[order[-1]] == n:
-            return order
-        rank, width = new, 2 * width
+    order = np.argsort(s, kind="stable")
+    rank = np.empty(n, np.int64)
+
+    def settle(places: np.ndarray, suffixes: np.ndarray, new: np.ndarray) -> np.ndarray:
+        """Ranks of suffixes at ``places``, given where groups begin; returns the places in groups of more than one."""
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(new)))
+        rank[suffixes] = np.repeat(places[first], size)
+        return places[np.repeat(size > 1, size)]
+
+    ordered = s[order]
+    active = settle(np.arange(n), order, np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    while len(active):
+        suffixes = order[active]
+        beyond = suffixes + width
+        after = np.where(beyond < n, rank[np.minimum(beyond, n - 1)] + 1, 0)
+        key = rank[suffixes] * (n + 1) + after
+        by = np.argsort(key, kind="stable")
+        suffixes, key = suffixes[by], key[by]
+        order[active] = suffixes
+        active = settle(active, suffixes, np.concatenate([[True], key[1:] != key[:-1]]))
+        width *= 2
+    return order
 
 
 def suffix_array(s: np.ndarray, symbols: int = 256) -> np.ndarray:
-    """Start positions of all suffixes of ``s`` in order."""
+    """Start positions of all suffixes of ``s`` in order; symbols are below ``symbols``."""
     n = len(s)
+    if symbols <= 1 << 16:
+        s = s.astype(np.uint16)  # 16 bits are sorted by radix
     if n < 2:
         return np.arange(n)
     if symbols > MANY_SYMBOLS:
@@ -143,17 +159,19 @@ def common_prefixes(s: np.ndarray, sa: np.ndarray, at: np.ndarray, most: int) ->
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
     whole = np.concatenate([s.astype(np.uint8), np.zeros(8, np.uint8)])
+    words = np.ndarray((n + 1,), "<u8", whole, strides=(1,))  # eight bytes from each place on
     other = before[at]
     out = np.zeros(len(at), np.int64)
-    words = np.lib.stride_tricks.as_strided(whole, (n + 1, 8), (1, 1))
     active = np.flatnonzero(other >= 0)
     for k in range(0, most, 8):
-        active = active[np.maximum(at[active], other[active]) + k < n]
+        x, y = at[active] + k, other[active] + k
+        inside = np.maximum(x, y) < n
+        active, x, y = active[inside], x[inside], y[inside]
         if not len(active):
             break
-        x, y = at[active] + k, other[active] + k
-        same = words[x] == words[y]
-        run = np.where(same.all(1), 8, same.argmin(1))
+        differing = words[x] ^ words[y]
+        low = (differing & (~differing + np.uint64(1))).astype(np.float64)
+        run = np.where(differing == 0, 8, np.log2(np.maximum(low, 1)).astype(np.int64) >> 3)
         run = np.minimum(run, n - np.maximum(x, y))
         out[active] += run
         active = active[run == 8]

@@ -4,11 +4,13 @@ A byte goes when a LENGTH-byte string that covers it starts anywhere else in the
 where such strings can be, and equal strings always meet in one shard:
 
 1. The anchor of a LENGTH-byte string is its ANCHOR-byte substring with the smallest hash, so equal strings have equal
-   anchors.  Neighbouring strings with the same anchor make a segment of text.  Every anchor is counted; one that
-   occurs once in the table rules its segment out.  The result is a bitmap of fixed size (false hits cost time only).
-2. The remaining segments go to shards by anchor, each distinct segment of a block of rows once.  A shard's segments
-   are made distinct, joined with separators, and their suffixes sorted by induced sorting (``suffix_array``); the
-   permuted common prefixes say which strings stand elsewhere too.
+   anchors.  Neighbouring strings with the same anchor make a segment of text.  Places are aggregated by anchor first:
+   an anchor with one place rules its segment out, and where all places of an anchor have one and the same segment
+   the copies are whole and need no sorting.  Anchors with several segments become a bitmap of fixed size (false hits
+   cost time only).
+2. The segments of these anchors go to shards by anchor, each distinct segment of a block of rows once.  A shard's
+   segments are made distinct, joined with separators, and their suffixes sorted by induced sorting
+   (``suffix_array``); the permuted common prefixes say which strings stand elsewhere too.
 3. The verdicts return to all places of a segment by a join, and the spans to their documents by another.
 
 An anchor with very many different segments (the edges of a passage that a large share of documents holds) would
@@ -27,11 +29,13 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfspark.llm import text_arrays as ta
-from shelfspark.llm.storage import cut
+from shelfspark.llm.storage import cut, small_batches
 from shelfspark.llm.suffix_array import common_prefixes, suffix_array
 
 LENGTH, ANCHOR = 200, 100
@@ -39,13 +43,15 @@ LENGTH, ANCHOR = 200, 100
 FILTER_POWER = 26
 #: An anchor is crowded with so many different segments, and so many in a block on average.
 CROWDED, CROWDED_IN_BLOCK = 4096, 4
+#: Bytes of text in a block of rows, and those that are hashed at a time.
+BLOCK_BYTES, SCAN_BYTES = 8 << 20, 1 << 20
 U64 = ta.U64
 
 
 def _runs(data: np.ndarray, offsets: np.ndarray):
     """(first, last, anchor hash, segment hash) of the runs of string starts that have one anchor, by pieces of a bounded size."""
-    for base in range(0, max(0, len(data) - LENGTH + 1), ta.PIECE_BYTES):
-        part = data[base : base + ta.PIECE_BYTES + LENGTH - 1]
+    for base in range(0, max(0, len(data) - LENGTH + 1), SCAN_BYTES):
+        part = data[base : base + SCAN_BYTES + LENGTH - 1]
         sums = ta.prefix_sums(part)
         n, width = len(part) - ANCHOR + 1, LENGTH - ANCHOR + 1
         grams = ta.hashes(sums, np.arange(n), np.arange(n) + ANCHOR)
@@ -75,26 +81,34 @@ def _all_runs(data: np.ndarray, offsets: np.ndarray):
 
 
 def _count_anchors(slices: int):
-    """Each block's anchors, how many different segments they have, and whether they stand there twice; by slice of the bitmap."""
+    """Each block's distinct (anchor, segment), and whether they stand there twice, by slice of the anchors' range.
+
+    Anchors are sorted and given as differences of the 32 bits behind the slice, low bytes first, which packs well; two
+    anchors that agree in all of these bits are taken for one with several segments, which is on the safe side.
+    """
+    shift = U64(32 - (slices.bit_length() - 1))
 
     def run(batches):
-        for _, data, offsets in ta.pieces(batches, "text", 8 * ta.PIECE_BYTES):
+        for _, data, offsets in ta.pieces(batches, "text", BLOCK_BYTES):
             _, _, anchors, segments = _all_runs(data, offsets)
             order = np.lexsort((segments, anchors))
             anchors, segments = anchors[order], segments[order]
-            values, first, places = np.unique(anchors, return_index=True, return_counts=True)
-            fresh = np.ones(len(anchors), np.int64)
-            fresh[1:] = (anchors[1:] != anchors[:-1]) | (segments[1:] != segments[:-1])
-            kinds = np.add.reduceat(fresh, first) if len(first) else fresh
-            note = np.minimum(kinds, 0x7FFF).astype(np.uint16) * np.uint16(2) + (places > 1).astype(np.uint16)
-            cuts = np.searchsorted(values, np.arange(1, slices, dtype=U64) << U64(64 - slices.bit_length() + 1))
-            cuts = np.concatenate([[0], cuts, [len(values)]])
-            rows = [(k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+            new = np.ones(len(anchors), bool)
+            new[1:] = (anchors[1:] != anchors[:-1]) | (segments[1:] != segments[:-1])
+            first = np.flatnonzero(new)
+            twice = (np.diff(np.append(first, len(anchors))) > 1).astype(np.uint8)
+            anchors, segments = anchors[first], segments[first]
+            edges = np.arange(1, slices, dtype=U64) << U64(64 - (slices.bit_length() - 1))
+            cuts = np.concatenate([[0], np.searchsorted(anchors, edges), [len(anchors)]])
+            short = (anchors >> shift).astype(np.uint32)
+            rows = [(k, slice(a, b)) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+            planes = [np.diff(short[o], prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for _, o in rows]
             yield pa.RecordBatch.from_pydict(
                 {
-                    "slice": pa.array([k for k, _, _ in rows], pa.int32()),
-                    "anchors": pa.array([values[a:b].tobytes() for _, a, b in rows], pa.binary()),
-                    "notes": pa.array([note[a:b].tobytes() for _, a, b in rows], pa.binary()),
+                    "slice": pa.array([k for k, _ in rows], pa.int32()),
+                    "anchors": pa.array(planes, pa.binary()),
+                    "segments": pa.array([segments[o].tobytes() for _, o in rows], pa.binary()),
+                    "twice": pa.array([twice[o].tobytes() for _, o in rows], pa.binary()),
                 }
             )
 
@@ -107,39 +121,61 @@ def _bits(places: np.ndarray, size: int) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-def _slice_of_bitmaps(slices: int):
+MAPS = ("several", "crowded", "copied")
+COUNTED = "slice int, several binary, crowded binary, copied binary, copies binary"
+
+
+def _add_anchors(slices: int):
+    """A slice's bitmaps, and the segments which are all that stands around their anchor, twice or more."""
+
     def run(table: pa.Table) -> pa.Table:
-        anchors = np.frombuffer(b"".join(table["anchors"].to_pylist()), U64)
-        notes = np.frombuffer(b"".join(table["notes"].to_pylist()), np.uint16).astype(np.int64)
+        made = [np.frombuffer(x, np.uint8).reshape(4, -1) for x in table["anchors"].to_pylist()]
+        anchors = np.concatenate([np.cumsum(np.ascontiguousarray(x.T).view("<u4").ravel(), dtype=np.uint32) for x in made])
+        segments = np.frombuffer(b"".join(table["segments"].to_pylist()), U64)
+        twice = np.frombuffer(b"".join(table["twice"].to_pylist()), np.uint8)
         order = np.argsort(anchors, kind="stable")
-        anchors, notes = anchors[order], notes[order]
+        anchors, segments, twice = anchors[order], segments[order], twice[order]
         first = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))
-        blocks = np.diff(np.append(first, len(anchors)))
-        kinds, twice = np.add.reduceat(notes >> 1, first), np.maximum.reduceat(notes & 1, first)
+        number = np.diff(np.append(first, len(anchors)))
+        low, high = np.minimum.reduceat(segments, first), np.maximum.reduceat(segments, first)
+        several = low != high
+        copies = ~several & ((number > 1) | (np.maximum.reduceat(twice, first) > 0))
+        crowded = several & (number > CROWDED) & (number > CROWDED_IN_BLOCK * len(made))
         size = (1 << FILTER_POWER) // slices
-        place = ((anchors[first] >> U64(64 - FILTER_POWER)).astype(np.int64)) % size
-        crowded = (kinds > CROWDED) & (kinds > CROWDED_IN_BLOCK * blocks)
+        place = (anchors[first] >> np.uint32(32 - (size.bit_length() - 1))).astype(np.int64)
         return pa.table(
             {
                 "slice": table["slice"][:1],
-                "repeated": pa.array([_bits(place[(blocks > 1) | (twice > 0)], size)], pa.binary()),
+                "several": pa.array([_bits(place[several], size)], pa.binary()),
                 "crowded": pa.array([_bits(place[crowded], size)], pa.binary()),
+                "copied": pa.array([_bits(place[copies], size)], pa.binary()),
+                "copies": pa.array([low[copies].tobytes()], pa.binary()),
             }
         )
 
     return run
 
 
+def _unpack(batches):
+    for batch in batches:
+        keys = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64)
+        # -1: to the end of the segment
+        yield pa.RecordBatch.from_pydict({"key": keys, "first": np.zeros(len(keys), np.int64), "last": np.full(len(keys), -1)})
+
+
 def _has(bitmap: np.ndarray, anchors: np.ndarray) -> np.ndarray:
     place = (anchors >> U64(64 - FILTER_POWER)).astype(np.int64)
     return (bitmap[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
 
 
-def _candidates(data: np.ndarray, offsets: np.ndarray, bitmaps):
-    """(first, last, shard hash, segment hash) of the runs that may be repeated; those of crowded anchors string by string."""
+def _candidates(data: np.ndarray, offsets: np.ndarray, bitmaps, copies: bool):
+    """(first, last, shard hash, segment hash) of the runs whose anchors have several segments, of crowded ones string by
+    string; with ``copies`` also of those whose anchors have one segment in several places."""
     first, last, anchors, segments = _all_runs(data, offsets)
-    repeated, crowded = (np.frombuffer(x, np.uint8) for x in bitmaps.value)
-    use = _has(repeated, anchors)
+    several, crowded, copied = (np.frombuffer(x, np.uint8) for x in bitmaps.value)
+    use = _has(several, anchors)
+    if copies:
+        use |= _has(copied, anchors)
     first, last, anchors, segments = first[use], last[use], anchors[use], segments[use]
     split = _has(crowded, anchors)
     if split.any():
@@ -155,8 +191,8 @@ def _segments(bitmaps, shards: int):
     """Each distinct segment of a block once, with the number of its places there, packed by shard."""
 
     def run(batches):
-        for _, data, offsets in ta.pieces(batches, "text", 8 * ta.PIECE_BYTES):
-            first, last, anchors, segments = _candidates(data, offsets, bitmaps)
+        for _, data, offsets in ta.pieces(batches, "text", BLOCK_BYTES):
+            first, last, anchors, segments = _candidates(data, offsets, bitmaps, False)
             keys, at, places = np.unique(segments, return_index=True, return_counts=True)
             shard = (ta.mix(anchors[at]) % U64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
@@ -169,7 +205,7 @@ def _segments(bitmaps, shards: int):
                     "keys": pa.array([keys[o].tobytes() for _, o in rows], pa.binary()),
                     "places": pa.array([places[o].astype(np.int64).tobytes() for _, o in rows], pa.binary()),
                     "lengths": pa.array([n.tobytes() for _, n in spans], pa.binary()),
-                    "bytes": pa.array([data[ta.ragged(s, n)].tobytes() for s, n in spans], pa.binary()),
+                    "bytes": pa.array([zstandard.compress(data[ta.ragged(s, n)].tobytes(), 1) for s, n in spans], pa.binary()),
                 }
             )
 
@@ -180,12 +216,12 @@ def repeated_strings(data: np.ndarray, lengths: np.ndarray, places: np.ndarray)
     """Whether the LENGTH-byte string at each start of the distinct segments (one after the other) stands elsewhere too."""
     starts_in = lengths - LENGTH + 1
     begin = np.cumsum(lengths + 1) - lengths - 1
-    text = np.zeros(int((lengths + 1).sum()), np.int64)  # symbol 0 separates, bytes are 1 to 256
-    text[ta.ragged(begin, lengths)] = data.astype(np.int64) + 1
+    text = np.zeros(int((lengths + 1).sum()), np.uint16)  # symbol 0 separates, bytes are 1 to 256
+    text[ta.ragged(begin, lengths)] = data.astype(np.uint16) + np.uint16(1)
     sa = suffix_array(text, 257)
     at = ta.ragged(begin, starts_in)
     # a string of LENGTH bytes in a segment has no separator, so bytes can be compared without them
-    raw = np.where(text > 0, text - 1, 0).astype(np.uint8)
+    raw = (np.maximum(text, 1) - 1).astype(np.uint8)
     usable = np.zeros(len(text), bool)
     usable[at] = True
     sa = sa[usable[sa]]
@@ -198,7 +234,8 @@ def repeated_strings(data: np.ndarray, lengths: np.ndarray, places: np.ndarray)
 
 def _verdicts(table: pa.Table) -> pa.Table:
     """(key, first, last) of the runs of repeated strings in each segment of a shard."""
-    columns = {c: np.frombuffer(b"".join(table[c].to_pylist()), t) for c, t in (("keys", np.int64), ("places", np.int64), ("lengths", np.int64), ("bytes", np.uint8))}
+    columns = {c: np.frombuffer(b"".join(table[c].to_pylist()), np.int64) for c in ("keys", "places", "lengths")}
+    columns["bytes"] = np.frombuffer(b"".join(zstandard.decompress(x) for x in table["bytes"].to_pylist()), np.uint8)
     keys, at, number = np.unique(columns["keys"], return_index=True, return_inverse=True)
     places = np.bincount(number, weights=columns["places"]).astype(np.int64)
     lengths = columns["lengths"][at]
@@ -214,14 +251,19 @@ def _verdicts(table: pa.Table) -> pa.Table:
 
 
 def _places(bitmaps):
+    """Where each segment stands that may have a verdict."""
+
     def run(batches):
-        for rows, data, offsets in ta.pieces(batches, "text", 8 * ta.PIECE_BYTES):
-            first, _, _, segments = _candidates(data, offsets, bitmaps)
+        for rows, data, offsets in ta.pieces(batches, "text", BLOCK_BYTES):
+            first, last, _, segments = _candidates(data, offsets, bitmaps, True)
             own = np.searchsorted(offsets, first, side="right") - 1
             take = pa.array(own)
             yield pa.RecordBatch.from_pydict(
-                {"key": segments.view(np.int64), "doc_id": rows.column("doc_id").take(take), "row": rows.column("row").take(take), "at": first - offsets[own]}
-            )
+                {
+                    "key": segments.view(np.int64), "doc_id": rows.column("doc_id").take(take), "row": rows.column("row").take(take),
+                    "at": first - offsets[own], "size": (last - first).astype(np.int32),
+                }
+            )
 
     return run
 
@@ -244,7 +286,7 @@ def remove(data: bytes, spans: np.ndarray) -> bytes:
     return b"".join(kept)
 
 
-def _apply(whole: bool):
+def _apply(whole: bool, carried: tuple[str, ...]):
     def run(batches):
         for batch in batches:
             texts = pc.fill_null(batch.column("text").cast(pa.large_binary()), b"").to_pylist()
@@ -259,7 +301,8 @@ def _apply(whole: bool):
                 made["kept_text"] = pa.array([x[3].decode("utf-8", "ignore") for x in out], pa.string())
             else:
                 made["kept_sha256"] = pa.array([hashlib.sha256(x[3]).hexdigest() for x in out], pa.string())
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "row": batch.column("row"), **made})
+            others = {f"_{k}": batch.column(f"_{k}") for k in carried}
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), **made, **others})
 
     return run
 
@@ -273,34 +316,48 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     slices = min(_power_of_two(partitions), 1 << 16)
-    counted = docs.select("text").mapInArrow(_count_anchors(slices), "slice int, anchors binary, notes binary")
-    maps = counted.groupBy("slice").applyInArrow(_slice_of_bitmaps(slices), "slice int, repeated binary, crowded binary").collect()
+    counted = docs.select("text").mapInArrow(_count_anchors(slices), "slice int, anchors binary, segments binary, twice binary")
+    counted = cut(counted.groupBy("slice").applyInArrow(_add_anchors(slices), COUNTED))
+    by_slice = {x["slice"]: x for x in counted.select("slice", *MAPS).collect()}  # bitmaps: of a fixed size together
     empty = bytes((1 << FILTER_POWER) // slices // 8)
-    by_slice = {x["slice"]: x for x in maps}  # of a fixed size together: two bitmaps
     bitmaps = spark.sparkContext.broadcast(
-        tuple(b"".join(bytes(by_slice[k][c]) if k in by_slice else empty for k in range(slices)) for c in ("repeated", "crowded"))
+        tuple(b"".join(bytes(by_slice[k][c]) if k in by_slice else empty for k in range(slices)) for c in MAPS)
     )
     shards = 2 * slices
+    verdict = "key long, first long, last long"
     segments = docs.select("text").mapInArrow(_segments(bitmaps, shards), "shard int, keys binary, places binary, lengths binary, bytes binary")
-    verdicts = cut(segments.groupBy("shard").applyInArrow(_verdicts, "key long, first long, last long"))
-    places = docs.mapInArrow(_places(bitmaps), "key long, doc_id long, row long, at long")
-    spans = places.join(verdicts, "key").select("doc_id", "row", F.struct((F.col("at") + F.col("first")).alias("a"), (F.col("at") + F.col("last") + LENGTH).alias("b")).alias("span"))
+    verdicts = segments.groupBy("shard").applyInArrow(_verdicts, verdict)
+    verdicts = cut(verdicts.union(counted.select("copies").mapInArrow(_unpack, verdict)))
+    places = docs.mapInArrow(_places(bitmaps), "key long, doc_id long, row long, at long, size int")
+    last = F.when(F.col("last") < 0, F.col("size")).otherwise(F.col("last"))
+    span = F.struct((F.col("at") + F.col("first")).alias("a"), (F.col("at") + last + LENGTH).alias("b"))
+    spans = places.join(verdicts, "key").select("doc_id", "row", span.alias("span"))
     return cut(spans.groupBy("doc_id", "row").agg(F.collect_list("span").alias("spans")))
 
 
-def dedup_substrings(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row, or with ``whole`` kept_text; also row, a hash of doc_id and text."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), "text")
-    spans = repeated_spans(docs).withColumnsRenamed({"doc_id": "span_id", "row": "span_row"})
+def row_of(docs: DataFrame) -> Column:
+    """Tells rows with one doc_id apart by their texts: 32 bits of a hash, all 64 if there is no doc_id."""
+    whole = F.xxhash64(docs["text"])
+    return F.when(docs["doc_id"].isNull(), whole).otherwise(whole.bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
+def dedup_substrings(docs: DataFrame, whole: bool = False, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row, or with ``whole`` kept_text; and other columns of
+    ``docs`` as they are, with a _ in front of their names."""
+    small_batches(docs.sparkSession)
+    others = [F.col(c).alias(f"_{c}") for c in carried]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_of(docs).alias("row"), "text", *others)
+    spans = repeated_spans(docs.select("doc_id", "row", "text")).withColumnsRenamed({"doc_id": "span_id", "row": "span_row"})
     joined = docs.join(spans, (F.col("row") == F.col("span_row")) & F.col("doc_id").eqNullSafe(F.col("span_id")), "left")
-    last = "kept_text string" if whole else "kept_sha256 string"
-    return joined.select("doc_id", "row", "text", "spans").mapInArrow(
-        _apply(whole), f"doc_id long, row long, n_bytes long, n_removed long, n_spans long, {last}"
-    )
+    result = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")])
+    result = result.add("kept_text" if whole else "kept_sha256", T.StringType())
+    for c in carried:
+        result = result.add(f"_{c}", docs.schema[f"_{c}"].dataType)
+    return joined.drop("span_id", "span_row", "row").mapInArrow(_apply(whole, carried), result)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row")
+    return dedup_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 #: Every 200-byte string of whole tables is too slow in SQL; the tests compare with brute force.

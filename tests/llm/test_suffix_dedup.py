@@ -39,7 +39,7 @@ def corpus():
 
 
 def run(spark, tmp_path, texts):
-    got = suffix_dedup.dedup_substrings(docs(spark, tmp_path, texts)).drop("row").collect()
+    got = suffix_dedup.dedup_substrings(docs(spark, tmp_path, texts)).collect()
     return sorted(map(tuple, got), key=str)
 
 
