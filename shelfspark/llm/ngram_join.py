@@ -5,16 +5,19 @@ least.  DivideSkip sets a query's longest inverted lists aside, merges the short
 what the merge leaves.  With T - 1 lists set aside the merge is a scan for one common shingle among each set's
 rarest quarter, which is how the table is cut to candidates; within candidates the T-occurrence count is made whole.
 
-1. ``sets``: each text's size, a hash of its set (texts with equal sets are one class from here on), and a sketch of
-   fixed size that counts all shingles in SKETCH buckets.  The sketch only orders shingles, rare buckets first; any
-   order that all tasks share gives whole results, so its error cannot lose a link.
-2. ``candidates``: the rarest quarter of each set, packed and shuffled by shingle.  A task joins the classes of each
-   shingle by a spanning forest, so its rows grow with classes and not with pairs.
+1. Every shingle's inverted list is measured: the blocks' distinct shingles are shuffled by shingle (32 bits each, as
+   differences), and the lengths become two bitmaps of fixed size, "in two sets or more" and "in very many".  A false
+   hit makes a list seem longer, which costs time and loses nothing.
+2. A set of which fewer than T shingles stand in another set has no partner.  The others keep their shingles, and the
+   shortest lists that T - 1 longer ones leave are packed and shuffled by shingle, with a bitmap of each set's parities.
+   Bitmaps that differ in more places than the sets may differ in rule a pair out; long lists join all their classes
+   unseen.  A task returns a spanning forest, so its rows grow with classes and not with pairs.
 3. Candidate classes' sets are gathered by cluster in blocks of bounded size.  Blocks are compared with themselves and
-   with the cluster's first block; what is then still apart from its cluster's largest component is compared with the
-   cluster's other blocks.  Each comparison returns a spanning forest of its links.
+   with the cluster's first block.  Of what is then still apart, sets that share one of their short lists with a set of
+   another component are compared with that set's block.  Each comparison counts overlaps by DivideSkip and returns a
+   spanning forest of its links.
 
-Shingles are 64-bit hashes of five words with A-Z lower-cased.  Defined results: a text without words has no shingles
+Texts with equal sets are one class from the first step on.  Shingles are 64-bit hashes of five words with A-Z lower-cased.  Defined results: a text without words has no shingles
 and is its own component; one with fewer than five words has its whole sequence as one shingle; rows with the same
 text are linked, repeated doc_ids included; a null doc_id is linked but never a component's name unless all of it are
 null; empty tables give no rows; further columns are ignored.
@@ -29,20 +32,20 @@ from pyspark.sql import functions as F
 
 from shelfspark.llm import text_arrays as ta
 from shelfspark.llm.components import components
-from shelfspark.llm.storage import cut
+from shelfspark.llm.storage import cut, small_batches
 
 PERCENT = 75
-#: Buckets of the sketch (4 bytes each, for each task and on the driver) and parts in which it is added up.
-SKETCH, SLICES = 1 << 20, 16
+#: Shingles that a bitmap tells apart, as a power of two: 8 MB, for the broadcast and on the driver.
+FILTER_POWER = 26
+#: A shingle in more sets than this goes to the end of the order, and its classes are not looked at in pairs.
+COMMON = 64
+#: Bits of the bitmap that holds, for each residue of the shingles, whether their number is odd.
+PARITIES = 512
 #: Shingles in a block of candidate sets, and how long a list within a block counts as long.
 BLOCK_SHINGLES, LONG_LIST = 100_000, 24
 U64 = ta.U64
 
 
-def _bucket(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> U64(44)).astype(np.int64)
-
-
 def _sets(data: np.ndarray, offsets: np.ndarray):
     """Distinct (text, shingle), offsets, and each set's 64-bit signature."""
     text, tokens, bounds = ta.distinct(*ta.shingles(data, offsets), len(offsets) - 1)
@@ -51,54 +54,107 @@ def _sets(data: np.ndarray, offsets: np.ndarray):
     return text, tokens, bounds, ta.mix(sums[bounds[1:]] - sums[bounds[:-1]] + n.astype(U64) * U64(0xE7037ED1A0B428DB)).view(np.int64)
 
 
-SETS = "doc_id long, n_shingles long, sig long, slice int, counts binary"
+def _first_of_equal(sigs: np.ndarray) -> np.ndarray:
+    first = np.zeros(len(sigs), bool)
+    first[np.unique(sigs, return_index=True)[1]] = True
+    return first
 
 
-def _measure(batches):
-    seen = np.zeros(SKETCH, np.uint32)
-    for rows, data, offsets in ta.pieces(batches, "text"):
-        _, tokens, bounds, sigs = _sets(data, offsets)
-        seen += np.bincount(_bucket(tokens), minlength=SKETCH).astype(np.uint32)
-        n = np.diff(bounds)
-        nothing = pa.nulls(len(n))
-        yield pa.RecordBatch.from_pydict(
-            {"doc_id": rows.column("doc_id"), "n_shingles": n, "sig": pa.array(sigs, mask=n == 0), "slice": nothing.cast(pa.int32()), "counts": nothing.cast(pa.binary())}
-        )
-    empty = pa.nulls(SLICES).cast(pa.int64())
-    parts = [x.tobytes() for x in np.split(seen, SLICES)]
-    yield pa.RecordBatch.from_pydict(
-        {"doc_id": empty, "n_shingles": empty, "sig": empty, "slice": pa.array(range(SLICES), pa.int32()), "counts": pa.array(parts, pa.binary())}
-    )
+def _shifted(tokens: np.ndarray, slices: int) -> np.ndarray:
+    """The 32 bits behind those that name the slice."""
+    return (tokens >> U64(32 - (slices.bit_length() - 1))).astype(np.uint32)
 
 
-def _add(batches):
-    """Adds up the slices within a task."""
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for k, x in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            total[k] = total.get(k, 0) + np.frombuffer(x, np.uint32)
-    yield pa.RecordBatch.from_pydict(
-        {"slice": pa.array(list(total), pa.int32()), "counts": pa.array([x.tobytes() for x in total.values()], pa.binary())}
-    )
+def _lists(slices: int):
+    """Each block's shingles (equal sets once) by slice: sorted, as differences, low bytes first, which packs well."""
+
+    def run(batches):
+        for _, data, offsets in ta.pieces(batches, "text", 4 * ta.PIECE_BYTES):
+            text, tokens, _, sigs = _sets(data, offsets)
+            tokens = np.sort(tokens[_first_of_equal(sigs)[text]])
+            edges = np.arange(1, slices, dtype=U64) << U64(64 - (slices.bit_length() - 1))
+            cuts = np.concatenate([[0], np.searchsorted(tokens, edges), [len(tokens)]])
+            short = _shifted(tokens, slices)
+            rows = [(k, short[a:b]) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+            packed = [np.diff(x, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for _, x in rows]
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([k for k, _ in rows], pa.int32()), "tokens": pa.array(packed, pa.binary())})
+
+    return run
+
+
+def _bits(places: np.ndarray, size: int) -> bytes:
+    bits = np.zeros(size, bool)
+    bits[places] = True
+    return np.packbits(bits).tobytes()
+
 
+def _list_lengths(slices: int):
+    def run(table: pa.Table) -> pa.Table:
+        made = []
+        for x in table["tokens"].to_pylist():
+            planes = np.frombuffer(x, np.uint8).reshape(4, -1)
+            made.append(np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32))
+        tokens = np.sort(np.concatenate(made))
+        first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        length = np.diff(np.append(first, len(tokens)))
+        size = (1 << FILTER_POWER) // slices
+        place = (tokens[first] >> np.uint32(32 - (size.bit_length() - 1))).astype(np.int64)
+        maps = {"shared": _bits(place[length > 1], size), "common": _bits(place[length > COMMON], size)}
+        return pa.table({"slice": table["slice"][:1], **{k: pa.array([v], pa.binary()) for k, v in maps.items()}})
+
+    return run
+
+
+def _has(bitmap: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    place = (tokens >> U64(64 - FILTER_POWER)).astype(np.int64)
+    return (bitmap[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
+
+
+SETS = "doc_id long, n_shingles long, sig long, tokens binary"
 
-def _rare_postings(sketch, parts: int):
-    """Each set's rarest shingles, packed by shuffle part. A block's classes are given once, postings name them by number."""
+
+def _measure(bitmaps):
+    """Each row's set: size and signature, and the shingles if the set may have a partner (for equal sets of a block once)."""
 
     def run(batches):
-        counts = np.frombuffer(sketch.value, np.uint32)
-        for _, data, offsets in ta.pieces(batches, "text", 4 * ta.PIECE_BYTES):
-            text, tokens, bounds, sigs = _sets(data, offsets)
+        shared = np.frombuffer(bitmaps.value[0], np.uint8)
+        for rows, data, offsets in ta.pieces(batches, "text", 4 * ta.PIECE_BYTES):
+            _, tokens, bounds, sigs = _sets(data, offsets)
             n = np.diff(bounds)
-            first = np.zeros(len(n), bool)
-            first[np.unique(sigs, return_index=True)[1]] = True  # equal sets in a block once
-            rarity = counts[_bucket(tokens)]
-            order = np.lexsort((rarity, text))  # ties stay in the order of shingles
-            rank = np.arange(len(text)) - bounds[text]  # text is sorted, so its order is unchanged
+            sums = np.concatenate([[0], np.cumsum(_has(shared, tokens))])
+            may = (100 * (sums[bounds[1:]] - sums[bounds[:-1]]) >= PERCENT * n) & (n > 0) & _first_of_equal(sigs)
+            sets = [tokens[a:b].tobytes() if k else None for k, a, b in zip(may, bounds[:-1], bounds[1:], strict=True)]
+            yield pa.RecordBatch.from_pydict(
+                {"doc_id": rows.column("doc_id"), "n_shingles": n, "sig": pa.array(sigs, mask=n == 0), "tokens": pa.array(sets, pa.binary())}
+            )
+
+    return run
+
+
+def _parities(owner: np.ndarray, tokens: np.ndarray, n: int) -> np.ndarray:
+    """One row of PARITIES bits, as 64-bit numbers, for each of n sets."""
+    bit = ((tokens >> U64(20)) % U64(PARITIES)).astype(np.int64)
+    odd = np.bincount(owner * PARITIES + bit, minlength=n * PARITIES).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(n, PARITIES), axis=1).view(np.int64)
+
+
+def _short_lists(bitmaps, parts: int):
+    """The shingles with the shortest lists of each set, but for those in no other set, packed by part."""
+
+    def run(batches):
+        shared, common = (np.frombuffer(x, np.uint8) for x in bitmaps.value)
+        for batch in batches:
+            sigs, n, component, chunk = (batch.column(c).to_numpy().astype(np.int64) for c in ("sig", "n", "component", "chunk"))
+            tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), U64)
+            bounds = np.concatenate([[0], np.cumsum(n)])
+            owner = np.repeat(np.arange(len(n)), n)
+            facts = np.concatenate([np.stack([component, chunk, n], axis=1), _parities(owner, tokens, len(n))], axis=1)
+            rarity = _has(shared, tokens).astype(np.int8) + _has(common, tokens)
+            order = np.lexsort((rarity, owner))  # ties stay in the order of shingles
+            rank = np.arange(len(owner)) - bounds[owner]  # owner is sorted, so its order is unchanged
             least = n - -(-PERCENT * n // 100) + 1
-            # a bucket that counted one shingle holds no second set; such a shingle has its place in the order but no partner
-            use = (rank < least[text]) & first[text] & (rarity[order] > 1)
-            token, owner = tokens[order][use], text[use].astype(np.int32)
+            use = (rank < least[owner]) & (rarity[order] > 0)
+            token, owner = tokens[order][use], owner[use].astype(np.int32)
             part = (token % U64(parts)).astype(np.int64)
             order = np.lexsort((token, part))
             token, owner = token[order], owner[order]
@@ -111,6 +167,7 @@ def _rare_postings(sketch, parts: int):
                     "tokens": pa.array([token[a:b].tobytes() for _, a, b in rows], pa.binary()),
                     "owners": pa.array([i.astype(np.int32).tobytes() for _, i in owners], pa.binary()),
                     "sigs": pa.array([sigs[u].tobytes() for u, _ in owners], pa.binary()),
+                    "facts": pa.array([facts[u].tobytes() for u, _ in owners], pa.binary()),
                 }
             )
 
@@ -122,32 +179,80 @@ def _edges(nodes: np.ndarray, label: np.ndarray) -> pa.Table:
     return pa.table({"a": pa.array(nodes[label[own]], pa.int64()), "b": pa.array(nodes[own], pa.int64())})
 
 
-def _meet(table: pa.Table) -> pa.Table:
-    """Joins the classes of each shingle of a part."""
-    tokens, owners, sigs, base = [], [], [], 0
-    for t, o, s in zip(table["tokens"].to_pylist(), table["owners"].to_pylist(), table["sigs"].to_pylist(), strict=True):
+def _postings(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The classes of a part, (token, class number) sorted by token and each class once, and the classes' facts by column:
+    component, chunk, size and parities."""
+    tokens, owners, sigs, facts, base = [], [], [], [], 0
+    for t, o, s, f in zip(*(table[c].to_pylist() for c in ("tokens", "owners", "sigs", "facts")), strict=True):
         tokens.append(np.frombuffer(t, U64))
         owners.append(np.frombuffer(o, np.int32).astype(np.int64) + base)
         sigs.append(np.frombuffer(s, np.int64))
+        facts.append(np.frombuffer(f, np.int64).reshape(len(sigs[-1]), -1))
         base += len(sigs[-1])
-    nodes, number = np.unique(np.concatenate(sigs), return_inverse=True)
+    nodes, at, number = np.unique(np.concatenate(sigs), return_index=True, return_inverse=True)
     token, owner = np.concatenate(tokens), number[np.concatenate(owners)]
-    order = np.argsort(token, kind="stable")
+    order = np.lexsort((owner, token))
     token, owner = token[order], owner[order]
-    same = token[1:] == token[:-1]
-    return _edges(nodes, ta.forest(len(nodes), owner[:-1][same], owner[1:][same]))
+    fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])])
+    return nodes, token[fresh], owner[fresh], np.concatenate(facts)[at].T
+
 
+def _may_link(facts: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sizes and parities allow the similarity: sets that differ in d shingles differ in d parities at most."""
+    n, parities = facts[2], np.ascontiguousarray(facts[3:].T).view(U64)
+    most = ((100 - PERCENT) * (n[a] + n[b])) // (100 + PERCENT)  # of the symmetric difference
+    return (np.abs(n[a] - n[b]) <= most) & (np.bitwise_count(parities[a] ^ parities[b]).sum(axis=1) <= most)
 
-def _sets_of(batches):
-    for _, data, offsets in ta.pieces(batches, "text"):
-        _, tokens, bounds, sigs = _sets(data, offsets)
-        n = np.diff(bounds)
-        rows = [tokens[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        yield pa.RecordBatch.from_pydict({"sig": sigs, "n": n, "tokens": pa.array(rows, pa.binary())})
+
+def _meet(table: pa.Table) -> pa.Table:
+    """Joins the classes of each shingle of a part that may be linked; those of a very common shingle all."""
+    nodes, token, owner, facts = _postings(table)
+    first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    size = np.diff(np.append(first, len(token)))
+    links = np.empty(0, np.int64)
+    step = np.repeat(size <= COMMON, size)
+    for apart in range(1, COMMON):  # classes so many places apart in a list
+        near = np.flatnonzero(token[apart:] == token[:-apart])
+        near = near[step[near]]
+        if not len(near):
+            break
+        links = np.union1d(links, owner[near] * len(nodes) + owner[near + apart])
+    a, b = links // len(nodes), links % len(nodes)
+    may = np.concatenate([np.empty(0, bool), *(_may_link(facts, x, y) for x, y in zip(*(np.array_split(v, 1 + len(a) // 100_000) for v in (a, b)), strict=True))])
+    long = np.flatnonzero(~step[1:] & (token[1:] == token[:-1]))
+    return _edges(nodes, ta.forest(len(nodes), np.concatenate([a[may], owner[long]]), np.concatenate([b[may], owner[long + 1]])))
+
+
+def _meet_apart(table: pa.Table) -> pa.Table:
+    """(sig, chunk_2): classes of a part, and the chunks where a class of another component has the same shingle. Of two
+    components the smaller one of a shingle asks, so the largest one's classes never do."""
+    nodes, token, owner, facts = _postings(table)
+    component, chunk = facts[:2]
+    run = np.cumsum(np.concatenate([[0], token[1:] != token[:-1]]))
+    group = np.unique(np.stack([run, component[owner]]), axis=1, return_inverse=True, return_counts=True)
+    (run_of, _), which, size = group
+    order = np.lexsort((-size, run_of))
+    largest = np.zeros(len(size), bool)
+    largest[order[np.concatenate([[True], run_of[order][1:] != run_of[order][:-1]])]] = True
+    asks = ~largest[which.ravel()]
+    # the chunks of each run, with the smallest and the largest component there
+    order = np.lexsort((chunk[owner], run))
+    r, c, m = run[order], chunk[owner][order], component[owner][order]
+    first = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (c[1:] != c[:-1])]))
+    low, high, r, c = np.minimum.reduceat(m, first), np.maximum.reduceat(m, first), r[first], c[first]
+    asking, at = owner[asks], run[asks]
+    begin, end = np.searchsorted(r, at, side="left"), np.searchsorted(r, at, side="right")
+    place = ta.ragged(begin, end - begin)
+    asking = np.repeat(asking, end - begin)
+    # blocks within themselves and with block 0 are done
+    use = ((low[place] != component[asking]) | (high[place] != component[asking])) & (c[place] != chunk[asking]) & (c[place] != 0) & (chunk[asking] != 0)
+    pairs = np.unique(np.stack([asking[use], c[place][use]]), axis=1)
+    return pa.table({"sig": nodes[pairs[0]], "chunk_2": pairs[1].astype(np.int32)})
 
 
 def _pack(table: pa.Table) -> pa.Table:
-    """The sets of a block in one row."""
+    """The sets of a block in one row, each class once."""
+    table = table.take(pa.array(np.unique(table["sig"].to_numpy(), return_index=True)[1]))
     tokens = b"".join(table["tokens"].to_pylist())
     return pa.table(
         {
@@ -159,6 +264,10 @@ def _pack(table: pa.Table) -> pa.Table:
     )
 
 
+def _pack_for(table: pa.Table) -> pa.Table:
+    return _pack(table).append_column("chunk_2", table["chunk_2"][:1].cast(pa.int32()))
+
+
 def overlapping(n_a: np.ndarray, a: np.ndarray, n_b: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (set of a, set of b) with a similarity of PERCENT or more, by DivideSkip. a, b: the sets' shingles, set after set."""
     owner = np.repeat(np.arange(len(n_b)), n_b)
@@ -216,13 +325,13 @@ def _second(blocks: DataFrame) -> DataFrame:
     return blocks.select("cluster", F.col("chunk").alias("chunk_2"), *[F.col(c).alias(f"{c}_2") for c in ("sigs", "sizes", "tokens")])
 
 
-def links_of(sets: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Links (a, b) that join exactly the classes which similarities join. sets: sig, n, tokens; clusters: node, component."""
-    placed = sets.join(clusters.select(F.col("node").alias("sig"), F.col("component").alias("cluster")), "sig")
-    chunks = cut(placed.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("chunks")))
-    placed = placed.join(chunks, "cluster").withColumn("chunk", F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("int"))
-    placed = cut(placed.select("cluster", "chunk", "chunks", "sig", "n", "tokens"))
-    blocks = cut(placed.select("cluster", "chunk", "sig", "n", "tokens").groupBy("cluster", "chunk").applyInArrow(_pack, PACKED))
+def links_of(sets: DataFrame, clusters: DataFrame, postings) -> DataFrame:
+    """Links (a, b) that join exactly the classes which similarities join. sets: sig, n, tokens (a class may stand there
+    several times); clusters: node, component; postings: makes the short lists of sets with component and chunk."""
+    sizes = sets.select("sig", "n").distinct().join(clusters.select(F.col("node").alias("sig"), F.col("component").alias("cluster")), "sig")
+    chunks = cut(sizes.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("chunks")))
+    placed = cut(sizes.join(chunks, "cluster").select("sig", "cluster", "chunks", F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("int").alias("chunk")))
+    blocks = cut(sets.join(placed.drop("chunks"), "sig").groupBy("cluster", "chunk").applyInArrow(_pack, PACKED))
     edges = blocks.mapInArrow(_compare, "a long, b long")
     first = blocks.where("chunk > 0").join(_second(blocks.where("chunk = 0")), "cluster")
     edges = cut(edges.union(first.mapInArrow(_compare, "a long, b long")))
@@ -231,35 +340,48 @@ def links_of(sets: DataFrame, clusters: DataFrame) -> DataFrame:
     if large.isEmpty():
         return edges
     joined = components(edges)
-    large = cut(large.join(joined.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig")))
-    size = large.groupBy("cluster", "component").agg(F.count("*").alias("k"))
-    most = cut(size.groupBy("cluster").agg(F.max_by("component", F.struct("k", "component")).alias("most")))
-    apart = large.join(most, "cluster").where(F.col("component") != F.col("most"))
-    own = cut(apart.select("cluster", "chunk", "sig", "n", "tokens").groupBy("cluster", "chunk").applyInArrow(_pack, PACKED))
-    # blocks within themselves and with block 0 are done
-    rest = own.join(_second(blocks), "cluster").where("chunk <> chunk_2 AND chunk_2 <> 0")
+    large = large.join(joined.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    told = sets.join(cut(large), "sig").select("sig", "n", "tokens", "component", "chunk")
+    apart = postings(told).groupBy("part").applyInArrow(_meet_apart, "sig long, chunk_2 int")
+    apart = cut(apart.distinct().join(placed.select("sig", "cluster", "chunk"), "sig"))
+    own = sets.join(apart, "sig").groupBy("cluster", "chunk", "chunk_2").applyInArrow(_pack_for, f"{PACKED}, chunk_2 int")
+    rest = own.join(_second(blocks), ["cluster", "chunk_2"])
     return edges.union(rest.mapInArrow(_compare, "a long, b long"))
 
 
+def list_bitmaps(docs: DataFrame):
+    """The broadcast bitmaps (shared, common) of all shingles' inverted lists."""
+    spark = docs.sparkSession
+    slices = min(1 << max(6, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()), 1 << 16)
+    lists = docs.select("text").mapInArrow(_lists(slices), "slice int, tokens binary")
+    made = lists.groupBy("slice").applyInArrow(_list_lengths(slices), "slice int, shared binary, common binary").collect()
+    by_slice, empty = {x["slice"]: x for x in made}, bytes((1 << FILTER_POWER) // slices // 8)  # of a fixed size together
+    whole = (b"".join(bytes(by_slice[k][c]) if k in by_slice else empty for k in range(slices)) for c in ("shared", "common"))
+    return spark.sparkContext.broadcast(tuple(whole))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest doc_id that links reach."""
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    measured = cut(docs.mapInArrow(_measure, SETS))
-    rows = measured.where("slice IS NULL").select("doc_id", "n_shingles", "sig")
-    slices = measured.where("slice IS NOT NULL").select("slice", "counts")
-    added = slices.repartition(SLICES, "slice").mapInArrow(_add, "slice int, counts binary").collect()  # SLICES rows of fixed size
-    sketch = spark.sparkContext.broadcast(b"".join(bytes(x["counts"]) for x in sorted(added, key=lambda x: x["slice"])) or bytes(4 * SKETCH))
-
-    postings = docs.mapInArrow(_rare_postings(sketch, parts), "part int, tokens binary, owners binary, sigs binary")
-    clusters = components(postings.groupBy("part").applyInArrow(_meet, "a long, b long"))
-    classes = cut(rows.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("first_id")))
-    wanted = clusters.select(F.col("node").alias("sig")).join(classes, "sig").select(F.col("first_id").alias("doc_id"))
-    texts = docs.join(wanted.distinct(), "doc_id", "left_semi")
-    sets = texts.mapInArrow(_sets_of, "sig long, n long, tokens binary").dropDuplicates(["sig"])
-    joined = components(links_of(sets, clusters))
+    parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bitmaps = list_bitmaps(docs)
+    measured = cut(docs.mapInArrow(_measure(bitmaps), SETS))
+    rows = measured.select("doc_id", "n_shingles", "sig")
+    told = measured.where("tokens IS NOT NULL").select("doc_id", "sig", F.col("n_shingles").alias("n"), "tokens")
+    one = cut(told.groupBy(F.col("sig").alias("one_sig")).agg(F.min("doc_id").alias("one_id")))
+    # copies in several blocks gave their set several times; rows without a doc_id may still do so
+    same = (F.col("sig") == F.col("one_sig")) & F.col("doc_id").eqNullSafe(F.col("one_id"))
+    sets = cut(told.join(one, same, "left_semi").drop("doc_id"))
+
+    lists = "part int, tokens binary, owners binary, sigs binary, facts binary"
+    postings = lambda told: told.mapInArrow(_short_lists(bitmaps, parts), lists)
+    nothing = F.lit(0).cast("long")
+    all_sets = sets.select("sig", "n", "tokens", nothing.alias("component"), nothing.alias("chunk"))
+    clusters = components(postings(all_sets).groupBy("part").applyInArrow(_meet, "a long, b long"))
+    joined = components(links_of(sets, clusters, postings))
 
+    classes = cut(rows.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("first_id")))
     names = classes.join(joined.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     smallest = names.groupBy("component").agg(F.min("first_id").alias("component_id"))
     # written, so that Spark can split a class which very many documents share
