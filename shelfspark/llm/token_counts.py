@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfspark.llm.storage import small_batches
+
 MARK = "▁"
 
 
@@ -98,12 +100,25 @@ class Automaton:
         return n
 
 
+_built: dict[int, Automaton] = {}
+
+
+def _automaton(pieces: list[str]) -> Automaton:
+    """The last one built in this worker, if the pieces are the same."""
+    key = hash(tuple(pieces))
+    if key not in _built:
+        _built.clear()
+        _built[key] = Automaton(pieces)
+    return _built[key]
+
+
 def count_tokens(docs: DataFrame, pieces: list[str]) -> DataFrame:
     """doc_id, n_words and n_tokens of every row."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(pieces)  # a vocabulary: of fixed size
 
     def run(batches):
-        automaton = Automaton(shared.value)
+        automaton = _automaton(shared.value)
         for batch in batches:
             lists = pc.ascii_split_whitespace(pc.fill_null(batch.column(1).cast(pa.large_string()), ""))
             flat = lists.flatten().dictionary_encode()
