@@ -333,7 +333,8 @@ def links_of(sets: DataFrame, clusters: DataFrame, postings) -> DataFrame:
     placed = cut(sizes.join(chunks, "cluster").select("sig", "cluster", "chunks", F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("int").alias("chunk")))
     blocks = cut(sets.join(placed.drop("chunks"), "sig").groupBy("cluster", "chunk").applyInArrow(_pack, PACKED))
     edges = blocks.mapInArrow(_compare, "a long, b long")
-    first = blocks.where("chunk > 0").join(_second(blocks.where("chunk = 0")), "cluster")
+    several = chunks.where("chunks > 1").select("cluster")  # few, so that the others' blocks stay where they are
+    first = blocks.where("chunk > 0").join(_second(blocks.where("chunk = 0").join(several, "cluster", "left_semi")), "cluster")
     edges = cut(edges.union(first.mapInArrow(_compare, "a long, b long")))
 
     large = placed.where("chunks > 1").drop("chunks")
@@ -368,11 +369,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bitmaps = list_bitmaps(docs)
     measured = cut(docs.mapInArrow(_measure(bitmaps), SETS))
     rows = measured.select("doc_id", "n_shingles", "sig")
-    told = measured.where("tokens IS NOT NULL").select("doc_id", "sig", F.col("n_shingles").alias("n"), "tokens")
-    one = cut(told.groupBy(F.col("sig").alias("one_sig")).agg(F.min("doc_id").alias("one_id")))
-    # copies in several blocks gave their set several times; rows without a doc_id may still do so
-    same = (F.col("sig") == F.col("one_sig")) & F.col("doc_id").eqNullSafe(F.col("one_id"))
-    sets = cut(told.join(one, same, "left_semi").drop("doc_id"))
+    # a set that stands in several blocks is given by each; what follows takes it once
+    sets = measured.where("tokens IS NOT NULL").select("sig", F.col("n_shingles").alias("n"), "tokens")
 
     lists = "part int, tokens binary, owners binary, sigs binary, facts binary"
     postings = lambda told: told.mapInArrow(_short_lists(bitmaps, parts), lists)
