@@ -12,6 +12,9 @@ have any).  Window equality is equality of 64-bit hashes inside one document.
 
 Defined results: a null text has no words; words are ``[^\x20\x09-\x0D]+``; a text below the minimum lengths is
 judged by the base rules alone; repeated rows give repeated results; further columns are ignored.
+
+Two verdicts: ``kept`` is the one that the registered query's SQL fixes; ``clean``, which the pipeline keeps by, judges
+characters without the digits, so that identifiers in prose do not decide.
 """
 
 from __future__ import annotations
@@ -90,7 +93,7 @@ def _distance(p: Column, q: list[float]) -> Column:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs`` and, of each text, the counts, char_distance and word_distance (null if too short)."""
+    """The columns of ``docs`` and, of each text, the counts and distances (null if too short)."""
     text = F.coalesce("text", F.lit(""))
     d = docs.withColumn("_words", words_of(text))
     hashes = F.transform("_words", lambda w: F.xxhash64(w))
@@ -124,7 +127,9 @@ def measure(docs: DataFrame) -> DataFrame:
     spaces = F.col("n_chars_text") - F.col("word_chars")
     letters = F.col("word_chars") - F.col("n_symbols") - F.col("_capitals") - F.col("_digits") - F.col("_marks")
     chars = F.array(*[x / all_chars for x in (letters, F.col("_capitals"), F.col("_digits"), spaces, F.col("_marks"), F.col("n_symbols"))])
-    d = d.withColumns({"_char_shares": chars, "_word_shares": F.transform("_seen", lambda c: c / all_words)})
+    undigited = F.greatest(F.col("n_chars_text") - F.col("_digits"), F.lit(1)).cast("double")
+    undigited = F.array(*[x / undigited for x in (letters, F.col("_capitals"), spaces, F.col("_marks"), F.col("n_symbols"))])
+    d = d.withColumns({"_char_shares": chars, "_undigited_shares": undigited, "_word_shares": F.transform("_seen", lambda c: c / all_words)})
 
     def by_words(reference: dict[str, float]) -> Column:
         seen = F.transform(F.array(*[F.lit(COMMON.index(w)) for w in reference]), lambda i: F.get("_word_shares", i))
@@ -132,23 +137,27 @@ def measure(docs: DataFrame) -> DataFrame:
         return _distance(F.concat(seen, other), [*reference.values(), 1 - sum(reference.values())])
 
     nearest_chars = F.least(*[_distance(F.col("_char_shares"), list(q)) for q in CHAR_REFERENCE.values()])
+    nearest_undigited = F.least(*[_distance(F.col("_undigited_shares"), [*q[:2], *q[3:]]) for q in CHAR_REFERENCE.values()])
     nearest_words = F.least(*[by_words(q) for q in WORD_REFERENCE.values()])
     d = d.withColumns(
         {
             "char_distance": F.when(F.col("n_chars_text") >= MIN_CHARS_JUDGED, nearest_chars),
             "word_distance": F.when(F.col("n_words") >= MIN_WORDS_JUDGED, nearest_words),
+            "undigited_distance": F.when(F.col("n_chars_text") >= MIN_CHARS_JUDGED, nearest_undigited),
         }
     )
-    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance"]
+    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance", "undigited_distance"]
     return d.select(*[c for c in docs.columns if c not in own], *own)
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """``measure`` with base_failed and kept."""
+    """``measure`` with base_failed, kept and clean."""
     d = measure(docs)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     near = (F.coalesce("char_distance", F.lit(0.0)) <= MAX_CHAR_DISTANCE) & (F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE)
-    return d.withColumns({"base_failed": failed, "kept": ~failed & near})
+    prose = F.coalesce("undigited_distance", F.lit(0.0)) <= MAX_CHAR_DISTANCE
+    prose &= F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE
+    return d.withColumns({"base_failed": failed, "kept": ~failed & near, "clean": ~failed & prose})
 
 
 RESULT = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]

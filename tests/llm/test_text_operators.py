@@ -91,6 +91,15 @@ def test_quality_counts_and_verdicts(spark, tmp_path):
     assert quality_rules.judge(d.limit(0)).count() == 0
 
 
+def test_identifiers_in_prose_do_not_decide(spark, tmp_path):
+    import corpus_pipeline
+
+    prose = "The walls of the old house, in the evening light, were those that it had always been known for by us."
+    texts = [prose[:96] + " +1 (168) 555-5254 4501042323994846 4761598977407687", prose + ' token = "0123456789012345678901234567890123456789"', "12 345 678 | " * 20, prose.replace(" ", " %%% ")]
+    d = docs(spark, tmp_path, list(enumerate(texts)))
+    assert {r.doc_id for r in corpus_pipeline.quality(spark, d, "").collect()} == {0, 1}
+
+
 def edit_distance(p, t):
     row = [0] * (len(t) + 1)
     for i, c in enumerate(p):
