@@ -14,11 +14,15 @@ Defined results: a null text has no words; words are ``[^\x20\x09-\x0D]+``; a te
 judged by the base rules alone; repeated rows give repeated results; further columns are ignored.
 
 Two verdicts: ``kept`` is the one that the registered query's SQL fixes; ``clean``, which the pipeline keeps by, judges
-characters without the digits, so that identifiers in prose do not decide.
+characters without the digits, so that identifiers in prose do not decide, and words by their distance as a share of
+that of a text without any common word, so that long lists and tables of names are told from prose (only texts with
+fewer common words than the reference; more of them are left to the distance itself).
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +33,9 @@ MIN_CHARS_JUDGED, MIN_WORDS_JUDGED = 100, 60
 #: Largest distance from the nearest reference. A text without any common word is at 0.3504 from each word reference.
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.17, 0.3495
 
+#: The same for ``clean``, as a share of the distance of a text without any common word from the same reference.
+MAX_WORD_SHARE = 0.85
+
 #: Shares of character classes in running prose (letters, capitals, digits, spaces, punctuation, symbols).
 CHAR_REFERENCE = {
     "en": (0.790, 0.025, 0.003, 0.160, 0.022, 0.0001),
@@ -92,6 +99,12 @@ def _distance(p: Column, q: list[float]) -> Column:
     return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
 
 
+def _without_words(reference: dict[str, float]) -> float:
+    """The distance of a text without any common word from the reference."""
+    known = sum(reference.values())
+    return math.sqrt((known + (1 - known) * math.log2(2 * (1 - known) / (2 - known)) + math.log2(2 / (2 - known))) / 2)
+
+
 def measure(docs: DataFrame) -> DataFrame:
     """The columns of ``docs`` and, of each text, the counts and distances (null if too short)."""
     text = F.coalesce("text", F.lit(""))
@@ -131,6 +144,10 @@ def measure(docs: DataFrame) -> DataFrame:
     undigited = F.array(*[x / undigited for x in (letters, F.col("_capitals"), spaces, F.col("_marks"), F.col("n_symbols"))])
     d = d.withColumns({"_char_shares": chars, "_undigited_shares": undigited, "_word_shares": F.transform("_seen", lambda c: c / all_words)})
 
+    def common(reference: dict[str, float]) -> Column:
+        seen = [F.get("_word_shares", F.lit(COMMON.index(w))) for w in reference]
+        return F.aggregate(F.array(*seen), F.lit(0.0), lambda a, v: a + v)
+
     def by_words(reference: dict[str, float]) -> Column:
         seen = F.transform(F.array(*[F.lit(COMMON.index(w)) for w in reference]), lambda i: F.get("_word_shares", i))
         other = F.array(F.greatest(F.lit(1.0) - F.aggregate(seen, F.lit(0.0), lambda a, v: a + v), F.lit(0.0)))
@@ -139,14 +156,16 @@ def measure(docs: DataFrame) -> DataFrame:
     nearest_chars = F.least(*[_distance(F.col("_char_shares"), list(q)) for q in CHAR_REFERENCE.values()])
     nearest_undigited = F.least(*[_distance(F.col("_undigited_shares"), [*q[:2], *q[3:]]) for q in CHAR_REFERENCE.values()])
     nearest_words = F.least(*[by_words(q) for q in WORD_REFERENCE.values()])
+    nearest_share = F.least(*[F.when(common(q) < sum(q.values()), by_words(q) / _without_words(q)).otherwise(0.0) for q in WORD_REFERENCE.values()])
     d = d.withColumns(
         {
             "char_distance": F.when(F.col("n_chars_text") >= MIN_CHARS_JUDGED, nearest_chars),
             "word_distance": F.when(F.col("n_words") >= MIN_WORDS_JUDGED, nearest_words),
+            "word_share": F.when(F.col("n_words") >= MIN_WORDS_JUDGED, nearest_share),
             "undigited_distance": F.when(F.col("n_chars_text") >= MIN_CHARS_JUDGED, nearest_undigited),
         }
     )
-    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance", "undigited_distance"]
+    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance", "word_share", "undigited_distance"]
     return d.select(*[c for c in docs.columns if c not in own], *own)
 
 
@@ -156,7 +175,7 @@ def judge(docs: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     near = (F.coalesce("char_distance", F.lit(0.0)) <= MAX_CHAR_DISTANCE) & (F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE)
     prose = F.coalesce("undigited_distance", F.lit(0.0)) <= MAX_CHAR_DISTANCE
-    prose &= F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE
+    prose &= (F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE) & (F.coalesce("word_share", F.lit(0.0)) <= MAX_WORD_SHARE)
     return d.withColumns({"base_failed": failed, "kept": ~failed & near, "clean": ~failed & prose})
 
 
