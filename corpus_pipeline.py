@@ -25,16 +25,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates: the one with the smallest doc_id, once if its row is repeated."""
-    joined = cut(ngram_join.near_duplicates(docs))
-    others = cut(joined.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
-    kept = docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
-    repeated = cut(joined.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("again")))
+    """Keeps exactly one row of each group of near duplicates: the one with the smallest doc_id, null being the largest.
+
+    A row is its doc_id and text together, so rows that share a doc_id (or have none) are told apart by their text; of
+    rows that are alike in both, one stays.
+    """
+    row = F.xxhash64("doc_id", "text").alias("row")
+    joined = cut(ngram_join.near_duplicates(docs.select(row.alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id"))
+    several = cut(joined.groupBy("component_id").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low < high").select("component_id"))
+    members = cut(joined.join(several, "component_id").distinct())
+    ranked = docs.select(row, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row).alias("rank")).join(members, "row")
+    first = cut(ranked.groupBy("component_id").agg(F.min("rank").alias("rank")).select("component_id", F.col("rank.row").alias("first")))
+    others = cut(members.join(first, "component_id").where("row <> first").select("row"))
+    kept = docs.select(*COLUMNS, row).join(others, "row", "left_anti")
+    repeated = cut(joined.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select("row"))
     if repeated.isEmpty():
-        return kept
-    same = F.col("doc_id").eqNullSafe(F.col("again"))
-    once = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, same, "left_anti").unionByName(once)
+        return kept.select(*COLUMNS)
+    once = kept.join(repeated, "row", "left_semi").dropDuplicates(["row"])
+    return kept.join(repeated, "row", "left_anti").unionByName(once).select(*COLUMNS)
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -109,6 +109,15 @@ def test_texts_without_prose_are_not_clean(spark, tmp_path):
     assert got[0].kept and {k: r.clean for k, r in got.items()} == {0: False, 1: True, 2: True}
 
 
+def test_one_row_of_each_near_duplicate_group(spark, tmp_path):
+    import corpus_pipeline
+
+    one, two, three = (" ".join(f"{k}{j}" for j in range(30)) for k in "abc")
+    rows = [(1, one), (5, one + " end"), (5, two), (None, three), (None, three + " end"), (7, "q " * 12 + one), (8, three + " is"), (9, two), (9, two + " end"), (9, two)]
+    kept = corpus_pipeline.near_duplicates(spark, docs(spark, tmp_path, rows), "").collect()
+    assert sorted((r.doc_id, r.text) for r in kept if r.doc_id != 7) == [(1, one), (5, two), (8, three + " is")]
+
+
 def edit_distance(p, t):
     row = [0] * (len(t) + 1)
     for i, c in enumerate(p):
