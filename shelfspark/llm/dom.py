@@ -25,6 +25,11 @@ SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("tabl
 NOISE_TAGS = set("nav footer aside form script style noscript template iframe svg button select textarea object dialog menu head title audio video canvas".split())
 NOISE_ROLES = set("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 NOISE_WORDS = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations masthead topbar toolbar comment comments commentlist disqus reply replies respond discussion widget widgets pagination pager footer skip".split())
+#: Noise by these alone is ignored on an element around a main part or most of the page's text; comments only around one article.
+SOFT_ROLES, COMMENT_WORDS = {"form", "search", "alert"}, set("comment comments commentlist disqus reply replies respond discussion".split())
+HARD, SOFT, COMMENTS = 1, 2, 3
+#: Shares of the page's text that count as most of it, with an article inside and without.
+MOST_WITH_ARTICLE, MOST = 0.5, 0.75
 KEPT_WHOLE = set("html body article main".split())
 MAX_DEPTH = 200
 #: Pairs of siblings up to which their best matching is searched.
@@ -33,19 +38,21 @@ TEXT = zlib.crc32(b"#text")
 
 
 @lru_cache(50_000)
-def _open(tag: str, attributes: str) -> tuple[int, bool, bool]:
-    """Signature, noise, and whether it is noise only outside an article (a header)."""
+def _open(tag: str, attributes: str) -> tuple[int, int, bool]:
+    """Signature, kind of noise (0: none), and whether it is noise only outside an article (a header)."""
     found: dict[str, str] = {}
     for name, value in ATTRIBUTE.findall(attributes):
         found.setdefault(name.lower(), value.strip("\"'"))
     words = found.get("class", "").split()
     signature = zlib.crc32(f"{tag}.{words[0] if words else ''}".encode())
     if tag in KEPT_WHOLE:
-        return signature, False, False
-    noise = tag in NOISE_TAGS or found.get("role", "").lower() in NOISE_ROLES or "hidden" in found or found.get("aria-hidden") == "true"
+        return signature, 0, False
+    role = found.get("role", "").lower()
+    noise = (tag in NOISE_TAGS and tag != "form") or (role in NOISE_ROLES and role not in SOFT_ROLES) or "hidden" in found or found.get("aria-hidden") == "true"
     noise |= "display:none" in found.get("style", "").replace(" ", "").lower()
     marks = {t.lower() for t in TOKENS.findall(found.get("class", "") + " " + found.get("id", ""))}
-    return signature, noise or bool(marks & NOISE_WORDS), tag == "header" or "header" in marks
+    soft = tag == "form" or role in SOFT_ROLES or marks & NOISE_WORDS
+    return signature, HARD if noise else COMMENTS if marks & COMMENT_WORDS else SOFT if soft else 0, tag == "header" or "header" in marks
 
 
 class Page:
@@ -57,9 +64,10 @@ class Page:
     def __init__(self, source: str):
         self.signature, self.parent, self.mark = [0], [-1], [0]
         self.leaves: list[tuple[int, str, bool, bool, bool]] = []
-        stack: list[tuple[str, int, bool, int, tuple[bool, bool, bool]]] = []  # tag, own node, noise, and the node and state inside
+        within: list[list[int]] = [[0, 0, 0, 0]]  # of each noise: the noise around it, its kind, articles and main parts inside
+        stack: list[tuple[str, int, bool, int, tuple[int, bool, bool]]] = []  # tag, own node, noise, and the node and state inside
         buffer: list[str] = []
-        node, state = 0, (False, False, False)
+        node, state = 0, (0, False, False)
         at, n = 0, len(source)
 
         def flush() -> None:
@@ -76,7 +84,7 @@ class Page:
             nonlocal node, state
             flush()
             del stack[k:]
-            node, state = stack[-1][3:] if stack else (0, (False, False, False))
+            node, state = stack[-1][3:] if stack else (0, (0, False, False))
 
         while at < n:
             m = TOKEN.search(source, at)
@@ -138,12 +146,42 @@ class Page:
                     self.parent.append(node)
                     self.mark.append(0)
                 quiet, article, main = state
-                quiet = quiet or noise or (header and not article and not main)
+                kind = HARD if header and not article and not main else noise
+                if kind:
+                    within.append([quiet, kind, 0, 0])
+                    quiet = len(within) - 1
+                elif tag in ("article", "main"):
+                    within[quiet][2 if tag == "article" else 3] += 1
                 node, state = own if own >= 0 else node, (quiet, article or tag == "article", main or tag == "main")
-                stack.append((tag, own, noise, node, state))
+                stack.append((tag, own, bool(noise), node, state))
             else:
                 stack.append((tag, -1, False, node, state))
         flush()
+        self._settle(within)
+
+    def _settle(self, within: list[list[int]]) -> None:
+        """Makes the noise of each leaf a truth value, without elements that are noise by soft signs and hold the page."""
+        hard, size, total = [False] * len(within), [0] * len(within), 0
+        for k, (around, kind, _, _) in enumerate(within):  # around is always earlier
+            hard[k] = kind == HARD or (k > 0 and hard[around])
+        for _, text, quiet, *_ in self.leaves:
+            if not hard[quiet]:
+                size[quiet] += len(text)
+                total += len(text)
+        for k in range(len(within) - 1, 0, -1):
+            size[within[k][0]] += size[k]
+        ignored = [True] * len(within)
+        for k in range(len(within) - 1, 0, -1):  # from the inside
+            around, kind, articles, mains = within[k]
+            holds = mains > 0 or size[k] > (MOST_WITH_ARTICLE if articles else MOST) * total
+            ignored[k] = holds and (kind == SOFT or (kind == COMMENTS and (mains > 0 or articles == 1)))
+            if ignored[k]:
+                within[around][2] += articles
+                within[around][3] += mains
+        noisy = [False] * len(within)
+        for k, (around, *_) in enumerate(within[1:], 1):
+            noisy[k] = noisy[around] or not ignored[k]
+        self.leaves = [(node, text, noisy[quiet], article, main) for node, text, quiet, article, main in self.leaves]
 
     def packed(self) -> bytes:
         return array("Q", [len(self.signature), *self.signature, *[p + 1 for p in self.parent], *self.mark]).tobytes()

@@ -35,6 +35,17 @@ def test_article_wins_and_long_lists_align(spark):
     assert texts[1] == "H " + " ".join(f"p{k}" for k in range(300))
 
 
+def test_wrappers_of_the_whole_page_are_no_noise():
+    body, related = "<h1>H</h1><p>" + "long enough " * 20 + "</p>", '<div class="related"><article>teaser</article></div>'
+    whole = "H " + ("long enough " * 20).strip()
+    for tag in ("<form>", "<div class='layout has-sidebar'>", "<div id='with-comments'>", "<div class='social'>", "<div class='share'>", "<div class='widget'>"):
+        page = f"{tag}<article>{body}</article>{related}<aside>a</aside></{tag[1:].split()[0].rstrip('>')}>"
+        assert html_extract.main_text(Page(page), []) == whole, tag
+    assert html_extract.main_text(Page(f"<form><div>{body}</div></form>"), []) == whole
+    comments = "<ol class='comment-list'>" + f"<li><article>{body}</article>" * 2 + "</ol>"
+    assert html_extract.main_text(Page(f"<div><p>own</p></div>{comments}"), []) == "own"
+
+
 def test_matching_is_largest():
     a, b = Page("<div><p>1</p><ul><li>x</ul><p>2</p></div>"), Page("<div><ul><li>x</ul><p>2</p><p>3</p></div>")
     pairs = match(Tree.of(a), Tree.of(b))
