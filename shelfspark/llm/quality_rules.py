@@ -1,27 +1,28 @@
 r"""Quality rules by distribution divergence.
 
 Two histograms of a text are compared with references of the known languages by Jensen-Shannon distance (base 2, so
-between 0 and 1): the shares of character classes, and the shares of common words.  A document is kept when the
-nearest reference is near enough.  Short texts have noisy histograms, so each comparison has a minimum length; below
-it that comparison is not made.  The counts that other filters use (words, symbols, repeated lines and windows) come
-from the same pass.
+between 0 and 1): the shares of character classes among all characters but digits (identifiers in prose do not decide),
+and the shares of a language's most common words, the rest being one class.  A document is kept when one language's
+characters are near enough and one language's words are.  A text with fewer common words than the reference must come
+nearer than MAX_WORD_SHARE of the distance that a text without any of them has, which tells prose from word lists, name
+tables and word salad; one with more must stay within MAX_WORD_DISTANCE, which a few common words said over and over do
+not.  Short texts have noisy histograms, so each comparison has a minimum length; below it, it is not made.
 
 Only DataFrame functions are used, with one narrow pass over the table: no shuffle, no state, and cost per row
 n log n in the row's own words (repeated 5-word windows are found by sorting window hashes, and only in rows which
-have any).  Window equality is equality of 64-bit hashes inside one document.
+have any).  The results leave through a generator of one row, behind which a filter on them stays: pushed below the
+projections, it would compute every definition anew for each use.  Window equality is equality of 64-bit hashes inside
+one document.
 
 Defined results: a null text has no words; words are ``[^\x20\x09-\x0D]+``; a text below the minimum lengths is
-judged by the base rules alone; repeated rows give repeated results; further columns are ignored.
-
-Two verdicts: ``kept`` is the one that the registered query's SQL fixes; ``clean``, which the pipeline keeps by, judges
-characters without the digits, so that identifiers in prose do not decide, and words by their distance as a share of
-that of a text without any common word, so that long lists and tables of names are told from prose (only texts with
-fewer common words than the reference; more of them are left to the distance itself).
+judged by the base rules alone; repeated rows give repeated results; an empty table gives no rows; other columns are
+carried along, but those of ``docs`` with the name of a result are replaced by it.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,18 +31,17 @@ WINDOW = 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 #: Fewer code points or words than this: the histogram is not judged.
 MIN_CHARS_JUDGED, MIN_WORDS_JUDGED = 100, 60
-#: Largest distance from the nearest reference. A text without any common word is at 0.3504 from each word reference.
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.17, 0.3495
-
-#: The same for ``clean``, as a share of the distance of a text without any common word from the same reference.
+#: Largest distance of the characters, and of the words of a text with at least as many common words as the reference.
+MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.17, 0.35
+#: Largest distance of the words of other texts, as a share of that of a text without any common word.
 MAX_WORD_SHARE = 0.85
 
-#: Shares of character classes in running prose (letters, capitals, digits, spaces, punctuation, symbols).
+#: Shares of character classes in running prose (letters, capitals, spaces, punctuation, symbols).
 CHAR_REFERENCE = {
-    "en": (0.790, 0.025, 0.003, 0.160, 0.022, 0.0001),
-    "fr": (0.795, 0.022, 0.003, 0.155, 0.025, 0.0001),
-    "de": (0.790, 0.045, 0.003, 0.140, 0.022, 0.0001),
-    "es": (0.790, 0.022, 0.003, 0.163, 0.022, 0.0001),
+    "en": (0.790, 0.025, 0.160, 0.022, 0.0001),
+    "fr": (0.795, 0.022, 0.155, 0.025, 0.0001),
+    "de": (0.790, 0.045, 0.140, 0.022, 0.0001),
+    "es": (0.790, 0.022, 0.163, 0.022, 0.0001),
 }
 #: Shares of the most common words in running prose.
 WORD_REFERENCE = {
@@ -57,6 +57,11 @@ SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS, CAPITALS, DIGITS, MARKS = r"#*$%&|<>", r"\p{Lu}", r"0-9", r".,;:!?'\"()\-"
 
 
+def named(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def words_of(text: Column) -> Column:
     one_space = F.translate(text, SPACES[1:], " " * (len(SPACES) - 1))
     return F.array_remove(F.split(one_space, " "), "")
@@ -79,11 +84,11 @@ def repeated_words(hashes: Column) -> Column:
 
         return F.array_sort(F.transform(F.filter(sorted_pairs, twice), lambda p: p["i"]))
 
-    # transform over a one-element array names a value, so that it is computed once
-    covered = lambda s: F.aggregate(
-        F.transform(s, lambda v, k: F.least(F.lit(WINDOW), F.coalesce(F.get(s, k + 1) - v, F.lit(WINDOW)))), F.lit(0), lambda a, v: a + v
-    )
-    inner = F.transform(F.array(pairs), lambda p: F.transform(F.array(starts(p)), lambda s: covered(s))[0])[0]
+    def covered(s: Column) -> Column:
+        gaps = F.transform(s, lambda v, k: F.least(F.lit(WINDOW), F.coalesce(F.get(s, k + 1) - v, F.lit(WINDOW))))
+        return F.aggregate(gaps, F.lit(0), lambda a, v: a + v)
+
+    inner = named(pairs, lambda p: named(starts(p), covered))
     return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), inner).otherwise(0)
 
 
@@ -105,78 +110,73 @@ def _without_words(reference: dict[str, float]) -> float:
     return math.sqrt((known + (1 - known) * math.log2(2 * (1 - known) / (2 - known)) + math.log2(2 / (2 - known))) / 2)
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs`` and, of each text, the counts and distances (null if too short)."""
-    text = F.coalesce("text", F.lit(""))
-    d = docs.withColumn("_words", words_of(text))
-    hashes = F.transform("_words", lambda w: F.xxhash64(w))
-    d = d.withColumn("_hashes", hashes).withColumn(
-        "_common",
-        F.transform(F.filter("_words", lambda w: (F.octet_length(w) <= LONGEST) & w.isin(COMMON + [w.capitalize() for w in COMMON])), lambda w: F.lower(w)),
-    )
-    n = F.size("_words")
-    windows = F.when(n < WINDOW, F.array().cast("array<bigint>")).otherwise(
-        F.transform(
-            F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0))), lambda i: F.xxhash64(*[F.get("_hashes", i + k) for k in range(WINDOW)])
-        )
-    )
+def _windows(hashes: Column) -> Column:
+    """A hash for each window of WINDOW words."""
+    last = F.size(hashes) - WINDOW
+    made = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(WINDOW)]))
+    return F.when(last < 0, F.array().cast("array<bigint>")).otherwise(made)
+
+
+def _seen(words: Column) -> Column:
+    """How often each word of COMMON stands there; only those that are known are looked through again."""
+    known = F.filter(words, lambda w: (F.octet_length(w) <= LONGEST) & w.isin(COMMON + [w.capitalize() for w in COMMON]))
+    listed = F.array(*[F.lit(w) for w in COMMON])
+    return named(F.transform(known, lambda w: F.lower(w)), lambda k: F.transform(listed, lambda w: F.size(k) - F.size(F.array_remove(k, w))))
+
+
+def _counts(text: Column, words: Column) -> dict[str, Column]:
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    d = d.withColumns({"_windows": windows, "_lines": lines})
-    d = d.withColumns(
-        {
-            "n_words": n.cast("long"),
-            "n_chars_text": F.length(text),
-            "word_chars": F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long"),
-            "n_symbols": _count(text, SYMBOLS).cast("long"),
-            "_capitals": _count(text, CAPITALS),
-            "_digits": _count(text, DIGITS),
-            "_marks": _count(text, MARKS),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": repeated_words(F.col("_windows")).cast("long"),
-            "_seen": F.transform(F.array(*[F.lit(w) for w in COMMON]), lambda w: F.size("_common") - F.size(F.array_remove("_common", w))),
-        }
-    )
-    all_chars, all_words = F.greatest("n_chars_text", F.lit(1)).cast("double"), F.greatest("n_words", F.lit(1)).cast("double")
-    spaces = F.col("n_chars_text") - F.col("word_chars")
-    letters = F.col("word_chars") - F.col("n_symbols") - F.col("_capitals") - F.col("_digits") - F.col("_marks")
-    chars = F.array(*[x / all_chars for x in (letters, F.col("_capitals"), F.col("_digits"), spaces, F.col("_marks"), F.col("n_symbols"))])
-    undigited = F.greatest(F.col("n_chars_text") - F.col("_digits"), F.lit(1)).cast("double")
-    undigited = F.array(*[x / undigited for x in (letters, F.col("_capitals"), spaces, F.col("_marks"), F.col("n_symbols"))])
-    d = d.withColumns({"_char_shares": chars, "_undigited_shares": undigited, "_word_shares": F.transform("_seen", lambda c: c / all_words)})
-
-    def common(reference: dict[str, float]) -> Column:
-        seen = [F.get("_word_shares", F.lit(COMMON.index(w))) for w in reference]
-        return F.aggregate(F.array(*seen), F.lit(0.0), lambda a, v: a + v)
-
-    def by_words(reference: dict[str, float]) -> Column:
-        seen = F.transform(F.array(*[F.lit(COMMON.index(w)) for w in reference]), lambda i: F.get("_word_shares", i))
-        other = F.array(F.greatest(F.lit(1.0) - F.aggregate(seen, F.lit(0.0), lambda a, v: a + v), F.lit(0.0)))
-        return _distance(F.concat(seen, other), [*reference.values(), 1 - sum(reference.values())])
-
-    nearest_chars = F.least(*[_distance(F.col("_char_shares"), list(q)) for q in CHAR_REFERENCE.values()])
-    nearest_undigited = F.least(*[_distance(F.col("_undigited_shares"), [*q[:2], *q[3:]]) for q in CHAR_REFERENCE.values()])
-    nearest_words = F.least(*[by_words(q) for q in WORD_REFERENCE.values()])
-    nearest_share = F.least(*[F.when(common(q) < sum(q.values()), by_words(q) / _without_words(q)).otherwise(0.0) for q in WORD_REFERENCE.values()])
-    d = d.withColumns(
-        {
-            "char_distance": F.when(F.col("n_chars_text") >= MIN_CHARS_JUDGED, nearest_chars),
-            "word_distance": F.when(F.col("n_words") >= MIN_WORDS_JUDGED, nearest_words),
-            "word_share": F.when(F.col("n_words") >= MIN_WORDS_JUDGED, nearest_share),
-            "undigited_distance": F.when(F.col("n_chars_text") >= MIN_CHARS_JUDGED, nearest_undigited),
-        }
-    )
-    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance", "word_share", "undigited_distance"]
-    return d.select(*[c for c in docs.columns if c not in own], *own)
+    return {
+        "n_words": F.size(words).cast("long"),
+        "chars": F.length(text),
+        "word_chars": F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long"),
+        "n_symbols": _count(text, SYMBOLS).cast("long"),
+        "capitals": _count(text, CAPITALS),
+        "digits": _count(text, DIGITS),
+        "marks": _count(text, MARKS),
+        "n_dup_lines": named(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+        "n_repeat_words": named(named(F.transform(words, lambda w: F.xxhash64(w)), _windows), repeated_words).cast("long"),
+        "seen": _seen(words),
+    }
+
+
+def _char_shares(c: Callable[[str], Column]) -> Column:
+    letters = c("word_chars") - c("n_symbols") - c("capitals") - c("digits") - c("marks")
+    whole = F.greatest(c("chars") - c("digits"), F.lit(1)).cast("double")
+    return F.array(*[x / whole for x in (letters, c("capitals"), c("chars") - c("word_chars"), c("marks"), c("n_symbols"))])
+
+
+def _word_excess(shares: Column, reference: dict[str, float]) -> Column:
+    """The distance of the words from a reference, as a share of what is allowed. shares: of COMMON."""
+    seen = F.transform(F.array(*[F.lit(COMMON.index(w)) for w in reference]), lambda i: F.get(shares, i))
+    known = F.aggregate(seen, F.lit(0.0), lambda a, v: a + v)
+    rest = F.array(F.greatest(F.lit(1.0) - known, F.lit(0.0)))
+    allowed = F.when(known < sum(reference.values()), MAX_WORD_SHARE * _without_words(reference)).otherwise(MAX_WORD_DISTANCE)
+    return _distance(F.concat(seen, rest), [*reference.values(), 1 - sum(reference.values())]) / allowed
+
+
+OWN = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_excess", "kept")
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """``measure`` with base_failed, kept and clean."""
-    d = measure(docs)
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    near = (F.coalesce("char_distance", F.lit(0.0)) <= MAX_CHAR_DISTANCE) & (F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE)
-    prose = F.coalesce("undigited_distance", F.lit(0.0)) <= MAX_CHAR_DISTANCE
-    prose &= (F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE) & (F.coalesce("word_share", F.lit(0.0)) <= MAX_WORD_SHARE)
-    return d.withColumns({"base_failed": failed, "kept": ~failed & near, "clean": ~failed & prose})
+    """The columns of ``docs`` and, of each text, the counts, base_failed, the distances (null if too short) and kept."""
+    others = [c for c in docs.columns if c not in OWN]
+    prefix = "_" * (1 + max(map(len, docs.columns)))  # makes names that no column of docs has
+    c = lambda k: F.col(prefix + k)
+    add = lambda d, new: d.withColumns({prefix + k: v for k, v in new.items()})
+    d = add(docs, {"text": F.coalesce("text", F.lit(""))})
+    d = add(d, {"words": words_of(c("text"))})
+    d = add(d, _counts(c("text"), c("words")))
+    whole = F.greatest(c("n_words"), F.lit(1)).cast("double")
+    d = add(d, {"char_shares": _char_shares(c), "word_shares": F.transform(c("seen"), lambda n: n / whole)})
+    char_distance = F.least(*[_distance(c("char_shares"), list(q)) for q in CHAR_REFERENCE.values()])
+    word_excess = F.least(*[_word_excess(c("word_shares"), q) for q in WORD_REFERENCE.values()])
+    failed = (c("n_words") < MIN_WORDS) | (100 * c("n_repeat_words") > MAX_REPEAT_PERCENT * c("n_words"))
+    judged = {"char_distance": F.when(c("chars") >= MIN_CHARS_JUDGED, char_distance), "word_excess": F.when(c("n_words") >= MIN_WORDS_JUDGED, word_excess)}
+    d = add(d, {"base_failed": failed} | judged)
+    near = (F.coalesce(c("char_distance"), F.lit(0.0)) <= MAX_CHAR_DISTANCE) & (F.coalesce(c("word_excess"), F.lit(0.0)) <= 1)
+    d = add(d, {"kept": ~c("base_failed") & near})
+    return d.select(*others, F.inline(F.array(F.struct(*[c(k).alias(k) for k in OWN]))))
 
 
 RESULT = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -189,7 +189,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _oracle() -> str:
     """The same rules in DuckDB's SQL, with the references as values."""
     chars = ", ".join(f"('{k}', {list(v)!r})" for k, v in CHAR_REFERENCE.items())
-    words = ", ".join(f"('{k}', {list(v)!r}, {[*v.values(), 1 - sum(v.values())]!r})" for k, v in WORD_REFERENCE.items())
+    words = ", ".join(f"('{k}', {list(v)!r}, {[*v.values(), 1 - sum(v.values())]!r}, {_without_words(v)!r})" for k, v in WORD_REFERENCE.items())
     known = ", ".join(repr(w) for w in COMMON + [w.capitalize() for w in COMMON])
     distance = "sqrt(greatest(0.0, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2))"
     return rf"""
@@ -210,9 +210,9 @@ twice AS (SELECT rid, k FROM windows QUALIFY count(*) OVER (PARTITION BY rid, wi
 gaps AS (SELECT rid, least(5, coalesce(lead(k) OVER (PARTITION BY rid ORDER BY k) - k, 5)) AS g FROM twice),
 repeats AS (SELECT rid, sum(g) AS n FROM gaps GROUP BY rid),
 seen AS (SELECT rid, lower(x) AS w, count(*) AS c FROM (SELECT rid, unnest(words) AS x FROM base) WHERE x IN ({known}) GROUP BY ALL),
-char_refs(lang, q) AS (VALUES {chars}), word_refs(lang, names, q) AS (VALUES {words}),
+char_refs(lang, q) AS (VALUES {chars}), word_refs(lang, names, q, without) AS (VALUES {words}),
 char_pairs AS (
-  SELECT rid, lang, unnest([(word_chars - n_symbols - capitals - digits - marks)::DOUBLE, capitals, digits, chars - word_chars, marks, n_symbols]) / chars AS p,
+  SELECT rid, lang, unnest([(word_chars - n_symbols - capitals - digits - marks)::DOUBLE, capitals, chars - word_chars, marks, n_symbols]) / greatest(chars - digits, 1) AS p,
     unnest(list_transform(q, lambda x: x / list_sum(q))) AS q
   FROM base, char_refs WHERE chars >= {MIN_CHARS_JUDGED}),
 char_near AS (SELECT rid, min(x) AS x FROM (SELECT rid, lang, {distance} AS x FROM char_pairs GROUP BY ALL) GROUP BY rid),
@@ -221,11 +221,15 @@ shares AS (SELECT n.rid, lang, coalesce(c, 0)::DOUBLE / n_words AS p, q FROM nam
 word_pairs AS (
   SELECT rid, lang, p, q FROM shares
   UNION ALL SELECT rid, lang, greatest(0.0, 1 - sum(p)), 1 - sum(q) FROM shares GROUP BY rid, lang),
-word_near AS (SELECT rid, min(x) AS x FROM (SELECT rid, lang, {distance} AS x FROM word_pairs GROUP BY ALL) GROUP BY rid),
+allowed AS (
+  SELECT rid, s.lang, CASE WHEN sum(p) < list_sum(any_value(r.q)[1:-2]) THEN {MAX_WORD_SHARE} * any_value(without) ELSE {MAX_WORD_DISTANCE} END AS most
+  FROM shares s JOIN word_refs r ON r.lang = s.lang GROUP BY rid, s.lang),
+far AS (SELECT rid, lang, {distance} AS x FROM word_pairs GROUP BY ALL),
+word_near AS (SELECT far.rid, min(x / most) AS x FROM far JOIN allowed ON allowed.rid = far.rid AND allowed.lang = far.lang GROUP BY far.rid),
 judged AS (
   SELECT doc_id, n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
     coalesce(n, 0)::BIGINT AS n_repeat_words, n_words < {MIN_WORDS} OR 100 * coalesce(n, 0) > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
-    coalesce(c.x, 0) <= {MAX_CHAR_DISTANCE} AND coalesce(v.x, 0) <= {MAX_WORD_DISTANCE} AS near
+    coalesce(c.x, 0) <= {MAX_CHAR_DISTANCE} AND coalesce(v.x, 0) <= 1 AS near
   FROM base LEFT JOIN repeats USING (rid) LEFT JOIN char_near c USING (rid) LEFT JOIN word_near v USING (rid))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND near AS kept FROM judged
 """
