@@ -19,9 +19,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps what the quality rules call clean."""
-    # written first: a filter on the measures themselves would be computed from copies of all of them
-    return cut(quality_rules.judge(docs).select(*COLUMNS, "clean")).where("clean").select(*COLUMNS)
+    """Keeps what the quality rules keep."""
+    # written first, so that the filter does not compute the verdict a second time
+    return cut(quality_rules.judge(docs.select(*COLUMNS)).select(*COLUMNS, "kept")).where("kept").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
