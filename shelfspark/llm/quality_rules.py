@@ -32,7 +32,7 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 #: Fewer code points or words than this: the histogram is not judged.
 MIN_CHARS_JUDGED, MIN_WORDS_JUDGED = 100, 60
 #: Largest distance of the characters, and of the words of a text with at least as many common words as the reference.
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.17, 0.35
+MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.17, 0.45
 #: Largest distance of the words of other texts, as a share of that of a text without any common word.
 MAX_WORD_SHARE = 0.85
 
