@@ -1,9 +1,11 @@
 """URL filtering by host-suffix and path-prefix expressions.
 
-Every distinct (host, path) is expanded into the expressions that a rule could name: each suffix of the host at
-a label boundary, joined to each prefix of the path whose length occurs in the rule list.  Expressions meet rules
-in an equi-join on a short prefix of their SHA-256; the full digest then confirms the hit and precedence picks the
-rule: the longest expression wins, then the longer host, then ``block`` over ``allow``.
+Every distinct (host, path) is expanded into the expressions that a rule could name: each suffix of the host with a
+number of labels that occurs in the rule list, with each prefix of the path whose length occurs there; so a url makes
+no more expressions than the rules have shapes, however long it is.  Expressions meet rules in an equi-join on a short
+prefix of their SHA-256 (of host and path with a separator that neither can hold); the full digest, and host and path
+themselves, then confirm the hit and precedence picks the rule: the longest expression wins, then the longer host, then
+``block`` over ``allow``.
 
 Only DataFrame functions are used.  URLs are reduced to distinct (host, path) before they are expanded, so a URL
 that a third of all pages share is judged once.  The rule list has no size limit: Spark broadcasts it when its
@@ -19,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfspark.llm.storage import cut
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of the digest that the join uses, as hexadecimal digits.
 SHORT_DIGITS = 8
@@ -47,13 +51,11 @@ def path_of(url: Column) -> Column:
     return F.when(at > 0, F.regexp_extract(F.substr(url, at + 3), "^[^/?#]*([^?#]*)", 1)).otherwise("")
 
 
-def expressions(host: Column, path: Column, lengths: list[int]) -> Column:
-    """All host suffixes times all path prefixes of the given lengths."""
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
-    )
+def expressions(host: Column, path: Column, labels: list[int], lengths: list[int]) -> Column:
+    """All host suffixes of the given numbers of labels with all path prefixes of the given lengths."""
+    parts = F.split(host, r"\.")
+    numbers = F.filter(F.array(*[F.lit(n) for n in labels]), lambda n: n <= F.size(parts))
+    suffixes = F.transform(numbers, lambda n: F.array_join(F.slice(parts, F.size(parts) - n + 1, n), "."))
     usable = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(path))
     prefixes = F.transform(usable, lambda n: F.substr(path, F.lit(1), n))
     return F.flatten(
@@ -62,7 +64,7 @@ def expressions(host: Column, path: Column, lengths: list[int]) -> Column:
 
 
 def _digest(host: Column, path: Column) -> Column:
-    return F.sha2(F.concat(host, path), 256)
+    return F.sha2(F.concat_ws("\0", host, path), 256)
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDICT) -> DataFrame:
@@ -76,17 +78,20 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDIC
         F.col("action"),
         F.concat("host", "path").alias("rule"),
         F.length("host").alias("host_length"),
+        F.col("host").alias("named_host"),
+        F.col("path").alias("named_path"),
         _digest(F.col("host"), F.col("path")).alias("rule_digest"),
     ).withColumn("short", F.substring("rule_digest", 1, SHORT_DIGITS))
-    # One bounded row: the path lengths that occur, at most as many as the longest rule has characters.
-    found = rules.agg(F.array_sort(F.collect_set(F.length("path"))).alias("lengths")).first()
-    lengths = list(found["lengths"]) if found else []
+    # One bounded row: the numbers of labels and the path lengths that occur, at most as many as the longest rule has characters.
+    shape = {"labels": F.size(F.split("host", r"\.")), "lengths": F.length("path")}
+    found = rules.agg(*[F.array_sort(F.collect_set(v)).alias(k) for k, v in shape.items()]).first()
+    labels, lengths = list(found["labels"]), list(found["lengths"])
     if not lengths:
         return urls.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
 
     distinct = urls.select("host", "path").distinct()
-    tried = distinct.select("host", "path", F.explode(expressions(F.col("host"), F.col("path"), lengths)).alias("e")).select(
-        "host", "path", _digest(F.col("e.rule_host"), F.col("e.rule_path")).alias("digest")
+    tried = distinct.select("host", "path", F.explode(expressions(F.col("host"), F.col("path"), labels, lengths)).alias("e")).select(
+        "host", "path", "e", _digest(F.col("e.rule_host"), F.col("e.rule_path")).alias("digest")
     )
     best = F.max_by(
         F.struct("rule", "action"), F.struct(F.length("rule"), "host_length", (F.col("action") == "block").cast("int"))
@@ -94,12 +99,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDIC
     hits = (
         tried.withColumn("short", F.substring("digest", 1, SHORT_DIGITS))
         .join(named, "short")
-        .where(F.col("digest") == F.col("rule_digest"))
+        .where((F.col("digest") == F.col("rule_digest")) & (F.col("e.rule_host") == F.col("named_host")) & (F.col("e.rule_path") == F.col("named_path")))
         .groupBy("host", "path")
         .agg(best.alias("hit"))
     )
-    from shelfspark.llm.storage import cut
-
     # Written first, so that Spark can split a (host, path) which very many pages share.
     hits = cut(hits)
     return urls.join(hits, ["host", "path"], "left").select(
