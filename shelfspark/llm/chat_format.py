@@ -7,10 +7,12 @@ A turn is rendered as ``### role:`` newline, text, ``</turn>`` newline.  Inside
 ``&amp;``, ``&num;`` and ``&lt;`` (inside roles also ``:`` becomes ``&colon;``), so no text can contain a control string,
 and replacing them back, ``&amp;`` last, restores the text exactly.
 
-Every example of a conversation is a prefix of that conversation's rendering.  ``prefix_targets`` therefore keeps the
-rendering once and each example as lengths (linear in the conversation); ``examples`` cuts the texts out.
+Every example of a conversation is a prefix of that conversation's rendering, up to the end of its turn.
+``prefix_targets`` keeps the rendering once and each example as its number of turns; ``examples`` explodes them into rows
+with their own text and mask, and ``read_back`` reads everything from those rows.
 
-Only DataFrame functions are used.  A conversation is the unit of work, gathered in one shuffle by conv_id.
+Only DataFrame functions are used.  A conversation is the unit of work, gathered in one shuffle by conv_id; its examples
+are made and read where it lies, one row at a time.
 Defined results: a null text or role is empty; turns are ordered by (turn, role, text), nulls first; repeated rows
 are repeated turns; a null conv_id is a conversation of its own; empty tables give no rows; further columns are ignored.
 """
@@ -42,16 +44,16 @@ def unescape(text: Column, marks: list[tuple[str, str]] = ROLE_MARKS) -> Column:
 
 
 def prefix_targets(turns: DataFrame) -> DataFrame:
-    """conv_id, text (the whole rendering), examples: array of (prefix_chars, loss_start, loss_chars), in turn order.
+    """conv_id, text (the whole rendering), examples: array of (turns, trainable, reply_chars), in turn order.
 
-    loss_start is the 0-based code point where the trainable reply begins; the reply's ``</turn>`` is not trainable.
+    turns: how many the example has; reply_chars: the code points of its last one's text, as rendered.
     """
     by_conv = turns.select(
         "conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("said")).alias("t")
     )
     rows = by_conv.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    rows = rows.withColumn(
-        "parts",
+    rows = rows.select(
+        "conv_id",
         F.transform(
             "turns",
             lambda t: F.struct(
@@ -59,38 +61,32 @@ def prefix_targets(turns: DataFrame) -> DataFrame:
                 F.concat(F.lit(HEAD), escape(t["role"], ROLE_MARKS), F.lit(COLON)).alias("head"),
                 escape(t["said"]).alias("body"),
             ),
-        ),
-    ).drop("turns")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<prefix_chars:long,loss_start:long,loss_chars:long>>").alias("out"))
-
-    def step(acc: Column, p: Column) -> Column:
-        body_at = acc["at"] + F.length(p["head"])
-        end = body_at + F.length(p["body"]) + len(END)
-        one = F.array(
-            F.struct(end.cast("long").alias("prefix_chars"), body_at.cast("long").alias("loss_start"), F.length(p["body"]).cast("long").alias("loss_chars"))
-        )
-        return F.struct(end.cast("long").alias("at"), F.when(p["trainable"], F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
-
-    rows = rows.withColumn("walk", F.aggregate("parts", start, step))
-    rest = F.struct(
-        F.col("walk.at").alias("prefix_chars"), F.col("walk.at").alias("loss_start"), F.lit(0).cast("long").alias("loss_chars")
+        ).alias("parts"),
     )
-    ends_trainable = F.element_at("parts", -1)["trainable"]
+    numbered = F.transform("parts", lambda p, k: F.struct((k + 1).alias("turns"), p["trainable"].alias("trainable"), F.length(p["body"]).alias("reply_chars")))
     return rows.select(
         "conv_id",
         F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "").alias("text"),
-        F.when(ends_trainable, F.col("walk.out")).otherwise(F.concat(F.col("walk.out"), F.array(rest))).alias("examples"),
+        F.filter(numbered, lambda e: e["trainable"] | (e["turns"] == F.size("parts"))).alias("examples"),
     )
 
 
 def examples(targets: DataFrame) -> DataFrame:
-    """One row per example with its own text: conv_id, example_no, text, loss_start, loss_chars."""
-    return targets.select("conv_id", F.col("text").alias("whole"), F.posexplode("examples").alias("example_no", "e")).select(
+    """One row per example: conv_id, example_no, is_last, text, loss_start (0-based) and loss_chars.
+
+    The reply is trainable, its ``</turn>`` is not.
+    """
+    text = F.concat(F.call_function("substring_index", F.col("whole"), F.lit(END), F.col("e.turns")), F.lit(END))
+    rows = targets.select("conv_id", F.col("text").alias("whole"), F.size("examples").alias("n"), F.posexplode("examples").alias("example_no", "e"))
+    rows = rows.select("conv_id", "example_no", (F.col("example_no") + 1 == F.col("n")).alias("is_last"), text.alias("text"), "e")
+    end = F.length("text")
+    return rows.select(
         "conv_id",
         "example_no",
-        F.substr("whole", F.lit(1), F.col("e.prefix_chars").cast("int")).alias("text"),
-        F.col("e.loss_start").alias("loss_start"),
-        F.col("e.loss_chars").alias("loss_chars"),
+        "is_last",
+        "text",
+        F.when(F.col("e.trainable"), end - len(END) - F.col("e.reply_chars")).otherwise(end).cast("long").alias("loss_start"),
+        F.when(F.col("e.trainable"), F.col("e.reply_chars")).otherwise(0).cast("long").alias("loss_chars"),
     )
 
 
@@ -104,28 +100,24 @@ def read_turns(text: Column) -> Column:
     )
 
 
-def read_back(targets: DataFrame) -> DataFrame:
-    """Digests per conversation, from the rendering and the examples' masks.
+def read_back(shown: DataFrame) -> DataFrame:
+    """Digests per conversation, from the rows of ``examples``: the turns from the last one's text, the losses from each
+    one's mask.
 
     formatted_chars is the number of code points of all examples' texts together.
     """
-    losses = F.transform(
-        "examples", lambda e: unescape(F.substr(F.col("text"), (e["loss_start"] + 1).cast("int"), e["loss_chars"].cast("int")))
-    )
-    read = targets.select(
-        "conv_id",
-        read_turns(F.col("text")).alias("turns"),
-        F.array_join(losses, "").alias("loss"),
-        F.aggregate("examples", F.lit(0).cast("long"), lambda a, e: a + e["prefix_chars"]).alias("formatted_chars"),
-    )
+    turns = F.when(F.col("is_last"), read_turns(F.col("text")))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = unescape(F.substr("text", (F.col("loss_start") + 1).cast("int"), F.col("loss_chars").cast("int")))
+    rows = shown.select("conv_id", "example_no", turns.alias("turns"), loss.alias("loss"), F.length("text").cast("long").alias("chars"))
+    read = rows.groupBy("conv_id").agg(
+        F.max(F.when(F.col("turns").isNotNull(), F.size("turns"))).cast("long").alias("n_turns"),
+        F.max(F.when(F.col("turns").isNotNull(), F.sha2(said, 256))).alias("turns_sha256"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("example_no", "loss"))), lambda x: x["loss"]), "").alias("loss"),
+        F.sum("chars").alias("formatted_chars"),
+    )
     return read.select(
-        "conv_id",
-        F.size("turns").cast("long").alias("n_turns"),
-        F.sha2(said, 256).alias("turns_sha256"),
-        F.length("loss").cast("long").alias("loss_chars"),
-        F.sha2(F.col("loss"), 256).alias("loss_sha256"),
-        "formatted_chars",
+        "conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss"), 256).alias("loss_sha256"), "formatted_chars"
     )
 
 
@@ -137,7 +129,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame(
         [(-7, 0, "user", PLANTED), (-7, 1, "assistant", PLANTED)], "conv_id long, turn long, role string, text string"
     )
-    return read_back(prefix_targets(turns.unionByName(extra)))
+    return read_back(examples(prefix_targets(turns.unionByName(extra))))
 
 
 ORACLE_SQL = r"""

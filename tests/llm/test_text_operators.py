@@ -17,7 +17,7 @@ def test_chat_round_trip(spark, tmp_path):
     rows += [(50, 0, "assistant", None, None), (51, 0, None, "no role", None), (None, 0, "assistant", "nobody", None), (52, 1, "user", "tie", None), (52, 1, "user", "tie", None)]
     d = table(spark, tmp_path, rows, CONVERSATIONS)
     targets = chat_format.prefix_targets(d)
-    got = {r.conv_id: r for r in chat_format.read_back(targets).collect()}
+    got = {r.conv_id: r for r in chat_format.read_back(chat_format.examples(targets)).collect()}
     shown = {}
     for e in chat_format.examples(targets).collect():
         shown.setdefault(e.conv_id, []).append(e)
@@ -34,10 +34,12 @@ def test_chat_round_trip(spark, tmp_path):
         assert r.loss_chars == len(loss) and r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
         own = sorted(shown[c], key=lambda e: e.example_no)
         assert r.formatted_chars == sum(len(e.text) for e in own)
+        assert [chat_format.HEAD in e.text for e in own] == [True] * len(own) and [e.is_last for e in own] == [k + 1 == len(own) for k in range(len(own))]
         replies = [e for e in own if e.loss_chars or e.loss_start < len(e.text)]
+        assert all(e.text[e.loss_start + e.loss_chars :] == chat_format.END for e in replies)
         assert len(replies) == sum(role == "assistant" for _, role, _ in turns)
         assert all(b.text.startswith(a.text) for a, b in zip(own[:-1], own[1:], strict=True))
-    assert chat_format.read_back(chat_format.prefix_targets(d.limit(0))).count() == 0
+    assert chat_format.read_back(chat_format.examples(chat_format.prefix_targets(d.limit(0)))).count() == 0
 
 
 def test_urls_against_plain_rules(spark, tmp_path):
@@ -57,6 +59,9 @@ def test_urls_against_plain_rules(spark, tmp_path):
         best = max(fit, default=(0, "allow", None))
         want.append((i, host, path, best[2], best[1]))
     assert sorted(got, key=str) == sorted(want, key=str)
+    split = url_filters.rule_table(spark, [("block", "co", "m"), ("block", "a.b.net", ""), ("allow", "b.net", "")])
+    named = [(r.host, r.rule, r.verdict) for r in url_filters.judge_urls(table(spark, tmp_path, [(1, "http://com/x"), (2, "http://co/m"), (3, "http://c.a.b.net"), (4, "http://" + "x." * 30_000 + "b.net/")], "page_id long, url string"), split).orderBy("page_id").collect()]
+    assert named[:3] == [("com", None, "allow"), ("co", None, "allow"), ("c.a.b.net", "a.b.net", "block")] and named[3][1:] == ("b.net", "allow")
     none = url_filters.judge_urls(d, url_filters.rule_table(spark, [("block", "zz", "/")]).limit(0)).collect()
     assert len(none) == len(rows) and all(r.rule is None and r.verdict == "allow" for r in none)
     assert url_filters.judge_urls(d.limit(0), url_filters.rule_table(spark)).count() == 0
