@@ -14,17 +14,22 @@ rarest quarter, which is how the table is cut to candidates; within candidates t
    unseen.  A task returns a spanning forest, so its rows grow with classes and not with pairs.
 3. Candidate classes' sets are gathered by cluster in blocks of bounded size.  Blocks are compared with themselves and
    with the cluster's first block.  Of what is then still apart, sets that share one of their short lists with a set of
-   another component are compared with that set's block.  Each comparison counts overlaps by DivideSkip and returns a
-   spanning forest of its links.
+   another component are compared with that set's block.  Each comparison counts overlaps by DivideSkip (``connect``)
+   and returns a spanning forest of its links.
 
-Texts with equal sets are one class from the first step on.  Shingles are 64-bit hashes of five words with A-Z lower-cased.  Defined results: a text without words has no shingles
-and is its own component; one with fewer than five words has its whole sequence as one shingle; rows with the same
+Texts with equal sets are one class from the first step on.  Shingles are 64-bit hashes of five words with A-Z
+lower-cased (``text_arrays`` says how sure they are).  Lists longer than COMMON join their classes to one cluster without
+a look at the pairs, which costs comparisons of blocks later and changes no result.
+
+Defined results: a text without words has no shingles and is its own component; one with fewer than five words has its whole sequence as one shingle; rows with the same
 text are linked, repeated doc_ids included; a null doc_id is linked but never a component's name unless all of it are
 null; empty tables give no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +42,7 @@ from shelfspark.llm.storage import cut, small_batches
 PERCENT = 75
 #: Shingles that a bitmap tells apart, as a power of two: 8 MB, for the broadcast and on the driver.
 FILTER_POWER = 26
-#: A shingle in more sets than this goes to the end of the order, and its classes are not looked at in pairs.
+#: A shingle in more sets than this goes to the end of the order, and its classes are joined to one cluster unseen.
 COMMON = 64
 #: Bits of the bitmap that holds, for each residue of the shingles, whether their number is odd.
 PARITIES = 512
@@ -268,42 +273,82 @@ def _pack_for(table: pa.Table) -> pa.Table:
     return _pack(table).append_column("chunk_2", table["chunk_2"][:1].cast(pa.int32()))
 
 
-def overlapping(n_a: np.ndarray, a: np.ndarray, n_b: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (set of a, set of b) with a similarity of PERCENT or more, by DivideSkip. a, b: the sets' shingles, set after set."""
+class Forest:
+    """Labels of nodes that links have joined; the smaller side takes the other one's label."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+        self.members: dict[int, list[int]] = {}
+
+    def join(self, a: int, b: int) -> None:
+        a, b = int(self.label[a]), int(self.label[b])
+        if a == b:
+            return
+        x, y = self.members.pop(a, [a]), self.members.pop(b, [b])
+        if len(x) < len(y):
+            a, x, y = b, y, x
+        self.label[y] = a
+        self.members[a] = x + y
+
+
+def merge(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in sorted lists, merged by a heap of their heads, and how many lists each stands in."""
+    found, count = [], []
+    for number in heapq.merge(*(x.tolist() for x in lists)):
+        if found and found[-1] == number:
+            count[-1] += 1
+        else:
+            found.append(number)
+            count.append(1)
+    return np.array(found, np.int64), np.array(count, np.int64)
+
+
+def connect(n_a: np.ndarray, a: np.ndarray, node_a: np.ndarray, n_b: np.ndarray, b: np.ndarray, node_b: np.ndarray, nodes: int) -> np.ndarray:
+    """A label for each node, the same for those that similarities of PERCENT or more join, by DivideSkip.
+
+    a, b: the sets' shingles, set after set; node_a, node_b: the sets' nodes.  Of a set's inverted lists in b the longest
+    ones (longer than LONG_LIST, fewer than the overlap T that is needed) are set aside; the others are merged by a heap,
+    and the sets that stand in T less the number of long lists are looked up in the long ones by binary search.  Sets
+    that are joined already are not searched for again.
+    """
+    forest = Forest(nodes)
     owner = np.repeat(np.arange(len(n_b)), n_b)
     order = np.argsort(b, kind="stable")
     lists, owner = b[order], owner[order]
     low, high = np.searchsorted(lists, a, side="left"), np.searchsorted(lists, a, side="right")
-    length = high - low
+    begins = np.searchsorted(lists, lists, side="left")
+    keys = begins * len(n_b) + owner  # in order: where a list begins, and whose the shingle is
     ends = np.cumsum(n_a)
-    left, right = [], []
     for k in range(len(n_a)):
-        own = slice(ends[k] - n_a[k], ends[k])
-        size, at = length[own], low[own]
-        fits = (100 * n_b >= PERCENT * n_a[k]) & (PERCENT * n_b <= 100 * n_a[k])
-        needed = -(-PERCENT * np.maximum(n_a[k], n_b) // 100)  # T: an overlap below it can't reach the similarity
-        long = size > LONG_LIST
-        count = np.bincount(owner[ta.ragged(at[~long], size[~long])], minlength=len(n_b))
-        found = np.flatnonzero(fits & (count + long.sum() >= needed))
+        at, size = low[ends[k] - n_a[k] : ends[k]], (high - low)[ends[k] - n_a[k] : ends[k]]
+        at, size = at[size > 0], size[size > 0]
+        least = -(-PERCENT * n_a[k] // 100)
+        if len(at) < least:
+            continue
+        apart = (forest.label[node_b] != forest.label[node_a[k]]) & (100 * n_b >= PERCENT * n_a[k]) & (PERCENT * n_b <= 100 * n_a[k])
+        if not apart.any():
+            continue
+        by_size = np.argsort(-size, kind="stable")
+        n_long = min(int((size > LONG_LIST).sum()), int(least) - 1)
+        long, short = at[by_size[:n_long]], by_size[n_long:]
+        postings = (owner[at[s] : at[s] + size[s]] for s in short)
+        found, count = merge([x for x in (p[apart[p]] for p in postings) if len(x)])
         if not len(found):
             continue
-        count = count[found]
-        if long.any():
-            if len(found) <= 8:  # binary probes
-                for x, y in zip(at[long], size[long], strict=True):
-                    place = np.minimum(np.searchsorted(owner[x : x + y], found), y - 1)
-                    count += owner[x + place] == found
-            else:  # as many probes as a scan of the lists takes steps
-                count += np.bincount(owner[ta.ragged(at[long], size[long])], minlength=len(n_b))[found]
-        linked = 100 * count >= PERCENT * (n_a[k] + n_b[found] - count)
-        left.append(np.full(linked.sum(), k))
-        right.append(found[linked])
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64), np.empty(0, np.int64))
+        needed = -(-PERCENT * np.maximum(n_a[k], n_b[found]) // 100)
+        near = count + n_long >= needed
+        found, count = found[near], count[near]
+        if n_long and len(found):
+            probes = long * len(n_b) + found[:, None]
+            place = np.minimum(np.searchsorted(keys, probes), len(keys) - 1)
+            count = count + (keys[place] == probes).sum(axis=1)
+        for other in found[100 * count >= PERCENT * (n_a[k] + n_b[found] - count)]:
+            forest.join(node_a[k], node_b[other])
+    return forest.label
 
 
 def _read(row: dict, side: str):
-    sig, n, tokens = (np.frombuffer(row[f"{x}{side}"], t) for x, t in (("sigs", np.int64), ("sizes", np.int64), ("tokens", U64)))
-    return sig, n, tokens
+    return tuple(np.frombuffer(row[f"{x}{side}"], t) for x, t in (("sigs", np.int64), ("sizes", np.int64), ("tokens", U64)))
 
 
 def _compare(batches):
@@ -312,10 +357,8 @@ def _compare(batches):
         for row in batch.to_pylist():
             sig, n, tokens = _read(row, "")
             other = _read(row, "_2") if row.get("sigs_2") is not None else (sig, n, tokens)
-            i, j = overlapping(n, tokens, other[1], other[2])
             nodes, number = np.unique(np.concatenate([sig, other[0]]), return_inverse=True)
-            edges = _edges(nodes, ta.forest(len(nodes), number[: len(sig)][i], number[len(sig) :][j]))
-            yield from edges.to_batches()
+            yield from _edges(nodes, connect(n, tokens, number[: len(sig)], other[1], other[2], number[len(sig) :], len(nodes))).to_batches()
 
 
 PACKED = "cluster long, chunk int, sigs binary, sizes binary, tokens binary"

@@ -2,17 +2,21 @@
 
 A small network is fitted with the non-negative unbiased risk: trusted positives give the positive part, unlabelled
 web text minus the positives' share (the class prior) gives the negative part, and where that part turns negative its
-gradient is reversed instead of being over-fitted.  No negative label is used to fit; labels of both kinds only
-estimate the class prior.
+gradient is reversed instead of being over-fitted.  Negative labels are used nowhere.  The class prior is estimated from
+positives and unlabelled text alone: a network told to tell the two apart is fitted on half of each, and on the other
+half the share of unlabelled text above a score, divided by that of positives, bounds the prior for every score; the
+score with the best bound by its confidence gives the estimate (``class_prior``).
 
 Labels are learned from rows whose crc32(doc_id as text) mod 3 is not 1.  Fitting takes the FIT_ROWS trusted positives
 and the FIT_ROWS other documents whose doc_id has the smallest hashes: a bound on what the driver gathers (features,
-not texts), whatever the table's size.  Every document is then scored where it lies, without a shuffle.  Scores depend
-on the text alone.
+not texts), whatever the table's size; a doc_id that repeats counts once there, with its smallest text.  Every document
+is then scored where it lies, without a shuffle.  Scores depend on the text alone: shares of character classes, of
+word and line shapes, and of words by the bucket that their hash falls into, so which words tell is learned.
 
 Defined results: a null text is empty, an empty text has features of its own and so a score; without any trusted
-positive all scores are the estimated prior (0.5 without labels); a row with a null doc_id is scored and not held
-out; repeated rows give repeated results; empty tables give no rows; further columns are ignored.
+positive all scores are 0.5; a row with a null doc_id is scored and not held out; repeated rows give repeated results;
+documents whose ids' hashes are equal are taken in the order of doc_id; empty tables give no rows; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -29,8 +33,8 @@ FIT_ROWS = 20_000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 24, 60, 512, 0.01, 1e-4
 #: The negative part may fall this far below 0 before its gradient is reversed.
 SLACK = 0.0
-#: Function words of the four languages whose share tells prose from lists.
-FUNCTION_WORDS = "the of and to a in that is it was for on with as be by de la le et les des en un du une que est pour qui dans par der die und den von zu das mit ist sich auf im el y los se del las no por con".split()
+#: Buckets of words, and epochs and confidence of the estimate of the class prior.
+BUCKETS, PRIOR_EPOCHS, DOUBT = 64, 30, 0.1
 
 _CLASSES = np.zeros(256, np.int64)  # 0: small letters and all else
 for _k, _chars in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\n\x0b\x0c\r", b".,;:'\"()-", b"!?", b"#*$%&<>", b"|"), start=1):
@@ -40,12 +44,6 @@ N_CLASSES = 9
 JUNK = np.isin(np.arange(N_CLASSES), (1, 2, 5, 6, 7))
 
 
-def _known() -> np.ndarray:
-    data = np.frombuffer(" ".join(FUNCTION_WORDS).encode(), np.uint8)
-    starts, ends, _ = ta.words(data, np.array([0, len(data)]))
-    return np.unique(ta.hashes(ta.prefix_sums(data, folded=True), starts, ends))
-
-
 def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """One row of numbers for each text."""
     n = len(offsets) - 1
@@ -57,7 +55,9 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     count = np.diff(bounds)
     owner = np.repeat(np.arange(n), count)
     per_word = lambda x: np.bincount(owner, weights=x, minlength=n) / np.maximum(count, 1)
-    h = ta.hashes(ta.prefix_sums(data, folded=True), starts, ends)
+    h = ta.range_hashes(data, starts, ends, folded=True)
+    place = owner * BUCKETS + (h % ta.U64(BUCKETS)).astype(np.int64)
+    buckets = np.bincount(place, minlength=n * BUCKETS).reshape(n, BUCKETS) / np.maximum(count, 1)[:, None]
     length = ends - starts
     again = np.zeros(len(h), bool)
     again[1:] = (h[1:] == h[:-1]) & (owner[1:] == owner[:-1])
@@ -78,7 +78,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     columns = [
         shares[:, 1:], np.log1p(1000 * shares[:, 1:]),
         per_word(length)[:, None] / 10, per_word(length > 15)[:, None], per_word(length <= 2)[:, None], per_word(again)[:, None],
-        per_word(np.isin(last, (5, 6, 7)))[:, None], per_word(np.isin(h, _known()))[:, None], kinds[:, None], fresh[:, None],
+        per_word(np.isin(last, (5, 6, 7)))[:, None], kinds[:, None], fresh[:, None], np.sqrt(buckets),
         bad_lines[:, None], worst[:, None], np.log1p(count)[:, None] / 10, (count < 10)[:, None], (size == 0)[:, None],
     ]
     return np.concatenate(columns, axis=1).astype(np.float64)
@@ -117,31 +117,66 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Network:
-    """Minimises prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)]) with the logistic loss l."""
+def loss(x: np.ndarray) -> np.ndarray:
+    """The logistic loss of a log-odds for the class that it speaks for."""
+    return np.logaddexp(0, -x)
+
+
+def risk_slope(g_p: np.ndarray, g_u: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)]), and what descent follows for
+    each output (positives first): its gradient, or where the second part is negative, the reverse of that part's."""
+    positive, negative = prior * loss(g_p).mean(), loss(-g_u).mean() - prior * loss(-g_p).mean()
+    slope = np.concatenate([-prior * sigmoid(g_p) / len(g_p), sigmoid(g_u) / len(g_u)])
+    if negative < -SLACK:
+        return float(positive), -slope
+    slope[: len(g_p)] -= prior * sigmoid(-g_p) / len(g_p)
+    return float(positive + max(negative, 0)), slope
+
+
+def _descend(positive: np.ndarray, unlabelled: np.ndarray, epochs: int, slope_of) -> Network:
     scale = unlabelled.std(0)
     net = Network(positive.shape[1], unlabelled.mean(0), np.where(scale > 1e-9, scale, 1))
     rng = np.random.Generator(np.random.PCG64(11))
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
         p_order, u_order = rng.permutation(len(positive)), rng.permutation(len(unlabelled))
         for at in range(0, len(u_order), BATCH):
             u = unlabelled[u_order[at : at + BATCH]]
             p = positive[np.take(p_order, range(at, at + BATCH), mode="wrap")]
             z, hidden, out = net.forward(np.concatenate([p, u]))
-            g_p, g_u = out[: len(p)], out[len(p) :]
-            loss = lambda x: np.logaddexp(0, -x)
-            negative = loss(-g_u).mean() - prior * loss(-g_p).mean()
-            slope_p = -prior * sigmoid(-g_p) / len(p)
-            slope_negative = np.concatenate([-prior * sigmoid(g_p) / len(p), sigmoid(g_u) / len(u)])
-            if negative >= -SLACK:
-                slope = slope_negative
-                slope[: len(p)] += slope_p
-            else:
-                slope = -slope_negative
-            net.step(z, hidden, slope)
+            net.step(z, hidden, slope_of(out[: len(p)], out[len(p) :]))
     return net
 
 
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Network:
+    """Minimises the non-negative unbiased risk."""
+    return _descend(positive, unlabelled, EPOCHS, lambda g_p, g_u: risk_slope(g_p, g_u, prior)[1])
+
+
+def prior_from_scores(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The best bound on the positives' share among the unlabelled, from scores of both.
+
+    Above a score stand q_p of the positives and q_u of the unlabelled; as all positives among the latter count in q_u,
+    the share is q_u / q_p at most.  The score is taken where that bound plus its error (with probability 1 - DOUBT, by
+    the deviation of empirical shares) is least.
+    """
+    steps = np.unique(positive)
+    q_p = 1 - np.searchsorted(np.sort(positive), steps) / len(positive)
+    q_u = 1 - np.searchsorted(np.sort(unlabelled), steps) / len(unlabelled)
+    error = sum(np.sqrt(np.log(4 / DOUBT) / (2 * len(x))) for x in (positive, unlabelled))
+    return float((q_u / q_p)[np.argmin((q_u + error) / q_p)])
+
+
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The estimated share of positives among the unlabelled, between 0.01 and 0.99."""
+    def plain(g_p: np.ndarray, g_u: np.ndarray) -> np.ndarray:
+        return np.concatenate([-sigmoid(-g_p) / len(g_p), sigmoid(g_u) / len(g_u)])
+
+    if min(len(positive), len(unlabelled)) < 2:
+        return 0.5
+    net = _descend(positive[::2], unlabelled[::2], PRIOR_EPOCHS, plain)
+    return min(max(prior_from_scores(net.forward(positive[1::2])[2], net.forward(unlabelled[1::2])[2]), 0.01), 0.99)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
@@ -157,25 +192,24 @@ def _featured(docs: DataFrame) -> DataFrame:
 def _gather(docs: DataFrame, ids: DataFrame) -> np.ndarray:
     """Features of the FIT_ROWS documents of ``ids`` with the smallest hashes, in the order of doc_id."""
     chosen = ids.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
-    rows = _featured(docs.join(F.broadcast(chosen), "doc_id", "left_semi")).orderBy("doc_id", "x").limit(2 * FIT_ROWS).collect()
-    return np.array([x.x for x in rows], np.float64)
+    once = docs.join(F.broadcast(chosen), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    rows = _featured(once).collect()  # FIT_ROWS at most
+    return np.array([x.x for x in sorted(rows, key=lambda x: x.doc_id)], np.float64)
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = labels.where(~held_out(F.col("doc_id"))).where("quality IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
-    prior = known.agg(F.avg("quality")).first()[0]
-    prior = 0.5 if prior is None else float(prior)
-    positive = _gather(docs, known.where("quality = 1"))
-    net = None
+    trusted = labels.where(~held_out(F.col("doc_id"))).where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id"))
+    positive, net = _gather(docs, trusted), None
     if len(positive):
-        net = fit(positive, _gather(docs, docs.where(~held_out(F.col("doc_id"))).select("doc_id")), min(max(prior, 0.01), 0.99))
+        unlabelled = _gather(docs, docs.where(~held_out(F.col("doc_id"))).select("doc_id"))
+        net = fit(positive, unlabelled, class_prior(positive, unlabelled))
 
     def run(batches):
         for rows, data, offsets in ta.pieces(batches, "text"):
-            made = sigmoid(net.forward(features(data, offsets))[2]) if net else np.full(len(offsets) - 1, prior)
+            made = sigmoid(net.forward(features(data, offsets))[2]) if net else np.full(len(offsets) - 1, 0.5)
             yield pa.RecordBatch.from_pydict({"doc_id": rows.column("doc_id"), "score": made, "predicted": pa.array((made >= 0.5).astype(np.int32))})
 
     scored = docs.mapInArrow(run, "doc_id long, score double, predicted int")
@@ -186,5 +220,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-#: A fitted network has no counterpart in SQL; the tests measure held-out accuracy.
+#: A fitted network has no counterpart in SQL; the tests compare risk, gradient and prior with plain ones, and measure held-out accuracy.
 ORACLE_SQL = None

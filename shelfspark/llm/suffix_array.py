@@ -152,27 +152,38 @@ def suffix_array(s: np.ndarray, symbols: int = 256) -> np.ndarray:
     return _induce(s, small, order, symbols)
 
 
-def common_prefixes(s: np.ndarray, sa: np.ndarray, at: np.ndarray, most: int) -> np.ndarray:
-    """For each position of ``at``, the length (``most`` at most) of the common prefix of the suffix there and the one
-    before it in the suffix array: the common prefixes permuted to text order."""
+def common_prefixes(s: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
+    """For each position of ``s`` (16-bit symbols), the length (``most`` at most) of the common prefix of the suffix there
+    and the one before it in the suffix array: the common prefixes permuted to text order.
+
+    A length is carried on: where the symbols in front of both suffixes agree, it is one less than that of the position
+    before.  Only the others are compared, four symbols at a time; all their lengths together are n log n at most.
+    """
     n = len(s)
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
-    whole = np.concatenate([s.astype(np.uint8), np.zeros(8, np.uint8)])
-    words = np.ndarray((n + 1,), "<u8", whole, strides=(1,))  # eight bytes from each place on
-    other = before[at]
-    out = np.zeros(len(at), np.int64)
-    active = np.flatnonzero(other >= 0)
-    for k in range(0, most, 8):
-        x, y = at[active] + k, other[active] + k
+    carried = np.zeros(n, bool)
+    carried[1:] = (before[1:] > 0) & (s[np.arange(n - 1)] == s[before[1:] - 1])
+    own = np.flatnonzero(~carried)
+    # a length that is cut off here still reaches ``most`` at the last position that carries it on
+    reach = most + int(np.diff(np.append(own, n)).max(initial=0))
+    padded = np.concatenate([s.astype(np.uint16), np.zeros(4, np.uint16)])
+    words = np.ndarray((n + 1,), "<u8", padded, strides=(2,))  # four symbols from each place on
+    other = before[own]
+    length = np.zeros(len(own), np.int64)
+    active, k = np.flatnonzero(other >= 0), 0
+    while len(active) and k < reach:
+        x, y = own[active] + k, other[active] + k
         inside = np.maximum(x, y) < n
         active, x, y = active[inside], x[inside], y[inside]
-        if not len(active):
-            break
         differing = words[x] ^ words[y]
         low = (differing & (~differing + np.uint64(1))).astype(np.float64)
-        run = np.where(differing == 0, 8, np.log2(np.maximum(low, 1)).astype(np.int64) >> 3)
+        run = np.where(differing == 0, 4, np.log2(np.maximum(low, 1)).astype(np.int64) >> 4)
         run = np.minimum(run, n - np.maximum(x, y))
-        out[active] += run
-        active = active[run == 8]
-    return np.minimum(out, most)
+        length[active] += run
+        active, k = active[run == 4], k + 4
+    at = np.arange(n)
+    start = np.maximum.accumulate(np.where(carried, 0, at)) if n else at
+    whole = np.zeros(n, np.int64)
+    whole[own] = length
+    return np.minimum(whole[start] - (at - start), most)

@@ -14,8 +14,14 @@ where such strings can be, and equal strings always meet in one shard:
 3. The verdicts return to all places of a segment by a join, and the spans to their documents by another.
 
 An anchor with very many different segments (the edges of a passage that a large share of documents holds) would
-gather in one shard; its strings are sent one by one and spread by their own hashes.  Anchors, segments and single
-strings are matched by 64-bit hashes; the suffix arrays compare the bytes themselves.
+gather in one shard; its strings are sent one by one and spread by their own hashes (exact as well, and dearer, as each
+byte is then sent LENGTH times).  Anchors only choose places, so their collisions cost time.  Segments and single
+strings are matched by 64-bit hashes whose collisions are as rare for patterned texts as for others (``text_arrays``);
+the suffix arrays compare the bytes themselves.
+
+Slices of the anchors and shards of the segments are as many as the bytes of text call for, so the largest group stays
+the same size as the table grows.  The bitmaps have a fixed size (a bound for driver and broadcast): beyond some 10 GB
+of text they fill up and rule out less, which costs shuffle and no results.
 
 Defined results: a null text is empty; texts under LENGTH bytes keep all; repeated rows are places like any other, so
 rows with one text of LENGTH bytes or more lose all of it; a null doc_id is kept as such; empty tables give no rows;
@@ -45,6 +51,8 @@ FILTER_POWER = 26
 CROWDED, CROWDED_IN_BLOCK = 4096, 4
 #: Bytes of text in a block of rows, and those that are hashed at a time.
 BLOCK_BYTES, SCAN_BYTES = 8 << 20, 1 << 20
+#: Bytes of text for each slice of the anchors and each shard of the segments.
+SLICE_TEXT, SHARD_TEXT = 32 << 20, 8 << 20
 U64 = ta.U64
 
 
@@ -52,9 +60,8 @@ def _runs(data: np.ndarray, offsets: np.ndarray):
     """(first, last, anchor hash, segment hash) of the runs of string starts that have one anchor, by pieces of a bounded size."""
     for base in range(0, max(0, len(data) - LENGTH + 1), SCAN_BYTES):
         part = data[base : base + SCAN_BYTES + LENGTH - 1]
-        sums = ta.prefix_sums(part)
         n, width = len(part) - ANCHOR + 1, LENGTH - ANCHOR + 1
-        grams = ta.hashes(sums, np.arange(n), np.arange(n) + ANCHOR)
+        grams = ta.window_hashes(part, ANCHOR)
         low = U64((1 << int(n).bit_length()) - 1)
         keys = (grams & ~low) | np.arange(n, dtype=U64)  # the leftmost of equal hashes
         padded = np.full(-(-n // width) * width, ~U64(0))
@@ -71,7 +78,7 @@ def _runs(data: np.ndarray, offsets: np.ndarray):
         ends = inside.copy()
         ends[:-1] &= (anchor[1:] != anchor[:-1]) | ~inside[1:]
         first, last = np.flatnonzero(begins), np.flatnonzero(ends)
-        yield base + first, base + last, grams[anchor[first]], ta.hashes(sums, first, last + LENGTH)
+        yield base + first, base + last, grams[anchor[first]], ta.range_hashes(part, first, last + LENGTH)
 
 
 def _all_runs(data: np.ndarray, offsets: np.ndarray):
@@ -191,6 +198,7 @@ def _segments(bitmaps, shards: int):
     """Each distinct segment of a block once, with the number of its places there, packed by shard."""
 
     def run(batches):
+        packer = zstandard.ZstdCompressor(level=1)
         for _, data, offsets in ta.pieces(batches, "text", BLOCK_BYTES):
             first, last, anchors, segments = _candidates(data, offsets, bitmaps, False)
             keys, at, places = np.unique(segments, return_index=True, return_counts=True)
@@ -205,7 +213,7 @@ def _segments(bitmaps, shards: int):
                     "keys": pa.array([keys[o].tobytes() for _, o in rows], pa.binary()),
                     "places": pa.array([places[o].astype(np.int64).tobytes() for _, o in rows], pa.binary()),
                     "lengths": pa.array([n.tobytes() for _, n in spans], pa.binary()),
-                    "bytes": pa.array([zstandard.compress(data[ta.ragged(s, n)].tobytes(), 1) for s, n in spans], pa.binary()),
+                    "bytes": pa.array([packer.compress(data[ta.ragged(s, n)].tobytes()) for s, n in spans], pa.binary()),
                 }
             )
 
@@ -220,16 +228,14 @@ def repeated_strings(data: np.ndarray, lengths: np.ndarray, places: np.ndarray)
     text[ta.ragged(begin, lengths)] = data.astype(np.uint16) + np.uint16(1)
     sa = suffix_array(text, 257)
     at = ta.ragged(begin, starts_in)
-    # a string of LENGTH bytes in a segment has no separator, so bytes can be compared without them
-    raw = (np.maximum(text, 1) - 1).astype(np.uint8)
+    # only strings that fit into their segment: LENGTH symbols of another suffix then have no separator either
     usable = np.zeros(len(text), bool)
     usable[at] = True
-    sa = sa[usable[sa]]
+    prefix = common_prefixes(text, sa, LENGTH)[sa] >= LENGTH
     shared = np.zeros(len(text), bool)
-    prefix = common_prefixes(raw, sa, sa, LENGTH) >= LENGTH
     shared[sa[prefix]] = True
     shared[sa[:-1][prefix[1:]]] = True
-    return shared[at] | np.repeat(places > 1, starts_in)
+    return (shared & usable)[at] | np.repeat(places > 1, starts_in)
 
 
 def _verdicts(table: pa.Table) -> pa.Table:
@@ -314,8 +320,8 @@ def _power_of_two(n: int) -> int:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, row, spans (array of begin, end in bytes, not merged) of the rows of ``docs`` (doc_id, row, text) that have any."""
     spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slices = min(_power_of_two(partitions), 1 << 16)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    slices, shards = (min(_power_of_two(-(-size // each)), 1 << 20) for each in (SLICE_TEXT, SHARD_TEXT))
     counted = docs.select("text").mapInArrow(_count_anchors(slices), "slice int, anchors binary, segments binary, twice binary")
     counted = cut(counted.groupBy("slice").applyInArrow(_add_anchors(slices), COUNTED))
     by_slice = {x["slice"]: x for x in counted.select("slice", *MAPS).collect()}  # bitmaps: of a fixed size together
@@ -323,22 +329,21 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     bitmaps = spark.sparkContext.broadcast(
         tuple(b"".join(bytes(by_slice[k][c]) if k in by_slice else empty for k in range(slices)) for c in MAPS)
     )
-    shards = 2 * slices
     verdict = "key long, first long, last long"
     segments = docs.select("text").mapInArrow(_segments(bitmaps, shards), "shard int, keys binary, places binary, lengths binary, bytes binary")
     verdicts = segments.groupBy("shard").applyInArrow(_verdicts, verdict)
     verdicts = cut(verdicts.union(counted.select("copies").mapInArrow(_unpack, verdict)))
     places = docs.mapInArrow(_places(bitmaps), "key long, doc_id long, row long, at long, size int")
     last = F.when(F.col("last") < 0, F.col("size")).otherwise(F.col("last"))
-    span = F.struct((F.col("at") + F.col("first")).alias("a"), (F.col("at") + last + LENGTH).alias("b"))
-    spans = places.join(verdicts, "key").select("doc_id", "row", span.alias("span"))
-    return cut(spans.groupBy("doc_id", "row").agg(F.collect_list("span").alias("spans")))
+    spans = places.join(verdicts, "key").select("doc_id", "row", (F.col("at") + F.col("first")).alias("a"), (F.col("at") + last + LENGTH).alias("b"))
+    # rows that are alike in id and text give the same spans: once is enough, however many they are
+    spans = spans.groupBy("doc_id", "row", "a").agg(F.max("b").alias("b"))
+    return cut(spans.groupBy("doc_id", "row").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
 
 
 def row_of(docs: DataFrame) -> Column:
-    """Tells rows with one doc_id apart by their texts: 32 bits of a hash, all 64 if there is no doc_id."""
-    whole = F.xxhash64(docs["text"])
-    return F.when(docs["doc_id"].isNull(), whole).otherwise(whole.bitwiseAND(F.lit(0xFFFFFFFF)))
+    """Tells rows with one doc_id apart by their texts."""
+    return F.xxhash64(docs["text"])
 
 
 def dedup_substrings(docs: DataFrame, whole: bool = False, carried: tuple[str, ...] = ()) -> DataFrame:

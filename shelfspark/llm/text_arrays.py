@@ -1,13 +1,19 @@
-r"""Hashes of words and of byte windows for many texts at once, in numpy on Arrow's own buffers.
+r"""Hashes of words and of byte ranges for many texts at once, in numpy on Arrow's own buffers.
 
-A hash of bytes [a, b) is a difference of prefix sums of random byte values times powers of an odd number, modulo
-2^64, moved to position 0 by the inverse power and mixed; so equal strings have equal hashes wherever they stand.
-Hashes have 64 bits: different strings are taken as equal with a probability of about 2^-60 for each comparison.
+A range is hashed as a polynomial in its bytes modulo the prime 2^61 - 1, at a fixed base, and mixed.  Two different
+ranges of n bytes agree for n bases at most of all 2^61, so texts that were not made against this base are taken as
+equal with a probability of n / 2^61 for each comparison, whatever pattern they have.  Equal ranges have equal hashes
+wherever they stand.
+
+``window_hashes`` is a cheaper kind, modulo 2^64, for windows of one width.  Strings that collide in it are easily
+made (it is no evidence of equality); it serves to choose places that equal strings choose alike.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +24,15 @@ from shelfspark.llm.storage import release
 U64 = np.uint64
 #: Bytes of text that are worked on at a time; a longer text is taken whole where its words are needed together.
 PIECE_BYTES = 2 << 20
-BASE = 0x9E3779B97F4A7C15 | 1
+PRIME, BASE = (1 << 61) - 1, 0x15F4A7C39E3779B9
+#: Bytes that are hashed at a time; a longer range is hashed by blake2b.
+CHUNK = 1 << 20
+WINDOW_BASE = 0x9E3779B97F4A7C15 | 1
+_ORDERS = np.arange(1, 257, dtype=U64)
+_FOLDED = _ORDERS.copy()
+_FOLDED[ord("A") : ord("Z") + 1] = _ORDERS[ord("a") : ord("z") + 1]
 _VALUES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
-_FOLDED = _VALUES.copy()
-_FOLDED[ord("A") : ord("Z") + 1] = _VALUES[ord("a") : ord("z") + 1]
-_powers: list[np.ndarray] = [np.empty(0, U64), np.empty(0, U64)]
+_window_powers: list[np.ndarray] = [np.empty(0, U64), np.empty(0, U64)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,25 +41,65 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _power(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        n = max(n, PIECE_BYTES + (1 << 16))
-        for k, base in enumerate((BASE, pow(BASE, -1, 2**64))):
+def _multiply(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """x * y modulo PRIME, of numbers below it, in halves of 31 and 30 bits."""
+    half, low = U64(31), U64((1 << 31) - 1)
+    x0, x1, y0, y1 = x & low, x >> half, y & low, y >> half
+    middle = x1 * y0 + x0 * y1
+    total = (x1 * y1 << U64(1)) + (middle >> U64(30)) + ((middle & U64((1 << 30) - 1)) << half) + x0 * y0
+    total = (total & U64(PRIME)) + (total >> U64(61))
+    return np.where(total >= PRIME, total - U64(PRIME), total)
+
+
+@lru_cache(1)
+def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Powers of BASE below CHUNK, as their low 31 and high 30 bits, and of its inverse."""
+    made = []
+    for base in (BASE, pow(BASE, -1, PRIME)):
+        powers, k = np.ones(CHUNK, U64), 1
+        while k < CHUNK:
+            powers[k : 2 * k] = _multiply(powers[:k], np.full(k, pow(base, k, PRIME), U64))
+            k *= 2
+        made.append(powers)
+    return (made[0] & U64((1 << 31) - 1)).astype(np.uint32), (made[0] >> U64(31)).astype(np.uint32), made[1]
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, folded: bool = False) -> np.ndarray:
+    """Hashes of the byte ranges from starts to ends, both in increasing order; folded: A-Z count as a-z."""
+    low, high, inverse = _powers()
+    order = _FOLDED if folded else _ORDERS
+    out = np.empty(len(starts), U64)
+    i = 0
+    while i < len(starts):
+        base = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, base + CHUNK, side="right")))
+        values = order[data[base : int(ends[j - 1])]]
+        if len(values) > CHUNK:  # one range
+            out[i] = int.from_bytes(hashlib.blake2b((values - U64(1)).astype(np.uint8).tobytes(), digest_size=8).digest(), "little")
+        else:
+            a, b = starts[i:j] - base, ends[i:j] - base
+            sums = np.zeros(len(values) + 1, U64)
+            np.cumsum(values * high[: len(values)], out=sums[1:])
+            upper = sums[b] - sums[a]  # below 2^58, times 2^31
+            np.cumsum(values * low[: len(values)], out=sums[1:])
+            total = sums[b] - sums[a] + ((upper & U64((1 << 30) - 1)) << U64(31)) + (upper >> U64(30))
+            total = (total & U64(PRIME)) + (total >> U64(61))
+            out[i:j] = mix(_multiply(np.where(total >= PRIME, total - U64(PRIME), total), inverse[a]))
+        i = j
+    return out
+
+
+def window_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """A number for the ``width`` bytes from each place on, the same for equal bytes."""
+    n = len(data)
+    if len(_window_powers[0]) < n:
+        for k, base in enumerate((WINDOW_BASE, pow(WINDOW_BASE, -1, 2**64))):
             steps = np.full(n, base, U64)
             steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers
-
-
-def prefix_sums(data: np.ndarray, folded: bool = False) -> np.ndarray:
-    """One more than ``data``; folded: A-Z count as a-z."""
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum((_FOLDED if folded else _VALUES)[data] * _power(len(data))[0][: len(data)], out=sums[1:])
-    return sums
-
-
-def hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return mix((sums[ends] - sums[starts]) * _power(len(sums))[1][starts])
+            _window_powers[k] = np.multiply.accumulate(steps)
+    sums = np.zeros(n + 1, U64)
+    np.cumsum(_VALUES[data] * _window_powers[0][:n], out=sums[1:])
+    return mix((sums[width:] - sums[: n + 1 - width]) * _window_powers[1][: n + 1 - width])
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text: str, size: int = PIECE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -85,7 +135,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(text number, hash) of every word shingle, A-Z folded; a text with fewer words has its whole sequence as one."""
     starts, ends, bounds = words(data, offsets)
-    h = hashes(prefix_sums(data, folded=True), starts, ends)
+    h = range_hashes(data, starts, ends, folded=True)
     n = np.diff(bounds)
     made, text = [], []
     for size in range(1, width + 1):

@@ -1,6 +1,9 @@
 import random
 
+import numpy as np
+
 from shelfspark.llm import ngram_join
+from shelfspark.llm import text_arrays as ta
 from shelfspark.llm.components import components
 from tests.llm.util import FOLD, docs, words
 
@@ -68,6 +71,60 @@ def test_several_blocks_and_long_lists(spark, tmp_path, monkeypatch):
     check(spark, tmp_path, corpus(2))
 
 
+def twisted(n):
+    """The Thue-Morse word of n letters and its complement: polynomials modulo powers of two take them for equal."""
+    bits = [bin(k).count("1") & 1 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_collide_modulo_powers_of_two(spark, tmp_path):
+    one, two = twisted(4096)
+    check(spark, tmp_path, [(1, one), (2, two), (3, f"x {one} y z v w"), (4, f"x {two} y z v w"), (5, one)])
+
+
+def test_hashes_of_ranges():
+    rng = np.random.default_rng(2)
+    data = rng.integers(97, 99, 3_000_000).astype(np.uint8)
+    starts = np.sort(rng.integers(0, 1_500_000, 5000))
+    ends = starts + 12
+    by = {}
+    for s, h in zip(starts.tolist(), ta.range_hashes(data, starts, ends).tolist(), strict=True):
+        by.setdefault(bytes(data[s : s + 12]), set()).add(h)
+    assert all(len(x) == 1 for x in by.values()) and len(set.union(*by.values())) == len(by)
+    long = np.concatenate([data[:1_200_000], data[:1_200_000], data[:600_000]])
+    bounds = np.array([0, 1_200_000, 2_400_000, 3_000_000])
+    got = ta.range_hashes(long, bounds[:-1], bounds[1:])
+    assert got[0] == got[1] != got[2] and ta.range_hashes(data, bounds[2:3], bounds[3:4]) != ta.range_hashes(long, bounds[2:3], bounds[3:4])
+    upper = np.frombuffer(b"ABCabc", np.uint8)
+    a, b = np.array([0, 3]), np.array([3, 6])
+    assert len(set(ta.range_hashes(upper, a, b, folded=True))) == 1 and len(set(ta.range_hashes(upper, a, b))) == 2
+
+
+def test_merging_and_skipping():
+    """The overlap search alone, against all pairs."""
+    rng = random.Random(6)
+    for bound in (0, 1, 3, 100):
+        base = rng.sample(range(60), 40)
+        sets = [sorted({x if rng.random() < 0.93 else rng.randrange(60, 99) for x in base[: rng.choice([5, 30, 36, 40])]}) for _ in range(40)]
+        flat, n = np.array([x for s in sets for x in s], np.uint64), np.array([len(s) for s in sets])
+        was, ngram_join.LONG_LIST = ngram_join.LONG_LIST, bound
+        label = ngram_join.connect(n, flat, np.arange(40), n, flat, np.arange(40), 40)
+        ngram_join.LONG_LIST = was
+        links = [(i, j) for i in range(40) for j in range(i) if 4 * len(set(sets[i]) & set(sets[j])) >= 3 * len(set(sets[i]) | set(sets[j]))]
+        want = ta.forest(40, *(np.array(x, np.int64) for x in zip(*links, strict=True)))
+        assert len(links) > 20 and all((label[i] == label[j]) == (want[i] == want[j]) for i in range(40) for j in range(40))
+    found, count = ngram_join.merge([np.array([1, 4, 9]), np.array([4]), np.array([0, 9])])
+    assert found.tolist() == [0, 1, 4, 9] and count.tolist() == [1, 1, 2, 2]
+
+
+def test_clashing_names_and_long_texts(spark, tmp_path):
+    rows = [(k, t, "t", "s", 1, 2, 3, "p") for k, t in [(1, "a b c d e f " * 20_000), (2, "a b c d e f " * 20_001), (3, "z " * 9)]]
+    path = str(tmp_path / "clash")
+    spark.createDataFrame(rows, "doc_id long, text string, tokens string, sig string, n_shingles long, component_id long, row long, part string").write.parquet(path)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(spark.read.parquet(path)).collect()}
+    assert got == {1: (6, 1), 2: (6, 1), 3: (1, 3)}
+
+
 def test_empty_table(spark, tmp_path):
     assert ngram_join.near_duplicates(docs(spark, tmp_path, [])).count() == 0
 

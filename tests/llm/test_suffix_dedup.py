@@ -5,6 +5,7 @@ import numpy as np
 
 from shelfspark.llm import suffix_dedup
 from shelfspark.llm.suffix_array import common_prefixes, suffix_array
+from tests.llm.test_near_duplicates import twisted
 from tests.llm.util import docs
 
 L = suffix_dedup.LENGTH
@@ -55,6 +56,31 @@ def test_crowded_anchors_and_small_pieces(spark, tmp_path, monkeypatch):
     assert run(spark, tmp_path, corpus()) == brute(corpus())
 
 
+def test_patterns_nul_bytes_and_many_shards(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SLICE_TEXT", 50)
+    monkeypatch.setattr(suffix_dedup, "SHARD_TEXT", 20)
+    one, two = twisted(4096)
+    rng = random.Random(3)
+    nul = "".join(rng.choice("\0\1a") for _ in range(350))
+    texts = [(1, one), (2, two), (3, "x" + one[:300]), (4, nul), (5, "b" + nul[40:330] + "\0\0"), (6, "\0" * 250), (None, nul[:260]), (6, "\0" * 250)]
+    assert run(spark, tmp_path, texts) == brute(texts)
+
+
+def test_rows_that_share_an_id_and_a_very_long_text(spark, tmp_path):
+    rng = random.Random(5)
+    say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    long, other = say(60_000), say(500)
+    texts = [(1, long), (1, other), (1, say(400)), (2, other[100:400] + say(200)), *[(3, long[1000:2000])] * 5]
+    assert run(spark, tmp_path, texts) == brute(texts)
+
+
+def test_clashing_names(spark, tmp_path):
+    path = str(tmp_path / "clash")
+    rows = [(k, "same text " * 40, "r", "s", 1, 2) for k in (1, 2)]
+    spark.createDataFrame(rows, "doc_id long, text string, row string, spans string, span_id long, n_bytes long").write.parquet(path)
+    assert [(r.n_bytes, r.n_removed) for r in suffix_dedup.dedup_substrings(spark.read.parquet(path)).collect()] == [(400, 400)] * 2
+
+
 def test_kept_text_is_text(spark, tmp_path):
     got = suffix_dedup.dedup_substrings(docs(spark, tmp_path, [(1, "é" * 150 + "tail"), (2, "é" * 150)]), whole=True).collect()
     assert {r.doc_id: r.kept_text for r in got} == {1: "tail", 2: ""}
@@ -74,7 +100,8 @@ def test_suffix_array_and_prefixes():
             assert list(sa) == sorted(range(len(s)), key=lambda i: s[i:])
         if not s:
             continue
-        p = common_prefixes(np.array(s, np.uint8), sa, np.arange(len(s)), 11)
+        p = common_prefixes(np.array(s, np.uint16), sa, 11)
+        assert len(p) == len(s)
         for r, i in enumerate(sa):
             n, j = 0, sa[r - 1]
             while r and i + n < len(s) and j + n < len(s) and s[i + n] == s[j + n]:

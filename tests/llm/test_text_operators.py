@@ -161,6 +161,41 @@ def test_decontamination_against_brute_force(spark, tmp_path):
     assert decontamination.find_matches(d.limit(0), bench).count() == 0 and decontamination.find_matches(d, bench.limit(0)).count() == 0
 
 
+def test_risk_against_plain_and_its_slope_against_differences():
+    rng = np.random.default_rng(4)
+    soft = lambda x: np.log(1 + np.exp(-x))
+    seen = set()
+    for prior, shift in ((0.3, 0.0), (0.9, 3.0), (0.9, -3.0), (0.05, 1.0)):
+        p, u = rng.normal(1, 1, 7), rng.normal(shift, 1, 9)
+
+        def parts(g, prior=prior):
+            return prior * soft(g[:7]).mean(), soft(-g[7:]).mean() - prior * soft(-g[:7]).mean()
+
+        g = np.concatenate([p, u])
+        positive, negative = parts(g)
+        risk, slope = quality_classifier.risk_slope(p, u, prior)
+        assert np.isclose(risk, positive + max(negative, 0))
+        aim = (lambda g: sum(parts(g))) if negative >= 0 else (lambda g: -parts(g)[1])  # noqa: B023
+        step = 1e-6 * np.eye(16)
+        assert np.allclose(slope, [(aim(g + e) - aim(g - e)) / 2e-6 for e in step], atol=1e-6)
+        seen.add(negative >= 0)
+    assert seen == {True, False}
+
+
+def test_prior_from_positives_and_unlabelled():
+    rng = np.random.default_rng(3)
+    for share in (0.2, 0.5, 0.9):
+        positive = rng.normal(2, 1, (2000, 3))
+        mixed = np.concatenate([rng.normal(2, 1, (int(3000 * share), 3)), rng.normal(-2, 1, (3000 - int(3000 * share), 3))])
+        assert abs(quality_classifier.class_prior(positive, rng.permutation(mixed)) - share) < 0.06
+    # by its definition: no score gives a smaller bound with its error
+    p, u = rng.normal(1, 1, 50), rng.normal(0, 1, 60)
+    error = sum(np.sqrt(np.log(40) / (2 * n)) for n in (50, 60))
+    bounds = [((u >= t).mean() + error, (p >= t).mean(), (u >= t).mean()) for t in p]
+    best = min(bounds, key=lambda x: x[0] / x[1])
+    assert np.isclose(quality_classifier.prior_from_scores(p, u), best[2] / best[1])
+
+
 def test_classifier_learns_from_positives(spark, tmp_path):
     rng = random.Random(2)
     vocabulary = "the of and to river stone house evening walked quietly, under trees. Then".split()
