@@ -50,7 +50,7 @@ FILTER_POWER = 26
 #: An anchor is crowded with so many different segments, and so many in a block on average.
 CROWDED, CROWDED_IN_BLOCK = 4096, 4
 #: Bytes of text in a block of rows, and those that are hashed at a time.
-BLOCK_BYTES, SCAN_BYTES = 8 << 20, 1 << 20
+BLOCK_BYTES, SCAN_BYTES = 8 << 20, 1 << 18
 #: Bytes of text for each slice of the anchors and each shard of the segments.
 SLICE_TEXT, SHARD_TEXT = 32 << 20, 8 << 20
 U64 = ta.U64

@@ -26,7 +26,7 @@ U64 = np.uint64
 PIECE_BYTES = 2 << 20
 PRIME, BASE = (1 << 61) - 1, 0x15F4A7C39E3779B9
 #: Bytes that are hashed at a time; a longer range is hashed by blake2b.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 WINDOW_BASE = 0x9E3779B97F4A7C15 | 1
 _ORDERS = np.arange(1, 257, dtype=U64)
 _FOLDED = _ORDERS.copy()
