@@ -10,6 +10,12 @@ import numpy as np
 
 #: From so many symbols on, buckets are too many to scan one by one and the order is found by doubling.
 MANY_SYMBOLS = 4096
+#: Positions that are looked at together where the whole text would take much memory.
+PIECE = 1 << 18
+
+
+def _index_type(n: int) -> type:
+    return np.int32 if n < 1 << 31 else np.int64
 
 
 def _types(s: np.ndarray) -> np.ndarray:
@@ -26,7 +32,7 @@ def _induce(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, symbols: int) -
     n = len(s)
     counts = np.bincount(s, minlength=symbols)
     heads = np.concatenate([[0], np.cumsum(counts)])
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, _index_type(n))
 
     def place(new: np.ndarray, filled: np.ndarray, forward: bool) -> None:
         """Puts suffixes into their buckets, at the front or at the back, keeping their order."""
@@ -46,7 +52,7 @@ def _induce(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, symbols: int) -
     ordered = seeds[np.argsort(s[seeds], kind="stable")]
     front = heads[:-1].copy()
     if not small[n - 1]:
-        place(np.array([n - 1]), front, True)  # what the sentinel induces
+        place(np.array([n - 1], sa.dtype), front, True)  # what the sentinel induces
     done = heads[:-1].copy()
     for c in np.flatnonzero(counts):
         while done[c] < front[c]:
@@ -120,7 +126,7 @@ def suffix_array(s: np.ndarray, symbols: int = 256) -> np.ndarray:
     if symbols > MANY_SYMBOLS:
         return _by_doubling(s)
     small = _types(s)
-    left = np.flatnonzero(small[1:] & ~small[:-1]) + 1  # leftmost S suffixes
+    left = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(_index_type(n))  # leftmost S suffixes
     if not len(left):
         return _induce(s, small, left, symbols)
     order = _induce(s, small, left, symbols)
@@ -128,9 +134,9 @@ def suffix_array(s: np.ndarray, symbols: int = 256) -> np.ndarray:
     is_left[left] = True
     order = order[is_left[order]]
     # name the leftmost-smaller substrings: each reaches to the next one's first symbol
-    number = np.zeros(n, np.int64)
+    number = np.zeros(n, _index_type(n))
     number[left] = np.arange(len(left))
-    length = np.diff(np.append(left, n))
+    length = np.diff(np.append(left, n)).astype(left.dtype)
     a, b = order[:-1], order[1:]
     size = length[number[a]]
     equal = size == length[number[b]]
@@ -144,9 +150,10 @@ def suffix_array(s: np.ndarray, symbols: int = 256) -> np.ndarray:
         active = active[same & (k < size[active])]
         k += 1
     name = np.concatenate([[0], np.cumsum(~equal)])
-    reduced = np.empty(len(left), np.int64)
+    reduced = np.empty(len(left), _index_type(n))
     reduced[number[order]] = name
     top = int(name[-1]) + 1
+    del is_left, number, length, a, b, size, equal, ends, name  # before the recursion
     if top < len(left):
         order = left[suffix_array(reduced, top)]
     return _induce(s, small, order, symbols)
@@ -160,30 +167,32 @@ def common_prefixes(s: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     before.  Only the others are compared, four symbols at a time; all their lengths together are n log n at most.
     """
     n = len(s)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, sa.dtype)
     before[sa[1:]] = sa[:-1]
     carried = np.zeros(n, bool)
-    carried[1:] = (before[1:] > 0) & (s[np.arange(n - 1)] == s[before[1:] - 1])
+    for i in range(1, n, PIECE):
+        x = before[i : i + PIECE]
+        carried[i : i + PIECE] = (x > 0) & (s[i - 1 : i - 1 + len(x)] == s[x - 1])
     own = np.flatnonzero(~carried)
     # a length that is cut off here still reaches ``most`` at the last position that carries it on
     reach = most + int(np.diff(np.append(own, n)).max(initial=0))
     padded = np.concatenate([s.astype(np.uint16), np.zeros(4, np.uint16)])
     words = np.ndarray((n + 1,), "<u8", padded, strides=(2,))  # four symbols from each place on
-    other = before[own]
-    length = np.zeros(len(own), np.int64)
-    active, k = np.flatnonzero(other >= 0), 0
-    while len(active) and k < reach:
-        x, y = own[active] + k, other[active] + k
-        inside = np.maximum(x, y) < n
-        active, x, y = active[inside], x[inside], y[inside]
-        differing = words[x] ^ words[y]
-        low = (differing & (~differing + np.uint64(1))).astype(np.float64)
-        run = np.where(differing == 0, 4, np.log2(np.maximum(low, 1)).astype(np.int64) >> 4)
-        run = np.minimum(run, n - np.maximum(x, y))
-        length[active] += run
-        active, k = active[run == 4], k + 4
-    at = np.arange(n)
-    start = np.maximum.accumulate(np.where(carried, 0, at)) if n else at
-    whole = np.zeros(n, np.int64)
-    whole[own] = length
-    return np.minimum(whole[start] - (at - start), most)
+    length = np.zeros(len(own), sa.dtype)
+    for i in range(0, len(own), PIECE):
+        here, other = own[i : i + PIECE], before[own[i : i + PIECE]].astype(np.int64)
+        active, k = np.flatnonzero(other >= 0), 0
+        while len(active) and k < reach:
+            x, y = here[active] + k, other[active] + k
+            inside = np.maximum(x, y) < n
+            active, x, y = active[inside], x[inside], y[inside]
+            differing = words[x] ^ words[y]
+            low = (differing & (~differing + np.uint64(1))).astype(np.float64)
+            run = np.where(differing == 0, 4, np.log2(np.maximum(low, 1)).astype(np.int64) >> 4)
+            run = np.minimum(run, n - np.maximum(x, y))
+            length[i + active] += run.astype(sa.dtype)
+            active, k = active[run == 4], k + 4
+    del before, carried
+    whole = np.repeat((length + own).astype(sa.dtype), np.diff(np.append(own, n)))
+    whole -= np.arange(n, dtype=sa.dtype)
+    return np.minimum(whole, most, out=whole)

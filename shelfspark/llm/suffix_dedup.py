@@ -226,16 +226,15 @@ def repeated_strings(data: np.ndarray, lengths: np.ndarray, places: np.ndarray)
     begin = np.cumsum(lengths + 1) - lengths - 1
     text = np.zeros(int((lengths + 1).sum()), np.uint16)  # symbol 0 separates, bytes are 1 to 256
     text[ta.ragged(begin, lengths)] = data.astype(np.uint16) + np.uint16(1)
+    del data
     sa = suffix_array(text, 257)
-    at = ta.ragged(begin, starts_in)
-    # only strings that fit into their segment: LENGTH symbols of another suffix then have no separator either
-    usable = np.zeros(len(text), bool)
-    usable[at] = True
-    prefix = common_prefixes(text, sa, LENGTH)[sa] >= LENGTH
+    prefix = (common_prefixes(text, sa, LENGTH) >= LENGTH)[sa]
     shared = np.zeros(len(text), bool)
     shared[sa[prefix]] = True
     shared[sa[:-1][prefix[1:]]] = True
-    return (shared & usable)[at] | np.repeat(places > 1, starts_in)
+    del sa, prefix
+    # only strings that fit into their segment: LENGTH symbols of another suffix then have no separator either
+    return shared[ta.ragged(begin, starts_in)] | np.repeat(places > 1, starts_in)
 
 
 def _verdicts(table: pa.Table) -> pa.Table:
@@ -246,14 +245,21 @@ def _verdicts(table: pa.Table) -> pa.Table:
     places = np.bincount(number, weights=columns["places"]).astype(np.int64)
     lengths = columns["lengths"][at]
     begin = np.cumsum(columns["lengths"]) - columns["lengths"]
-    hit = repeated_strings(columns["bytes"][ta.ragged(begin[at], lengths)], lengths, places)
+    data = columns.pop("bytes")
+    data = data[ta.ragged(begin[at], lengths)]
+    hit = repeated_strings(data, lengths, places)
+    del data
     starts_in = lengths - LENGTH + 1
-    owner = np.repeat(np.arange(len(keys)), starts_in)
-    within = ta.ragged(np.zeros(len(keys), np.int64), starts_in)
+    base = np.cumsum(starts_in) - starts_in
+    edge = np.zeros(len(hit) + 1, bool)
+    edge[base] = True
+    edge[-1] = True
     begins, ends = hit.copy(), hit.copy()
-    begins[1:] &= ~hit[:-1] | (owner[1:] != owner[:-1])
-    ends[:-1] &= ~hit[1:] | (owner[1:] != owner[:-1])
-    return pa.table({"key": keys[owner[begins]], "first": within[begins], "last": within[ends]})
+    begins[1:] &= ~hit[:-1] | edge[1:-1]
+    ends[:-1] &= ~hit[1:] | edge[1:-1]
+    begins, ends = np.flatnonzero(begins), np.flatnonzero(ends)
+    owner = np.searchsorted(base, begins, side="right") - 1
+    return pa.table({"key": keys[owner], "first": begins - base[owner], "last": ends - base[owner]})
 
 
 def _places(bitmaps):

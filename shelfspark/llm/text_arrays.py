@@ -162,8 +162,9 @@ def distinct(text: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray,
 
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The positions start, start + 1, ... of each range, one range after the other."""
-    before = np.cumsum(counts) - counts
-    return np.repeat(starts - before, counts) + np.arange(int(counts.sum()))
+    places = np.repeat(starts - (np.cumsum(counts) - counts), counts)
+    places += np.arange(len(places))
+    return places
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
