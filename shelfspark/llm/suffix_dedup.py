@@ -11,7 +11,8 @@ where such strings can be, and equal strings always meet in one shard:
 2. The segments of these anchors go to shards by anchor, each distinct segment of a block of rows once.  A shard's
    segments are made distinct, joined with separators, and their suffixes sorted by induced sorting
    (``suffix_array``); the permuted common prefixes say which strings stand elsewhere too.
-3. The verdicts return to all places of a segment by a join, and the spans to their documents by another.
+3. The verdicts return to all places of a segment by a join, and the spans to their documents by another.  Places whose
+   segment has no verdict stay out of the join by a bitmap of the verdicts' keys, of a fixed size too.
 
 An anchor with very many different segments (the edges of a passage that a large share of documents holds) would
 gather in one shard; its strings are sent one by one and spread by their own hashes (exact as well, and dearer, as each
@@ -47,6 +48,8 @@ from shelfspark.llm.suffix_array import common_prefixes, suffix_array
 LENGTH, ANCHOR = 200, 100
 #: Anchors that the bitmap tells apart, as a power of two: 8 MB, for the broadcast and on the driver.
 FILTER_POWER = 26
+#: Fixed value: bits of one bitmap that Spark's bitmap_construct_agg makes.
+PAGE_BITS = 1 << 15
 #: An anchor is crowded with so many different segments, and so many in a block on average.
 CROWDED, CROWDED_IN_BLOCK = 4096, 4
 #: Bytes of text in a block of rows, and those that are hashed at a time.
@@ -262,12 +265,26 @@ def _verdicts(table: pa.Table) -> pa.Table:
     return pa.table({"key": keys[owner], "first": begins - base[owner], "last": ends - base[owner]})
 
 
-def _places(bitmaps):
-    """Where each segment stands that may have a verdict."""
+def _verdict_keys(verdicts: DataFrame) -> bytes:
+    """A bitmap of fixed size of the first FILTER_POWER bits of the keys that have a verdict."""
+    place = F.shiftrightunsigned("key", 64 - FILTER_POWER)
+    page = verdicts.groupBy(F.floor(place / PAGE_BITS).cast("int").alias("page")).agg(F.bitmap_construct_agg(place % PAGE_BITS).alias("bits"))
+    bitmap = bytearray((1 << FILTER_POWER) // 8)
+    for x in page.collect():
+        bitmap[x["page"] * PAGE_BITS // 8 : (x["page"] + 1) * PAGE_BITS // 8] = x["bits"]
+    return bytes(bitmap)
+
+
+def _places(bitmaps, judged):
+    """Where each segment stands that may have a verdict: of its anchor by the bitmaps, of its key by ``judged``."""
 
     def run(batches):
+        keys = np.frombuffer(judged.value, np.uint8)
         for rows, data, offsets in ta.pieces(batches, "text", BLOCK_BYTES):
             first, last, _, segments = _candidates(data, offsets, bitmaps, True)
+            place = (segments >> U64(64 - FILTER_POWER)).astype(np.int64)
+            use = (keys[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+            first, last, segments = first[use], last[use], segments[use]
             own = np.searchsorted(offsets, first, side="right") - 1
             take = pa.array(own)
             yield pa.RecordBatch.from_pydict(
@@ -339,7 +356,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     segments = docs.select("text").mapInArrow(_segments(bitmaps, shards), "shard int, keys binary, places binary, lengths binary, bytes binary")
     verdicts = segments.groupBy("shard").applyInArrow(_verdicts, verdict)
     verdicts = cut(verdicts.union(counted.select("copies").mapInArrow(_unpack, verdict)))
-    places = docs.mapInArrow(_places(bitmaps), "key long, doc_id long, row long, at long, size int")
+    judged = spark.sparkContext.broadcast(_verdict_keys(verdicts))
+    places = docs.mapInArrow(_places(bitmaps, judged), "key long, doc_id long, row long, at long, size int")
     last = F.when(F.col("last") < 0, F.col("size")).otherwise(F.col("last"))
     spans = places.join(verdicts, "key").select("doc_id", "row", (F.col("at") + F.col("first")).alias("a"), (F.col("at") + last + LENGTH).alias("b"))
     # rows that are alike in id and text give the same spans: once is enough, however many they are
