@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.functions.text import resolve_price
+from shelfspark.functions.text import is_blank, resolve_price
 from shelfspark.operators import consolidate as co
 from shelfspark.operators import diff as d
 from shelfspark.sources.tables import Store
@@ -64,11 +64,21 @@ def carry_images(catalog: DataFrame, incoming: DataFrame, key: str = "code") ->
     return joined.withColumns({"image_path": F.when(same, F.col("_path")).otherwise(""), "needs_image": ~same & (F.coalesce("image_url", F.lit("")) != "")}).drop("_url", "_path")
 
 
+def keep_images(catalog: DataFrame, incoming: DataFrame, key: str = "code") -> DataFrame:
+    """Incoming rows with the stored image_path and image_hash where the address is the same and they have none of their own."""
+    columns = [c for c in ("image_path", "image_hash") if c in catalog.columns and c in incoming.columns]
+    stored = catalog.select(key, F.col("image_url").alias("_url"), *[F.col(c).alias(f"_{c}") for c in columns])
+    same = F.col("image_url").eqNullSafe(F.col("_url"))
+    own = {c: F.when(same & is_blank(F.col(c)), F.coalesce(f"_{c}", c)).otherwise(F.col(c)) for c in columns}
+    return incoming.join(stored, key, "left").withColumns(own).select(*incoming.columns)
+
+
 def sync(catalog: DataFrame, occurrences: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(next catalog, change log, counts) from the stored catalog and a run's occurrences, as one lazy plan."""
     merged = co.consolidate(occurrences)
     incoming = grow_categories(catalog, to_catalog(merged))
     incoming = incoming.select(*[c for c in incoming.columns if c in catalog.columns])
+    incoming = keep_images(catalog, incoming)
     touched = d.snapshot_diff(catalog.join(incoming.select("code"), "code", "left_semi"), incoming)
     return upsert(catalog, incoming), d.change_log(catalog, incoming), d.status_counts(touched)
 

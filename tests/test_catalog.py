@@ -115,6 +115,14 @@ def test_images(spark):
     assert got == {"A": ("a.jpg", False), "B": ("", True), "C": ("", False)}
 
 
+def test_sync_keeps_images(spark):
+    stored = frame(spark, product("A", image="x", path="a.jpg"), product("B", image="x", path="b.jpg"))
+    rows = occurrences(spark, product("A", image="x"), product("B", image="y"), product("C", image="z", path="c.jpg"))
+    catalog, log, counts = sync.sync(stored, rows)
+    assert {r.code: r.image_path for r in catalog.collect()} == {"A": "a.jpg", "B": "", "C": "c.jpg"}
+    assert counts.first().image_changed == 1 and {r.code for r in log.where("field_name = 'image_path'").collect()} == {"B", "C"}
+
+
 def test_publish_is_all_or_nothing(spark, tmp_path):
     store, history = Store(spark, f"{tmp_path}/c"), f"{tmp_path}/h"
     first = frame(spark, product("A"))
