@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from shelfspark.llm import bpe, chat_format, decontamination, html_extract, ngram_join, quality_classifier, quality_rules, suffix_dedup, token_counts, url_filters
+from shelfspark.llm import bpe, chat_format, decontamination, html_extract, merkle, ngram_join, quality_classifier, quality_rules, suffix_dedup, token_counts, url_filters
 
 _MODULES = {
     "op1_html_extract": html_extract,
@@ -16,6 +16,7 @@ _MODULES = {
     "op8_token_counts": token_counts,
     "op9_url_filters": url_filters,
     "op10_decontamination": decontamination,
+    "op11_merkle_manifest": merkle,
 }
 
 
