@@ -114,24 +114,24 @@ def manifest(rows: DataFrame, *order: str) -> Manifest:
 
 def descend(records: list[DataFrame], starts: DataFrame, requests: DataFrame) -> DataFrame:
     """From each tree's root (starts: tree, digest, depth, path) to the leaves that are asked for (requests: tree, rank
-    and r, whatever is to come back): r, the leaf's digest, and the path with what was passed by on the way."""
+    and r, whatever is to come back): r, the leaf's digest, the tree's (origin), and the path with what was passed by."""
     step = lambda c: F.expr(f"{c} div {FAN}").alias("prefix")
     digit = lambda c: (F.col(c) % FAN).cast("int")
     wanted = [cut(requests.groupBy("tree", step("rank")).agg(F.collect_list(F.struct(digit("rank").alias("digit"), "r")).alias("next")))]
     for _ in records[1:]:
         wanted.append(cut(wanted[-1].groupBy("tree", step("prefix")).agg(F.collect_list(F.struct(digit("prefix").alias("digit"))).alias("next"))))
-    under_way = None
+    starts, under_way = starts.withColumn("origin", F.col("digest")), None
     for height in range(len(records), 0, -1):
-        own = starts.where(F.col("depth") == height).select("tree", F.lit(0).cast("long").alias("prefix"), "digest", "path")
+        own = starts.where(F.col("depth") == height).select("tree", F.lit(0).cast("long").alias("prefix"), "digest", "origin", "path")
         under_way = own if under_way is None else under_way.unionByName(own)
         met = under_way.join(wanted[height - 1], ["tree", "prefix"]).join(records[height - 1], "digest")
-        met = met.select("tree", "prefix", "path", "children", F.explode("next").alias("go"))
+        met = met.select("tree", "prefix", "origin", "path", "children", F.explode("next").alias("go"))
         left, right = F.substring("children", F.lit(1), WIDTH * F.col("go.digit")), F.expr(f"substring(children, {WIDTH} * (go.digit + 1) + 1)")
         passed = F.concat("path", F.array(F.struct(F.col("go.digit").alias("digit"), F.concat(left, right).alias("siblings"))))
         child = F.substring("children", WIDTH * F.col("go.digit") + 1, F.lit(WIDTH))
         named = [F.col("go.r").alias("r")] if height == 1 else ["tree", (F.col("prefix") * FAN + F.col("go.digit")).alias("prefix")]
-        under_way = cut(met.select(*named, child.alias("digest"), passed.alias("path")))
-    alone = starts.where("depth = 0").join(requests, "tree").select("r", "digest", "path")
+        under_way = cut(met.select(*named, child.alias("digest"), "origin", passed.alias("path")))
+    alone = starts.where("depth = 0").join(requests.where("rank = 0"), "tree").select("r", "digest", "origin", "path")
     return alone if under_way is None else under_way.unionByName(alone)
 
 
@@ -140,10 +140,9 @@ def prove(m: Manifest, requests: DataFrame) -> DataFrame:
     whole = m.root.select("tree", "digest", "depth", F.array().cast(PATH).alias("path"))
     named = m.trees.select("tree", "rank", F.struct("name", "depth").alias("r"))
     starts = descend(m.top, whole, named).select(F.col("r.name").alias("tree"), "digest", F.col("r.depth").alias("depth"), "path")
-    found = descend(m.records, cut(starts), requests.withColumn("r", F.struct("r", "tree")))
-    subroots = m.trees.select(F.col("name").alias("tree"), F.col("digest").alias("subroot"), F.lit("").alias("_all"))
-    tops = subroots.join(m.root.select(F.col("tree").alias("_all"), F.col("digest").alias("root")), "_all").drop("_all")
-    return found.select("r.r", F.col("r.tree").alias("tree"), "digest", "path").join(tops, "tree").select("r", "digest", "subroot", "root", "path")
+    root = m.root.first()  # one digest
+    found = descend(m.records, cut(starts), requests)
+    return found.select("r", "digest", F.col("origin").alias("subroot"), F.lit(bytes(root["digest"]) if root else None).cast("binary").alias("root"), "path")
 
 
 def proof(path: Column) -> Column:
