@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from shelfspark.llm import bpe, chat_format, decontamination, html_extract, merkle, ngram_join, periodic_runs, quality_classifier, quality_rules, suffix_dedup, token_counts, url_filters
+from shelfspark.llm import bpe, chat_format, decontamination, html_extract, lm_scoring, merkle, ngram_join, periodic_runs, quality_classifier, quality_rules, suffix_dedup, token_counts, url_filters
 
 _MODULES = {
     "op1_html_extract": html_extract,
@@ -18,6 +18,7 @@ _MODULES = {
     "op10_decontamination": decontamination,
     "op11_merkle_manifest": merkle,
     "op12_periodic_runs": periodic_runs,
+    "op13_lm_scoring": lm_scoring,
 }
 
 
