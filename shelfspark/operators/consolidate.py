@@ -60,14 +60,49 @@ def first_filled(column: str, pos: str = "pos") -> Column:
 
 
 def consolidate(occurrences: DataFrame) -> DataFrame:
-    """One record for each code: the first occurrence, its blanks filled from later ones, all categories, merged colors."""
+    """One record for each code: the first occurrence, its blanks filled from later ones, all categories, merged colors.
+
+    Each occurrence is read once, as a row of its own and one for each category and color it names.  Those are reduced to
+    one row for each code and item, before and after a shuffle by both, so a code with many occurrences is spread like
+    any other; what is gathered by code is its distinct items.  Missing columns are left out; colors are a map column
+    ``color_stock`` or, if ``colors`` is there, an array of names as well (each once, by first place).
+    """
+    have = occurrences.columns
     rows = with_key(occurrences)
-    base = first_per_key(rows.drop("category", "color_stock", "description", "image_url"), "code")
-    filled = rows.groupBy("code").agg(*[F.coalesce(first_filled(c), F.lit("")).alias(c) for c in ("description", "image_url")])
-    merged = merge_maps(rows, "code", "color_stock").drop("total")
-    out = base.join(filled, "code").join(ordered_union(rows, "code", "category", name="category"), "code", "left")
-    out = out.join(merged, "code", "left")
-    return out.withColumns({"category": F.coalesce("category", F.lit("")), "color_stock": F.coalesce("color_stock", F.create_map().cast("map<string,int>"))})
+    filled = [c for c in ("description", "image_url") if c in have]
+    base = [c for c in have if c not in ("code", "pos", "category", "color_stock", "colors", *filled)]
+    no_map, no_base = F.create_map().cast("map<string,int>"), F.struct(*[F.lit(None).cast(occurrences.schema[c].dataType).alias(c) for c in (*base, *filled)])
+    item = lambda kind, same, k, text, value=F.lit(None): F.struct(F.lit(kind).alias("kind"), same.alias("same"), k.alias("k"), text.alias("text"), value.cast("int").alias("value"))
+    none = F.lit(None).cast("string")
+    parts = [F.array(item("row", F.lit(""), F.lit(0), none))]
+    if "category" in have:
+        listed = F.filter(F.transform(F.split(F.coalesce("category", F.lit("")), ","), lambda x, k: F.struct(F.btrim(x).alias("x"), k.alias("k"))), lambda x: x["x"] != "")
+        parts.append(F.transform(listed, lambda x: item("category", F.lower(x["x"]), x["k"], x["x"])))
+    if "color_stock" in have:
+        parts.append(F.transform(F.map_entries(F.coalesce("color_stock", no_map)), lambda e: item("stock", e["key"], F.lit(0), e["key"], F.greatest(e["value"].try_cast("int"), F.lit(0)))))
+    if "colors" in have:
+        names = F.filter(F.transform(F.coalesce("colors", F.array().cast("array<string>")), lambda x, k: F.struct(F.btrim(x).alias("x"), k.alias("k"))), lambda x: x["x"] != "")
+        parts.append(F.transform(names, lambda x: item("color", x["x"], x["k"], x["x"])))
+    items = rows.select("code", "pos", F.struct(*base, *filled).alias("_row"), F.explode(F.concat(*parts)).alias("i"))
+    items = items.select("code", "pos", "i.*", F.when(F.col("i.kind") == "row", F.col("_row")).otherwise(no_base).alias("_row"))
+    at, is_row = F.struct(F.col("pos").alias("at"), "k"), F.col("kind") == "row"
+    # one row for each code and item, then one for each code
+    told = lambda c: F.btrim(F.coalesce(F.col(f"_row.{c}"), F.lit(""))) != ""
+    firsts = [F.min(F.when(is_row & told(c), F.struct(F.col("pos").alias("at"), F.col(f"_row.{c}").alias("x")))).alias(f"_{c}") for c in filled]
+    reduced = items.groupBy("code", "kind", "same").agg(F.min_by("_row", F.when(is_row, F.col("pos"))).alias("_row"), F.min(at).alias("first"), F.min_by("text", at).alias("text"), F.max("value").alias("value"), *firsts)
+    of = lambda kind, x: F.collect_list(F.when(F.col("kind") == kind, x))
+    wanted = [F.max(F.when(is_row, F.col("first.at"))).alias("pos"), F.max_by("_row", F.when(is_row, F.lit(1))).alias("_row"), *[F.max(f"_{c}").alias(f"_{c}") for c in filled]]
+    ordered = F.struct("first", "text")
+    by_code = reduced.groupBy("code").agg(*wanted, of("category", ordered).alias("_categories"), of("stock", F.struct(F.col("text").alias("key"), "value")).alias("_stock"), of("color", ordered).alias("_colors"))
+    texts = lambda c: F.transform(F.array_sort(c), lambda x: x["text"])
+    out = {c: F.col(f"_row.{c}") for c in base} | {c: F.coalesce(F.col(f"_{c}.x"), F.lit("")) for c in filled} | {"pos": F.col("pos")}
+    if "category" in have:
+        out["category"] = F.array_join(texts(F.col("_categories")), ", ")
+    if "color_stock" in have:
+        out["color_stock"] = F.map_from_entries(F.filter(F.array_sort("_stock"), lambda e: e["value"].isNotNull()))
+    if "colors" in have:
+        out["colors"] = texts(F.col("_colors"))
+    return by_code.select("code", *[c.alias(n) for n, c in out.items()])
 
 
 def zip_by_position(names: Column, numbers: Column) -> Column:

@@ -9,24 +9,25 @@ from pyspark.sql import types as T
 from shelfspark.functions.text import map_text
 
 #: Fields of a record that are compared and logged.
-CONTENT_FIELDS = ("name", "category", "description", "price", "price_sample", "price_hundred", "price_thousand", "stock", "color_stock", "url")
-IMAGE_FIELDS = ("image_url", "image_hash")
+CONTENT_FIELDS = ("name", "category", "description", "price", "price_sample", "price_hundred", "price_thousand", "stock", "color_stock")
+IMAGE_FIELDS = ("image_url", "image_path")
 LOGGED_FIELDS = ("code", "name", "category", "description", "price", "price_sample", "price_hundred", "price_thousand", "stock", "color_stock", "image_url", "image_path", "image_hash")
 NEW, UPDATED, IMAGE_CHANGED, UNCHANGED, REMOVED = "NEW", "UPDATED", "IMAGE_CHANGED", "UNCHANGED", "REMOVED"
 
 
-def _comparable(df: DataFrame, c: str, value: Column) -> Column:
+def comparable(df: DataFrame, c: str, value: Column) -> Column:
     return map_text(value) if isinstance(df.schema[c].dataType, T.MapType) else value
 
 
 def differing(old: DataFrame, new: DataFrame, fields: tuple[str, ...]) -> Column:
     """Names of the fields that differ, null-safe, between sides aliased o and n."""
-    changed = [F.when(~_comparable(old, f, F.col(f"o.{f}")).eqNullSafe(_comparable(new, f, F.col(f"n.{f}"))), F.lit(f)) for f in fields]
+    changed = [F.when(~comparable(old, f, F.col(f"o.{f}")).eqNullSafe(comparable(new, f, F.col(f"n.{f}"))), F.lit(f)) for f in fields]
     return F.filter(F.array(*changed), lambda x: x.isNotNull())
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str = "code", content: tuple[str, ...] | None = None, images: tuple[str, ...] = IMAGE_FIELDS) -> DataFrame:
-    """key, status and changed (field names) of every key of either side; one full outer join."""
+    """key, status and changed (field names) of every key of either side; one full outer join. Rows with a blank key go."""
+    old, new = (x.where(F.btrim(key) != "") for x in (old, new))
     both = set(old.columns) & set(new.columns)
     content = tuple(f for f in (content or CONTENT_FIELDS) if f in both)
     images = tuple(f for f in images if f in both)
@@ -46,6 +47,14 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str = "code", content: tu
     return rows.select(key, status.alias("status"), F.array_join(F.concat("_texts", "_images"), ",").alias("changed"))
 
 
+def diff_flags(diff: DataFrame, key: str = "code", images: tuple[str, ...] = IMAGE_FIELDS) -> DataFrame:
+    """key and whether content, images or anything differs, of the keys of both sides."""
+    fields = F.filter(F.split("changed", ","), lambda f: f != "")
+    pictures = F.filter(fields, lambda f: f.isin(*images))
+    both = diff.where(~F.col("status").isin(NEW, REMOVED))
+    return both.select(key, (F.size(fields) > F.size(pictures)).alias("content_changed"), (F.size(pictures) > 0).alias("image_changed"), (F.size(fields) > 0).alias("any_changed"))
+
+
 def only_in(left: DataFrame, right: DataFrame, key: str = "code") -> DataFrame:
     """Keys of ``left`` that ``right`` lacks: new or removed ones."""
     return left.join(right.select(key), key, "left_anti").select(key)
@@ -65,13 +74,16 @@ def status_counts(diff: DataFrame) -> DataFrame:
     return counts.withColumn("consistent", F.col("processed") == F.col("created") + F.col("updated") + F.col("image_changed") + F.col("unchanged"))
 
 
-def value_text(df: DataFrame, f: str, c: Column) -> Column:
-    kind = df.schema[f].dataType
+def kind_text(kind: T.DataType, c: Column) -> Column:
     if isinstance(kind, T.MapType):
         return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(c))))
     return F.format_string("%.2f", c) if isinstance(kind, T.DoubleType) else c.cast("string")
 
 
+def value_text(df: DataFrame, f: str, c: Column) -> Column:
+    return kind_text(df.schema[f].dataType, c)
+
+
 def change_log(old: DataFrame, new: DataFrame, key: str = "code", fields: tuple[str, ...] = LOGGED_FIELDS) -> DataFrame:
     """Long rows (change_type, code, product_name, field_name, old_value, new_value): every field of a new record, and the
     differing ones of an updated record. One join and one explode."""

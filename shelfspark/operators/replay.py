@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfspark.functions.text import map_from_json, to_count, to_number
+from shelfspark.sources.commits import Publication
+from shelfspark.sources.tables import METADATA, conform, is_ready, set_value
 
 #: Fields of the log by type.
 TEXTS = ("category", "description", "image_url", "image_path", "image_hash")
@@ -37,3 +40,21 @@ def replay(log: DataFrame) -> DataFrame:
 def bootstrap(catalog: DataFrame, log: DataFrame) -> DataFrame:
     """The replayed log if the catalog is empty, else the catalog."""
     return replay(log) if catalog.isEmpty() and not log.isEmpty() else catalog
+
+
+def restore(tables: Publication, catalog: T.StructType, changes: T.StructType) -> int:
+    """Rebuilds an empty catalog from the published changes and marks it initialised, in one commit; the number restored.
+
+    A catalog that is ready (marked, or with rows) is left as it is, so running this again changes nothing.
+    """
+    state = tables.state()
+    metadata = tables.read("metadata", METADATA, state)
+    if is_ready(metadata, tables.read("catalog", catalog, state)):
+        return 0
+    log = tables.read("changes", changes, state)
+    if log.isEmpty():
+        return 0
+    rows = conform(replay(log.withColumn("id", F.col("history_id"))), catalog)
+    parts = {"catalog": tables.stage("catalog", rows, "code"), "metadata": tables.stage("metadata", set_value(metadata, "initialized", "1"))}
+    state = tables.commit(state, replace=parts)
+    return tables.read("catalog", catalog, state).count()

@@ -10,16 +10,20 @@ from pyspark.sql import functions as F
 from shelfspark.functions.text import is_blank, resolve_price
 from shelfspark.operators import consolidate as co
 from shelfspark.operators import diff as d
-from shelfspark.sources.tables import Store
+from shelfspark.sources.commits import Publication
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str = "code") -> DataFrame:
-    """All columns of a new row replace those of the old one; columns that the new side lacks are kept."""
+def upsert(old: DataFrame, new: DataFrame, key: str = "code", now: Column | None = None) -> DataFrame:
+    """All columns of a new row replace those of the old one; columns that the new side lacks are kept.
+
+    With ``now``, updated_at is set to it in every row that the new side writes.
+    """
     o, n = old.withColumn("_o", F.lit(True)).alias("o"), new.withColumn("_n", F.lit(True)).alias("n")
     joined = o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full")
     there = F.col("n._n").isNotNull()
     picked = [
         F.coalesce(f"n.{c}", f"o.{c}").alias(c) if c == key
+        else F.when(there, now).otherwise(F.col(f"o.{c}")).alias(c) if c == "updated_at" and now is not None
         else (F.when(there, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")) if c in new.columns else F.col(f"o.{c}")).alias(c)
         for c in old.columns
     ]
@@ -39,7 +43,7 @@ def delete(df: DataFrame, keys: DataFrame, key: str = "code") -> DataFrame:
 
 def to_catalog(landed: DataFrame) -> DataFrame:
     """Landing records as catalog records: the price is the sample price if there is one."""
-    return landed.withColumn("price", resolve_price(F.col("price_sample"), F.col("price")))
+    return landed.withColumn("price", resolve_price(F.col("price_sample"), F.col("price"))) if "price_sample" in landed.columns else landed
 
 
 def union_text(a: Column, b: Column) -> Column:
@@ -56,31 +60,77 @@ def grow_categories(catalog: DataFrame, incoming: DataFrame, key: str = "code")
     return incoming.join(stored, key, "left").withColumn("category", union_text(F.col("_stored"), F.col("category"))).drop("_stored")
 
 
+def kept_image(same: Column, own: Column, stored: Column) -> Column:
+    """A record's own value, or the stored one while the image's address is the same."""
+    return F.when(~is_blank(own), own).when(same, F.coalesce(stored, own)).otherwise(own)
+
+
 def carry_images(catalog: DataFrame, incoming: DataFrame, key: str = "code") -> DataFrame:
-    """image_path from the stored row while the address is the same, and needs_image where it has to be fetched."""
+    """image_path of the record itself, or of the stored one while the address is the same, and needs_image: there is an
+    address and no path, so the image has to be fetched."""
     stored = catalog.select(key, F.col("image_url").alias("_url"), F.col("image_path").alias("_path"))
-    joined = incoming.drop("image_path").join(stored, key, "left")
-    same = F.col("image_url").eqNullSafe(F.col("_url")) & (F.coalesce("_path", F.lit("")) != "")
-    return joined.withColumns({"image_path": F.when(same, F.col("_path")).otherwise(""), "needs_image": ~same & (F.coalesce("image_url", F.lit("")) != "")}).drop("_url", "_path")
+    own = F.col("image_path") if "image_path" in incoming.columns else F.lit("")
+    joined = incoming.join(stored, key, "left").withColumn("image_path", F.coalesce(kept_image(F.col("image_url").eqNullSafe(F.col("_url")), own, F.col("_path")), F.lit("")))
+    return joined.withColumn("needs_image", ~is_blank(F.col("image_url")) & is_blank(F.col("image_path"))).drop("_url", "_path")
 
 
-def keep_images(catalog: DataFrame, incoming: DataFrame, key: str = "code") -> DataFrame:
-    """Incoming rows with the stored image_path and image_hash where the address is the same and they have none of their own."""
-    columns = [c for c in ("image_path", "image_hash") if c in catalog.columns and c in incoming.columns]
-    stored = catalog.select(key, F.col("image_url").alias("_url"), *[F.col(c).alias(f"_{c}") for c in columns])
-    same = F.col("image_url").eqNullSafe(F.col("_url"))
-    own = {c: F.when(same & is_blank(F.col(c)), F.coalesce(f"_{c}", c)).otherwise(F.col(c)) for c in columns}
-    return incoming.join(stored, key, "left").withColumns(own).select(*incoming.columns)
+def classify(catalog: DataFrame, occurrences: DataFrame, now: Column | None = None) -> DataFrame:
+    """One row for each code of the catalog or of the occurrences, from one aggregation of these and one join: code, status
+    (null where nothing came in), changed (names of fields), old and next (structs of the catalog's columns).
+
+    What comes in is consolidated; its categories stand behind the stored ones, its images are kept as in ``kept_image``;
+    columns that it lacks keep their stored values.  With ``now``, updated_at of new and changed rows is set to it.
+    """
+    columns = [c for c in catalog.columns if c != "code"]
+    incoming = to_catalog(co.consolidate(occurrences))
+    incoming = incoming.select("code", F.struct(*[c for c in incoming.columns if c in columns]).alias("n"))
+    fields = {f.name for f in incoming.schema["n"].dataType}
+    joined = catalog.select("code", F.struct(*columns).alias("old")).join(incoming, "code", "full")
+    stored, came = F.col("old").isNotNull(), F.col("n").isNotNull()
+    value = {c: F.col(f"n.{c}") if c in fields else F.col(f"old.{c}") for c in columns}
+    if "category" in fields:
+        value["category"] = F.when(stored, union_text(F.col("old.category"), F.col("n.category"))).otherwise(F.col("n.category"))
+    same = F.col("old.image_url").eqNullSafe(F.col("n.image_url")) if "image_url" in fields else F.lit(True)
+    for c in {"image_path", "image_hash"} & fields:
+        value[c] = F.when(stored, kept_image(same, F.col(f"n.{c}"), F.col(f"old.{c}"))).otherwise(F.col(f"n.{c}"))
+    rows = joined.select("code", "old", came.alias("came"), stored.alias("stored"), F.struct(*[value[c].alias(c) for c in columns]).alias("new"))
+    differs = lambda c: F.when(~d.comparable(catalog, c, F.col(f"old.{c}")).eqNullSafe(d.comparable(catalog, c, F.col(f"new.{c}"))), F.lit(c))
+    listed = lambda names: F.filter(F.array(*[differs(c) for c in names if c in fields]).cast("array<string>"), lambda x: x.isNotNull())
+    rows = rows.withColumns({"_texts": listed(d.CONTENT_FIELDS), "_images": listed(d.IMAGE_FIELDS)})
+    status = (
+        F.when(~F.col("came"), F.lit(None)).when(~F.col("stored"), d.NEW).when(F.size("_texts") > 0, d.UPDATED)
+        .when(F.size("_images") > 0, d.IMAGE_CHANGED).otherwise(d.UNCHANGED)
+    )
+    rows = rows.withColumns({"status": status, "changed": F.when(F.col("came") & F.col("stored"), F.concat("_texts", "_images")).otherwise(F.array().cast("array<string>"))})
+    after = F.when(F.col("came"), F.col("new")).otherwise(F.col("old"))
+    if now is not None and "updated_at" in columns:
+        after = F.when(F.col("status").isin(d.NEW, d.UPDATED, d.IMAGE_CHANGED), F.col("new").withField("updated_at", now)).otherwise(after)
+    return rows.select("code", "status", "changed", "old", after.alias("next"))
 
 
-def sync(catalog: DataFrame, occurrences: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(next catalog, change log, counts) from the stored catalog and a run's occurrences, as one lazy plan."""
-    merged = co.consolidate(occurrences)
-    incoming = grow_categories(catalog, to_catalog(merged))
-    incoming = incoming.select(*[c for c in incoming.columns if c in catalog.columns])
-    incoming = keep_images(catalog, incoming)
-    touched = d.snapshot_diff(catalog.join(incoming.select("code"), "code", "left_semi"), incoming)
-    return upsert(catalog, incoming), d.change_log(catalog, incoming), d.status_counts(touched)
+def next_catalog(classified: DataFrame) -> DataFrame:
+    return classified.select("code", "next.*")
+
+
+def change_rows(classified: DataFrame, fields: tuple[str, ...] = d.LOGGED_FIELDS) -> DataFrame:
+    """The change log of a classified frame, as ``diff.change_log`` has it."""
+    kinds = {f.name: f.dataType for f in classified.schema["next"].dataType} | {"code": classified.schema["code"].dataType}
+    is_new, entries = F.col("status") == d.NEW, []
+    for f in (f for f in fields if f in kinds):
+        before = F.lit(None).cast("string") if f == "code" else F.when(~is_new, d.kind_text(kinds[f], F.col(f"old.{f}")))
+        after = d.kind_text(kinds[f], F.col("code") if f == "code" else F.col(f"next.{f}"))
+        differs = is_new if f == "code" else is_new | ~before.eqNullSafe(after)
+        entries.append(F.when(differs, F.struct(F.lit(f).alias("field_name"), before.alias("old_value"), after.alias("new_value"))))
+    name = F.col("next.name") if "name" in kinds else F.lit(None).cast("string")
+    rows = classified.where(F.col("status").isNotNull() & (F.col("status") != d.UNCHANGED))
+    rows = rows.select(F.when(is_new, d.NEW).otherwise(d.UPDATED).alias("change_type"), "code", name.alias("product_name"), F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e"))
+    return rows.select("change_type", "code", "product_name", "e.field_name", "e.old_value", "e.new_value")
+
+
+def sync(catalog: DataFrame, occurrences: DataFrame, now: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(next catalog, change log, counts) from the stored catalog and a run's occurrences: three views of one frame."""
+    frame = classify(catalog, occurrences, now)
+    return next_catalog(frame), change_rows(frame), d.status_counts(frame.where(F.col("status").isNotNull()))
 
 
 def snapshot_sync(old: DataFrame, new: DataFrame, apply_removals: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -121,14 +171,25 @@ def run_row(counts: DataFrame, run_id: int, started: dt.datetime, finished: dt.d
     )
 
 
-def publish(store: Store, history: str, catalog: DataFrame, log: DataFrame, run: DataFrame) -> bool:
-    """All or nothing: a run with errors changes no catalog and logs no changes, but its history row is written."""
+def publish(tables: Publication, catalog: DataFrame, log: DataFrame, run: DataFrame, state: dict | None = None, buckets: list[int] | None = None, batch: tuple[str, int] | None = None) -> bool:
+    """All or nothing, in one commit on top of ``state`` (the last one): catalog, changes and the run's row.
+
+    A run with errors changes no catalog and logs no changes, but its row is written.  A failure at any point leaves
+    readers the old state, and two runs that started from one state cannot both be published (``Conflict``).
+    buckets: the catalog is kept by code, and only these buckets of it are given.
+    """
+    state = state or tables.state()
     row = run.first()
     ok = row["status"] == "SUCCESS"
-    if ok:
-        store.publish(catalog)
-        log.withColumn("history_id", F.lit(row["id"])).write.mode("append").partitionBy("history_id").parquet(f"{history}/changes")
-    run.write.mode("append").parquet(f"{history}/runs")
+    appended = {"runs": tables.stage("runs", run)}
+    if not ok:
+        tables.commit(state, append=appended, batch=batch)
+        return ok
+    appended["changes"] = tables.stage("changes", log.withColumn("history_id", F.lit(row["id"])))
+    if buckets is None:
+        tables.commit(state, replace={"catalog": tables.stage("catalog", catalog)}, append=appended, batch=batch)
+    else:
+        tables.commit(state, buckets={"catalog": (buckets, tables.stage("catalog", catalog, "code"))}, append=appended, batch=batch)
     return ok
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from shelfspark.functions import text as t
 from shelfspark.operators import audit, browse, replay, sync
 from shelfspark.operators import consolidate as co
 from shelfspark.operators import diff as df
-from shelfspark.plans.inputs import DIFF, NEW, OCC, OLD, event_log, new_snapshot, occurrences, old_snapshot
+from shelfspark.plans.inputs import DIFF, NEW, OCC, OLD, colored, event_log, new_snapshot, occurrences, old_snapshot
+from shelfspark.sources.commits import Publication
 from shelfspark.sources.tables import conform, lookup, newest_first, schema, table
 from shelfspark.streaming import jobs
 
@@ -109,10 +112,8 @@ def conform_schema(s: S, d: str) -> DataFrame:
 
 
 def _merged(s: S, d: str) -> DataFrame:
-    """OCC made one record for each code: the first row's stock and price, categories by first place, colors by largest stock."""
-    occ = occurrences(s, d)
-    first = co.first_per_key(occ.select("code", "stock", "price", "pos"), "code").drop("pos")
-    return first.join(co.ordered_union(occ, "code", "category", name="categories"), "code")
+    """OCC made one record for each code: the first row's stock and price, categories by first place."""
+    return co.consolidate(occurrences(s, d).drop("color")).select("code", "stock", "price", F.col("category").alias("categories"))
 
 
 _UNION = """u AS (SELECT code, string_agg(category, ', ' ORDER BY pos) AS categories FROM
@@ -124,9 +125,8 @@ _COLORS = "c AS (SELECT code, color, max(stock) AS stock FROM occ GROUP BY code,
   m AS (SELECT code, string_agg(color || '=' || stock, ',' ORDER BY color) AS colors FROM c GROUP BY code)
   SELECT code, f.stock, f.price, categories, colors FROM f JOIN u USING (code) JOIN m USING (code)""")
 def consolidate(s: S, d: str) -> DataFrame:
-    colors = co.max_by_entry(occurrences(s, d), "code", "color", "stock")
-    maps = colors.groupBy("code").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("color", "stock")))).alias("m"))
-    return _merged(s, d).join(maps, "code").select("code", "stock", "price", "categories", t.map_text(F.col("m")).alias("colors"))
+    rows = co.consolidate(colored(occurrences(s, d)))
+    return rows.select("code", "stock", "price", F.col("category").alias("categories"), t.map_text(F.col("color_stock")).alias("colors"))
 
 
 @query(f"WITH {OCC}, {_UNION} SELECT * FROM u")
@@ -168,9 +168,68 @@ _SYNC = f"""WITH {OCC}, {_UNION}, {OLD}, f AS (SELECT code, arg_min(stock, pos)
   FROM inc LEFT JOIN old o ON o.code = inc.code""")
 def catalog_sync(s: S, d: str) -> DataFrame:
     catalog = old_snapshot(s, d).select("code", "category", "stock")
-    incoming = _merged(s, d).select("code", F.col("categories").alias("category"), "stock")
-    incoming = sync.grow_categories(catalog, incoming)
-    return df.status_counts(df.snapshot_diff(catalog.join(incoming.select("code"), "code", "left_semi"), incoming))
+    return sync.sync(catalog, colored(occurrences(s, d)))[2]
+
+
+def _after(n: int, before: str, occ: str) -> str:
+    """SQL: the catalog c{n} (code, category, stock) and the run r{n} after the occurrences ``occ`` on the catalog ``before``."""
+    return f"""u{n} AS (SELECT code, list(category ORDER BY pos) AS cs FROM (SELECT code, category, min(pos) AS pos FROM {occ} GROUP BY ALL) GROUP BY code),
+  f{n} AS (SELECT code, arg_min(stock, pos) AS stock FROM {occ} GROUP BY code),
+  i{n} AS (SELECT f.code, f.stock, o.code IS NOT NULL AS stored, o.stock AS old_stock, o.category AS old_category, CASE WHEN o.code IS NULL THEN array_to_string(cs, ', ') ELSE
+    concat_ws(', ', o.category, nullif(array_to_string(list_filter(cs, lambda x: NOT list_contains(string_split(lower(o.category), ', '), lower(x))), ', '), '')) END AS category
+    FROM f{n} f JOIN u{n} u USING (code) LEFT JOIN {before} o ON o.code = f.code),
+  c{n} AS (SELECT code, category, stock FROM i{n} UNION ALL SELECT code, category, stock FROM {before} WHERE code NOT IN (SELECT code FROM i{n})),
+  r{n} AS (SELECT {n}::BIGINT AS id, count(*)::INT AS processed, count(*) FILTER (NOT stored)::INT AS created, count(*) FILTER (stored AND (stock <> old_stock OR category <> old_category))::INT AS updated,
+    count(*) FILTER (stock = old_stock AND category = old_category)::INT AS unchanged, 0::INT AS errors, 'SUCCESS' AS status FROM i{n})"""
+
+
+_TWO = f"""WITH {OCC}, {OLD}, o1 AS (SELECT * FROM occ WHERE line <= 3), o2 AS (SELECT * FROM occ WHERE line > 3), {_after(1, 'old', 'o1')}, {_after(2, 'c1', 'o2')}"""
+
+
+@query(f"{_TWO} SELECT * FROM c2")
+def stream_catalog(s: S, d: str) -> DataFrame:
+    tables, kind = jobs.sync_occurrences(s, d)
+    return tables.read("catalog", kind)
+
+
+@query(f"{_TWO} SELECT * FROM r1 UNION ALL SELECT * FROM r2")
+def stream_runs(s: S, d: str) -> DataFrame:
+    return jobs.published_runs(jobs.sync_occurrences(s, d)[0])
+
+
+_RUN = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 1, 0, 1)
+
+
+def _published(s: S, d: str) -> Publication:
+    """The old snapshot published, then the new one by a run without errors, and nothing by a run with errors."""
+    tables = Publication(s, f"{jobs.scratch(s)}/tables")
+    old, new = old_snapshot(s, d), new_snapshot(s, d)
+    tables.commit(tables.state(), replace={"catalog": tables.stage("catalog", old, "code")})
+    for number, errors in ((1, 0), (2, 3)):
+        stored = tables.read("catalog", old.schema)
+        incoming = new if number == 1 else new.withColumn("stock", F.col("stock") + 1)
+        after, found = sync.snapshot_sync(stored, incoming)
+        run = sync.run_row(df.status_counts(found.where(F.col("status") != df.REMOVED)), number, *_RUN, errors)
+        sync.publish(tables, after, df.change_log(stored, incoming, fields=LOG_FIELDS), run)
+    return tables
+
+
+@query(_UPSERT)
+def publish_catalog(s: S, d: str) -> DataFrame:
+    return _published(s, d).read("catalog", old_snapshot(s, d).schema)
+
+
+@query(f"{_LOG} SELECT 1::BIGINT AS history_id, * FROM log")
+def publish_changes(s: S, d: str) -> DataFrame:
+    kind = schema("history_id long, change_type string, code long, product_name string, field_name string, old_value string, new_value string")
+    return _published(s, d).read("changes", kind)
+
+
+@query(f"""WITH {DIFF}, n AS (SELECT count(*) FILTER (status <> 'REMOVED')::INT AS processed, count(*) FILTER (status = 'NEW')::INT AS created,
+    count(*) FILTER (status IN ('UPDATED', 'IMAGE_CHANGED'))::INT AS updated, count(*) FILTER (status = 'UNCHANGED')::INT AS unchanged FROM diff), m AS (SELECT count(*)::INT AS k FROM new)
+  SELECT 1::BIGINT AS id, processed, created, updated, unchanged, 0 AS errors, 'SUCCESS' AS status FROM n UNION ALL SELECT 2, k, 0, k, 0, 3, 'ERROR' FROM m""")
+def publish_runs(s: S, d: str) -> DataFrame:
+    return jobs.published_runs(_published(s, d))
 
 
 _REPLAY = "SELECT user_id AS code, event_type AS field_name, arg_max_null(value, event_id) AS new_value FROM events GROUP BY ALL"
@@ -188,7 +247,7 @@ def stream_replay(s: S, d: str) -> DataFrame:
 
 @query(_UPSERT)
 def stream_sync(s: S, d: str) -> DataFrame:
-    return jobs.sync_parts(s, d)
+    return jobs.upsert_parts(s, d)
 
 
 @query(f"WITH {NEW} SELECT count(*) AS rows, 0::BIGINT AS differing FROM new")

@@ -42,6 +42,17 @@ def occurrences(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def colored(rows: DataFrame) -> DataFrame:
+    """Occurrences with their color and stock as a map, as ``consolidate`` takes them."""
+    return rows.withColumn("color_stock", F.create_map("color", "stock")).drop("color")
+
+
+def arrivals(spark: SparkSession, d: str, early: bool) -> DataFrame:
+    """The occurrences of the first three lines of orders, or of the later ones."""
+    rows = occurrences(spark, d).where((F.col("pos.l_linenumber") <= 3) if early else (F.col("pos.l_linenumber") > 3))
+    return rows.select("code", "category", "stock", "pos")
+
+
 def event_log(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("code"), F.col("event_type").alias("field_name"), F.col("value").alias("new_value"))
 
@@ -52,7 +63,7 @@ NEW = """new AS (SELECT p_partkey AS code, CASE WHEN p_partkey % 13 = 0 THEN upp
   CASE WHEN p_partkey % 17 = 0 THEN p_type ELSE p_brand END AS category,
   CASE WHEN p_partkey % 7 = 0 THEN p_retailprice * 1.1 ELSE p_retailprice END AS price, p_size AS stock,
   'img/' || p_partkey || CASE WHEN p_partkey % 19 = 0 THEN '-v2' ELSE '' END AS image_url FROM part WHERE p_partkey % 11 <> 5)"""
-OCC = """occ AS (SELECT l_partkey AS code, n_name AS category, l_returnflag AS color, l_quantity::INT AS stock, l_extendedprice AS price,
+OCC = """occ AS (SELECT l_partkey AS code, n_name AS category, l_returnflag AS color, l_quantity::INT AS stock, l_extendedprice AS price, l_linenumber AS line,
   row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate) AS pos
   FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey)"""
 DIFF = f"""{OLD}, {NEW}, diff AS (

@@ -72,6 +72,12 @@ def flag(metadata: DataFrame, key: str) -> DataFrame:
     return metadata.where(F.col("key") == key).agg(F.coalesce(F.max(F.col("value") == "1"), F.lit(False)).alias("set"))
 
 
+def set_value(metadata: DataFrame, key: str, value: str) -> DataFrame:
+    """The metadata with a key set, whether it was there or not."""
+    one = metadata.sparkSession.createDataFrame([(key, value)], METADATA)
+    return metadata.where(~F.col("key").eqNullSafe(key)).unionByName(one)
+
+
 def is_ready(metadata: DataFrame, catalog: DataFrame, key: str = "initialized") -> bool:
     return bool(flag(metadata, key).first()["set"]) or not catalog.isEmpty()
 

@@ -1,14 +1,11 @@
 """The toolkit's operators on small golden cases."""
 
-import datetime as dt
-
 import pytest
 from pyspark.sql import functions as F
 
 from shelfspark.functions import text as t
 from shelfspark.operators import audit, browse, consolidate, diff, replay, sync
-from shelfspark.sources.tables import CATALOG, METADATA, Store, conform, html_files, image_files, is_ready, schema
-from shelfspark.streaming import jobs
+from shelfspark.sources.tables import CATALOG, METADATA, conform, html_files, image_files, is_ready
 
 PRODUCT = "code string, name string, category string, description string, price double, price_sample double, stock int, color_stock map<string,int>, image_url string, image_path string"
 
@@ -123,19 +120,6 @@ def test_sync_keeps_images(spark):
     assert counts.first().image_changed == 1 and {r.code for r in log.where("field_name = 'image_path'").collect()} == {"B", "C"}
 
 
-def test_publish_is_all_or_nothing(spark, tmp_path):
-    store, history = Store(spark, f"{tmp_path}/c"), f"{tmp_path}/h"
-    first = frame(spark, product("A"))
-    now = dt.datetime(2024, 1, 1)
-    catalog, log, counts = sync.sync(store.read(first.schema), occurrences(spark, product("A")))
-    assert sync.publish(store, history, catalog, log, sync.run_row(counts, 1, now, now, 0))
-    catalog, log, counts = sync.sync(store.read(first.schema), occurrences(spark, product("B")))
-    assert not sync.publish(store, history, catalog, log, sync.run_row(counts, 2, now, now, 3))
-    assert [r.code for r in store.read(first.schema).collect()] == ["A"]
-    assert [(r.id, r.status) for r in spark.read.parquet(f"{history}/runs").orderBy("id").collect()] == [(1, "SUCCESS"), (2, "ERROR")]
-    assert {r.history_id for r in spark.read.parquet(f"{history}/changes").collect()} == {1}
-
-
 def test_browse(spark):
     rows = frame(spark, product("REP001", "Otro", "A, B", stock=1), product("REP002", "Producto Busqueda", "B", colors={"Rojo": 1}), product("REP003", "50%", "C", stock=2))
     named = lambda d: [r.code for r in d.collect()]
@@ -176,16 +160,3 @@ def test_schema_and_flags(spark):
     empty = spark.createDataFrame([], METADATA)
     assert not is_ready(empty, got.limit(0)) and is_ready(empty, got)
     assert is_ready(spark.createDataFrame([("initialized", "1")], METADATA), got.limit(0))
-
-
-def test_streams_match_batch(spark, tmp_path):
-    log = schema("id long, code string, field_name string, new_value string")
-    rows = [(k, f"c{k % 3}", f"f{k % 2}", None if k == 11 else str(k)) for k in range(12)]
-    source = f"{tmp_path}/log"
-    store = Store(spark, f"{tmp_path}/state")
-    for part in (rows[:5], rows[5:]):
-        spark.createDataFrame(part, log).write.mode("append").parquet(source)
-        jobs.replay_stream(spark.readStream.schema(log).parquet(source), store, f"{tmp_path}/ck")
-    got = {(r.code, r.field_name, r.new_value) for r in store.read(log).collect()}
-    want = {tuple(r) for r in replay.latest_values(spark.createDataFrame(rows, log)).collect()}
-    assert got == want and ("c2", "f1", None) in got
