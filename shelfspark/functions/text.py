@@ -11,8 +11,9 @@ BLANKS = " \t\n\r\f\x0b"
 SIZE_SUFFIXES = ("150x150", "300x300", "600x600", "768x768", "1024x1024")
 IMAGE_TYPES = (".jpg", ".jpeg", ".png", ".webp", ".gif")
 MIME_TYPES = {"image/jpeg": ".jpg", "image/png": ".png", "image/webp": ".webp", "image/gif": ".gif"}
-HEADER_WORDS = ("color", "colores", "stock", "precio", "cantidad", "total")
-SCRIPT_MARKS = ("function", "var ", "const ", "document.", "window.", "=>", "jquery")
+HEADER_WORDS = ("color", "colour", "colores", "seleccionar color", "choose an option")
+SCRIPT_MARKS = ("var acss", "sourceurl=", "sourceurl:", "javascript", "color_mode", "enable_client_color_preference")
+CODE_MARKS = ("{", "}", ";", "//", "=>")
 EMPTY = "—"
 
 
@@ -63,6 +64,16 @@ def numbers_after(text: Column, markers: tuple[str, ...] = ("stock disponible",
     return out
 
 
+def iso_text(c: Column) -> Column:
+    """A time as ISO 8601 with microseconds; null stays."""
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+
+def iso_time(c: Column) -> Column:
+    """A time from ISO 8601 with or without a fraction, a zone and the T; anything else is null."""
+    return F.coalesce(*[F.try_to_timestamp(F.replace(c, F.lit(" "), F.lit("T")), F.lit(f)) for f in ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]", "yyyy-MM-dd'T'HH:mm:ss[.SSS][XXX]", "yyyy-MM-dd")])
+
+
 def all_numbers(text: Column) -> Column:
     found = F.regexp_extract_all(F.replace(text, F.lit(","), F.lit("")), F.lit(r"\d+"), 0)
     return F.filter(F.transform(found, lambda x: x.try_cast("double")), lambda x: x.isNotNull())
@@ -83,13 +94,11 @@ def distinct_folded(names: Column) -> Column:
 
 
 def is_color_name(name: Column, commas: bool = True) -> Column:
-    """Whether a map key can be a color: short, no header word, no script, not a number; ``commas`` may be allowed."""
-    low = F.lower(trimmed(name))
-    scripted = F.lit(False)
-    for m in SCRIPT_MARKS:
-        scripted = scripted | F.contains(low, F.lit(m))
-    ok = (low != "") & (F.length(low) <= 80) & ~low.isin(*HEADER_WORDS) & ~scripted & ~low.rlike(r"[{}<>;=]") & ~low.rlike(r"^[\d.,\s]+$")
-    return ok if commas else ok & ~F.contains(low, F.lit(","))
+    """Whether a map key can be a color: not empty, at most 80 long, no header word, no script, no code, not only digits
+    and signs; ``commas`` may be allowed. One pattern, so that the name is worked out once."""
+    literal = lambda words: "|".join(rf"\Q{w}\E" for w in words)
+    bad = rf"(?isu)^(?:{literal(HEADER_WORDS)})?$|^[\d\s.,:+-]+$|^.{{81,}}|{literal(SCRIPT_MARKS)}|{literal(CODE_MARKS)}"
+    return ~F.coalesce(name.rlike(bad if commas else f"{bad}|,"), F.lit(True))
 
 
 def clean_map(m: Column) -> Column:
@@ -111,10 +120,17 @@ def map_total(m: Column) -> Column:
 
 
 def map_from_json(c: Column) -> Column:
-    """A map column stored as JSON; malformed text is empty, bad values and names go, values are at least 0."""
-    raw = F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
-    ints = F.transform_values(raw, lambda k, v: v.try_cast("double").try_cast("int"))
-    return clean_map(F.map_filter(ints, lambda k, v: v.isNotNull() & is_color_name(k)))
+    """A map column stored as JSON; malformed text is empty. Names are collapsed and stripped of edge signs, those that are
+    no colors go; values must be whole numbers (a number's fraction is cut, a text must have none) and are at least 0. Of
+    names that become equal the last stays."""
+    raw = F.map_entries(F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>")))
+    quoted = lambda e: F.contains(F.regexp_replace(c, r"\s*:\s*", ":"), F.concat(F.lit('":"'), e["value"], F.lit('"')))
+    whole = lambda e: F.when(quoted(e), F.when(F.btrim(e["value"], F.lit(BLANKS)).rlike(r"^[+-]?\d+$"), F.btrim(e["value"], F.lit(BLANKS)).try_cast("int"))).otherwise(e["value"].try_cast("double").try_cast("int"))
+    entries = F.transform(raw, lambda e: F.struct(collapse(e["key"]).alias("key"), F.greatest(whole(e), F.lit(0)).alias("value"), whole(e).isNotNull().alias("ok")))
+    entries = F.filter(entries, lambda e: e["ok"] & is_color_name(e["key"]))
+    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+    last = lambda k: F.element_at(F.transform(F.filter(entries, lambda e: e["key"] == k), lambda e: e["value"]), -1)
+    return F.map_from_arrays(keys, F.transform(keys, last))
 
 
 def map_to_json(m: Column) -> Column:

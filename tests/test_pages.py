@@ -9,8 +9,8 @@ from shelfspark.operators import consolidate, pages
 CARD = """<html><div class="x jsfb-filterable"><a href="/p/1"><img src="/logo.png"><img src="/uploads/FB-1812-300x300.jpg"></a><h3>Tomatodo</h3>
 <p>FB-1812 Muestra: S/ 6.50 Ciento: S/ 520.00 Millar: S/ 5,000.00</p><p>Colores: Dorado, Plateado</p><p>Stock Disponible 6646 7942</p></div>
 <div class="jsfb-filterable"><h3>Solo</h3><p>FB-2 Stock Disponible 9409</p></div><div class="jsfb-filterable"><span></span></div></html>"""
-DETAIL = """<h1>Jarro</h1><p>FB-77 S/ 1,100.50</p><select><option value="amarillo-x">Amarillo</option><option value="azul-x">Azul</option></select>
-<form data-product_variations='[{"attributes":{"a":"amarillo-x"},"max_qty":1520},{"attributes":{"a":"azul-x"},"max_qty":0},{"attributes":{"a":"Blanco"},"max_qty":20}]'></form>"""
+DETAIL = """<h1>Jarro</h1><p>FB-77 S/ 1,100.50</p><select name="attribute_color"><option value="amarillo-x">Amarillo</option><option value="azul-x">Azul</option></select>
+<form data-product_variations='[{"attributes":{"attribute_pa_color":"amarillo-x"},"max_qty":1520},{"attributes":{"attribute_pa_color":"azul-x"},"max_qty":0},{"attributes":{"attribute_pa_color":"Blanco"},"max_qty":20}]'></form>"""
 
 
 def one(spark, expression, **values):
@@ -79,9 +79,9 @@ def test_maps_names_and_urls(spark):
     m = spark.createDataFrame([({" Rojo ": 5, "": 1, "Azul": -3, "Rojo": 7},)], "m map<string,int>")
     assert m.select(t.clean_map(F.col("m")).alias("x")).first().x == {"Rojo": 7, "Azul": 0}
     assert m.select(t.map_text(t.clean_map(F.col("m"))).alias("x")).first().x == "Azul=0,Rojo=7"
-    j = spark.createDataFrame([('{"Rojo": "12", "var x=1": 3, "Azul": "bad"}',), ("{oops",)], "j string")
-    assert [r.x for r in j.select(t.map_from_json(F.col("j")).alias("x")).collect()] == [{"Rojo": 12}, {}]
-    names = {"Rojo": True, "stock": False, "12": False, "a" * 81: False, "function x": False, "a,b": True, "a{b": False, "": False}
+    j = spark.createDataFrame([('{" Rojo. ": "12", "var acss=1": 3, "Azul": "bad", "Verde": "12.5", "Gris": 12.7, "Negro": -3}',), ("{oops",)], "j string")
+    assert [r.x for r in j.select(t.map_from_json(F.col("j")).alias("x")).collect()] == [{"Rojo": 12, "Gris": 12, "Negro": 0}, {}]
+    names = {"Rojo": True, "stock": True, "12": False, "12-13": False, "a" * 81: False, "javascript x": False, "color_mode": False, "Choose an option": False, "a=b": True, "a<b": True, "a//b": False, "a,b": True, "a{b": False, "": False}
     d = spark.createDataFrame([(k,) for k in names], "n string")
     assert {r.n: r.x for r in d.select("n", t.is_color_name(F.col("n")).alias("x")).collect()} == names
     hrefs = {"/a": "https://h/a", "//c/d": "https://c/d", "http://e": "http://e", "f": "https://h/x/f"}
@@ -89,3 +89,79 @@ def test_maps_names_and_urls(spark):
     assert {r.h: r.x for r in d.select("h", t.resolve_url(F.lit("https://h/x/y"), F.col("h")).alias("x")).collect()} == hrefs
     zipped = spark.createDataFrame([(["a", "b"], [1, 2]), (["a", "b", "c"], [1])], "n array<string>, v array<int>")
     assert [r.x for r in zipped.select(consolidate.zip_by_position(F.col("n"), F.col("v")).alias("x")).collect()] == [{"a": 1, "b": 2}, {}]
+
+
+def variations(spark, json):
+    rows = spark.createDataFrame([(1, 0, json)], "page_id long, n int, json string")
+    return {(r.color, r.stock) for r in pages.nested_variations(rows).collect()}
+
+
+def test_variations_at_any_depth(spark):
+    assert variations(spark, '{"stock":5,"v":[{"color":"a"},{"color":"b","stock":2}]}') == {("a", 5), ("b", 2)}
+    assert variations(spark, '[[{"quantity":"7","x":{"y":{"attribute_Colour":"deep"}}},{"color":{"color":"in"},"max_qty":-4}],{"color":null,"stock":1}]') == {("deep", 7), ("in", 0)}
+    assert variations(spark, '{"stock":9,"inner":{"color":"a","stock":2},"list":[{"color":"a","stock":3}]}') == {("a", 9), ("a", 3)}
+    assert variations(spark, "{bad") == set() and variations(spark, None) == set() and variations(spark, '"color"') == set()
+    assert variations(spark, '{"s":"\\"[{","color":"[]"}') == set()
+
+
+def test_elements_nest(spark):
+    html = '<!-- <p> --><p>a <b>b</b><ul><li>one<ul><li>two</li></ul></li></ul></p></li><script>"<p>"</script><p>open<br/>end'
+    found = {(r.tag, r.text) for r in pages.text_blocks(web(spark, html), least=0).collect()}
+    assert found == {("p", "a b one two"), ("li", "one two"), ("li", "two"), ("p", "open end")}
+    assert {r.text for r in pages.text_blocks(web(spark, html), 100, "TWO", ("ul", "b")).collect()} == {"one two", "two"}
+    nested = '<div class="jsfb-filterable"><h3>Outer</h3><div class="jsfb-filterable"><h3>Inner</h3><p>FB-9</p></div><p>FB-8 Stock 4</p></div>'
+    got = {(r.code, r.name, r.stock) for r in pages.cards(web(spark, nested)).collect()}
+    assert got == {("FB-8", "Outer", 4), ("FB-9", "Inner", 0)}
+
+
+def test_colors_of_pages(spark):
+    swatches = '<div class="product-color" title="Rojo" data-stock="4"></div><span id="color-b">Azul</span><div class="colors"><select name="pa_color"><option value="v" data-quantity="2.9">Verde</option><option value="">Choose an option</option></select></div>'
+    order = '<p>Colores: Rojo, Negro</p><p>Stock Disponible 5</p><form data-product_variations="{&quot;stock&quot;:3,&quot;v&quot;:[{&quot;color&quot;:&quot;V&quot;}]}"></form>'
+    got = {r.page_id: (r.colors, r.color_stock) for r in pages.colors_of(web(spark, swatches, order + swatches, "<p>Colores: Rojo, Negro</p>", "none")).collect()}
+    assert got[0] == (["Verde", "Rojo", "Azul"], {"Verde": 2, "Rojo": 4, "Azul": 0})
+    assert got[1] == (["Rojo", "Negro", "Verde", "Azul"], {"Rojo": 4, "Negro": 0, "Verde": 3, "Azul": 0})
+    assert got[2] == (["Rojo", "Negro"], {"Rojo": 0, "Negro": 0}) and 3 not in got
+
+
+SHOP = "https://shop.example"
+
+
+def shop_page(*cards, links=""):
+    return "<html>" + "".join(f'<article class="jsfb-filterable">{c}</article>' for c in cards) + links + "</html>"
+
+
+def card(code, path, text=""):
+    return f'<a href="/producto/{path}/"><h2>{code} name</h2></a><p>{code}</p><div>{text}</div>'
+
+
+def test_page_pipeline(spark):
+    """Pages of categories to product rows: pagination, shared pages, one detail for each code, precedence by field."""
+    web_ = [
+        ("/c/a/", shop_page(card("FB-1", "one", "Stock Disponible 6646 7942"), card("FB-2", "two", "Stock Disponible 5364"), links='<a class="page-numbers" href="/c/a/2/">2</a><a class="page-numbers" href="/c/a/9/">9</a>')),
+        ("/c/a/2/", shop_page(card("FB-3", "three"), "<p>FB-4</p>")),
+        ("/c/b/", shop_page(card("fb", "other"), card("FB-1", "another-one", "Stock Disponible 1 2"))),
+        ("/producto/one/", "<h1>One</h1><p>FB-1</p><div>Colores: Dorado, Plateado</div>"),
+        ("/producto/two/", "<h1>Two</h1><div>Colores: A, B, C, D y E</div>"),
+        ("/producto/three/", '<h1>Three</h1><form data-product_variations=\'{"stock":5,"v":[{"color":"a"},{"color":"b","stock":2}]}\'></form>'),
+        ("/c/empty/", "<html></html>"),
+    ]
+    rows = spark.createDataFrame([(k, SHOP + u, h) for k, (u, h) in enumerate(web_)], "page_id long, url string, html string")
+    names = ["/c/a/", "/c/b/", "/c/missing/", "/c/empty/"]
+    categories = spark.createDataFrame([(n, SHOP + n, k) for k, n in enumerate(names)], "name string, url string, at int")
+    made = pages.page_rows(categories, rows)
+    got = [(r.category, r.code, r.stock, r.color_stock, r.url.removeprefix(SHOP)) for r in made.orderBy("at", "page_no", "pos").collect()]
+    assert got == [
+        ("/c/a/", "FB-1", 14588, {"Dorado": 6646, "Plateado": 7942}, "/producto/one/"), ("/c/a/", "FB-2", 5364, {}, "/producto/two/"),
+        ("/c/a/", "FB-3", 7, {"a": 5, "b": 2}, "/producto/three/"), ("/c/a/", "FB-4", 0, {}, "/c/a/2/"),
+        ("/c/b/", "", 0, {}, "/producto/other/"), ("/c/b/", "FB-1", 3, {"Dorado": 1, "Plateado": 2}, "/producto/another-one/"),
+    ]
+    told = {r.category: (r.pages, r.cards, r.products, r.error) for r in pages.with_sum(pages.outcomes(categories, rows, made)).collect()}
+    assert told == {
+        "/c/a/": (2, 4, 4, "pages are missing"), "/c/b/": (1, 2, 1, "cards without a code"), "/c/missing/": (0, 0, 0, "no page"), "/c/empty/": (1, 0, 0, "no cards"), None: (4, 6, 5, "4"),
+    }
+
+
+def test_times_as_text(spark):
+    rows = spark.createDataFrame([("2024-01-02T03:04:05.123456",), ("2024-01-02 03:04:05",), ("2024-01-02T03:04:05+02:00",), ("2024-01-02",), ("x",), (None,)], "v string")
+    got = [r.x for r in rows.select(t.iso_text(t.iso_time(F.col("v"))).alias("x")).collect()]
+    assert got == ["2024-01-02T03:04:05.123456", "2024-01-02T03:04:05.000000", "2024-01-02T01:04:05.000000", "2024-01-02T00:00:00.000000", None, None]
