@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfspark.llm import text_arrays as ta
-from shelfspark.llm.storage import cut, small_batches
+from shelfspark.llm.storage import cut, release, small_batches
 from shelfspark.llm.suffix_array import common_prefixes, suffix_array
 
 LENGTH, ANCHOR = 200, 100
@@ -55,7 +55,7 @@ CROWDED, CROWDED_IN_BLOCK = 4096, 4
 #: Bytes of text in a block of rows, and those that are hashed at a time.
 BLOCK_BYTES, SCAN_BYTES = 8 << 20, 1 << 18
 #: Bytes of text for each slice of the anchors and each shard of the segments.
-SLICE_TEXT, SHARD_TEXT = 32 << 20, 8 << 20
+SLICE_TEXT, SHARD_TEXT = 32 << 20, 4 << 20
 U64 = ta.U64
 
 
@@ -242,6 +242,7 @@ def repeated_strings(data: np.ndarray, lengths: np.ndarray, places: np.ndarray)
 
 def _verdicts(table: pa.Table) -> pa.Table:
     """(key, first, last) of the runs of repeated strings in each segment of a shard."""
+    release()
     columns = {c: np.frombuffer(b"".join(table[c].to_pylist()), np.int64) for c in ("keys", "places", "lengths")}
     columns["bytes"] = np.frombuffer(b"".join(zstandard.decompress(x) for x in table["bytes"].to_pylist()), np.uint8)
     keys, at, number = np.unique(columns["keys"], return_index=True, return_inverse=True)
