@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from shelfspark.functions.text import BLANKS, clean_map, is_image_name, safe_file_name
 
 
 def duplicate_groups(files: DataFrame, content: Column, path: str = "path") -> DataFrame:
@@ -108,11 +111,33 @@ def product_rules() -> list[tuple[Column, str]]:
 
 
 def gate(df: DataFrame, rules: list[tuple[Column, str]]) -> tuple[DataFrame, DataFrame]:
-    """(accepted, quarantine)"""
-    checked = validate(df, rules)
+    """(accepted, quarantine) of rows that are normalised first."""
+    checked = validate(normalise(df), rules)
     return checked.where(F.size("errors") == 0).drop("errors"), checked.where(F.size("errors") > 0)
 
 
-def numbered(df: DataFrame, *order: str) -> DataFrame:
-    """A total order inside each code."""
-    return df.withColumn("pos", F.row_number().over(Window.partitionBy("code").orderBy(*order)))
+def normalise(df: DataFrame) -> DataFrame:
+    """Records with texts trimmed, and maps with trimmed keys, none blank, and counts of at least 0; null texts stay."""
+    whole = {}
+    for f in df.schema:
+        if isinstance(f.dataType, T.StringType):
+            whole[f.name] = F.btrim(f.name, F.lit(BLANKS))
+        elif isinstance(f.dataType, T.MapType) and isinstance(f.dataType.valueType, T.IntegerType):
+            whole[f.name] = clean_map(F.col(f.name))
+    return df.withColumns(whole) if whole else df
+
+
+def without_image(df: DataFrame, column: str = "image_url") -> DataFrame:
+    return without_text(df, column)
+
+
+def image_index(paths: DataFrame) -> DataFrame:
+    """code (as it is in file names) and the first path of each code's image files."""
+    named = paths.select("path", F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("code")).where(is_image_name(F.col("path")) & (F.col("code") != ""))
+    return named.groupBy("code").agg(F.min("path").alias("image_path"))
+
+
+def with_images(df: DataFrame, index: DataFrame) -> DataFrame:
+    """Records with the image file of their code, or null."""
+    own = df.drop("image_path").withColumn("_file", safe_file_name(F.col("code")))
+    return own.join(index.withColumnRenamed("code", "_file"), "_file", "left").drop("_file")

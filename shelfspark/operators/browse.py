@@ -107,5 +107,20 @@ def printed_report(df: DataFrame) -> DataFrame:
     )
 
 
-def color_text(m: Column) -> Column:
-    return map_text(m)
+def first_rows(df: DataFrame, k: int, pos: str = "pos") -> DataFrame:
+    """A sample: the first k records."""
+    return df.orderBy(pos).limit(k)
+
+
+def still_there(selected: DataFrame, facets: DataFrame, column: str = "category") -> DataFrame:
+    """The selected facets that the catalog still has."""
+    return selected.join(facets, column, "left_semi").select(column).distinct()
+
+
+def bag_union(*frames: DataFrame) -> DataFrame:
+    """All rows of several lists one after the other: ``list_no`` and the lists' own ``pos`` keep the order."""
+    out = None
+    for k, df in enumerate(frames):
+        own = df.withColumn("list_no", F.lit(k))
+        out = own if out is None else out.unionByName(own)
+    return out

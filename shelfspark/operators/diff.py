@@ -10,6 +10,7 @@ from shelfspark.functions.text import map_text
 
 #: Fields of a record that are compared and logged.
 CONTENT_FIELDS = ("name", "category", "description", "price", "price_sample", "price_hundred", "price_thousand", "stock", "color_stock")
+CONTENT_FIELDS_WITH_CODE = ("code", *CONTENT_FIELDS)
 IMAGE_FIELDS = ("image_url", "image_path")
 LOGGED_FIELDS = ("code", "name", "category", "description", "price", "price_sample", "price_hundred", "price_thousand", "stock", "color_stock", "image_url", "image_path", "image_hash")
 NEW, UPDATED, IMAGE_CHANGED, UNCHANGED, REMOVED = "NEW", "UPDATED", "IMAGE_CHANGED", "UNCHANGED", "REMOVED"

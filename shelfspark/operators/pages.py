@@ -265,14 +265,14 @@ def enriched(rows: DataFrame, found: DataFrame) -> DataFrame:
 def page_rows(categories: DataFrame, pages: DataFrame) -> DataFrame:
     """Product rows of categories (name, url, at): their pages' cards, with the details that these link to.
 
-    A page that several categories share is read once; the rows of each category stand by at, page_no and pos.
+    A page that several categories share is read once; the rows of each category stand by at, page_no and pos.  Cards and
+    details are kept in the folder of ``spark.checkpoint.dir``, as several steps read them.
     """
-    listed = category_pages(categories, pages)
+    listed = category_pages(categories, pages).checkpoint()
     wanted = pages.join(listed.select(F.col("page").alias("url")).distinct(), "url", "left_semi")
-    found = cards(wanted).join(wanted.select("page_id", F.col("url").alias("page")), "page_id").drop("page_id")
-    rows = listed.join(found, "page")
-    asked = pages.join(found.select(F.col("detail_url").alias("url")).distinct(), "url", "left_semi")
-    return enriched(rows, details(asked)).drop("page")
+    found = cards(wanted).join(wanted.select("page_id", F.col("url").alias("page")), "page_id").drop("page_id").checkpoint()
+    asked = pages.join(found.select(F.col("detail_url").alias("url")).distinct(), "url", "left_semi").checkpoint()
+    return enriched(listed.join(found, "page"), details(asked).checkpoint()).drop("page")
 
 
 def outcomes(categories: DataFrame, pages: DataFrame, rows: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.functions.text import is_blank, resolve_price
+from shelfspark.functions.text import clean_map, content_hash, is_blank, map_text, number_text, resolve_price, trimmed
 from shelfspark.operators import consolidate as co
 from shelfspark.operators import diff as d
 from shelfspark.sources.commits import Publication
@@ -46,6 +46,30 @@ def to_catalog(landed: DataFrame) -> DataFrame:
     return landed.withColumn("price", resolve_price(F.col("price_sample"), F.col("price"))) if "price_sample" in landed.columns else landed
 
 
+#: What a landing record has where nothing is said, and the fields of its content hash.
+LANDING = {"source": "importacionesfacundo", **dict.fromkeys(("url", "code", "name", "category", "description", "image_url", "image_path", "image_hash", "image_error"), "")}
+LANDING_NUMBERS = ("price", "price_sample", "price_hundred", "price_thousand")
+
+
+def record_hash(df: DataFrame) -> Column:
+    """SHA-256 over the content fields of a record."""
+    text = {"color_stock": lambda c: map_text(c), "stock": lambda c: c.cast("string")} | dict.fromkeys(LANDING_NUMBERS, number_text)
+    return content_hash([text.get(f, trimmed)(F.col(f)) for f in d.CONTENT_FIELDS_WITH_CODE])
+
+
+def landing_record(df: DataFrame, now: Column | None = None) -> DataFrame:
+    """Landing records from whatever fields there are: defaults for the others and for nulls, the scrape time where it is
+    missing, maps with clean keys and counts, and the content hash."""
+    have = set(df.columns)
+    field = lambda f, default: (F.coalesce(F.col(f), default) if f in have else default).alias(f)
+    no_map = F.create_map().cast("map<string,int>")
+    made = df.select(
+        *[field(f, F.lit(x)) for f, x in LANDING.items()], *[field(f, F.lit(0.0)) for f in LANDING_NUMBERS], field("stock", F.lit(0)),
+        clean_map(F.coalesce(F.col("color_stock"), no_map) if "color_stock" in have else no_map).alias("color_stock"), field("scraped_at", now if now is not None else F.current_timestamp()),
+    )
+    return made.withColumn("content_hash", record_hash(made))
+
+
 def union_text(a: Column, b: Column) -> Column:
     """Comma lists as one: a's items first, case aside each once."""
     from shelfspark.functions.text import distinct_folded

@@ -55,13 +55,6 @@ def number_extract(s: S, d: str) -> DataFrame:
     return rows.select("doc_id", F.size("v").alias("numbers"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 0).alias("total"))
 
 
-@query(r"""WITH b AS (SELECT page_id, unnest(x) AS raw, unnest(range(len(x))) AS pos FROM (SELECT page_id, regexp_extract_all(html, '(?is)<(p|h1|li)>([^<]*)</', 2) AS x FROM pages)),
-  c AS (SELECT page_id, pos::INT AS pos, trim(regexp_replace(replace(replace(replace(replace(replace(raw, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM b)
-  SELECT * FROM c WHERE length(text) > 100""")
-def text_blocks(s: S, d: str) -> DataFrame:
-    return pg.text_blocks(table(s, d, "pages"))
-
-
 @query("SELECT key, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS key FROM events) GROUP BY key")
 def json_keys(s: S, d: str) -> DataFrame:
     return pg.json_keys(table(s, d, "events"), "props")

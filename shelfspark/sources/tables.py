@@ -53,6 +53,11 @@ def lookup_one(df: DataFrame, value: object, on: str = "code") -> DataFrame:
     return df.where(F.col(on) == F.lit(value))
 
 
+def in_order(df: DataFrame, by: str = "id") -> DataFrame:
+    """A landing table as it was filled."""
+    return df.orderBy(by)
+
+
 def newest_first(df: DataFrame, by: str = "id") -> DataFrame:
     return df.orderBy(F.desc(by))
 
@@ -63,6 +68,12 @@ def image_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.where(is_image_name(F.col("path"))).select("path", "content")
 
 
+def image_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """The paths alone: Spark lists the files and opens none."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return files.where(is_image_name(F.col("path"))).select("path")
+
+
 def html_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("url"), F.col("value").alias("html"))
 
