@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.functions import text as t
-from shelfspark.operators import audit, browse, sync
+from shelfspark.operators import audit, browse, replay, sync
 from shelfspark.operators import consolidate as co
 from shelfspark.operators import diff as df
-from shelfspark.plans.catalog import _LOG, _published, query, snapshot_diff
-from shelfspark.plans.inputs import DIFF, OCC, occurrences
-from shelfspark.sources.tables import RUNS, in_order, lookup_one, schema, table
+from shelfspark.operators import pages as pg
+from shelfspark.plans.catalog import _LOG, LOG_FIELDS, _published, query, snapshot_diff
+from shelfspark.plans.inputs import DIFF, NEW, OCC, OLD, new_snapshot, occurrences, old_snapshot
+from shelfspark.sources.commits import Publication
+from shelfspark.sources.tables import RUNS, flags, in_order, lookup_one, schema, table
+from shelfspark.streaming.jobs import scratch
 
 S = SparkSession
 KEY = "p_partkey"
@@ -173,3 +176,72 @@ def one_run(s: S, d: str) -> DataFrame:
     return lookup_one(_published(s, d).read("runs", RUNS), 1, "id").select("id", "processed", "status")
 
 
+
+
+@query(f"WITH {NEW} SELECT code, name, category, round(price, 2) AS price, stock, image_url FROM new")
+def restored_catalog(s: S, d: str) -> DataFrame:
+    """An empty catalog filled from the published log of (nothing to old to new), and marked in the same commit."""
+    tables, old, new = Publication(s, f"{scratch(s)}/tables"), old_snapshot(s, d), new_snapshot(s, d)
+    gone = df.only_in(old, new)
+    first = df.change_log(old.limit(0), sync.delete(old, gone), fields=LOG_FIELDS).withColumn("history_id", F.lit(1).cast("long"))
+    then = df.change_log(old, new, fields=LOG_FIELDS).withColumn("history_id", F.lit(2).cast("long"))
+    tables.commit(tables.state(), append={"changes": tables.stage("changes", first.unionByName(then))})
+    changes = schema(_CHANGES.replace("code string", "code long"))
+    kind = schema("code long, name string, category string, price double, stock int, image_url string")
+    again = [replay.restore(tables, kind, changes) for _ in range(2)]
+    if again[1] != 0:
+        raise AssertionError("a catalog that is ready was restored again")
+    return tables.read("catalog", kind)
+
+
+@query(f"WITH {NEW} SELECT * FROM new")
+def snapshot_sync(s: S, d: str) -> DataFrame:
+    return sync.snapshot_sync(old_snapshot(s, d), new_snapshot(s, d), apply_removals=True)[0]
+
+
+@query(f"WITH {OLD}, {NEW} SELECT * FROM old UNION ALL SELECT * FROM new WHERE code NOT IN (SELECT code FROM old)")
+def inserted_rows(s: S, d: str) -> DataFrame:
+    old, new = old_snapshot(s, d), new_snapshot(s, d)
+    return sync.insert(old, sync.delete(new, old))
+
+
+@query(f"WITH {OCC} SELECT code, coalesce(arg_min(color || '!', pos) FILTER (stock > 40), '') AS description FROM occ GROUP BY code")
+def filled_blanks(s: S, d: str) -> DataFrame:
+    rows = occurrences(s, d).withColumn("description", F.when(F.col("stock") > 40, _text(F.col("color"), "!")).when(F.col("stock") > 20, "  "))
+    return co.consolidate(rows.select("code", "pos", "description")).select("code", "description")
+
+
+@query("""SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN '/img/fb-' || p_partkey || '.jpg' WHEN 1 THEN '/uploads/x.jpg' WHEN 2 THEN '/other.png' ELSE '' END AS image_url FROM part""")
+def image_choice(s: S, d: str) -> DataFrame:
+    k = F.col(KEY)
+    named, upload, other = F.when(k % 4 == 0, _text("/img/fb-", k, "-300x300.jpg")), F.when(k % 4 < 2, "/uploads/x-150x150.jpg"), F.when(k % 4 < 3, "/other.png")
+    listed = F.array_compact(F.array(F.lit("data:image/png;base64,x"), F.lit("/Logo.png"), F.lit("/img/placeholder-600x600.jpg"), other, upload, named))
+    return table(s, d, "part").select(k.alias("id"), pg.best_image(listed, _text("FB-", k)).alias("image_url"))
+
+
+@query("""SELECT p_partkey AS id, p_partkey % 5 < 3 AS content_ok, p_partkey % 3 <> 2 AS name_ok, CASE p_partkey % 3 WHEN 0 THEN '.png' WHEN 1 THEN '.webp' ELSE '.jpg' END AS extension FROM part""")
+def image_checks(s: S, d: str) -> DataFrame:
+    k = F.col(KEY)
+    content = F.unhex(F.get(F.array(F.lit("FFD8FFE0"), F.lit("89504E470D0A"), F.lit("52494646AA"), F.lit("47494638"), F.lit("")), (k % 5).cast("int")))
+    name = F.when(k % 3 == 0, _text("http://x/", k, ".PNG?v=1")).when(k % 3 == 1, _text("http://x/", k, ".webp")).otherwise(_text("http://x/", k))
+    return table(s, d, "part").select(k.alias("id"), t.is_image_content(content).alias("content_ok"), t.is_image_name(F.regexp_replace(name, r"\?.*$", "")).alias("name_ok"), t.extension(name).alias("extension"))
+
+
+@query("""SELECT p_partkey AS id, p_size || ' ' || (p_partkey % 1000) AS stocks, 'Rojo|Gris Gun|Azul' AS colors, p_retailprice AS price, 6.5 AS sample, 1234.0 AS hundred, 0.0 AS thousand FROM part""")
+def said_in_texts(s: S, d: str) -> DataFrame:
+    """Numbers behind a marker, lists of colors and prices by label, as cards say them."""
+    k = F.col(KEY)
+    stock = _text("Precio: 9 STOCK  Disponible: ", F.col("p_size"), " ", F.format_number(k % 1000, 0), " unidades")
+    colors = F.lit("Colores: Rojo, Gris Gun, rojo y Azul (varios)")
+    prices = F.lit("Muestra: S/ 6.50 Ciento S/ 1,234.00 Millar: consultar")
+    return table(s, d, "part").select(
+        k.alias("id"), F.array_join(F.transform(t.numbers_after(stock), lambda n: n.cast("string")), " ").alias("stocks"), F.array_join(t.color_list(colors), "|").alias("colors"),
+        t.first_price(F.lit("gratis"), _text("S/. ", F.format_number("p_retailprice", 2), " soles")).alias("price"),
+        *[t.price_by_label(prices, w).alias(n) for n, w in (("sample", "Muestra"), ("hundred", "Ciento"), ("thousand", "Millar"))],
+    )
+
+
+@query("SELECT r_name AS key, r_regionkey % 2 = 1 AS set FROM region")
+def metadata_flags(s: S, d: str) -> DataFrame:
+    value = F.when(F.col("r_regionkey") % 2 == 1, "1").otherwise("0")
+    return flags(table(s, d, "region").select(F.col("r_name").alias("key"), value.alias("value")))

@@ -66,11 +66,11 @@ def page_rows(s: S, d: str) -> DataFrame:
     return rows.select("category", "page_no", "code", "name", "price_sample", "stock", t.map_text(F.col("color_stock")).alias("colors"), "url")
 
 
-@query(f"WITH {_ROWS} SELECT page AS url, 'FB-' || k AS code, p_name AS name, round(p_retailprice, 2) AS price_sample, array_to_string(numbers, ' ') AS numbers FROM card UNION ALL SELECT page, 'FB-P' || k, 'Pack ' || k, 0.0, '' FROM card WHERE k % 10 = 0")
+@query(f"WITH {_ROWS} SELECT page AS url, 'FB-' || k AS code, p_name AS name, round(p_retailprice, 2) AS price_sample, array_to_string(numbers, ' ') AS numbers, 'Muestra: S/ ' || format('{{:,.2f}}', p_retailprice) AS description FROM card UNION ALL SELECT page, 'FB-P' || k, 'Pack ' || k, 0.0, '', '' FROM card WHERE k % 10 = 0")
 def page_cards(s: S, d: str) -> DataFrame:
     pages = shop_pages(s, d).where(F.contains("url", F.lit("/categoria-producto/")))
     found = pg.cards(pages).join(pages.select("page_id", F.col("url").alias("page")), "page_id")
-    return found.select(F.col("page").alias("url"), "code", "name", "price_sample", F.array_join(F.transform("numbers", lambda n: n.cast("string")), " ").alias("numbers"))
+    return found.select(F.col("page").alias("url"), "code", "name", "price_sample", "description", F.array_join(F.transform("numbers", lambda n: n.cast("string")), " ").alias("numbers"))
 
 
 @query("SELECT 'FB-' || p_partkey AS code, p_name AS name, CASE WHEN p_partkey % 3 = 2 THEN 0 ELSE 2 * p_size + (p_partkey % 7)::INT END AS stock, CASE WHEN p_partkey % 3 = 2 THEN '' ELSE 'Rojo,Azul' END AS colors FROM part WHERE p_partkey % 5 <> 4")
@@ -79,6 +79,14 @@ def page_details(s: S, d: str) -> DataFrame:
     return found.select("code", "name", "stock", F.array_join("colors", ",").alias("colors"))
 
 
+@query(f"""WITH m AS (SELECT '{SITE}/categoria-producto/' || {_SLUG} || '/' AS url, max(p_partkey) // 500 AS last FROM part GROUP BY 1)
+  SELECT url, url AS page, 0 AS pos FROM m UNION ALL SELECT url, url || 'page/' || i || '/', i::INT FROM m, LATERAL (SELECT unnest(range(1, last + 1)) AS i)""")
+def category_page_list(s: S, d: str) -> DataFrame:
+    named = categories(s, d)
+    own = shop_pages(s, d).join(named.select("url"), "url", "left_semi")
+    return pg.page_links(own.select("page_id", "url", "html"))
+
+
 @query(f"""WITH {_ROWS}, o AS (SELECT category, count(DISTINCT page_no) AS pages, count(*) AS cards, count(DISTINCT code) AS products, CASE WHEN count(DISTINCT page_no) < 1 + max(page_no) THEN 'pages are missing' ELSE '' END AS error FROM made GROUP BY 1
     UNION ALL SELECT 'Nowhere', 0, 0, 0, 'no page')
   SELECT * FROM o UNION ALL SELECT NULL, sum(pages)::BIGINT, sum(cards)::BIGINT, sum(products)::BIGINT, (count(*) FILTER (error <> ''))::VARCHAR FROM o""")

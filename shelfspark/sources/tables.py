@@ -1,9 +1,7 @@
-"""Schemas, tables, and a versioned store on plain Parquet with all-or-nothing publishing."""
+"""Schemas, tables and file sources."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,6 +76,11 @@ def html_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("url"), F.col("value").alias("html"))
 
 
+def flags(metadata: DataFrame) -> DataFrame:
+    """key and set: whether any of its values is "1"."""
+    return metadata.groupBy("key").agg(F.coalesce(F.max(F.col("value") == "1"), F.lit(False)).alias("set"))
+
+
 def flag(metadata: DataFrame, key: str) -> DataFrame:
     """One row: whether the key's value is "1"."""
     return metadata.where(F.col("key") == key).agg(F.coalesce(F.max(F.col("value") == "1"), F.lit(False)).alias("set"))
@@ -91,33 +94,3 @@ def set_value(metadata: DataFrame, key: str, value: str) -> DataFrame:
 
 def is_ready(metadata: DataFrame, catalog: DataFrame, key: str = "initialized") -> bool:
     return bool(flag(metadata, key).first()["set"]) or not catalog.isEmpty()
-
-
-class Store:
-    """Versions of a table in a folder: a version is written whole, then a one-row pointer names it."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-
-    def _pointers(self) -> DataFrame | None:
-        path = f"{self.folder}/_versions"
-        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        found = target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-        return self.spark.read.schema("number long, name string").json(path) if found else None
-
-    def _last(self) -> tuple[int, str] | None:
-        pointers = self._pointers()
-        row = pointers.orderBy(F.desc("number")).first() if pointers is not None else None
-        return (row["number"], row["name"]) if row else None
-
-    def read(self, empty: T.StructType) -> DataFrame:
-        last = self._last()
-        return self.spark.read.parquet(f"{self.folder}/{last[1]}") if last else self.spark.createDataFrame([], empty)
-
-    def publish(self, df: DataFrame) -> None:
-        """Readers see the old version until the pointer is there; a failed write changes nothing for them."""
-        last = self._last()
-        name = f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.folder}/{name}")
-        pointer = self.spark.createDataFrame([((last[0] if last else 0) + 1, name)], "number long, name string")
-        pointer.coalesce(1).write.mode("append").json(f"{self.folder}/_versions")
