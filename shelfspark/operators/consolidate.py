@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions.text import map_total
 
+#: What an occurrence comes apart into.
+ROW, CATEGORY, STOCK, COLOR = range(4)
+
 
 def first_per_key(df: DataFrame, key: str, pos: str = "pos") -> DataFrame:
     """The row with the smallest position of each key; an aggregation, so it combines before the shuffle."""
@@ -74,34 +77,36 @@ def consolidate(occurrences: DataFrame) -> DataFrame:
     no_map, no_base = F.create_map().cast("map<string,int>"), F.struct(*[F.lit(None).cast(occurrences.schema[c].dataType).alias(c) for c in (*base, *filled)])
     item = lambda kind, same, k, text, value=F.lit(None): F.struct(F.lit(kind).alias("kind"), same.alias("same"), k.alias("k"), text.alias("text"), value.cast("int").alias("value"))
     none = F.lit(None).cast("string")
-    parts = [F.array(item("row", F.lit(""), F.lit(0), none))]
+    parts = [F.array(item(ROW, F.lit(""), F.lit(0), none))]
     if "category" in have:
         listed = F.filter(F.transform(F.split(F.coalesce("category", F.lit("")), ","), lambda x, k: F.struct(F.btrim(x).alias("x"), k.alias("k"))), lambda x: x["x"] != "")
-        parts.append(F.transform(listed, lambda x: item("category", F.lower(x["x"]), x["k"], x["x"])))
+        parts.append(F.transform(listed, lambda x: item(CATEGORY, F.lower(x["x"]), x["k"], x["x"])))
     if "color_stock" in have:
-        parts.append(F.transform(F.map_entries(F.coalesce("color_stock", no_map)), lambda e: item("stock", e["key"], F.lit(0), e["key"], F.greatest(e["value"].try_cast("int"), F.lit(0)))))
+        parts.append(F.transform(F.map_entries(F.coalesce("color_stock", no_map)), lambda e: item(STOCK, e["key"], F.lit(0), e["key"], F.greatest(e["value"].try_cast("int"), F.lit(0)))))
     if "colors" in have:
         names = F.filter(F.transform(F.coalesce("colors", F.array().cast("array<string>")), lambda x, k: F.struct(F.btrim(x).alias("x"), k.alias("k"))), lambda x: x["x"] != "")
-        parts.append(F.transform(names, lambda x: item("color", x["x"], x["k"], x["x"])))
+        parts.append(F.transform(names, lambda x: item(COLOR, x["x"], x["k"], x["x"])))
     items = rows.select("code", "pos", F.struct(*base, *filled).alias("_row"), F.explode(F.concat(*parts)).alias("i"))
-    items = items.select("code", "pos", "i.*", F.when(F.col("i.kind") == "row", F.col("_row")).otherwise(no_base).alias("_row"))
-    at, is_row = F.struct(F.col("pos").alias("at"), "k"), F.col("kind") == "row"
+    is_row, at = F.col("i.kind") == ROW, F.struct(F.col("pos"), F.col("i.k").alias("k"))
+    payload = F.struct(at.alias("at"), F.col("i.text").alias("text"), F.when(is_row, F.col("_row")).otherwise(no_base).alias("row"))
+    items = items.select("code", F.col("i.kind").alias("kind"), F.col("i.same").alias("same"), F.col("i.value").alias("value"), payload.alias("p"))
     # one row for each code and item, then one for each code
-    told = lambda c: F.btrim(F.coalesce(F.col(f"_row.{c}"), F.lit(""))) != ""
-    firsts = [F.min(F.when(is_row & told(c), F.struct(F.col("pos").alias("at"), F.col(f"_row.{c}").alias("x")))).alias(f"_{c}") for c in filled]
-    reduced = items.groupBy("code", "kind", "same").agg(F.min_by("_row", F.when(is_row, F.col("pos"))).alias("_row"), F.min(at).alias("first"), F.min_by("text", at).alias("text"), F.max("value").alias("value"), *firsts)
-    of = lambda kind, x: F.collect_list(F.when(F.col("kind") == kind, x))
-    wanted = [F.max(F.when(is_row, F.col("first.at"))).alias("pos"), F.max_by("_row", F.when(is_row, F.lit(1))).alias("_row"), *[F.max(f"_{c}").alias(f"_{c}") for c in filled]]
-    ordered = F.struct("first", "text")
-    by_code = reduced.groupBy("code").agg(*wanted, of("category", ordered).alias("_categories"), of("stock", F.struct(F.col("text").alias("key"), "value")).alias("_stock"), of("color", ordered).alias("_colors"))
-    texts = lambda c: F.transform(F.array_sort(c), lambda x: x["text"])
-    out = {c: F.col(f"_row.{c}") for c in base} | {c: F.coalesce(F.col(f"_{c}.x"), F.lit("")) for c in filled} | {"pos": F.col("pos")}
+    told = lambda c: F.btrim(F.coalesce(F.col(f"p.row.{c}"), F.lit(""))) != ""
+    firsts = {c: F.min(F.when(told(c), F.struct(F.col("p.at"), F.col(f"p.row.{c}").alias("x")))) for c in filled}
+    reduced = items.groupBy("code", "kind", "same").agg(F.min_by("p", "p.at").alias("p"), F.max("value").alias("value"), *[v.alias(f"_{c}") for c, v in firsts.items()])
+    found = F.struct("kind", "p", "value", *[f"_{c}" for c in filled])
+    by_code = reduced.groupBy("code").agg(F.collect_list(found).alias("all"))
+    of = lambda kind: F.filter("all", lambda x: x["kind"] == kind)
+    by_code = by_code.select("code", F.get(of(ROW), F.lit(0)).alias("r"), of(CATEGORY).alias("categories"), of(STOCK).alias("stocks"), of(COLOR).alias("names"))
+    texts = lambda c: F.transform(F.array_sort(F.transform(c, lambda x: F.struct(x["p"]["at"].alias("at"), x["p"]["text"].alias("text")))), lambda x: x["text"])
+    out = {c: F.col(f"r.p.row.{c}") for c in base} | {c: F.coalesce(F.col(f"r._{c}.x"), F.lit("")) for c in filled} | {"pos": F.col("r.p.at.pos")}
     if "category" in have:
-        out["category"] = F.array_join(texts(F.col("_categories")), ", ")
+        out["category"] = F.array_join(texts(F.col("categories")), ", ")
     if "color_stock" in have:
-        out["color_stock"] = F.map_from_entries(F.filter(F.array_sort("_stock"), lambda e: e["value"].isNotNull()))
+        counted = F.filter(F.transform("stocks", lambda x: F.struct(x["p"]["text"].alias("key"), x["value"].alias("value"))), lambda e: e["value"].isNotNull())
+        out["color_stock"] = F.map_from_entries(F.array_sort(counted))
     if "colors" in have:
-        out["colors"] = texts(F.col("_colors"))
+        out["colors"] = texts(F.col("names"))
     return by_code.select("code", *[c.alias(n) for n, c in out.items()])
 
 
