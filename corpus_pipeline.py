@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.llm import bpe, decontamination, ngram_join, quality_rules, suffix_dedup
 from shelfspark.llm.storage import cut, shared_folder
+from shelfspark.llm.suffix_dedup import FILTER_POWER, PAGE_BITS
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -24,6 +25,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cut(quality_rules.judge(docs.select(*COLUMNS)).select(*COLUMNS, "kept")).where("kept").select(*COLUMNS)
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose ``row`` (a hash) is among ``gone``, with few texts shuffled.
+
+    A bitmap of the first bits of these hashes, of 8 MB at most, clears most rows where they stand; the others meet
+    ``gone`` itself.  Where the bitmap is full it clears fewer rows, which costs shuffle and no results.
+    """
+    bits = F.shiftrightunsigned("row", 64 - FILTER_POWER)
+    page, place = F.floor(bits / PAGE_BITS).cast("int"), bits % PAGE_BITS
+    pages = cut(gone.groupBy(page.alias("_page")).agg(F.bitmap_construct_agg(place).alias("_bits")))
+    rows = docs.withColumn("_page", page).join(F.broadcast(pages), "_page", "left")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
+    rows = rows.select(*docs.columns, held.alias("_held"))
+    return rows.where(~F.col("_held")).drop("_held").unionByName(rows.where("_held").drop("_held").join(gone, "row", "left_anti").select(*docs.columns))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps exactly one row of each group of near duplicates: the one with the smallest doc_id, null being the largest.
 
@@ -37,7 +54,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ranked = docs.select(row, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row).alias("rank")).join(members, "row")
     first = cut(ranked.groupBy("component_id").agg(F.min("rank").alias("rank")).select("component_id", F.col("rank.row").alias("first")))
     others = cut(members.join(first, "component_id").where("row <> first").select("row"))
-    kept = docs.select(*COLUMNS, row).join(others, "row", "left_anti")
+    kept = without(docs.select(*COLUMNS, row), others)
     repeated = cut(joined.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select("row"))
     if repeated.isEmpty():
         return kept.select(*COLUMNS)

@@ -1,0 +1,26 @@
+import random
+
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+
+
+def test_rows_go_exactly(spark):
+    """The bitmap clears rows and loses none: false hits meet the list itself, with hashes that share their first bits."""
+    rng = random.Random(4)
+    keys = [rng.getrandbits(64) - (1 << 63) for _ in range(3000)] + [-1, 0, 1, (1 << 63) - 1, -(1 << 63)]
+    keys += [k ^ 1 for k in keys[:500]]
+    gone = set(rng.sample(keys, 700)) | {-1, 0, -(1 << 63)}
+    docs = spark.createDataFrame([(k, f"t{k}", None) for k in keys] + [(keys[5], "again", "x")], "row long, text string, lang string")
+    out = corpus_pipeline.without(docs, spark.createDataFrame([(k,) for k in gone], "row long"))
+    assert out.columns == ["row", "text", "lang"]
+    assert sorted(r.text for r in out.collect()) == sorted([f"t{k}" for k in keys if k not in gone] + ["again"] * (keys[5] not in gone))
+    assert corpus_pipeline.without(docs, spark.createDataFrame([], "row long")).count() == docs.count()
+    assert corpus_pipeline.without(docs.limit(0), spark.createDataFrame([(1,)], "row long")).count() == 0
+
+
+def test_texts_are_not_shuffled_for_cleared_rows(spark, tmp_path):
+    spark.range(1000).select(F.xxhash64("id").alias("row"), F.lit("x").alias("text")).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    plan = corpus_pipeline.without(docs, docs.select("row").where("row % 50 = 0"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "CartesianProduct" not in plan
