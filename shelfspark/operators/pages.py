@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfspark.functions import text as t
 from shelfspark.operators.audit import detail_key
 from shelfspark.operators.elements import attribute, elements, outer_html, own_html
+from shelfspark.sources.tables import kept
 
 ANCHOR = r'(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>'
 CARD_MARK = "(?i)jsfb-filterable"
@@ -268,11 +269,11 @@ def page_rows(categories: DataFrame, pages: DataFrame) -> DataFrame:
     A page that several categories share is read once; the rows of each category stand by at, page_no and pos.  Cards and
     details are kept in the folder of ``spark.checkpoint.dir``, as several steps read them.
     """
-    listed = category_pages(categories, pages).checkpoint()
+    listed = kept(category_pages(categories, pages))
     wanted = pages.join(listed.select(F.col("page").alias("url")).distinct(), "url", "left_semi")
-    found = cards(wanted).join(wanted.select("page_id", F.col("url").alias("page")), "page_id").drop("page_id").checkpoint()
-    asked = pages.join(found.select(F.col("detail_url").alias("url")).distinct(), "url", "left_semi").checkpoint()
-    return enriched(listed.join(found, "page"), details(asked).checkpoint()).drop("page")
+    found = kept(cards(wanted).join(wanted.select("page_id", F.col("url").alias("page")), "page_id").drop("page_id"))
+    asked = kept(pages.join(found.select(F.col("detail_url").alias("url")).distinct(), "url", "left_semi"))
+    return enriched(listed.join(found, "page"), kept(details(asked))).drop("page")
 
 
 def outcomes(categories: DataFrame, pages: DataFrame, rows: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from shelfspark.functions import text as t
 from shelfspark.operators import sync
 from shelfspark.operators import pages as pg
 from shelfspark.plans.catalog import query
-from shelfspark.sources.tables import table
+from shelfspark.sources.tables import kept, table
 
 S = SparkSession
 SITE, PER_PAGE = "https://shop.example", 500
@@ -48,7 +48,7 @@ def shop_pages(s: S, d: str) -> DataFrame:
     data = text('{"stock":', F.col("p_size"), ',"v":[{"attributes":{"attribute_pa_color":"rojo-x"}},{"attributes":{"attribute_pa_color":"azul-x"},"max_qty":', F.col("p_size") + k % 7, "}]}")
     colors = F.when(k % 3 != 2, text(options, '<form data-product_variations="', F.replace(data, F.lit('"'), F.lit("&quot;")), '"></form>')).otherwise("")
     told = part.where("p_partkey % 5 <> 4").select(F.xxhash64(k).alias("page_id"), text(f"{SITE}/producto/", k, "/").alias("url"), text("<html><h1>", F.col("p_name"), "</h1><p>FB-", k, "</p>", colors, "</html>").alias("html"))
-    return listed.unionByName(told).checkpoint()
+    return kept(listed.unionByName(told))
 
 
 _SLUG = "replace(lower(p_brand), '#', '-')"

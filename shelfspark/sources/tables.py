@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +34,25 @@ CATEGORIES = schema("name string, url string")
 PAGES = schema("page_id long, url string, html string")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, which ``spark.checkpoint.dir`` names; a local one only where Spark runs in one
+    process and none is named (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        folder = f"file://{tempfile.gettempdir()}/shelfspark-shared"
+    return folder.rstrip("/")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The same rows, written to the shared folder: for what several steps read."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -16,16 +16,13 @@ from pyspark.sql import types as T
 from shelfspark.operators import diff, sync
 from shelfspark.plans.inputs import arrivals, new_snapshot, old_snapshot
 from shelfspark.sources.commits import Publication
-from shelfspark.sources.tables import RUNS
+from shelfspark.sources.tables import RUNS, shared_folder
 from shelfspark.sources.tables import schema as table_schema
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder in the place that all executors share, which ``spark.checkpoint.dir`` names."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A fresh folder in the place that all executors share."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -1,13 +1,14 @@
 """Commits of several tables, runs that are published whole, streams that take each batch in once, and recovery."""
 
 import datetime as dt
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from shelfspark.operators import replay, sync
 from shelfspark.sources.commits import Conflict, Publication
-from shelfspark.sources.tables import RUNS, schema
+from shelfspark.sources.tables import RUNS, schema, shared_folder
 from shelfspark.streaming import jobs
 from tests.test_catalog import PRODUCT, frame, occurrences, product
 
@@ -168,8 +169,10 @@ def test_updated_at_of_what_changes(spark):
     assert {r.code: r.updated_at.year for r in merged.collect()} == {"A": 2024, "B": 2020, "C": 2020}
 
 
-def test_no_shared_folder_is_an_error(spark, monkeypatch):
-    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: default)
-    monkeypatch.setattr(type(spark.sparkContext.getConf()), "get", lambda self, key, default=None: default)
-    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
-        jobs.scratch(spark)
+def test_no_shared_folder_is_an_error_on_a_cluster():
+    unset = SimpleNamespace(get=lambda key, default=None: default)
+    session = lambda master: SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master=master, getConf=lambda: unset))
+    assert shared_folder(session("local[4]")).startswith("file://") and shared_folder(session("local")).startswith("file://")
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+            shared_folder(session(master))
