@@ -74,10 +74,11 @@ def consolidate(occurrences: DataFrame) -> DataFrame:
     rows = with_key(occurrences)
     filled = [c for c in ("description", "image_url") if c in have]
     base = [c for c in have if c not in ("code", "pos", "category", "color_stock", "colors", *filled)]
-    no_map, no_base = F.create_map().cast("map<string,int>"), F.struct(*[F.lit(None).cast(occurrences.schema[c].dataType).alias(c) for c in (*base, *filled)])
-    item = lambda kind, same, k, text, value=F.lit(None): F.struct(F.lit(kind).alias("kind"), same.alias("same"), k.alias("k"), text.alias("text"), value.cast("int").alias("value"))
+    no_map, own = F.create_map().cast("map<string,int>"), F.struct(*base, *filled)
+    no_row = F.lit(None).cast(occurrences.select(own.alias("r")).schema["r"].dataType)
+    item = lambda kind, same, k, text, value=F.lit(None), row=no_row: F.struct(F.lit(kind).alias("kind"), same.alias("same"), k.alias("k"), text.alias("text"), value.cast("int").alias("value"), row.alias("row"))
     none = F.lit(None).cast("string")
-    parts = [F.array(item(ROW, F.lit(""), F.lit(0), none))]
+    parts = [F.array(item(ROW, F.lit(""), F.lit(0), none, row=own))]
     if "category" in have:
         listed = F.filter(F.transform(F.split(F.coalesce("category", F.lit("")), ","), lambda x, k: F.struct(F.btrim(x).alias("x"), k.alias("k"))), lambda x: x["x"] != "")
         parts.append(F.transform(listed, lambda x: item(CATEGORY, F.lower(x["x"]), x["k"], x["x"])))
@@ -86,9 +87,8 @@ def consolidate(occurrences: DataFrame) -> DataFrame:
     if "colors" in have:
         names = F.filter(F.transform(F.coalesce("colors", F.array().cast("array<string>")), lambda x, k: F.struct(F.btrim(x).alias("x"), k.alias("k"))), lambda x: x["x"] != "")
         parts.append(F.transform(names, lambda x: item(COLOR, x["x"], x["k"], x["x"])))
-    items = rows.select("code", "pos", F.struct(*base, *filled).alias("_row"), F.explode(F.concat(*parts)).alias("i"))
-    is_row, at = F.col("i.kind") == ROW, F.struct(F.col("pos"), F.col("i.k").alias("k"))
-    payload = F.struct(at.alias("at"), F.col("i.text").alias("text"), F.when(is_row, F.col("_row")).otherwise(no_base).alias("row"))
+    items = rows.select("code", "pos", F.explode(F.concat(*parts)).alias("i"))
+    payload = F.struct(F.struct(F.col("pos"), F.col("i.k").alias("k")).alias("at"), F.col("i.text").alias("text"), F.col("i.row").alias("row"))
     items = items.select("code", F.col("i.kind").alias("kind"), F.col("i.same").alias("same"), F.col("i.value").alias("value"), payload.alias("p"))
     # one row for each code and item, then one for each code
     told = lambda c: F.btrim(F.coalesce(F.col(f"p.row.{c}"), F.lit(""))) != ""
