@@ -1,15 +1,16 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, in numpy.
 
-The scans of induced sorting go bucket by bucket: all suffixes that a bucket induces are placed by one stable sort of
-their first bytes, so a scan takes a few numpy calls for each of the 256 buckets instead of a step for each suffix.
+The scans of induced sorting go by blocks of places, each as long as nothing is induced into itself: all suffixes that a
+block induces are placed by one sort of their symbols, at every level of the recursion.  A block has some hundred places
+among small buckets and many more among large ones.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: From so many symbols on, buckets are too many to scan one by one and the order is found by doubling.
-MANY_SYMBOLS = 4096
+#: Places from which on taking them together pays.
+FEW = 32
 #: Positions that are looked at together where the whole text would take much memory.
 PIECE = 1 << 18
 
@@ -27,93 +28,73 @@ def _types(s: np.ndarray) -> np.ndarray:
     return np.concatenate([small, np.zeros(n - len(small), bool)])
 
 
-def _induce(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, symbols: int) -> np.ndarray:
-    """The suffixes in order, given the leftmost S suffixes in an order that holds within each bucket."""
-    n = len(s)
-    counts = np.bincount(s, minlength=symbols)
-    heads = np.concatenate([[0], np.cumsum(counts)])
-    sa = np.full(n, -1, _index_type(n))
-
-    def place(new: np.ndarray, filled: np.ndarray, forward: bool) -> None:
-        """Puts suffixes into their buckets, at the front or at the back, keeping their order."""
-        symbol = s[new]
-        order = np.argsort(symbol, kind="stable")
-        new, symbol = new[order], symbol[order]
-        first = np.flatnonzero(np.concatenate([[True], symbol[1:] != symbol[:-1]]))
-        kinds = symbol[first]
-        each = np.diff(np.append(first, len(new)))
-        within = np.arange(len(new)) - np.repeat(first, each)
-        at = filled[symbol] + within if forward else filled[symbol] - 1 - within
-        sa[at] = new
-        filled[kinds] += each if forward else -each
-
-    seed_bucket = np.bincount(s[seeds], minlength=symbols)
-    seed_ends = np.cumsum(seed_bucket)
-    ordered = seeds[np.argsort(s[seeds], kind="stable")]
-    front = heads[:-1].copy()
-    if not small[n - 1]:
-        place(np.array([n - 1], sa.dtype), front, True)  # what the sentinel induces
-    done = heads[:-1].copy()
-    for c in np.flatnonzero(counts):
-        while done[c] < front[c]:
-            batch = sa[done[c] : front[c]]
-            done[c] = front[c]
-            new = batch[batch > 0] - 1
-            new = new[~small[new]]
-            if len(new):
-                place(new, front, True)
-        batch = ordered[seed_ends[c] - seed_bucket[c] : seed_ends[c]]
-        new = batch[batch > 0] - 1
-        new = new[~small[new]]
-        if len(new):
-            place(new, front, True)
-    back = heads[1:].copy()
-    done = heads[1:].copy()
-    for c in np.flatnonzero(counts)[::-1]:
-        while back[c] < done[c]:
-            batch = sa[back[c] : done[c]][::-1]
-            done[c] = back[c]
-            new = batch[batch > 0] - 1
-            new = new[small[new]]
-            if len(new):
-                place(new, back, False)
-        batch = sa[heads[c] : front[c]][::-1]
-        new = batch[batch > 0] - 1
-        new = new[small[new]]
-        if len(new):
-            place(new, back, False)
-    return sa
+def _place(sa: np.ndarray, new: np.ndarray, symbol: np.ndarray, filled: np.ndarray, forward: bool) -> None:
+    """Puts suffixes into the buckets of their symbols, at the front or at the back, keeping their order."""
+    # 16 bits are sorted by radix
+    order = np.argsort(symbol.astype(np.uint16) if len(filled) <= 1 << 16 else symbol, kind="stable")
+    new, symbol = new[order], symbol[order]
+    first = np.flatnonzero(np.concatenate([[True], symbol[1:] != symbol[:-1]]))
+    each = np.diff(np.append(first, len(new)))
+    within = np.arange(len(new)) - np.repeat(first, each)
+    sa[filled[symbol] + within if forward else filled[symbol] - 1 - within] = new
+    filled[symbol[first]] += each.astype(filled.dtype) if forward else -each.astype(filled.dtype)
 
 
-def _by_doubling(s: np.ndarray) -> np.ndarray:
-    """The suffixes in order, by ranks of prefixes that double in length; a suffix whose rank is its own is left alone.
+def _scan(sa: np.ndarray, into: np.ndarray, free: np.ndarray, forward: bool) -> None:
+    """One scan of induced sorting. into: the bucket that each suffix induces its predecessor into,
+    -1 for none (an empty place, -1, reads the last entry); free: where each bucket is filled next.
 
-    A rank is the place of the first suffix of its group, so ranks stay comparable while groups are split.
+    A block of places is taken at once as far as nothing that it induces lands within it.  Where that stops after a few
+    places (runs of one symbol), the next ones are taken one by one.
     """
-    n, width = len(s), 1
-    order = np.argsort(s, kind="stable")
-    rank = np.empty(n, np.int64)
-
-    def settle(places: np.ndarray, suffixes: np.ndarray, new: np.ndarray) -> np.ndarray:
-        """Ranks of suffixes at ``places``, given where groups begin; returns the places in groups of more than one."""
-        first = np.flatnonzero(new)
-        size = np.diff(np.append(first, len(new)))
-        rank[suffixes] = np.repeat(places[first], size)
-        return places[np.repeat(size > 1, size)]
-
-    ordered = s[order]
-    active = settle(np.arange(n), order, np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    while len(active):
-        suffixes = order[active]
-        beyond = suffixes + width
-        after = np.where(beyond < n, rank[np.minimum(beyond, n - 1)] + 1, 0)
-        key = rank[suffixes] * (n + 1) + after
-        by = np.argsort(key, kind="stable")
-        suffixes, key = suffixes[by], key[by]
-        order[active] = suffixes
-        active = settle(active, suffixes, np.concatenate([[True], key[1:] != key[:-1]]))
-        width *= 2
-    return order
+    n, step = len(sa), 1 if forward else -1
+    views = memoryview(sa), memoryview(into), memoryview(free)
+    at, width = (0 if forward else n - 1), 1024
+    while 0 <= at < n:
+        block = sa[at : at + width] if forward else sa[max(0, at + 1 - width) : at + 1][::-1]
+        bucket = into[block]
+        own = np.flatnonzero(bucket >= 0)
+        bucket = bucket[own]
+        ahead = np.minimum.accumulate(free[bucket] - at if forward else at + 1 - free[bucket])
+        taken = int(np.count_nonzero(ahead > own))
+        done = len(block) if taken == len(own) else int(own[taken])
+        if taken:
+            done = min(done, int(ahead[taken - 1]))
+            _place(sa, block[own[:taken]] - 1, bucket[:taken], free, forward)
+        at += step * done
+        width = min(2 * width, PIECE) if done == len(block) else max(64, min(width, 2 * done))
+        if done < FEW:
+            at = _scan_by_steps(*views, at, min(n, at + 16 * FEW) if forward else max(-1, at - 16 * FEW), step)
+
+
+def _scan_by_steps(sa: memoryview, into: memoryview, free: memoryview, at: int, stop: int, step: int) -> int:
+    for i in range(at, stop, step):
+        j = sa[i]
+        c = into[j]
+        if c >= 0:
+            place = free[c]
+            free[c] = place + step
+            sa[place if step > 0 else place - 1] = j - 1
+    return stop
+
+
+def _induce(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, symbols: int) -> np.ndarray:
+    """The suffixes in order, given the leftmost S suffixes in an order that holds within each bucket."""
+    n = len(s)
+    kind = _index_type(n)
+    ends = np.cumsum(np.bincount(s, minlength=symbols)).astype(kind)
+    number = np.bincount(s[seeds], minlength=symbols)
+    sa = np.full(n, -1, kind)
+    sa[np.arange(len(seeds)) + np.repeat(ends - np.cumsum(number), number)] = seeds[np.argsort(s[seeds], kind="stable")]
+    before, into = s[:-1].astype(kind), np.full(n + 1, -1, kind)
+    free = np.concatenate([np.zeros(1, kind), ends[:-1]])
+    sa[free[s[n - 1]]] = n - 1  # what the sentinel induces
+    free[s[n - 1]] += 1
+    into[1:n] = np.where(small[:-1], -1, before)
+    _scan(sa, into, free, True)
+    into[1:n] = np.where(small[:-1], before, -1)
+    _scan(sa, into, ends, False)
+    return sa
 
 
 def suffix_array(s: np.ndarray, symbols: int = 256) -> np.ndarray:
@@ -123,8 +104,6 @@ def suffix_array(s: np.ndarray, symbols: int = 256) -> np.ndarray:
         s = s.astype(np.uint16)  # 16 bits are sorted by radix
     if n < 2:
         return np.arange(n)
-    if symbols > MANY_SYMBOLS:
-        return _by_doubling(s)
     small = _types(s)
     left = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(_index_type(n))  # leftmost S suffixes
     if not len(left):

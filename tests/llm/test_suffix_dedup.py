@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 
+from shelfspark.llm import suffix_array as suffix_array_module
 from shelfspark.llm import suffix_dedup
 from shelfspark.llm.suffix_array import common_prefixes, suffix_array
 from tests.llm.test_near_duplicates import twisted
@@ -90,6 +91,26 @@ def test_empty_table(spark, tmp_path):
     assert run(spark, tmp_path, []) == []
 
 
+def test_induced_scans_in_short_and_long_blocks(monkeypatch):
+    """Every block length, steps only, runs, periods, and names of more than 16 bits in the recursion."""
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, k, n) for k in (2, 5, 200) for n in (40, 300)]
+    texts += [np.full(200, 3), np.tile([1, 2], 100), np.tile(rng.integers(0, 9, 37), 8), np.arange(150)[::-1]]
+    for few in (1, 8, 10**6):
+        monkeypatch.setattr(suffix_array_module, "FEW", few)
+        for s in texts:
+            data = s.tolist()
+            assert list(suffix_array(s, 256)) == sorted(range(len(s)), key=lambda i: data[i:])
+    monkeypatch.undo()
+    s = rng.integers(0, 256, 300_000)
+    sa = suffix_array(s, 256)
+    data = s.astype(np.uint8).tobytes()
+    assert np.array_equal(np.sort(sa), np.arange(len(s))) and all(data[a : a + 50] < data[b : b + 50] for a, b in zip(sa[:-1].tolist(), sa[1:].tolist()))
+    periodic = np.tile(rng.integers(0, 256, 1000), 300)
+    sa = suffix_array(periodic, 256)
+    assert np.array_equal(np.sort(sa), np.arange(300_000)) and np.array_equal(np.diff(sa[:300]), np.full(299, -1000))
+
+
 def test_suffix_array_and_prefixes():
     rng = random.Random(1)
     for _ in range(400):
