@@ -97,6 +97,31 @@ def _induce(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, symbols: int) -
     return sa
 
 
+def _order_of_names(names: np.ndarray, top: int) -> np.ndarray:
+    """The suffixes of the reduced string in order, all names below ``top`` standing in it.
+
+    No comparison goes beyond a name that stands once, so behind such a name others of the kind are left out of the
+    recursive call; they have their places by their names.
+    """
+    n = len(names)
+    count = np.bincount(names, minlength=top)
+    alone = count[names] == 1
+    keep = np.ones(n, bool)
+    keep[1:] = ~(alone[1:] & alone[:-1])
+    kept = np.flatnonzero(keep).astype(_index_type(n))
+    if len(kept) == n:
+        return suffix_array(names, top)
+    present = np.zeros(top, bool)
+    present[names[kept]] = True
+    dense = (np.cumsum(present) - 1).astype(names.dtype)
+    ordered = kept[suffix_array(dense[names[kept]], int(dense[-1]) + 1)]
+    order = np.empty(n, kept.dtype)
+    once = np.flatnonzero(alone)
+    order[(np.cumsum(count) - count)[names[once]]] = once
+    order[np.repeat(count > 1, count)] = ordered[~alone[ordered]]
+    return order
+
+
 def suffix_array(s: np.ndarray, symbols: int = 256) -> np.ndarray:
     """Start positions of all suffixes of ``s`` in order; symbols are below ``symbols``."""
     n = len(s)
@@ -134,7 +159,7 @@ def suffix_array(s: np.ndarray, symbols: int = 256) -> np.ndarray:
     top = int(name[-1]) + 1
     del is_left, number, length, a, b, size, equal, ends, name  # before the recursion
     if top < len(left):
-        order = left[suffix_array(reduced, top)]
+        order = left[_order_of_names(reduced, top)]
     return _induce(s, small, order, symbols)
 
 

@@ -101,6 +101,11 @@ def test_induced_scans_in_short_and_long_blocks(monkeypatch):
         for s in texts:
             data = s.tolist()
             assert list(suffix_array(s, 256)) == sorted(range(len(s)), key=lambda i: data[i:])
+        for n in (60, 400):  # a large alphabet: most symbols, and most names, stand once
+            s = rng.integers(0, n, n)
+            s = np.concatenate([s, s[n // 3 : n // 2], s[:9]])
+            data = s.tolist()
+            assert list(suffix_array(s, n)) == sorted(range(len(s)), key=lambda i: data[i:])
     monkeypatch.undo()
     s = rng.integers(0, 256, 300_000)
     sa = suffix_array(s, 256)
