@@ -19,7 +19,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps what the quality rules keep."""
+    """Keeps what the quality rules keep.
+
+    A null or empty text has no words and goes; repeated rows and rows without a doc_id are judged one by one; an empty
+    table gives no rows; columns that documents do not have are left behind.
+    """
     # written first, so that the filter does not compute the verdict a second time
     return cut(quality_rules.judge(docs.select(*COLUMNS)).select(*COLUMNS, "kept")).where("kept").select(*COLUMNS)
 
@@ -46,7 +50,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts out what stands elsewhere too, and drops documents of which it leaves no word."""
+    """Cuts out what stands elsewhere too, and drops documents of which it leaves no word.
+
+    A text of which nothing is cut stays as it is (a null one as an empty one) with its n_chars; a text of any length is cut
+    whole; n_chars of a cut text is counted anew, and a character that a cut goes through goes with it.  Repeated rows of
+    200 bytes or more are cut out of each other; rows without a doc_id are told apart by their texts; an empty table
+    gives no rows; columns that documents do not have are left behind.
+    """
     cleaned = suffix_dedup.dedup_substrings(docs, whole=True, carried=("doc_id", "lang", "source", "n_chars"))
     cut_out = F.col("n_removed") > 0
     cleaned = cleaned.where(~cut_out | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
@@ -57,12 +67,20 @@ def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
+    """Drops documents that hold a benchmark item.
+
+    A null or empty text holds none and stays; each of repeated rows is judged, with or without a doc_id; without
+    documents there are no rows, and without items all documents stay; columns that documents do not have are left behind.
+    """
     return decontamination.clean_rows(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids (little-endian unsigned 32-bit integers) and the decoded text of each document."""
+    """Token ids (little-endian unsigned 32-bit integers) and the decoded text of each document.
+
+    A null text counts as empty and has no ids; repeated rows and rows without a doc_id have a row each; an empty table
+    gives no rows; further columns are left behind.
+    """
     import public_tokenizers
 
     return bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), texts=True)
