@@ -133,7 +133,7 @@ def sync_occurrences(spark: SparkSession, d: str) -> tuple[Publication, T.Struct
     tables.commit(tables.state(), replace={"catalog": tables.stage("catalog", old, "code")})
     for early in (True, False):
         rows = arrivals(spark, d, early)
-        rows.coalesce(1).write.mode("append").parquet(f"{folder}/arrivals")
+        rows.write.mode("append").parquet(f"{folder}/arrivals")
         sync_stream(spark.readStream.schema(rows.schema).parquet(f"{folder}/arrivals"), tables, old.schema, f"{folder}/checkpoint")
     return tables, old.schema
 

@@ -11,3 +11,11 @@ def test_tasks_of_orphans_follow_the_rows(spark, monkeypatch):
     monkeypatch.setattr(tables, "TASK_ROWS", 1000)
     found = catalog.orphan_children(spark, SMALL)
     assert found.rdd.getNumPartitions() >= tables.table(spark, SMALL, "lineitem").count() // 1000
+
+
+def test_arrivals_are_written_and_read_by_many_tasks(spark, monkeypatch):
+    files = []
+    monkeypatch.setattr(jobs, "arrivals", lambda s, d, early, own=jobs.arrivals: own(s, d, early).repartition(3))
+    monkeypatch.setattr(jobs, "sync_stream", lambda rows, t, kind, checkpoint, own=jobs.sync_stream: (own(rows, t, kind, checkpoint), files.append(len(spark.read.parquet(checkpoint.replace("checkpoint", "arrivals")).inputFiles()))))
+    runs = jobs.published_runs(jobs.sync_occurrences(spark, SMALL)[0]).orderBy("id").collect()
+    assert files == [3, 6] and [r.id for r in runs] == [1, 2]
