@@ -1,5 +1,8 @@
 """Tasks are as many as the rows ask for, and nothing passes through one task."""
 
+from pyspark.sql import functions as F
+
+from shelfspark.operators import consolidate as co
 from shelfspark.plans import catalog
 from shelfspark.sources import tables
 from shelfspark.streaming import jobs
@@ -19,3 +22,13 @@ def test_arrivals_are_written_and_read_by_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(jobs, "sync_stream", lambda rows, t, kind, checkpoint, own=jobs.sync_stream: (own(rows, t, kind, checkpoint), files.append(len(spark.read.parquet(checkpoint.replace("checkpoint", "arrivals")).inputFiles()))))
     runs = jobs.published_runs(jobs.sync_occurrences(spark, SMALL)[0]).orderBy("id").collect()
     assert files == [3, 6] and [r.id for r in runs] == [1, 2]
+
+
+def test_occurrences_are_shuffled_once_and_hot_codes_apart(spark, monkeypatch):
+    rows = catalog.colored(catalog.occurrences(spark, SMALL)).withColumn("code", F.col("code") % 7)
+    monkeypatch.setattr(tables, "TASK_ROWS", 1000)
+    whole = co.consolidate(rows)
+    assert whole.rdd.getNumPartitions() == -(-rows.count() // 1000)
+    monkeypatch.setattr(co, "HOT_ROWS", sorted(r["count"] for r in rows.groupBy("code").count().collect())[3])
+    said = lambda df: sorted((r.code, r.category, r.stock, r.price, sorted(r.color_stock.items())) for r in df.collect())
+    assert said(co.consolidate(rows)) == said(whole) and len(said(whole)) == 7
