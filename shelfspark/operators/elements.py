@@ -1,8 +1,8 @@
 """Balanced elements of markup: where each begins and ends, however elements nest, found in columns.
 
 Markup is cut into tokens (tags, texts, comments, scripts and styles whole) whose lengths add up to places in the page.
-Tags of one name open and close levels; a start belongs to the next end on its level.  Only places are shuffled, by page;
-the markup itself meets them once.  An end without a start is ignored, an element without an end reaches to the page's
+Tags of one name open and close levels; a start belongs to the next end on its level.  Of pages that lie by page_id
+(``by_page``) nothing is shuffled; of others only places are, and the markup itself meets them once.  An end without a start is ignored, an element without an end reaches to the page's
 end, and elements that cannot hold others are their own tag.
 """
 
@@ -16,6 +16,21 @@ TOKEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|</?[a-
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 
 
+#: Characters of markup that a task takes; its tokens take some ten times as much memory.
+TASK_CHARS = 4 << 20
+
+
+def tasks_for(pages: DataFrame) -> int:
+    return max(1, -(-(pages.agg(F.sum(F.length("html"))).first()[0] or 0) // TASK_CHARS))
+
+
+def by_page(pages: DataFrame, key: str = "page_id", tasks: int | None = None) -> DataFrame:
+    """Pages by a key in as many partitions as their markup asks for.  Their markup is read for its size first, so pages
+    that are costly to make should be kept.  They are never broadcast: what Spark expects of their size says little about
+    their markup."""
+    return pages.select("page_id", "url", "html").repartition(tasks or tasks_for(pages), key).hint("merge")
+
+
 def elements(pages: DataFrame, *names: str) -> DataFrame:
     """page_id, pos (the start's place among the tokens), name, tag (the start itself), level, begin and stop (places of
     its first and last character, from 1) of the elements with these names, or of all."""
@@ -27,18 +42,17 @@ def elements(pages: DataFrame, *names: str) -> DataFrame:
     before = F.coalesce(F.sum("size").over(page.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumns({"at": before.cast("int"), "whole": F.sum("size").over(page).cast("int")}).where(F.col("tag").isNotNull())
     alone = F.col("name").isin(*VOID) | F.col("tag").endswith("/>") | (F.col("name").isin("script", "style") & F.col("tag").rlike(r"(?i)</(script|style)\s*>$"))
-    single = rows.where(alone & ~F.col("tag").startswith("</")).select("page_id", "pos", "name", "tag", F.lit(1).alias("level"), (F.col("at") + 1).alias("begin"), (F.col("at") + F.col("size")).alias("stop"))
-    rows = rows.where(~alone).withColumn("closes", F.col("tag").startswith("</"))
-    same = Window.partitionBy("page_id", "name").orderBy("pos")
+    rows = rows.withColumns({"alone": alone, "closes": F.col("tag").startswith("</")}).where(~F.col("alone") | ~F.col("closes"))
+    same = Window.partitionBy("page_id", "alone", "name").orderBy("pos")
     rows = rows.withColumn("sum", F.sum(F.when(F.col("closes"), -1).otherwise(1)).over(same))
     lowest = F.least(F.lit(0), F.coalesce(F.min("sum").over(same.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     rows = rows.withColumn("low", lowest).where(~F.col("closes") | (F.col("sum") >= F.col("low")))
     level = F.col("sum") - F.col("low") + F.when(F.col("closes"), 1).otherwise(0)
-    rows = rows.withColumn("level", level.cast("int"))
-    ahead = Window.partitionBy("page_id", "name", "level").orderBy("pos")
+    rows = rows.withColumn("level", F.when(F.col("alone"), 1).otherwise(level).cast("int"))
+    ahead = Window.partitionBy("page_id", "alone", "name", "level").orderBy("pos")
     rows = rows.withColumn("end", F.lead(F.when(F.col("closes"), F.col("at") + F.col("size"))).over(ahead))
-    paired = rows.where(~F.col("closes")).select("page_id", "pos", "name", "tag", "level", (F.col("at") + 1).alias("begin"), F.coalesce("end", "whole").alias("stop"))
-    return paired.unionByName(single)
+    stop = F.when(F.col("alone"), F.col("at") + F.col("size")).otherwise(F.coalesce("end", "whole"))
+    return rows.where(~F.col("closes")).select("page_id", "pos", "name", "tag", "level", (F.col("at") + 1).alias("begin"), stop.alias("stop"))
 
 
 def outer_html(pages: DataFrame, spans: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions import text as t
 from shelfspark.operators.audit import detail_key
-from shelfspark.operators.elements import attribute, elements, outer_html, own_html
+from shelfspark.operators.elements import attribute, by_page, elements, outer_html, own_html, tasks_for
 from shelfspark.sources.tables import kept
 
 ANCHOR = r'(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>'
@@ -86,6 +86,7 @@ def card_numbers(card: Column, said: Column) -> Column:
 
 def cards(pages: DataFrame) -> DataFrame:
     """One row for each product card of a page, without the cards inside it; cards with neither code nor name go."""
+    pages = by_page(pages)
     marked = elements(pages, "div", "article").where(F.col("tag").rlike(CARD_MARK))
     rows = own_html(pages, marked).select("page_id", F.col("url").alias("page_url"), "pos", F.col("html").alias("card"))
     said = t.strip_tags(F.col("card"))
@@ -183,7 +184,7 @@ def _swatches(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", "pos", color.alias("color"), _tag_stock(F.col("tag")).alias("stock")).where("color <> ''")
 
 
-def colors_of(pages: DataFrame) -> DataFrame:
+def colors_of(pages: DataFrame, tasks: int | None = None) -> DataFrame:
     """page_id, colors (in the order in which they are met) and color_stock of pages that name any.
 
     A list of colors in the text counts alone if the text has as many stock numbers, or none.  Otherwise colors come from
@@ -204,9 +205,10 @@ def colors_of(pages: DataFrame) -> DataFrame:
     rows = sources[0]
     for x in sources[1:]:
         rows = rows.unionByName(x)
+    rows = rows.repartition(tasks or tasks_for(pages), "page_id")
     labels = options.where("value <> '' AND label <> ''").groupBy("page_id", F.lower("value").alias("low")).agg(F.max_by("label", place("pos", "k")).alias("label"))
     rows = rows.withColumn("color", t.collapse(F.col("color"))).where(t.is_color_name(F.col("color"), commas=False)).withColumn("low", F.lower("color"))
-    rows = rows.join(labels, ["page_id", "low"], "left").withColumn("color", F.coalesce("label", "color"))
+    rows = rows.join(labels.hint("merge"), ["page_id", "low"], "left").withColumn("color", F.coalesce("label", "color"))
     rows = rows.join(texts.select("page_id", "numbers", "exact"), "page_id").where(~F.col("exact") | (F.col("place")[0] == 0))
     best = rows.groupBy("page_id", "color").agg(F.min("place").alias("place"), F.max(F.greatest(F.coalesce("stock", F.lit(0)), F.lit(0))).alias("stock"), F.first("numbers").alias("numbers"), F.first("exact").alias("exact"))
     by_page = best.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("place", "color", "stock"))).alias("c"), F.first("numbers").alias("numbers"), F.first("exact").alias("exact"))
@@ -217,13 +219,15 @@ def colors_of(pages: DataFrame) -> DataFrame:
 
 def details(pages: DataFrame, prefix: str = "FB-") -> DataFrame:
     """One record for each product page; its stock is that of its colors, or else of the text."""
+    tasks = tasks_for(pages)
+    pages = by_page(pages, tasks=tasks)
     said = t.strip_tags(F.col("html"))
     own = pages.select(
         "page_id", "url", F.regexp_extract(said, rf"\b({prefix}[A-Za-z0-9-]+)", 1).alias("code"), t.element_text(F.col("html"), "h1", "title").alias("name"),
         t.element_text(F.col("html"), "p").alias("description"), t.first_price(F.regexp_extract(said, r"S/\s*[\d.,]+", 0)).alias("price"),
         total(t.numbers_after(said)).alias("text_stock"), _images(F.col("html")).alias("_images"),
     )
-    rows = own.join(colors_of(pages), "page_id", "left")
+    rows = own.join(colors_of(pages, tasks), "page_id", "left")
     sum_ = t.map_total(F.col("color_stock")).cast("int")
     return rows.select(
         "page_id", "url", "code", "name", "description", F.coalesce("price", F.lit(0.0)).alias("price"), F.coalesce(F.when(F.size("colors") > 0, sum_), F.col("text_stock")).alias("stock"),
@@ -235,9 +239,9 @@ def details(pages: DataFrame, prefix: str = "FB-") -> DataFrame:
 def category_pages(categories: DataFrame, pages: DataFrame) -> DataFrame:
     """category, at (place of the category), page_no and page of every category's own page and those that it links to;
     a category whose own page is missing has none."""
-    own = categories.join(pages, "url").select("name", "at", "page_id", "url", "html")
+    own = categories.join(pages.select("page_id", "url", "html").hint("merge"), "url")
     linked = page_links(own.select("page_id", "url", "html").dropDuplicates(["url"]))
-    return categories.join(linked, "url").select(F.col("name").alias("category"), "at", F.col("pos").alias("page_no"), "page")
+    return categories.join(linked.hint("merge"), "url").select(F.col("name").alias("category"), "at", F.col("pos").alias("page_no"), "page")
 
 
 def enriched(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -250,8 +254,8 @@ def enriched(rows: DataFrame, found: DataFrame) -> DataFrame:
     key = detail_key(F.col("code"), F.col("detail_url"))
     linked = rows.withColumn("_key", F.when(F.col("detail_url").isNotNull(), key))
     first = linked.where("_key IS NOT NULL").groupBy("_key").agg(F.min_by("detail_url", F.struct("at", "page_no", "pos")).alias("_from"))
-    told = first.join(found.select(F.col("url").alias("_from"), F.col("colors").alias("_colors"), F.col("color_stock").alias("_stocks")), "_from")
-    rows = linked.join(told.drop("_from"), "_key", "left")
+    told = first.hint("merge").join(found.select(F.col("url").alias("_from"), F.col("colors").alias("_colors"), F.col("color_stock").alias("_stocks")), "_from")
+    rows = linked.join(told.drop("_from").hint("merge"), "_key", "left")
     any_, sum_ = F.size("_colors") > 0, t.map_total(F.col("_stocks"))
     colors = (
         F.when(any_ & (F.size("numbers") == F.size("_colors")), F.map_from_arrays("_colors", "numbers")).when(any_ & (sum_ > 0), F.col("_stocks"))
@@ -269,11 +273,12 @@ def page_rows(categories: DataFrame, pages: DataFrame) -> DataFrame:
     A page that several categories share is read once; the rows of each category stand by at, page_no and pos.  Cards and
     details are kept in the folder of ``spark.checkpoint.dir``, as several steps read them.
     """
-    listed = kept(category_pages(categories, pages))
-    wanted = pages.join(listed.select(F.col("page").alias("url")).distinct(), "url", "left_semi")
-    found = kept(cards(wanted).join(wanted.select("page_id", F.col("url").alias("page")), "page_id").drop("page_id"))
+    pages = by_page(pages, "url")
+    listed = kept(category_pages(categories, pages)).hint("merge")
+    wanted = kept(pages.join(listed.select(F.col("page").alias("url")).distinct(), "url", "left_semi")).hint("merge")
+    found = kept(cards(wanted).join(wanted.select("page_id", F.col("url").alias("page")), "page_id").drop("page_id")).hint("merge")
     asked = kept(pages.join(found.select(F.col("detail_url").alias("url")).distinct(), "url", "left_semi"))
-    return enriched(listed.join(found, "page"), kept(details(asked))).drop("page")
+    return enriched(listed.join(found, "page"), kept(details(asked)).hint("merge")).drop("page")
 
 
 def outcomes(categories: DataFrame, pages: DataFrame, rows: DataFrame) -> DataFrame:
@@ -282,7 +287,7 @@ def outcomes(categories: DataFrame, pages: DataFrame, rows: DataFrame) -> DataFr
     A category that fails is a row like the others; it neither stops them nor hides what they gave.
     """
     listed = category_pages(categories, pages).groupBy("at").agg(F.count("*").alias("listed"))
-    there = category_pages(categories, pages).join(pages.select(F.col("url").alias("page")), "page").groupBy("at").agg(F.count("*").alias("pages"))
+    there = category_pages(categories, pages).join(pages.select(F.col("url").alias("page")).hint("merge"), "page").groupBy("at").agg(F.count("*").alias("pages"))
     code = F.when(F.col("code") != "", F.col("code"))
     made = rows.groupBy("at").agg(F.count("*").alias("cards"), F.countDistinct(code).alias("products"), F.count_if(code.isNull()).alias("uncoded"))
     out = categories.join(listed, "at", "left").join(there, "at", "left").join(made, "at", "left")
@@ -339,6 +344,7 @@ def token_frequency(pages: DataFrame, pattern: str = r"<([a-z][a-z0-9]*)") -> Da
 
 def text_blocks(pages: DataFrame, least: int = 100, token: str | None = None, tags: tuple[str, ...] = ("p", "h1", "li")) -> DataFrame:
     """page_id, pos, tag and text (that of elements inside it too) of elements that are long enough or have a token."""
+    pages = by_page(pages)
     rows = outer_html(pages, elements(pages, *tags)).select("page_id", "pos", F.col("name").alias("tag"), t.strip_tags(F.col("html")).alias("text"))
     keep = F.length("text") > least
     return rows.where(keep | F.contains(F.lower("text"), F.lit(token.lower())) if token else keep)

@@ -11,7 +11,7 @@ from shelfspark.functions import text as t
 from shelfspark.operators import sync
 from shelfspark.operators import pages as pg
 from shelfspark.plans.catalog import query
-from shelfspark.sources.tables import kept, table
+from shelfspark.sources.tables import kept, spread, table
 
 S = SparkSession
 SITE, PER_PAGE = "https://shop.example", 500
@@ -31,11 +31,13 @@ def categories(s: S, d: str) -> DataFrame:
 def shop_pages(s: S, d: str) -> DataFrame:
     k, text = F.col("p_partkey"), lambda *c: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in c])
     part = table(s, d, "part")
+    n = 10 * part.count()  # a part's markup is as much as ten rows of other tables
+    part = spread(part, n, "p_partkey")
     stock = F.when(k % 4 < 2, text("<p>Stock Disponible ", F.col("p_size"), " ", k % 97, "</p>")).when(k % 4 == 2, text("<p>Stock Disponible ", F.col("p_size"), "</p>")).otherwise("")
     inner = F.when(k % 10 == 0, text('<div class="jsfb-filterable"><h3>Pack ', k, "</h3><p>FB-P", k, "</p></div>")).otherwise("")
     card = text('<div class="item jsfb-filterable"><a href="/producto/', k, '/"><h2>', F.col("p_name"), "</h2></a><div><p>FB-", k, "</p></div>", inner, "<p>Muestra: S/ ", F.format_number("p_retailprice", 2), "</p>", stock, "</div>")
     cards = part.select(_slug().alias("slug"), F.floor(k / PER_PAGE).cast("int").alias("n"), F.struct(k, card.alias("card")).alias("c"))
-    shown = cards.groupBy("slug", "n").agg(F.array_join(F.transform(F.array_sort(F.collect_list("c")), lambda c: c["card"]), "\n").alias("body"))
+    shown = spread(cards, n, "slug", "n").groupBy("slug", "n").agg(F.array_join(F.transform(F.array_sort(F.collect_list("c")), lambda c: c["card"]), "\n").alias("body"))
     last = cards.groupBy("slug").agg(F.max("n").alias("last"))
     link = lambda n: text('<a class="page-numbers" href="/categoria-producto/', F.col("slug"), "/page/", n, '/">', n, "</a>")
     numbers = F.filter(F.sequence(F.lit(0), "last"), lambda n: n > 0)
@@ -48,7 +50,7 @@ def shop_pages(s: S, d: str) -> DataFrame:
     data = text('{"stock":', F.col("p_size"), ',"v":[{"attributes":{"attribute_pa_color":"rojo-x"}},{"attributes":{"attribute_pa_color":"azul-x"},"max_qty":', F.col("p_size") + k % 7, "}]}")
     colors = F.when(k % 3 != 2, text(options, '<form data-product_variations="', F.replace(data, F.lit('"'), F.lit("&quot;")), '"></form>')).otherwise("")
     told = part.where("p_partkey % 5 <> 4").select(F.xxhash64(k).alias("page_id"), text(f"{SITE}/producto/", k, "/").alias("url"), text("<html><h1>", F.col("p_name"), "</h1><p>FB-", k, "</p>", colors, "</html>").alias("html"))
-    return kept(listed.unionByName(told))
+    return kept(listed.unionByName(told)).hint("merge")
 
 
 _SLUG = "replace(lower(p_brand), '#', '-')"

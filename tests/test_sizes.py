@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from shelfspark.operators import consolidate as co
-from shelfspark.plans import catalog
+from shelfspark.operators import elements
+from shelfspark.plans import catalog, shop
 from shelfspark.sources import tables
 from shelfspark.streaming import jobs
 
@@ -32,3 +33,15 @@ def test_occurrences_are_shuffled_once_and_hot_codes_apart(spark, monkeypatch):
     monkeypatch.setattr(co, "HOT_ROWS", sorted(r["count"] for r in rows.groupBy("code").count().collect())[3])
     said = lambda df: sorted((r.code, r.category, r.stock, r.price, sorted(r.color_stock.items())) for r in df.collect())
     assert said(co.consolidate(rows)) == said(whole) and len(said(whole)) == 7
+
+
+def test_pages_lie_by_page_in_as_many_tasks_as_they_need_and_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(elements, "TASK_CHARS", 5000)
+    for found in (shop.page_details(spark, SMALL), shop.page_cards(spark, SMALL)):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+        assert found.rdd.getNumPartitions() > 4
+
+
+def test_rows_of_pages_broadcast_no_markup(spark):
+    plan = shop.page_rows(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Broadcast") <= 2  # the categories
