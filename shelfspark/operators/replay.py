@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from shelfspark.functions.text import map_from_json, to_count, to_number
 from shelfspark.sources.commits import Publication
-from shelfspark.sources.tables import METADATA, conform, is_ready, set_value
+from shelfspark.sources.tables import METADATA, conform, is_ready, set_value, spread
 
 #: Fields of the log by type.
 TEXTS = ("category", "description", "image_url", "image_path", "image_hash")
@@ -20,8 +20,12 @@ def latest_values(log: DataFrame, code: str = "code", field: str = "field_name",
     return log.groupBy(code, field).agg(F.max_by(value, order).alias(value))
 
 
-def replay(log: DataFrame) -> DataFrame:
-    """One typed catalog row for each code with a name. The name is the last of product_name and ``name`` values."""
+def replay(log: DataFrame, rows: int | None = None) -> DataFrame:
+    """One typed catalog row for each code with a name. The name is the last of product_name and ``name`` values.
+
+    rows: about how many the log has, to be counted if not given; its tasks follow from it. All rows of a code
+    meet in one task, which sorts them, on disk if they do not fit.
+    """
     fields = [*TEXTS, *PRICES, "stock", "color_stock"]
     last = {f: F.max_by(F.when(F.col("field_name") == f, F.col("new_value")), F.when(F.col("field_name") == f, F.col("id"))) for f in fields}
     events = F.array(
@@ -29,6 +33,7 @@ def replay(log: DataFrame) -> DataFrame:
         F.when(F.col("field_name") == "name", F.struct(F.col("id"), F.lit(1).alias("seq"), F.col("new_value").alias("v"))),
     )
     named = F.array_max(F.filter(events, lambda e: e.isNotNull() & (F.coalesce(F.btrim(e["v"]), F.lit("")) != "")))
+    log = spread(log.select("id", "code", "product_name", "field_name", "new_value"), log.count() if rows is None else rows, "code")
     rows = log.withColumn("_name", named).groupBy("code").agg(F.max("_name").alias("_name"), *[c.alias(f) for f, c in last.items()])
     return rows.where(F.col("_name.v").isNotNull()).select(
         "code", F.col("_name.v").alias("name"), *[F.coalesce(f, F.lit("")).alias(f) for f in TEXTS],

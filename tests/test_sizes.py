@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from shelfspark.operators import consolidate as co
-from shelfspark.operators import elements
+from shelfspark.operators import elements, replay
 from shelfspark.plans import catalog, shop
 from shelfspark.sources import tables
 from shelfspark.streaming import jobs
@@ -45,3 +45,11 @@ def test_pages_lie_by_page_in_as_many_tasks_as_they_need_and_are_not_broadcast(s
 def test_rows_of_pages_broadcast_no_markup(spark):
     plan = shop.page_rows(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Broadcast") <= 2  # the categories
+
+
+def test_tasks_of_a_replay_follow_the_log(spark, monkeypatch):
+    monkeypatch.setattr(tables, "TASK_ROWS", 10)
+    log = spark.range(100).select("id", (F.col("id") % 30).cast("string").alias("code"), F.lit("n").alias("product_name"), F.lit("stock").alias("field_name"), F.col("id").cast("string").alias("new_value"))
+    made = replay.replay(log)
+    assert made.rdd.getNumPartitions() == 10
+    assert sorted((int(r.code), r.stock) for r in made.collect()) == [(k, k + (90 if k < 10 else 60)) for k in range(30)]
