@@ -101,7 +101,7 @@ def run_outcomes(s: S, d: str) -> DataFrame:
   SELECT count(*) AS processed, count(*) FILTER (o.code IS NULL) AS created, count(*) FILTER (o.stock <> made.stock) AS updated, 0::BIGINT AS image_changed,
     count(*) FILTER (o.stock = made.stock) AS unchanged, 0::BIGINT AS removed, true AS consistent FROM made LEFT JOIN old o USING (code)""")
 def run_sync(s: S, d: str) -> DataFrame:
-    """Categories to pages, cards, details, one record for each code, and the catalog's sync, as one plan."""
+    """Categories to pages, cards, details, one record for each code, and the catalog's sync."""
     stored = table(s, d, "part").where("p_partkey % 2 = 0")
     catalog = stored.select(F.concat(F.lit("FB-"), F.col("p_partkey").cast("string")).alias("code"), F.col("p_name").alias("name"), F.col("p_brand").alias("category"), F.col("p_size").alias("stock"))
     rows = pg.page_rows(categories(s, d), shop_pages(s, d))
