@@ -5,10 +5,12 @@ Tokens are the words ``[^\x20\x09-\x0D]+`` with A-Z lower-cased, and one end for
 1. Blocks of about eight megabytes of text are split into numbered words, and written.
 2. Each block's distinct words, with their counts in training texts, are shuffled by word; the counts of the whole corpus
    go back to the blocks.  A word meets once for each block, however often it stands there.
-3. Every token gets a *unit*: one of the ``FREQUENT`` most frequent words, or, for all others, the class of words with its
-   last letter, in three kinds: known from several places, from one, or unknown.
+3. Every token gets a *unit*: its word, if this stands in ``LEAST`` places or more and is one of the ``FREQUENT`` most
+   frequent, or, for all others, the class of words with its last letter, in three kinds: known from several places, from
+   one, or unknown.  Words beyond the first are numbered by their ends, so that a group of the model has like words.
 4. The model learns units from the units before them: in each round every task goes over the training texts of its own
-   partition, starting from the last average, and the models are averaged by tokens, first in some groups, then at once.
+   partition, starting from the last average.  What it changed is shuffled by slices of the model, and averaged row by
+   row, each task's change having the weight of the places where that unit stood in its texts (or was drawn as noise).
 5. A token's probability is its unit's (normalised over all units) times, for a rare word, its share of its class by
    counts, less a discount estimated from the words that stand once and twice.  While learning, a word of one place counts
    as unknown, so unknown words have the probability that they have in new texts.  Known words and the one event "unknown"
@@ -16,7 +18,7 @@ Tokens are the words ``[^\x20\x09-\x0D]+`` with A-Z lower-cased, and one end for
 
 Counts, units and training cover all texts whose crc32(doc_id) modulo 10 is not 0; nothing of the others is learned.
 What is shuffled grows with the corpus, as do the groups, whose number follows the bytes of text; a group has about 24
-megabytes of text's share of words.  The model itself has a fixed size.  The scores depend a little on how rows are
+megabytes of text's share of words.  The model has a size of its own, up to some 20 megabytes.  The scores depend a little on how rows are
 partitioned (averages), the counts and the base score do not.
 
 Defined results: a null or empty text has one token, its end; a null doc_id counts as training text; rows that repeat count
@@ -26,6 +28,7 @@ unknown, with probability 1, and train_tokens is 0; further columns are ignored.
 
 from __future__ import annotations
 
+import copy
 import zlib
 
 import numpy as np
@@ -36,16 +39,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm.log_bilinear import LogBilinear, contexts_of
+from shelfspark.llm.log_bilinear import HEAD, LogBilinear, contexts_of
 from shelfspark.llm.periodic_runs import numbered, pieces
 from shelfspark.llm.storage import cut, release, small_batches
 
-#: Bytes of text in a block and a group; frequent words; classes of other words; rounds of training, and their rates;
-#: groups in which models are averaged first; tokens that are learned or scored at a time.
+#: Bytes of text in a block and a group; words that are units, and the places where they stand at least; classes of other
+#: words; rounds of training, and their rates; slices in which models are averaged; tokens that are learned or scored at a time.
 BLOCK_BYTES, GROUP_BYTES = 8 << 20, 24 << 20
-FREQUENT, CLASSES = 128, 32
+FREQUENT, LEAST, CLASSES = 1 << 15, 3, 32
 ROUNDS = (0.2, 0.1)
-MERGED_IN, TOKENS = 64, 1 << 17
+SLICES, TOKENS = 1024, 1 << 18
 #: The end of a text as a word, which no word is.
 END = "\n"
 
@@ -121,7 +124,7 @@ def _count(table: pa.Table) -> pa.Table:
     kind = word_class(words)
     known = total > 0
     sums = [total.sum(), known.sum(), (total == 1).sum(), (total == 2).sum(), *np.bincount(kind[known], total[known], CLASSES).astype(np.int64), *np.bincount(kind[known], minlength=CLASSES)]
-    order = sorted(np.flatnonzero(known).tolist(), key=lambda i: (-total[i], words[i]))[:FREQUENT]
+    order = sorted(np.flatnonzero(total >= LEAST).tolist(), key=lambda i: (-total[i], words[i]))[:FREQUENT]
     ends = np.cumsum([0, *map(len, lists)])
     spans = list(zip(ends[:-1], ends[1:], strict=True))
     n, group = len(lists), table["group"][0].as_py()
@@ -147,7 +150,8 @@ class Vocabulary:
 
     def __init__(self, sums: np.ndarray, top: list[tuple[bytes, int]]):
         self.tokens, self.words, once, twice = (int(x) for x in sums[:4])
-        self.top, self.k = dict(top), len(top)
+        top = top[:HEAD] + sorted(top[HEAD:], key=lambda x: x[0][::-1])
+        self.k = len(top)
         self.unit = {w: i for i, (w, _) in enumerate(top)}
         self.discount = once / (once + 2 * twice) if once else 0.5
         self.discount = min(0.9, max(0.1, self.discount))
@@ -163,6 +167,12 @@ class Vocabulary:
         weight = np.where(self.possible, np.concatenate([[c for _, c in top], several, [once]]) + 0.5, 0.0)
         self.noise = weight / weight.sum()
 
+    def small(self) -> Vocabulary:
+        """What learning and scoring need: without the words."""
+        made = copy.copy(self)
+        made.unit = {}
+        return made
+
     def inputs_of(self, units: np.ndarray, learning: bool) -> np.ndarray:
         one = (units >= self.k + CLASSES) & (units < self.k + 2 * CLASSES)
         unknown = units >= self.k + 2 * CLASSES
@@ -174,11 +184,12 @@ class Vocabulary:
         return np.where(unknown, self.k + CLASSES, known)
 
 
-def _encode(v: Vocabulary):
+def _encode(shared):
     """Each row's token numbers, its base score, what its rare words' shares come to, and its units."""
 
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
         release()
+        v = shared.value
         row = docs.to_pylist()[0]
         words = words.sort_by("group")
         counts = np.concatenate([_unpack(x, "<i8") for x in words["counts"].to_pylist()])
@@ -231,43 +242,74 @@ def _stretches(batches, learning: bool, v: Vocabulary):
         release()
 
 
-def _learn(v: Vocabulary, parameters: np.ndarray, rate: float, seed: int):
+def _by_rows(model: LogBilinear) -> np.ndarray:
+    """The parameters, a row for each unit in each place; the last number of a row is its bias, if there is one."""
+    return np.concatenate([np.pad(model.vectors, ((0, 0), (0, 1))), np.column_stack([model.targets, model.bias])])
+
+
+def _slices(rows: int) -> list[slice]:
+    ends = np.linspace(0, rows, min(rows, SLICES) + 1).astype(np.int64).tolist()
+    return [slice(a, b) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _learn(shared, rate: float, seed: int):
+    """What a task's texts change in each slice of the model, and the weights of its rows."""
+
     def run(batches):
-        part = TaskContext.get().partitionId()
-        model, rng, tokens = LogBilinear(v.inputs, v.outputs, parameters), np.random.default_rng([seed, part]), 0
+        v, parameters = shared.value
+        model, rng, tokens = LogBilinear(v.inputs, v.outputs, parameters), np.random.default_rng([seed, TaskContext.get().partitionId()]), 0
+        stood, said = np.zeros(len(model.vectors)), np.zeros(v.outputs)
         for _, contexts, outputs, _ in _stretches(batches, True, v):
             order = rng.permutation(len(outputs))
             model.learn(contexts[:, order], outputs[order], v.noise, rng, rate)
+            stood += np.bincount(contexts.ravel(), minlength=len(stood))
+            said += np.bincount(outputs, minlength=v.outputs)
             tokens += len(outputs)
         if tokens:
-            yield pa.RecordBatch.from_pydict({"at": pa.array([part % MERGED_IN], pa.int32()), "tokens": [float(tokens)], "model": pa.array([model.parameters.tobytes()], pa.binary())})
+            said += v.noise * tokens
+            weights = np.concatenate([stood, said, np.bincount(model.choice, said, len(model.first))[len(model.first) - model.groups :]]).astype("<f4")
+            change = (_by_rows(model) - _by_rows(LogBilinear(v.inputs, v.outputs, parameters))).astype("<f2")
+            slices = _slices(len(change))
+            yield pa.RecordBatch.from_pydict({"slice": pa.array(range(len(slices)), pa.int32()), "weights": [weights[x].tobytes() for x in slices], "change": [change[x].tobytes() for x in slices]})
+        del model
+        release()
 
     return run
 
 
 def _merge(table: pa.Table) -> pa.Table:
-    tokens, total = table["tokens"].to_numpy(), 0.0
-    for n, model in zip(tokens, table["model"], strict=True):
-        total = total + n * np.frombuffer(model.as_buffer(), np.float32).astype(np.float64)
-    return pa.table({"tokens": [tokens.sum()], "model": pa.array([(total / tokens.sum()).astype(np.float32).tobytes()], pa.binary())})
+    total = weight = 0.0
+    for w, change in zip(table["weights"], table["change"], strict=True):
+        w = np.frombuffer(w.as_buffer(), "<f4").astype(np.float64)
+        total = total + w[:, None] * np.frombuffer(change.as_buffer(), "<f2").reshape(len(w), -1)
+        weight = weight + w
+    return pa.table({"slice": table["slice"][:1], "change": pa.array([(total / np.maximum(weight, 1e-9)[:, None]).astype("<f4").tobytes()], pa.binary())})
 
 
 def train(encoded: DataFrame, v: Vocabulary) -> np.ndarray:
-    """The parameters after all rounds; at most MERGED_IN models reach the driver in each."""
-    first = LogBilinear(v.inputs, v.outputs)
-    first.bias[:] = np.log(np.maximum(v.noise, 1e-12))
-    parameters = first.parameters
+    """The parameters after all rounds; one model reaches the driver in each."""
+    model = LogBilinear(v.inputs, v.outputs)
+    noise = np.maximum(v.noise, 1e-12)
+    model.bias[:] = np.log(np.concatenate([noise, np.bincount(model.choice, noise, len(model.first))[len(model.first) - model.groups :]]))
     rows = encoded.where(~F.col("held_out")).select("units")
+    slices = _slices(len(model.vectors) + len(model.targets))
     for turn, rate in enumerate(ROUNDS):
-        models = rows.mapInArrow(_learn(v, parameters, rate, turn), "at int, tokens double, model binary")
-        merged = models.groupBy("at").applyInArrow(_merge, "tokens double, model binary").toArrow()
-        if merged.num_rows:
-            parameters = np.frombuffer(_merge(merged)["model"][0].as_py(), np.float32)
-    return parameters
-
-
-def _score(v: Vocabulary, parameters: np.ndarray):
+        shared = encoded.sparkSession.sparkContext.broadcast((v.small(), model.parameters))
+        changes = rows.mapInArrow(_learn(shared, rate, turn), "slice int, weights binary, change binary")
+        merged = changes.groupBy("slice").applyInArrow(_merge, "slice int, change binary").toArrow()
+        for k, change in zip(merged["slice"].to_pylist(), merged["change"], strict=True):
+            change = np.frombuffer(change.as_buffer(), "<f4").reshape(slices[k].stop - slices[k].start, -1)
+            at = np.arange(slices[k].start, slices[k].stop)
+            vectors = at < len(model.vectors)
+            model.vectors[at[vectors]] += change[vectors, :-1]
+            model.targets[at[~vectors] - len(model.vectors)] += change[~vectors, :-1]
+            model.bias[at[~vectors] - len(model.vectors)] += change[~vectors, -1]
+    return model.parameters
+
+
+def _score(shared):
     def run(batches):
+        v, parameters = shared.value
         model = LogBilinear(v.inputs, v.outputs, parameters)
         for rows, contexts, outputs, offsets in _stretches(batches, False, v):
             said = np.add.reduceat(model.log10(contexts, outputs, v.possible), offsets[:-1])
@@ -291,15 +333,16 @@ def encode(docs: DataFrame) -> tuple[DataFrame, Vocabulary]:
     sums = counted.where("block IS NULL")
     places = [F.sum(F.get("sums", F.lit(k))).alias(f"s{k}") for k in range(4 + 2 * CLASSES)]
     total = np.array([x or 0 for x in sums.agg(*places).first()], np.int64)
-    top = sums.select(F.explode("top").alias("t")).select("t.*").orderBy(F.desc("count"), "word").limit(FREQUENT).collect()
-    v = Vocabulary(total, [(bytes(r["word"]), r["count"]) for r in top])
+    top = sums.select(F.explode("top").alias("t")).select("t.*").orderBy(F.desc("count"), "word").limit(FREQUENT).toArrow()
+    v = Vocabulary(total, list(zip(top["word"].to_pylist(), top["count"].to_pylist(), strict=True)))
     counts = counted.where("block IS NOT NULL").select("block", "group", "counts", "codes")
-    return cut(blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(_encode(v), ENCODED)), v
+    return cut(blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(_encode(docs.sparkSession.sparkContext.broadcast(v)), ENCODED)), v
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
     encoded, v = encode(docs)
-    return encoded.mapInArrow(_score(v, train(encoded, v)), SCORED)
+    shared = docs.sparkSession.sparkContext.broadcast((v.small(), train(encoded, v)))
+    return encoded.mapInArrow(_score(shared), SCORED)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

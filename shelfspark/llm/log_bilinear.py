@@ -5,6 +5,11 @@ A context of ``WIDTH`` units predicts a vector: the sum of its units' vectors, e
 plus the unit's bias.  Training tells each next unit from units drawn from the unigram distribution (one draw for all
 contexts of a batch), with the scores taken as log-probabilities that need no normalising; scoring normalises over all
 units with one matrix product a batch.
+
+More than ``FLAT`` units are predicted in two choices: one of the first ``HEAD`` units, of the units after the last whole
+group, or a group of ``GROUP`` units that follow one another; then a unit of the group.  A group has a vector and a bias as a unit has,
+both choices are estimated and normalised in the same way, and their probabilities are multiplied.  So each unit has
+parameters of its own, and a token costs about the square root of the number of units.
 """
 
 from __future__ import annotations
@@ -12,8 +17,12 @@ from __future__ import annotations
 import numpy as np
 
 #: Units of context, length of vectors, contexts of a training batch and of a scoring batch, noise units of a batch, and
-#: how many noise units the estimation counts for each unit of data.
-WIDTH, SIZE, BATCH, SCORED_AT_ONCE, DRAWN, NOISE = 4, 16, 1024, 2048, 64, 16
+#: how many noise units the estimation counts for each unit of data; noise units of a batch within a group.
+WIDTH, SIZE, BATCH, SCORED_AT_ONCE, DRAWN, NOISE, DRAWN_WITHIN = 4, 16, 1024, 512, 64, 16, 32
+#: Units up to which there are no groups; of more, those at the start that are single, and units of a group.
+FLAT, HEAD, GROUP = 512, 128, 256
+#: Rows up to which a gradient is that of all rows; of more, it is that of the rows which the batch meets.
+DENSE = 2048
 F32 = np.float32
 
 
@@ -21,16 +30,25 @@ class LogBilinear:
     """inputs, outputs: how many units stand in contexts (the last one is the start of a text) and are predicted."""
 
     def __init__(self, inputs: int, outputs: int, parameters: np.ndarray | None = None, seed: int = 0):
-        self.shapes = [(WIDTH * inputs, SIZE), (outputs, SIZE), (outputs,)]
+        self.groups = (outputs - HEAD) // GROUP if outputs > FLAT else 0
+        rows = outputs + self.groups
+        self.shapes = [(WIDTH * inputs, SIZE), (rows, SIZE), (rows,)]
         if parameters is None:
             rng = np.random.default_rng(seed)
-            parameters = np.concatenate([rng.normal(0, 0.1, WIDTH * inputs * SIZE), rng.normal(0, 0.1, outputs * SIZE), np.zeros(outputs)])
+            parameters = np.concatenate([rng.normal(0, 0.1, WIDTH * inputs * SIZE), rng.normal(0, 0.1, rows * SIZE), np.zeros(rows)])
         ends = np.cumsum([np.prod(s) for s in self.shapes])
         self.inputs = inputs
         self.parameters = parameters.astype(F32)  # one array; the parts below are views of it
         self.vectors, self.targets, self.bias = (x.reshape(s) for x, s in zip(np.split(self.parameters, ends[:-1]), self.shapes, strict=True))
         self.squares = np.full(len(self.parameters), 1e-5, F32)  # of the gradients so far
         self.parts = [slice(a, b) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        self.start = HEAD if self.groups else outputs  # of the groups
+        self.stop = self.start + self.groups * GROUP
+        # the rows of the first choice, and which of them leads to each unit
+        self.first = np.concatenate([np.arange(self.start), np.arange(self.stop, outputs), np.arange(outputs, rows)])
+        single = self.start + outputs - self.stop
+        self.choice = np.concatenate([np.arange(self.start), single + np.repeat(np.arange(self.groups), GROUP), np.arange(self.start, single)])
+        self.last_met = np.empty(max(WIDTH * inputs, rows), np.int32)
 
     def _predicted(self, contexts: np.ndarray) -> np.ndarray:
         """contexts: a row of each position, with the rows of ``vectors`` that stand there."""
@@ -44,49 +62,127 @@ class LogBilinear:
         self.squares[at] += g * g
         self.parameters[at] -= rate * g / np.sqrt(self.squares[at])
 
-    def _gathered(self, part: int, units: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """The sums of the rows of each unit."""
-        n = self.shapes[part][0]
-        return np.bincount((units[:, None] * SIZE + np.arange(SIZE)).ravel(), rows.ravel(), n * SIZE)
+    def _step_rows(self, part: int, rows: np.ndarray | slice, gradient: np.ndarray, rate: float) -> None:
+        """A step of some rows, each given once."""
+        values, squares = (x[self.parts[part]].reshape(self.shapes[part]) for x in (self.parameters, self.squares))
+        if isinstance(rows, slice) or gradient.ndim == 1:
+            squares[rows] += gradient * gradient
+            values[rows] -= F32(rate) * gradient / np.sqrt(squares[rows])
+            return
+        whole = f"V{4 * SIZE}"  # a row as one value, which is moved faster
+        new = squares.take(rows, 0)
+        new += gradient * gradient
+        squares.view(whole)[rows] = new.view(whole)
+        np.sqrt(new, out=new)
+        np.divide(gradient, new, out=new)
+        new *= F32(-rate)
+        new += values.take(rows, 0)
+        values.view(whole)[rows] = new.view(whole)
+
+    @staticmethod
+    def _gathered(n: int, number: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The sums of the rows with each of n numbers; ``number`` may hold several numbers of each row, one after the other."""
+        columns = np.tile(rows.T.astype(np.float64), (1, len(number) // len(rows)))
+        out = np.empty((n, SIZE), F32)
+        for k, column in enumerate(columns):
+            out[:, k] = np.bincount(number, column, n)
+        return out
+
+    def _learn_vectors(self, context: np.ndarray, d_h: np.ndarray, rate: float) -> None:
+        rows = context.ravel()
+        n = len(self.vectors)
+        if n <= DENSE:
+            return self._step(0, self._gathered(n, rows, d_h), rate)
+        turn = np.arange(len(rows), dtype=np.int32)
+        self.last_met[rows] = turn
+        last = self.last_met[rows]
+        kept = last == turn
+        met, number = rows[kept], (np.cumsum(kept) - 1)[last]
+        return self._step_rows(0, met, self._gathered(len(met), number, d_h), rate)
+
+    def _choose(self, h: np.ndarray, unit: np.ndarray, rows: np.ndarray | slice, noise: tuple, rng: np.random.Generator, rate: float, size: int, n_drawn: int = DRAWN) -> np.ndarray:
+        """A step for the choice of ``unit`` among ``rows``; the derivatives by the predicted vectors.
+        noise: logarithms of the expected numbers, and chances, added up; size: what the sums are divided by."""
+        expected, chances = noise
+        drawn = np.minimum(np.searchsorted(chances, rng.random(n_drawn) * chances[-1], side="right"), len(chances) - 1)
+        targets, bias = self.targets[rows], self.bias[rows] - expected
+        own_targets, other_targets = targets.take(unit, 0), targets.take(drawn, 0)
+        own = np.einsum("bd,bd->b", h, own_targets) + bias[unit]
+        other = h @ other_targets.T
+        other += bias[drawn]
+        # derivatives of -log sigmoid(own) and of -log sigmoid(-other), over the batch
+        d_own = -F32(1 / size) / (1 + np.exp(own))
+        d_other = np.exp(np.negative(other, out=other), out=other)
+        d_other += F32(1)
+        np.divide(F32(NOISE / n_drawn / size), d_other, out=d_other)
+        d_h = d_own[:, None] * own_targets + d_other @ other_targets
+        n = len(chances)
+        d_targets = self._gathered(n, np.concatenate([unit, drawn]), np.concatenate([d_own[:, None] * h, d_other.T @ h]))
+        d_bias = np.bincount(unit, d_own, n) + np.bincount(drawn, d_other.sum(0), n)
+        for part, gradient in ((1, d_targets), (2, d_bias.astype(F32))):
+            if self.groups:
+                self._step_rows(part, rows, gradient, rate)
+            else:
+                self._step(part, gradient, rate)
+        return d_h
+
+    def _by_group(self, units: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """The groups that units are in, and the places of these units."""
+        places = np.flatnonzero((units >= self.start) & (units < self.stop))
+        group = (units[places] - self.start) // GROUP
+        order = np.argsort(group, kind="stable")
+        cuts = np.searchsorted(group[order], np.arange(self.groups + 1))
+        return [(g, places[order[a:b]]) for g, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
 
     def learn(self, contexts: np.ndarray, units: np.ndarray, noise: np.ndarray, rng: np.random.Generator, rate: float) -> None:
-        """One pass; noise: probability of each unit as noise."""
-        expected = np.log(NOISE * np.maximum(noise, 1e-12)).astype(F32)
-        chances = np.cumsum(noise)
+        """One pass; noise: probability of each unit as noise. The choices within groups come first, group by group; what
+        they ask of the vectors is added to the step of the batch that a place is in."""
+        prepared = lambda p: (np.log(NOISE * np.maximum(p, 1e-12)).astype(F32), np.cumsum(p))
         with np.errstate(over="ignore"):
+            groups = self._by_group(units)
+            within = np.zeros((len(units), SIZE), F32) if groups else None
+            h = self._predicted(contexts) if groups else None
+            for k in rng.permutation(len(groups)) if groups else ():
+                g, places = groups[k]
+                rows = slice(self.start + g * GROUP, self.start + (g + 1) * GROUP)
+                own = prepared(noise[rows] / noise[rows].sum())
+                for at in range(0, len(places), BATCH):
+                    some = places[at : at + BATCH]
+                    within[some] = self._choose(h[some], units[some] - rows.start, rows, own, rng, rate, BATCH, DRAWN_WITHIN)
+            chosen, own = self.choice[units], prepared(np.bincount(self.choice, noise, len(self.first)))
             for at in range(0, len(units), BATCH):
-                context, unit = contexts[:, at : at + BATCH], units[at : at + BATCH]
-                drawn = np.minimum(np.searchsorted(chances, rng.random(DRAWN) * chances[-1], side="right"), len(noise) - 1)
-                h, own_targets, other_targets = self._predicted(context), self.targets[unit], self.targets[drawn]
-                own = np.einsum("bd,bd->b", h, own_targets) + self.bias[unit] - expected[unit]
-                other = h @ other_targets.T
-                other += self.bias[drawn] - expected[drawn]
-                # derivatives of -log sigmoid(own) and of -log sigmoid(-other), over the batch
-                d_own = -F32(1 / len(unit)) / (1 + np.exp(own))
-                d_other = np.exp(np.negative(other, out=other), out=other)
-                d_other += F32(1)
-                np.divide(F32(NOISE / DRAWN / len(unit)), d_other, out=d_other)
-                d_h = d_own[:, None] * own_targets + d_other @ other_targets
-                d_targets = self._gathered(1, unit, d_own[:, None] * h) + self._gathered(1, drawn, d_other.T @ h)
-                d_bias = np.bincount(unit, d_own, len(noise)) + np.bincount(drawn, d_other.sum(0), len(noise))
-                d_vectors = self._gathered(0, context.ravel(), np.broadcast_to(d_h, (WIDTH, *d_h.shape)))
-                for part, gradient in enumerate((d_vectors, d_targets, d_bias)):
-                    self._step(part, gradient, rate)
+                context, unit = contexts[:, at : at + BATCH], chosen[at : at + BATCH]
+                d_h = self._choose(self._predicted(context), unit, self.first, own, rng, rate, len(unit))
+                if groups:
+                    d_h += within[at : at + BATCH]
+                self._learn_vectors(context, d_h, rate)
+
+    def _log_share(self, h: np.ndarray, unit: np.ndarray, rows: np.ndarray, possible: np.ndarray) -> np.ndarray:
+        """The logarithm of each unit's probability among the possible ones of ``rows``, with one matrix product a batch."""
+        allowed = rows[possible]
+        place = (np.cumsum(possible) - 1)[unit]
+        targets, bias, ones = self.targets[allowed], self.bias[allowed], np.ones(len(allowed), F32)
+        own = np.einsum("bd,bd->b", h, targets.take(place, 0)).astype(np.float64) + bias[place]
+        targets = np.concatenate([targets.T, bias[None]])
+        h = np.concatenate([h, np.ones((len(h), 1), F32)], axis=1)
+        # exp would leave the range
+        large = np.sqrt(np.square(h).sum(1).max() * np.square(targets).sum(0).max()) > 60
+        out = np.empty(len(unit))
+        for at in range(0, len(unit), SCORED_AT_ONCE):
+            scores = h[at : at + SCORED_AT_ONCE] @ targets
+            most = scores.max(1, keepdims=True) if large else F32(0)
+            if large:
+                scores -= most
+            out[at : at + SCORED_AT_ONCE] = np.log(np.exp(scores, out=scores) @ ones) + np.ravel(most)
+        return own - out
 
     def log10(self, contexts: np.ndarray, units: np.ndarray, possible: np.ndarray) -> np.ndarray:
         """log10 of each unit's probability after its context; units that are not possible have none."""
-        allowed = np.flatnonzero(possible)
-        place = np.cumsum(possible) - 1
-        targets, bias, ones = np.ascontiguousarray(self.targets[allowed].T), self.bias[allowed], np.ones(len(allowed), F32)
-        out = np.empty(len(units))
-        for at in range(0, len(units), SCORED_AT_ONCE):
-            scores = self._predicted(contexts[:, at : at + SCORED_AT_ONCE]) @ targets
-            scores += bias
-            unit = place[units[at : at + SCORED_AT_ONCE]]
-            if scores.max() > 60:  # exp would leave the range
-                scores -= scores.max(1, keepdims=True)
-            own = scores[np.arange(len(unit)), unit].astype(np.float64)
-            out[at : at + SCORED_AT_ONCE] = own - np.log(np.exp(scores, out=scores) @ ones)
+        h = self._predicted(contexts)
+        out = self._log_share(h, self.choice[units], self.first, np.bincount(self.choice, possible, len(self.first)) > 0)
+        for g, places in self._by_group(units):
+            rows = np.arange(self.start + g * GROUP, self.start + (g + 1) * GROUP)
+            out[places] += self._log_share(h[places], units[places] - rows[0], rows, possible[rows])
         return out / np.log(10)
 
 

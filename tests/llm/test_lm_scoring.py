@@ -3,9 +3,10 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
-from shelfspark.llm import lm_scoring
-from shelfspark.llm.log_bilinear import WIDTH, LogBilinear, contexts_of
+from shelfspark.llm import lm_scoring, log_bilinear
+from shelfspark.llm.log_bilinear import GROUP, HEAD, WIDTH, LogBilinear, contexts_of
 from tests.llm.util import FOLD, table, words
 
 DOCS = "doc_id long, text string, block string, units string, `Score` double, group int"
@@ -132,3 +133,62 @@ def test_contexts_stay_in_their_text():
     got = contexts_of(np.array([0, 1, 2, 0, 1]), np.array([0, 3, 5]), 9)
     assert got.shape == (WIDTH, 5)
     assert got[0].tolist() == [8, 0, 1, 8, 0] and (got[1] - 9).tolist() == [8, 8, 0, 8, 8] and (got[3] - 27).tolist() == [8] * 5
+
+
+def test_words_beyond_the_first_are_units_of_their_own(spark, tmp_path):
+    """600 words that the word before tells: each is a unit, and the model learns which follows."""
+    rng = random.Random(4)
+    texts = []
+    for _ in range(400):
+        at, out = rng.randrange(600), []
+        for _ in range(120):
+            at = (at * 7 + 1) % 600
+            out.append(f"w{at}e")
+        texts.append(" ".join(out))
+    d = table(spark, tmp_path, [(k, t, "", "", 0.0, 0) for k, t in enumerate(texts)], DOCS)
+    v = lm_scoring.encode(d)[1]
+    learned = Counter(x for k, t in enumerate(texts) if not lm_scoring.held_out(k) for x in tokens(t))
+    assert {w for w, n in learned.items() if n >= lm_scoring.LEAST} == {w.decode() for w in v.unit} and len(v.unit) == 601
+    assert LogBilinear(v.inputs, v.outputs).groups > 0
+    held = [r for r in lm_scoring.score_texts(d).collect() if r.held_out]
+    assert sum(r.score for r in held) > 0.93 * sum(r.base_score for r in held)
+
+
+def test_groups_add_up_and_are_learned():
+    rng = np.random.default_rng(3)
+    inputs, outputs = 1001, 1000
+    model = LogBilinear(inputs, outputs)
+    assert model.groups == (outputs - HEAD) // GROUP and model.stop < outputs
+    offsets = np.array([0, 5000, 20_000])
+    units = np.cumsum(np.ones(20_000, np.int64) * 7) % outputs
+    contexts, noise = contexts_of(units, offsets, inputs), np.full(outputs, 1 / outputs)
+    possible = rng.random(outputs) < 0.9
+    one = np.repeat(contexts[:, 100:101], possible.sum(), axis=1)
+    assert abs((10 ** model.log10(one, np.flatnonzero(possible), possible)).sum() - 1) < 1e-4
+    before = model.log10(contexts, units, np.ones(outputs, bool)).mean()
+    for _ in range(8):
+        order = rng.permutation(len(units))
+        model.learn(contexts[:, order], units[order], noise, rng, 0.2)
+    assert model.log10(contexts, units, np.ones(outputs, bool)).mean() > before + 0.5
+    assert abs((10 ** model.log10(one, np.flatnonzero(possible), possible)).sum() - 1) < 1e-4
+
+
+def test_steps_of_the_rows_that_a_batch_meets(monkeypatch):
+    """A step for some rows is the step for all of them."""
+    rng = np.random.default_rng(5)
+    contexts, d_h = contexts_of(rng.integers(0, 600, 900), np.array([0, 900]), 601), rng.normal(size=(900, 16)).astype(np.float32)
+    made = []
+    for bound in (0, 10**9):
+        monkeypatch.setattr(log_bilinear, "DENSE", bound)
+        model = LogBilinear(601, 40)
+        model._learn_vectors(contexts, d_h, 0.1)
+        model._learn_vectors(contexts[:, ::-1], d_h, 0.1)
+        made.append(model.parameters)
+    assert np.allclose(*made, atol=1e-5)
+
+
+def test_changes_are_averaged_by_the_places_of_their_units():
+    rows = [(2.0, 1.0, 4.0), (6.0, 0.0, 8.0)]  # weights of two rows, and what changes
+    made = pa.table({"slice": [3, 3], "weights": [np.array([w, u], "<f4").tobytes() for w, u, _ in rows], "change": [np.full((2, 17), c, "<f2").tobytes() for *_, c in rows]}, schema=pa.schema([("slice", pa.int32()), ("weights", pa.binary()), ("change", pa.binary())]))
+    got = np.frombuffer(lm_scoring._merge(made)["change"][0].as_py(), "<f4").reshape(2, 17)
+    assert got[0].tolist() == [7.0] * 17 and got[1].tolist() == [4.0] * 17
