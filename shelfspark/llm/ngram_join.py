@@ -48,6 +48,8 @@ COMMON = 64
 PARITIES = 512
 #: Shingles in a block of candidate sets, and how long a list within a block counts as long.
 BLOCK_SHINGLES, LONG_LIST = 100_000, 24
+#: Blocks that the sets of a block are taken out for at a time.
+ASKED = 64
 U64 = ta.U64
 
 
@@ -269,8 +271,23 @@ def _pack(table: pa.Table) -> pa.Table:
     )
 
 
-def _pack_for(table: pa.Table) -> pa.Table:
-    return _pack(table).append_column("chunk_2", table["chunk_2"][:1].cast(pa.int32()))
+def _parts_for(batches):
+    """Of each block the sets that ask for another block, in a row for each of these."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            sigs, sizes, tokens = _read(row, "")
+            ends, order = np.cumsum(sizes), np.argsort(sigs)
+            at = order[np.searchsorted(sigs, np.array(row["asking"], np.int64), sorter=order)]
+            asked = np.array(row["asked"], np.int32)
+            for chunk in np.unique(asked):
+                own = np.unique(at[asked == chunk])
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "cluster": pa.array([row["cluster"]], pa.int64()), "chunk": pa.array([row["chunk"]], pa.int32()),
+                        "sigs": [sigs[own].tobytes()], "sizes": [sizes[own].tobytes()],
+                        "tokens": [tokens[ta.ragged(ends[own] - sizes[own], sizes[own])].tobytes()], "chunk_2": pa.array([chunk], pa.int32()),
+                    }
+                )
 
 
 class Forest:
@@ -388,7 +405,9 @@ def links_of(sets: DataFrame, clusters: DataFrame, postings) -> DataFrame:
     told = sets.join(cut(large), "sig").select("sig", "n", "tokens", "component", "chunk")
     apart = postings(told).groupBy("part").applyInArrow(_meet_apart, "sig long, chunk_2 int")
     apart = cut(apart.distinct().join(placed.select("sig", "cluster", "chunk"), "sig"))
-    own = sets.join(apart, "sig").groupBy("cluster", "chunk", "chunk_2").applyInArrow(_pack_for, f"{PACKED}, chunk_2 int")
+    # the sets are taken from their blocks; a row asks for a bounded number of blocks
+    asks = apart.groupBy("cluster", "chunk", F.floor(F.col("chunk_2") / ASKED)).agg(*[F.collect_list(c).alias(d) for c, d in (("sig", "asking"), ("chunk_2", "asked"))])
+    own = blocks.join(asks.select("cluster", "chunk", "asking", "asked"), ["cluster", "chunk"]).mapInArrow(_parts_for, f"{PACKED}, chunk_2 int")
     rest = own.join(_second(blocks), ["cluster", "chunk_2"])
     return edges.union(rest.mapInArrow(_compare, "a long, b long"))
 

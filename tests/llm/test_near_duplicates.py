@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from shelfspark.llm import ngram_join
 from shelfspark.llm import text_arrays as ta
@@ -140,3 +141,18 @@ def test_components_by_contraction(spark):
             by.setdefault(r.component, set()).add(r.node)
         groups.append(sorted(map(sorted, by.values())))
     assert groups[0] == groups[1]
+
+
+def test_sets_are_taken_from_their_block():
+    """Each asked block gets the sets that ask for it, once, and no others."""
+    sets = {30: [1, 2, 3], 10: [4], 20: [5, 6], 40: [7, 8]}
+    row = {"cluster": 5, "chunk": 2, "asking": [10, 20, 10, 30, 10], "asked": [7, 7, 7, 9, 9]}
+    row["sigs"], row["sizes"] = np.array(list(sets), np.int64).tobytes(), np.array([len(x) for x in sets.values()], np.int64).tobytes()
+    row["tokens"] = np.array([t for x in sets.values() for t in x], np.uint64).tobytes()
+    got = {}
+    for b in ngram_join._parts_for(iter([pa.RecordBatch.from_pylist([row])])):
+        (r,) = b.to_pylist()
+        sigs, sizes, tokens = (np.frombuffer(r[c], t).tolist() for c, t in (("sigs", np.int64), ("sizes", np.int64), ("tokens", np.uint64)))
+        ends = np.cumsum(sizes).tolist()
+        got[r["cluster"], r["chunk"], r["chunk_2"]] = {s: tokens[e - n : e] for s, n, e in zip(sigs, sizes, ends, strict=True)}
+    assert got == {(5, 2, 7): {10: [4], 20: [5, 6]}, (5, 2, 9): {30: [1, 2, 3], 10: [4]}}
