@@ -51,6 +51,7 @@ ROUNDS = (0.2, 0.1)
 SLICES, TOKENS = 1024, 1 << 18
 #: The end of a text as a word, which no word is.
 END = "\n"
+SPACE = pa.scalar(b" ", pa.large_binary())
 
 
 def _pack(data: bytes | np.ndarray) -> bytes:
@@ -84,22 +85,24 @@ def _blocks(groups: int):
         for k, (ids, texts) in enumerate(pieces(batches, BLOCK_BYTES)):
             codes, offsets, names = numbered(pc.ascii_lower(texts))
             n = len(ids)
-            names = [w.encode() for w in names.to_pylist()] + [END.encode()]
-            tokens = np.empty(len(codes) + n, np.int64)  # with the ends
-            tokens[np.arange(len(codes)) + np.repeat(np.arange(n), np.diff(offsets))] = codes
+            names = pa.concat_arrays([names.cast(pa.large_binary()), pa.array([END.encode()], pa.large_binary())])
+            sizes = np.diff(offsets) + 1  # with the ends
             offsets = offsets + np.arange(n + 1)
-            tokens[offsets[1:] - 1] = len(names) - 1
-            learned = np.repeat([not held_out(i) for i in ids.to_pylist()], np.diff(offsets))
-            there, counts = np.bincount(tokens, minlength=len(names)), np.bincount(tokens[learned], minlength=len(names))
-            group = np.fromiter((zlib.crc32(w) % groups for w in names), np.int64, len(names))
-            order = np.lexsort((-there, group))
+            tokens, inside = np.full(len(codes) + n, len(names) - 1), np.ones(len(codes) + n, bool)
+            inside[offsets[1:] - 1] = False
+            tokens[inside] = codes
+            there = np.bincount(tokens, minlength=len(names))
+            counts = there - np.bincount(tokens[np.repeat([held_out(i) for i in ids.to_pylist()], sizes)], minlength=len(names))
+            group = np.fromiter(map(zlib.crc32, names.to_pylist()), np.int64, len(names)) % groups
+            order = np.argsort((group << 32) - there, kind="stable")
             order = order[there[order] > 0]  # without the empty words at the edges of texts
-            number = np.empty(len(names), np.int64)
+            number = np.empty(len(names), "<u4")
             number[order] = np.arange(len(order))
             cuts = np.searchsorted(group[order], np.arange(groups + 1))
-            own = [(g, order[a:b]) for g, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-            planes = np.ascontiguousarray(number[tokens].astype("<u4").view(np.uint8).reshape(-1, 4).T)
-            words = [{"group": g, "words": _pack(b" ".join(names[i] for i in o)), "counts": _pack(counts[o].astype("<u4"))} for g, o in own]
+            joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(cuts), names.take(pa.array(order))), SPACE)
+            own = [(g, a, b) for g, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+            planes = np.ascontiguousarray(number[tokens].view(np.uint8).reshape(-1, 4).T)
+            words = [{"group": g, "words": _pack(joined[g].as_py()), "counts": _pack(counts[order[a:b]].astype("<u4"))} for g, a, b in own]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([f"{part}-{k}"]), pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([_pack(offsets.astype("<i8"))], pa.binary()), pa.array([_pack(planes)], pa.binary()), pa.array([words], WORDS)],
                 ["block", "doc_ids", "offsets", "numbers", "words"],
@@ -116,8 +119,8 @@ COUNTED = "block string, group int, counts binary, codes binary, sums array<long
 
 def _count(table: pa.Table) -> pa.Table:
     """The corpus counts and classes of a group's words for each block, and one more row with what the group sums up to."""
-    lists = [zstandard.decompress(x).split(b" ") for x in table["words"].to_pylist()]
-    flat = pa.array([w for x in lists for w in x], pa.binary()).dictionary_encode()
+    lists = pc.split_pattern(pa.array([zstandard.decompress(x) for x in table["words"].to_pylist()], pa.large_binary()), b" ")
+    flat = lists.flatten().dictionary_encode()
     own = np.concatenate([_unpack(x, "<u4") for x in table["counts"].to_pylist()]).astype(np.float64)
     codes, words = flat.indices.to_numpy(), flat.dictionary.to_pylist()
     total = np.bincount(codes, own, len(words)).astype(np.int64)
@@ -125,7 +128,7 @@ def _count(table: pa.Table) -> pa.Table:
     known = total > 0
     sums = [total.sum(), known.sum(), (total == 1).sum(), (total == 2).sum(), *np.bincount(kind[known], total[known], CLASSES).astype(np.int64), *np.bincount(kind[known], minlength=CLASSES)]
     order = sorted(np.flatnonzero(total >= LEAST).tolist(), key=lambda i: (-total[i], words[i]))[:FREQUENT]
-    ends = np.cumsum([0, *map(len, lists)])
+    ends = lists.offsets.to_numpy()
     spans = list(zip(ends[:-1], ends[1:], strict=True))
     n, group = len(lists), table["group"][0].as_py()
     release()
@@ -261,7 +264,7 @@ def _learn(shared, rate: float, seed: int):
         stood, said = np.zeros(len(model.vectors)), np.zeros(v.outputs)
         for _, contexts, outputs, _ in _stretches(batches, True, v):
             order = rng.permutation(len(outputs))
-            model.learn(contexts[:, order], outputs[order], v.noise, rng, rate)
+            model.learn(contexts.take(order, 1), outputs.take(order), v.noise, rng, rate)
             stood += np.bincount(contexts.ravel(), minlength=len(stood))
             said += np.bincount(outputs, minlength=v.outputs)
             tokens += len(outputs)

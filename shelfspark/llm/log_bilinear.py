@@ -6,8 +6,9 @@ plus the unit's bias.  Training tells each next unit from units drawn from the u
 contexts of a batch), with the scores taken as log-probabilities that need no normalising; scoring normalises over all
 units with one matrix product a batch.
 
-More than ``FLAT`` units are predicted in two choices: one of the first ``HEAD`` units, of the units after the last whole
-group, or a group of ``GROUP`` units that follow one another; then a unit of the group.  A group has a vector and a bias as a unit has,
+More than ``FLAT`` units are predicted in two choices: one of the first ``HEAD`` units, of the units after the last group,
+or a group of ``GROUP`` units or somewhat more that follow one another; then a unit of the group.  Groups are of one size, which
+leaves ``TAIL`` units and less than one for each group single at the end.  A group has a vector and a bias as a unit has,
 both choices are estimated and normalised in the same way, and their probabilities are multiplied.  So each unit has
 parameters of its own, and a token costs about the square root of the number of units.
 """
@@ -19,11 +20,15 @@ import numpy as np
 #: Units of context, length of vectors, contexts of a training batch and of a scoring batch, noise units of a batch, and
 #: how many noise units the estimation counts for each unit of data; noise units of a batch within a group.
 WIDTH, SIZE, BATCH, SCORED_AT_ONCE, DRAWN, NOISE, DRAWN_WITHIN = 4, 16, 1024, 512, 64, 16, 32
-#: Units up to which there are no groups; of more, those at the start that are single, and units of a group.
-FLAT, HEAD, GROUP = 512, 128, 256
+#: Units up to which there are no groups; of more, those at the start and at the end that are single, and units of a group at least.
+FLAT, HEAD, TAIL, GROUP = 512, 128, 33, 256
+#: Scores up to here, either way, are taken to ``exp`` as they are.
+FAR = 80
 #: Rows up to which a gradient is that of all rows; of more, it is that of the rows which the batch meets.
 DENSE = 2048
 F32 = np.float32
+#: A vector as one value, which is moved faster.
+WHOLE = f"V{4 * SIZE}"
 
 
 class LogBilinear:
@@ -43,12 +48,13 @@ class LogBilinear:
         self.squares = np.full(len(self.parameters), 1e-5, F32)  # of the gradients so far
         self.parts = [slice(a, b) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
         self.start = HEAD if self.groups else outputs  # of the groups
-        self.stop = self.start + self.groups * GROUP
+        self.size = (outputs - HEAD - TAIL) // self.groups if self.groups else 0
+        self.stop = self.start + self.groups * self.size
         # the rows of the first choice, and which of them leads to each unit
         self.first = np.concatenate([np.arange(self.start), np.arange(self.stop, outputs), np.arange(outputs, rows)])
         single = self.start + outputs - self.stop
-        self.choice = np.concatenate([np.arange(self.start), single + np.repeat(np.arange(self.groups), GROUP), np.arange(self.start, single)])
         self.last_met = np.empty(max(WIDTH * inputs, rows), np.int32)
+        self.choice = np.concatenate([np.arange(self.start), single + np.repeat(np.arange(self.groups), self.size), np.arange(self.start, single)])
 
     def _predicted(self, contexts: np.ndarray) -> np.ndarray:
         """contexts: a row of each position, with the rows of ``vectors`` that stand there."""
@@ -69,24 +75,25 @@ class LogBilinear:
             squares[rows] += gradient * gradient
             values[rows] -= F32(rate) * gradient / np.sqrt(squares[rows])
             return
-        whole = f"V{4 * SIZE}"  # a row as one value, which is moved faster
         new = squares.take(rows, 0)
         new += gradient * gradient
-        squares.view(whole)[rows] = new.view(whole)
+        squares.view(WHOLE)[rows] = new.view(WHOLE)
         np.sqrt(new, out=new)
         np.divide(gradient, new, out=new)
         new *= F32(-rate)
         new += values.take(rows, 0)
-        values.view(whole)[rows] = new.view(whole)
+        values.view(WHOLE)[rows] = new.view(WHOLE)
 
     @staticmethod
     def _gathered(n: int, number: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """The sums of the rows with each of n numbers; ``number`` may hold several numbers of each row, one after the other."""
-        columns = np.tile(rows.T.astype(np.float64), (1, len(number) // len(rows)))
-        out = np.empty((n, SIZE), F32)
-        for k, column in enumerate(columns):
-            out[:, k] = np.bincount(number, column, n)
-        return out
+        columns = rows.view(np.complex64)  # two columns as one complex value, which are added together
+        out = np.zeros((SIZE // 2, n), np.complex64)
+        values = np.empty((len(number) // len(rows), len(rows)), np.complex64)
+        for k, sums in enumerate(out):
+            values[:] = columns[:, k]
+            np.add.at(sums, number, values.ravel())
+        return np.ascontiguousarray(out.T).view(F32)
 
     def _learn_vectors(self, context: np.ndarray, d_h: np.ndarray, rate: float) -> None:
         rows = context.ravel()
@@ -95,30 +102,33 @@ class LogBilinear:
             return self._step(0, self._gathered(n, rows, d_h), rate)
         turn = np.arange(len(rows), dtype=np.int32)
         self.last_met[rows] = turn
-        last = self.last_met[rows]
+        last = self.last_met.take(rows)
         kept = last == turn
-        met, number = rows[kept], (np.cumsum(kept) - 1)[last]
+        met, number = rows[kept], (np.cumsum(kept) - 1).take(last)
         return self._step_rows(0, met, self._gathered(len(met), number, d_h), rate)
 
     def _choose(self, h: np.ndarray, unit: np.ndarray, rows: np.ndarray | slice, noise: tuple, rng: np.random.Generator, rate: float, size: int, n_drawn: int = DRAWN) -> np.ndarray:
         """A step for the choice of ``unit`` among ``rows``; the derivatives by the predicted vectors.
         noise: logarithms of the expected numbers, and chances, added up; size: what the sums are divided by."""
         expected, chances = noise
-        drawn = np.minimum(np.searchsorted(chances, rng.random(n_drawn) * chances[-1], side="right"), len(chances) - 1)
-        targets, bias = self.targets[rows], self.bias[rows] - expected
+        n = len(chances)
+        times = np.bincount(np.minimum(np.searchsorted(chances, rng.random(n_drawn) * chances[-1], side="right"), n - 1), minlength=n)
+        drawn = np.flatnonzero(times)
+        targets, bias = (self.targets[rows], self.bias[rows]) if isinstance(rows, slice) else (self.targets.take(rows, 0), self.bias.take(rows))
+        bias = bias - expected
         own_targets, other_targets = targets.take(unit, 0), targets.take(drawn, 0)
-        own = np.einsum("bd,bd->b", h, own_targets) + bias[unit]
-        other = h @ other_targets.T
-        other += bias[drawn]
+        own = np.einsum("bd,bd->b", h, own_targets) + bias.take(unit)
+        other = h @ -other_targets.T
         # derivatives of -log sigmoid(own) and of -log sigmoid(-other), over the batch
         d_own = -F32(1 / size) / (1 + np.exp(own))
-        d_other = np.exp(np.negative(other, out=other), out=other)
-        d_other += F32(1)
-        np.divide(F32(NOISE / n_drawn / size), d_other, out=d_other)
-        d_h = d_own[:, None] * own_targets + d_other @ other_targets
-        n = len(chances)
-        d_targets = self._gathered(n, np.concatenate([unit, drawn]), np.concatenate([d_own[:, None] * h, d_other.T @ h]))
-        d_bias = np.bincount(unit, d_own, n) + np.bincount(drawn, d_other.sum(0), n)
+        d_other, odds = np.exp(other, out=other), np.exp(np.clip(bias[drawn], -60, 60))
+        d_other += odds
+        np.divide(F32(NOISE / n_drawn / size) * times[drawn].astype(F32) * odds, d_other, out=d_other)
+        d_h = d_other @ other_targets
+        d_h += d_own[:, None] * own_targets
+        d_targets, d_bias = self._gathered(n, unit, d_own[:, None] * h), np.bincount(unit, d_own, n)
+        d_targets[drawn] += d_other.T @ h
+        d_bias[drawn] += np.ones(len(h), F32) @ d_other
         for part, gradient in ((1, d_targets), (2, d_bias.astype(F32))):
             if self.groups:
                 self._step_rows(part, rows, gradient, rate)
@@ -129,7 +139,7 @@ class LogBilinear:
     def _by_group(self, units: np.ndarray) -> list[tuple[int, np.ndarray]]:
         """The groups that units are in, and the places of these units."""
         places = np.flatnonzero((units >= self.start) & (units < self.stop))
-        group = (units[places] - self.start) // GROUP
+        group = ((units[places] - self.start) // self.size).astype(np.int16)  # which is sorted faster
         order = np.argsort(group, kind="stable")
         cuts = np.searchsorted(group[order], np.arange(self.groups + 1))
         return [(g, places[order[a:b]]) for g, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
@@ -139,16 +149,16 @@ class LogBilinear:
         they ask of the vectors is added to the step of the batch that a place is in."""
         prepared = lambda p: (np.log(NOISE * np.maximum(p, 1e-12)).astype(F32), np.cumsum(p))
         with np.errstate(over="ignore"):
-            groups = self._by_group(units)
+            contexts, groups = np.ascontiguousarray(contexts), self._by_group(units)  # whose rows are read one by one
             within = np.zeros((len(units), SIZE), F32) if groups else None
-            h = self._predicted(contexts) if groups else None
             for k in rng.permutation(len(groups)) if groups else ():
                 g, places = groups[k]
-                rows = slice(self.start + g * GROUP, self.start + (g + 1) * GROUP)
+                rows = slice(self.start + g * self.size, self.start + (g + 1) * self.size)
                 own = prepared(noise[rows] / noise[rows].sum())
                 for at in range(0, len(places), BATCH):
                     some = places[at : at + BATCH]
-                    within[some] = self._choose(h[some], units[some] - rows.start, rows, own, rng, rate, BATCH, DRAWN_WITHIN)
+                    d_h = self._choose(self._predicted(contexts.take(some, 1)), units[some] - rows.start, rows, own, rng, rate, BATCH, DRAWN_WITHIN)
+                    within.view(WHOLE)[some] = d_h.view(WHOLE)
             chosen, own = self.choice[units], prepared(np.bincount(self.choice, noise, len(self.first)))
             for at in range(0, len(units), BATCH):
                 context, unit = contexts[:, at : at + BATCH], chosen[at : at + BATCH]
@@ -163,17 +173,19 @@ class LogBilinear:
         place = (np.cumsum(possible) - 1)[unit]
         targets, bias, ones = self.targets[allowed], self.bias[allowed], np.ones(len(allowed), F32)
         own = np.einsum("bd,bd->b", h, targets.take(place, 0)).astype(np.float64) + bias[place]
+        # elsewhere exp might leave the range, or the sum be 0
+        near = np.sqrt(np.einsum("bd,bd->b", h, h) * np.square(targets).sum(1).max()) + abs(bias.max()) < FAR
         targets = np.concatenate([targets.T, bias[None]])
         h = np.concatenate([h, np.ones((len(h), 1), F32)], axis=1)
-        # exp would leave the range
-        large = np.sqrt(np.square(h).sum(1).max() * np.square(targets).sum(0).max()) > 60
         out = np.empty(len(unit))
-        for at in range(0, len(unit), SCORED_AT_ONCE):
-            scores = h[at : at + SCORED_AT_ONCE] @ targets
-            most = scores.max(1, keepdims=True) if large else F32(0)
-            if large:
-                scores -= most
-            out[at : at + SCORED_AT_ONCE] = np.log(np.exp(scores, out=scores) @ ones) + np.ravel(most)
+        for some in (np.flatnonzero(near), np.flatnonzero(~near)):
+            for at in range(0, len(some), SCORED_AT_ONCE):
+                batch = some[at : at + SCORED_AT_ONCE]
+                scores, most = h.take(batch, 0) @ targets, F32(0)
+                if not near[batch[0]]:
+                    most = scores.max(1, keepdims=True)
+                    scores -= most
+                out[batch] = np.log(np.exp(scores, out=scores) @ ones) + np.ravel(most)
         return own - out
 
     def log10(self, contexts: np.ndarray, units: np.ndarray, possible: np.ndarray) -> np.ndarray:
@@ -181,8 +193,8 @@ class LogBilinear:
         h = self._predicted(contexts)
         out = self._log_share(h, self.choice[units], self.first, np.bincount(self.choice, possible, len(self.first)) > 0)
         for g, places in self._by_group(units):
-            rows = np.arange(self.start + g * GROUP, self.start + (g + 1) * GROUP)
-            out[places] += self._log_share(h[places], units[places] - rows[0], rows, possible[rows])
+            rows = np.arange(self.start + g * self.size, self.start + (g + 1) * self.size)
+            out[places] += self._log_share(h.take(places, 0), units[places] - rows[0], rows, possible[rows])
         return out / np.log(10)
 
 

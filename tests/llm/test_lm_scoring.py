@@ -192,3 +192,35 @@ def test_changes_are_averaged_by_the_places_of_their_units():
     made = pa.table({"slice": [3, 3], "weights": [np.array([w, u], "<f4").tobytes() for w, u, _ in rows], "change": [np.full((2, 17), c, "<f2").tobytes() for *_, c in rows]}, schema=pa.schema([("slice", pa.int32()), ("weights", pa.binary()), ("change", pa.binary())]))
     got = np.frombuffer(lm_scoring._merge(made)["change"][0].as_py(), "<f4").reshape(2, 17)
     assert got[0].tolist() == [7.0] * 17 and got[1].tolist() == [4.0] * 17
+
+
+def test_groups_leave_few_single_units():
+    """Groups take all but the head and the classes, so a first choice is among no more than it needs."""
+    for outputs in (513, 1000, 5000, 32_801):
+        model = LogBilinear(outputs + 32, outputs)
+        assert model.groups == (outputs - HEAD) // GROUP and log_bilinear.TAIL <= outputs - model.stop < log_bilinear.TAIL + model.groups
+        assert len(model.first) < HEAD + log_bilinear.TAIL + 2 * model.groups
+        assert sorted(set(model.choice.tolist())) == list(range(len(model.first)))
+
+
+def test_scores_far_out_are_normalised():
+    """Near scores go to exp as they are, far ones less their largest; both are what plain sums say."""
+    rng = np.random.default_rng(6)
+    model = LogBilinear(701, 700, rng.normal(0, 1, (WIDTH * 701 + 702) * 16 + 702))
+    model.vectors[:300] *= 40
+    contexts, units = contexts_of(rng.integers(0, 700, 2000), np.array([0, 2000]), 701), rng.integers(0, 700, 2000)
+    possible = np.ones(700, bool)
+    got = model.log10(contexts, units, possible)
+    h = sum(model.vectors.astype(np.float64)[row] for row in contexts)
+    lengths = np.sqrt((h**2).sum(1))
+    assert lengths.min() < 20 and lengths.max() > 200
+    for at in (*np.argsort(lengths)[:20], *np.argsort(lengths)[-20:]):
+        want = 0.0
+        rows = [(model.first, model.choice[units[at]])]
+        if model.start <= units[at] < model.stop:
+            first = model.start + (units[at] - model.start) // model.size * model.size
+            rows.append((np.arange(first, first + model.size), units[at] - first))
+        for of, own in rows:
+            scores = model.targets[of].astype(np.float64) @ h[at] + model.bias[of]
+            want += scores[own] - scores.max() - np.log(np.exp(scores - scores.max()).sum())
+        assert abs(got[at] * np.log(10) - want) < 1e-3 * max(1, abs(want))
