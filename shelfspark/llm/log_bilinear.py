@@ -53,7 +53,7 @@ class LogBilinear:
         # the rows of the first choice, and which of them leads to each unit
         self.first = np.concatenate([np.arange(self.start), np.arange(self.stop, outputs), np.arange(outputs, rows)])
         single = self.start + outputs - self.stop
-        self.last_met = np.empty(max(WIDTH * inputs, rows), np.int32)
+        self.last_met = np.empty(max(WIDTH * inputs, rows), np.intp)
         self.choice = np.concatenate([np.arange(self.start), single + np.repeat(np.arange(self.groups), self.size), np.arange(self.start, single)])
 
     def _predicted(self, contexts: np.ndarray) -> np.ndarray:
@@ -100,7 +100,7 @@ class LogBilinear:
         n = len(self.vectors)
         if n <= DENSE:
             return self._step(0, self._gathered(n, rows, d_h), rate)
-        turn = np.arange(len(rows), dtype=np.int32)
+        turn = np.arange(len(rows))
         self.last_met[rows] = turn
         last = self.last_met.take(rows)
         kept = last == turn
@@ -149,7 +149,7 @@ class LogBilinear:
         they ask of the vectors is added to the step of the batch that a place is in."""
         prepared = lambda p: (np.log(NOISE * np.maximum(p, 1e-12)).astype(F32), np.cumsum(p))
         with np.errstate(over="ignore"):
-            contexts, groups = np.ascontiguousarray(contexts), self._by_group(units)  # whose rows are read one by one
+            contexts, groups = np.ascontiguousarray(contexts, np.intp), self._by_group(units)  # as numpy takes by them, row by row
             within = np.zeros((len(units), SIZE), F32) if groups else None
             for k in rng.permutation(len(groups)) if groups else ():
                 g, places = groups[k]
