@@ -133,6 +133,32 @@ def test_browse(spark):
     assert browse.printed_report(frame(spark, product(price=1234.5, path="a\\b.jpg"))).first()[:5] == ("a/b.jpg", "P001", "N", "", "S/ 1,234.50")
 
 
+def test_text_search_finds_colors(spark, tmp_path):
+    import duckdb
+
+    from shelfspark.plans import catalog
+
+    tables = {
+        "nation": ([(0, "PERU"), (1, "ITALIA")], "n_nationkey long, n_name string"),
+        "supplier": ([(0, 0), (1, 1)], "s_suppkey long, s_nationkey long"),
+        "part": ([(1, "cold bolt", "PROMO"), (2, "cold bolt", "PROMO"), (3, "ring", "PROMO"), (4, "bolt", "STANDARD")], "p_partkey long, p_name string, p_type string"),
+        "lineitem": (
+            [(1, 1, 1, 0, "R"), (1, 2, 1, 1, "N"), (1, 3, 2, 0, "R"), (2, 1, 2, 0, "A"), (2, 2, 3, 0, "A"), (2, 3, 4, 1, "A")],
+            "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_returnflag string",
+        ),
+    }
+    con = duckdb.connect()
+    for name, (rows, kind) in tables.items():
+        frame = spark.createDataFrame(rows, kind)
+        if name == "lineitem":
+            frame = frame.selectExpr("*", "date'2024-01-01' AS l_shipdate", "1.0D AS l_quantity", "2.0D AS l_extendedprice")
+        frame.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    found = sorted(tuple(r) for r in catalog.search_text(spark, str(tmp_path)).collect())
+    assert found == [(1, "cold bolt", "PERU, ITALIA"), (3, "ring", "PERU"), (4, "bolt", "ITALIA")]
+    assert found == sorted(con.execute(catalog.SQL["search_text"]).fetchall())
+
+
 def test_audit(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for name, data in (("a.jpg", b"\xff\xd8same"), ("b.JPG", b"\xff\xd8same"), ("c.png", b"\x89PNGother"), ("d.txt", b"x")):
