@@ -6,16 +6,17 @@ what the merge leaves.  With T - 1 lists set aside the merge is a scan for one c
 rarest quarter, which is how the table is cut to candidates; within candidates the T-occurrence count is made whole.
 
 1. Every shingle's inverted list is measured: the blocks' distinct shingles are shuffled by shingle (32 bits each, as
-   differences), and the lengths become two bitmaps of fixed size, "in two sets or more" and "in very many".  A false
-   hit makes a list seem longer, which costs time and loses nothing.
+   differences), and the lengths become two bitmaps, "in two sets or more", whose size follows the shingles in it up to
+   a bound, and "in very many", of fixed size.  A false hit makes a list seem longer, which costs time and loses nothing.
 2. A set of which fewer than T shingles stand in another set has no partner.  The others keep their shingles, and the
    shortest lists that T - 1 longer ones leave are packed and shuffled by shingle, with a bitmap of each set's parities.
    Bitmaps that differ in more places than the sets may differ in rule a pair out; long lists join all their classes
    unseen.  A task returns a spanning forest, so its rows grow with classes and not with pairs.
 3. Candidate classes' sets are gathered by cluster in blocks of bounded size.  Blocks are compared with themselves and
    with the cluster's first block.  Of what is then still apart, sets that share one of their short lists with a set of
-   another component are compared with that set's block.  Each comparison counts overlaps by DivideSkip (``connect``)
-   and returns a spanning forest of its links.
+   another component are compared with that set's block, unless sizes and bitmaps rule the pair out; in lists longer than
+   COMMON all ask, unseen.  Each comparison counts overlaps by DivideSkip (``connect``) and returns a spanning forest of
+   its links.
 
 Texts with equal sets are one class from the first step on.  Shingles are 64-bit hashes of five words with A-Z
 lower-cased (``text_arrays`` says how sure they are).  Lists longer than COMMON join their classes to one cluster without
@@ -40,8 +41,9 @@ from shelfspark.llm.components import components
 from shelfspark.llm.storage import cut, small_batches
 
 PERCENT = 75
-#: Shingles that a bitmap tells apart, as a power of two: 8 MB, for the broadcast and on the driver.
-FILTER_POWER = 26
+#: Bits of a bitmap, as a power of two: 8 MB at first, for the broadcast and on the driver; that of shingles in several
+#: sets has BITS_EACH bits for each of these, up to 128 MB.  A full one would let every set pass.
+FILTER_POWER, MOST_POWER, BITS_EACH = 26, 30, 3
 #: A shingle in more sets than this goes to the end of the order, and its classes are joined to one cluster unseen.
 COMMON = 64
 #: Bits of the bitmap that holds, for each residue of the shingles, whether their number is odd.
@@ -95,6 +97,11 @@ def _bits(places: np.ndarray, size: int) -> bytes:
     return np.packbits(bits).tobytes()
 
 
+def _size(shared: int, slices: int) -> int:
+    """Bits of a slice's bitmap for so many shingles."""
+    return min(max((1 << FILTER_POWER) // slices, 1 << (BITS_EACH * shared - 1).bit_length()), (1 << MOST_POWER) // slices)
+
+
 def _list_lengths(slices: int):
     def run(table: pa.Table) -> pa.Table:
         made = []
@@ -104,16 +111,22 @@ def _list_lengths(slices: int):
         tokens = np.sort(np.concatenate(made))
         first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
         length = np.diff(np.append(first, len(tokens)))
-        size = (1 << FILTER_POWER) // slices
-        place = (tokens[first] >> np.uint32(32 - (size.bit_length() - 1))).astype(np.int64)
-        maps = {"shared": _bits(place[length > 1], size), "common": _bits(place[length > COMMON], size)}
+        maps = {}
+        for name, own, size in (("shared", length > 1, _size(int((length > 1).sum()), slices)), ("common", length > COMMON, (1 << FILTER_POWER) // slices)):
+            maps[name] = _bits((tokens[first[own]] >> np.uint32(32 - (size.bit_length() - 1))).astype(np.int64), size)
         return pa.table({"slice": table["slice"][:1], **{k: pa.array([v], pa.binary()) for k, v in maps.items()}})
 
     return run
 
 
+def _joined(maps: list[bytes]) -> bytes:
+    """The slices' bitmaps one after the other, the smaller ones stretched to the size of the largest."""
+    size = max(map(len, maps))
+    return b"".join(x if len(x) == size else np.packbits(np.repeat(np.unpackbits(np.frombuffer(x, np.uint8)), size // len(x))).tobytes() for x in maps)
+
+
 def _has(bitmap: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    place = (tokens >> U64(64 - FILTER_POWER)).astype(np.int64)
+    place = (tokens >> U64(64 - ((8 * len(bitmap)).bit_length() - 1))).astype(np.int64)
     return (bitmap[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
 
 
@@ -211,28 +224,41 @@ def _may_link(facts: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (np.abs(n[a] - n[b]) <= most) & (np.bitwise_count(parities[a] ^ parities[b]).sum(axis=1) <= most)
 
 
-def _meet(table: pa.Table) -> pa.Table:
-    """Joins the classes of each shingle of a part that may be linked; those of a very common shingle all."""
-    nodes, token, owner, facts = _postings(table)
+def _short(token: np.ndarray) -> np.ndarray:
+    """Whether the list of each place is no longer than COMMON."""
     first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
     size = np.diff(np.append(first, len(token)))
-    links = np.empty(0, np.int64)
-    step = np.repeat(size <= COMMON, size)
+    return np.repeat(size <= COMMON, size)
+
+
+def _pairs(token: np.ndarray, owner: np.ndarray, facts: np.ndarray, step: np.ndarray, choose) -> tuple[np.ndarray, np.ndarray]:
+    """Classes that stand together in a list and may be linked; ``choose`` takes some of the places and gives them an order."""
+    n, links = facts.shape[1], np.empty(0, np.int64)
     for apart in range(1, COMMON):  # classes so many places apart in a list
         near = np.flatnonzero(token[apart:] == token[:-apart])
         near = near[step[near]]
         if not len(near):
             break
-        links = np.union1d(links, owner[near] * len(nodes) + owner[near + apart])
-    a, b = links // len(nodes), links % len(nodes)
+        x, y = choose(near, near + apart)
+        links = np.union1d(links, owner[x] * n + owner[y])
+    a, b = links // n, links % n
     may = np.concatenate([np.empty(0, bool), *(_may_link(facts, x, y) for x, y in zip(*(np.array_split(v, 1 + len(a) // 100_000) for v in (a, b)), strict=True))])
+    return a[may], b[may]
+
+
+def _meet(table: pa.Table) -> pa.Table:
+    """Joins the classes of each shingle of a part that may be linked; those of a very common shingle all."""
+    nodes, token, owner, facts = _postings(table)
+    step = _short(token)
+    a, b = _pairs(token, owner, facts, step, lambda x, y: (x, y))
     long = np.flatnonzero(~step[1:] & (token[1:] == token[:-1]))
-    return _edges(nodes, ta.forest(len(nodes), np.concatenate([a[may], owner[long]]), np.concatenate([b[may], owner[long + 1]])))
+    return _edges(nodes, ta.forest(len(nodes), np.concatenate([a, owner[long]]), np.concatenate([b, owner[long + 1]])))
 
 
 def _meet_apart(table: pa.Table) -> pa.Table:
-    """(sig, chunk_2): classes of a part, and the chunks where a class of another component has the same shingle. Of two
-    components the smaller one of a shingle asks, so the largest one's classes never do."""
+    """(sig, chunk_2): classes of a part, and the chunks where a class of another component has the same shingle and may be
+    linked (with a very common shingle: any). Of two components the smaller one of a shingle asks, so the largest one's
+    classes never do."""
     nodes, token, owner, facts = _postings(table)
     component, chunk = facts[:2]
     run = np.cumsum(np.concatenate([[0], token[1:] != token[:-1]]))
@@ -242,18 +268,26 @@ def _meet_apart(table: pa.Table) -> pa.Table:
     largest = np.zeros(len(size), bool)
     largest[order[np.concatenate([[True], run_of[order][1:] != run_of[order][:-1]])]] = True
     asks = ~largest[which.ravel()]
-    # the chunks of each run, with the smallest and the largest component there
+    step = _short(token)
+
+    def apart(x, y):  # blocks within themselves and with block 0 are done
+        a, b = owner[x], owner[y]
+        use = (component[a] != component[b]) & (chunk[a] != chunk[b]) & (chunk[a] != 0) & (chunk[b] != 0)
+        x, y = x[use], y[use]
+        return np.where(asks[x], x, y), np.where(asks[x], y, x)
+
+    one, other = _pairs(token, owner, facts, step, apart)
+    # in long lists: the chunks of each run, with the smallest and the largest component there
     order = np.lexsort((chunk[owner], run))
     r, c, m = run[order], chunk[owner][order], component[owner][order]
     first = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (c[1:] != c[:-1])]))
     low, high, r, c = np.minimum.reduceat(m, first), np.maximum.reduceat(m, first), r[first], c[first]
-    asking, at = owner[asks], run[asks]
+    asking, at = owner[asks & ~step], run[asks & ~step]
     begin, end = np.searchsorted(r, at, side="left"), np.searchsorted(r, at, side="right")
     place = ta.ragged(begin, end - begin)
     asking = np.repeat(asking, end - begin)
-    # blocks within themselves and with block 0 are done
     use = ((low[place] != component[asking]) | (high[place] != component[asking])) & (c[place] != chunk[asking]) & (c[place] != 0) & (chunk[asking] != 0)
-    pairs = np.unique(np.stack([asking[use], c[place][use]]), axis=1)
+    pairs = np.unique(np.stack([np.concatenate([asking[use], one]), np.concatenate([c[place][use], chunk[other]])]), axis=1)
     return pa.table({"sig": nodes[pairs[0]], "chunk_2": pairs[1].astype(np.int32)})
 
 
@@ -418,8 +452,8 @@ def list_bitmaps(docs: DataFrame):
     slices = min(1 << max(6, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()), 1 << 16)
     lists = docs.select("text").mapInArrow(_lists(slices), "slice int, tokens binary")
     made = lists.groupBy("slice").applyInArrow(_list_lengths(slices), "slice int, shared binary, common binary").collect()
-    by_slice, empty = {x["slice"]: x for x in made}, bytes((1 << FILTER_POWER) // slices // 8)  # of a fixed size together
-    whole = (b"".join(bytes(by_slice[k][c]) if k in by_slice else empty for k in range(slices)) for c in ("shared", "common"))
+    by_slice, empty = {x["slice"]: x for x in made}, bytes((1 << FILTER_POWER) // slices // 8)
+    whole = (_joined([bytes(by_slice[k][c]) if k in by_slice else empty for k in range(slices)]) for c in ("shared", "common"))
     return spark.sparkContext.broadcast(tuple(whole))
 
 

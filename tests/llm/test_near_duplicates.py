@@ -156,3 +156,37 @@ def test_sets_are_taken_from_their_block():
         ends = np.cumsum(sizes).tolist()
         got[r["cluster"], r["chunk"], r["chunk_2"]] = {s: tokens[e - n : e] for s, n, e in zip(sigs, sizes, ends, strict=True)}
     assert got == {(5, 2, 7): {10: [4], 20: [5, 6]}, (5, 2, 9): {30: [1, 2, 3], 10: [4]}}
+
+
+def test_bitmap_follows_the_shingles_that_it_holds(monkeypatch):
+    """A full bitmap would let every set pass and join them all to one cluster."""
+    monkeypatch.setattr(ngram_join, "FILTER_POWER", 12)
+    tokens = np.sort(np.random.default_rng(5).integers(0, 2**64, 20_000, np.uint64))
+    twice = np.random.default_rng(7).random(len(tokens)) < 0.5
+    several, slices, maps = tokens[twice], 64, []
+    for k in range(slices):
+        packed = []
+        for block in (tokens, several):
+            own = ngram_join._shifted(block[(block >> np.uint64(58)) == k], slices)
+            packed.append(np.diff(own, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+        maps.append(ngram_join._list_lengths(slices)(pa.table({"slice": pa.array([k] * 2, pa.int32()), "tokens": packed}))["shared"][0].as_py())
+    bitmap = np.frombuffer(ngram_join._joined(maps), np.uint8)
+    assert ngram_join._has(bitmap, several).all() and ngram_join._has(bitmap, tokens[~twice]).mean() < 1 / 3
+    assert ngram_join._size(10**9, 64) == 2**24 and ngram_join._size(0, 64) == 2**6  # bounds: 2^30 and 2^12 bits
+
+
+def test_sets_ask_only_for_those_they_may_be_linked_with():
+    """Sets 1 and 2 differ in one shingle of 40, set 3 shares one shingle with both: each has a component and a block of its own."""
+    rng = np.random.default_rng(6)
+    one, three = np.sort(rng.integers(0, 2**63, 40, np.uint64)), rng.integers(0, 2**63, 40, np.uint64)
+    sets = [one, np.sort(np.append(one[:-1], three[0])), np.sort(np.append(three[:-1], one[0]))]
+    tokens, owner = np.concatenate(sets), np.repeat(np.arange(3), 40)
+    facts = np.concatenate([np.array([[1, 1, 40], [2, 2, 40], [3, 3, 40]]), ngram_join._parities(owner, tokens, 3)], axis=1)
+    row = {"tokens": tokens.tobytes(), "owners": owner.astype(np.int32).tobytes(), "sigs": np.array([11, 12, 13]).tobytes(), "facts": facts.tobytes()}
+    asks = lambda: {(r["sig"], r["chunk_2"]) for r in ngram_join._meet_apart(pa.Table.from_pylist([row])).to_pylist()}
+    assert asks() in ({(11, 2)}, {(12, 1)}, {(11, 2), (12, 1)})
+    common, ngram_join.COMMON = ngram_join.COMMON, 1  # all lists are long: whoever is there is asked for
+    try:
+        assert {x for x, _ in asks()} | {c + 10 for _, c in asks()} == {11, 12, 13}
+    finally:
+        ngram_join.COMMON = common
