@@ -6,8 +6,8 @@ what the merge leaves.  With T - 1 lists set aside the merge is a scan for one c
 rarest quarter, which is how the table is cut to candidates; within candidates the T-occurrence count is made whole.
 
 1. Every shingle's inverted list is measured: the blocks' distinct shingles are shuffled by shingle (32 bits each, as
-   differences), and the lengths become two bitmaps, "in two sets or more", whose size follows the shingles in it up to
-   a bound, and "in very many", of fixed size.  A false hit makes a list seem longer, which costs time and loses nothing.
+   differences), and the lengths become two bitmaps, "in two sets or more" and "in very many", whose size follows the
+   shingles in them up to a bound.  A false hit makes a list seem longer, which costs time and loses nothing.
 2. A set of which fewer than T shingles stand in another set has no partner.  The others keep their shingles, and the
    shortest lists that T - 1 longer ones leave are packed and shuffled by shingle, with a bitmap of each set's parities.
    Bitmaps that differ in more places than the sets may differ in rule a pair out; long lists join all their classes
@@ -37,13 +37,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.llm import text_arrays as ta
+from shelfspark.llm.bitmaps import bitmap, has, joined
 from shelfspark.llm.components import components
 from shelfspark.llm.storage import cut, small_batches
 
 PERCENT = 75
-#: Bits of a bitmap, as a power of two: 8 MB at first, for the broadcast and on the driver; that of shingles in several
-#: sets has BITS_EACH bits for each of these, up to 128 MB.  A full one would let every set pass.
-FILTER_POWER, MOST_POWER, BITS_EACH = 26, 30, 3
 #: A shingle in more sets than this goes to the end of the order, and its classes are joined to one cluster unseen.
 COMMON = 64
 #: Bits of the bitmap that holds, for each residue of the shingles, whether their number is odd.
@@ -91,17 +89,6 @@ def _lists(slices: int):
     return run
 
 
-def _bits(places: np.ndarray, size: int) -> bytes:
-    bits = np.zeros(size, bool)
-    bits[places] = True
-    return np.packbits(bits).tobytes()
-
-
-def _size(shared: int, slices: int) -> int:
-    """Bits of a slice's bitmap for so many shingles."""
-    return min(max((1 << FILTER_POWER) // slices, 1 << (BITS_EACH * shared - 1).bit_length()), (1 << MOST_POWER) // slices)
-
-
 def _list_lengths(slices: int):
     def run(table: pa.Table) -> pa.Table:
         made = []
@@ -111,25 +98,12 @@ def _list_lengths(slices: int):
         tokens = np.sort(np.concatenate(made))
         first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
         length = np.diff(np.append(first, len(tokens)))
-        maps = {}
-        for name, own, size in (("shared", length > 1, _size(int((length > 1).sum()), slices)), ("common", length > COMMON, (1 << FILTER_POWER) // slices)):
-            maps[name] = _bits((tokens[first[own]] >> np.uint32(32 - (size.bit_length() - 1))).astype(np.int64), size)
+        maps = {"shared": bitmap(tokens[first[length > 1]], slices), "common": bitmap(tokens[first[length > COMMON]], slices)}
         return pa.table({"slice": table["slice"][:1], **{k: pa.array([v], pa.binary()) for k, v in maps.items()}})
 
     return run
 
 
-def _joined(maps: list[bytes]) -> bytes:
-    """The slices' bitmaps one after the other, the smaller ones stretched to the size of the largest."""
-    size = max(map(len, maps))
-    return b"".join(x if len(x) == size else np.packbits(np.repeat(np.unpackbits(np.frombuffer(x, np.uint8)), size // len(x))).tobytes() for x in maps)
-
-
-def _has(bitmap: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    place = (tokens >> U64(64 - ((8 * len(bitmap)).bit_length() - 1))).astype(np.int64)
-    return (bitmap[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
-
-
 SETS = "doc_id long, n_shingles long, sig long, tokens binary"
 
 
@@ -141,7 +115,7 @@ def _measure(bitmaps):
         for rows, data, offsets in ta.pieces(batches, "text", 4 * ta.PIECE_BYTES):
             _, tokens, bounds, sigs = _sets(data, offsets)
             n = np.diff(bounds)
-            sums = np.concatenate([[0], np.cumsum(_has(shared, tokens))])
+            sums = np.concatenate([[0], np.cumsum(has(shared, tokens))])
             may = (100 * (sums[bounds[1:]] - sums[bounds[:-1]]) >= PERCENT * n) & (n > 0) & _first_of_equal(sigs)
             sets = [tokens[a:b].tobytes() if k else None for k, a, b in zip(may, bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_pydict(
@@ -169,7 +143,7 @@ def _short_lists(bitmaps, parts: int):
             bounds = np.concatenate([[0], np.cumsum(n)])
             owner = np.repeat(np.arange(len(n)), n)
             facts = np.concatenate([np.stack([component, chunk, n], axis=1), _parities(owner, tokens, len(n))], axis=1)
-            rarity = _has(shared, tokens).astype(np.int8) + _has(common, tokens)
+            rarity = has(shared, tokens).astype(np.int8) + has(common, tokens)
             order = np.lexsort((rarity, owner))  # ties stay in the order of shingles
             rank = np.arange(len(owner)) - bounds[owner]  # owner is sorted, so its order is unchanged
             least = n - -(-PERCENT * n // 100) + 1
@@ -434,8 +408,8 @@ def links_of(sets: DataFrame, clusters: DataFrame, postings) -> DataFrame:
     large = placed.where("chunks > 1").drop("chunks")
     if large.isEmpty():
         return edges
-    joined = components(edges)
-    large = large.join(joined.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    found = components(edges)
+    large = large.join(found.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     told = sets.join(cut(large), "sig").select("sig", "n", "tokens", "component", "chunk")
     apart = postings(told).groupBy("part").applyInArrow(_meet_apart, "sig long, chunk_2 int")
     apart = cut(apart.distinct().join(placed.select("sig", "cluster", "chunk"), "sig"))
@@ -452,8 +426,8 @@ def list_bitmaps(docs: DataFrame):
     slices = min(1 << max(6, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()), 1 << 16)
     lists = docs.select("text").mapInArrow(_lists(slices), "slice int, tokens binary")
     made = lists.groupBy("slice").applyInArrow(_list_lengths(slices), "slice int, shared binary, common binary").collect()
-    by_slice, empty = {x["slice"]: x for x in made}, bytes((1 << FILTER_POWER) // slices // 8)
-    whole = (_joined([bytes(by_slice[k][c]) if k in by_slice else empty for k in range(slices)]) for c in ("shared", "common"))
+    by_slice = {x["slice"]: x for x in made}
+    whole = (joined([bytes(by_slice[k][c]) if k in by_slice else None for k in range(slices)]) for c in ("shared", "common"))
     return spark.sparkContext.broadcast(tuple(whole))
 
 
@@ -473,10 +447,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nothing = F.lit(0).cast("long")
     all_sets = sets.select("sig", "n", "tokens", nothing.alias("component"), nothing.alias("chunk"))
     clusters = components(postings(all_sets).groupBy("part").applyInArrow(_meet, "a long, b long"))
-    joined = components(links_of(sets, clusters, postings))
+    found = components(links_of(sets, clusters, postings))
 
     classes = cut(rows.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("first_id")))
-    names = classes.join(joined.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    names = classes.join(found.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     smallest = names.groupBy("component").agg(F.min("first_id").alias("component_id"))
     # written, so that Spark can split a class which very many documents share
     named = cut(names.join(smallest, "component").select("sig", "component_id"))

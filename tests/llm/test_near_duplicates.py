@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from shelfspark.llm import ngram_join
+from shelfspark.llm import bitmaps, ngram_join
 from shelfspark.llm import text_arrays as ta
 from shelfspark.llm.components import components
 from tests.llm.util import FOLD, docs, words
@@ -160,7 +160,7 @@ def test_sets_are_taken_from_their_block():
 
 def test_bitmap_follows_the_shingles_that_it_holds(monkeypatch):
     """A full bitmap would let every set pass and join them all to one cluster."""
-    monkeypatch.setattr(ngram_join, "FILTER_POWER", 12)
+    monkeypatch.setattr(bitmaps, "FILTER_POWER", 12)
     tokens = np.sort(np.random.default_rng(5).integers(0, 2**64, 20_000, np.uint64))
     twice = np.random.default_rng(7).random(len(tokens)) < 0.5
     several, slices, maps = tokens[twice], 64, []
@@ -170,9 +170,9 @@ def test_bitmap_follows_the_shingles_that_it_holds(monkeypatch):
             own = ngram_join._shifted(block[(block >> np.uint64(58)) == k], slices)
             packed.append(np.diff(own, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
         maps.append(ngram_join._list_lengths(slices)(pa.table({"slice": pa.array([k] * 2, pa.int32()), "tokens": packed}))["shared"][0].as_py())
-    bitmap = np.frombuffer(ngram_join._joined(maps), np.uint8)
-    assert ngram_join._has(bitmap, several).all() and ngram_join._has(bitmap, tokens[~twice]).mean() < 1 / 3
-    assert ngram_join._size(10**9, 64) == 2**24 and ngram_join._size(0, 64) == 2**6  # bounds: 2^30 and 2^12 bits
+    bitmap = np.frombuffer(bitmaps.joined(maps), np.uint8)
+    assert bitmaps.has(bitmap, several).all() and bitmaps.has(bitmap, tokens[~twice]).mean() < 1 / 3
+    assert bitmaps.size_for(10**9, 64) == 2**24 and bitmaps.size_for(0, 64) == 2**6  # bounds: 2^30 and 2^12 bits
 
 
 def test_sets_ask_only_for_those_they_may_be_linked_with():

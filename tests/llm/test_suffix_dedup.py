@@ -2,9 +2,10 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 
+from shelfspark.llm import bitmaps, suffix_dedup
 from shelfspark.llm import suffix_array as suffix_array_module
-from shelfspark.llm import suffix_dedup
 from shelfspark.llm.suffix_array import common_prefixes, suffix_array
 from tests.llm.test_near_duplicates import twisted
 from tests.llm.util import docs
@@ -133,3 +134,20 @@ def test_suffix_array_and_prefixes():
             while r and i + n < len(s) and j + n < len(s) and s[i + n] == s[j + n]:
                 n += 1
             assert p[i] == min(n, 11)
+
+
+def test_bitmap_follows_the_anchors_that_it_holds(monkeypatch):
+    """A full bitmap would send every segment of the table to be sorted."""
+    monkeypatch.setattr(bitmaps, "FILTER_POWER", 12)
+    rng = np.random.default_rng(8)
+    anchors, slices, maps = np.sort(rng.integers(0, 2**64, 20_000, np.uint64)), 64, []
+    several = rng.random(len(anchors)) < 0.5
+    for k in range(slices):
+        rows = []
+        for n, block in enumerate((anchors, anchors[several])):  # with a segment of their own in each block
+            short = ((block[(block >> np.uint64(58)) == k]) >> np.uint64(26)).astype(np.uint32)
+            planes = np.diff(short, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+            rows.append({"slice": k, "anchors": planes, "segments": np.full(len(short), n, np.uint64).tobytes(), "twice": bytes(len(short))})
+        maps.append(suffix_dedup._add_anchors(slices)(pa.Table.from_pylist(rows))["several"][0].as_py())
+    bits = np.frombuffer(bitmaps.joined(maps), np.uint8)
+    assert bitmaps.has(bits, anchors[several]).all() and bitmaps.has(bits, anchors[~several]).mean() < 1 / 20
